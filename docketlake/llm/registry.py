@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from .op3 import op3_bpe_roundtrip
+from .op8 import op8_quality
 
 QUERIES: dict = {
     "op3_bpe_roundtrip": op3_bpe_roundtrip,
+    "op8_quality": op8_quality,
 }
 ORACLES: dict[str, str] = {}
