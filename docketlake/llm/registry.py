@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from . import op7
+from .op2 import op2_mix
 from .op3 import op3_bpe_roundtrip
+from .op7 import op7_lines
 from .op8 import op8_quality
 
 QUERIES: dict = {
+    "op2_mix": op2_mix,
     "op3_bpe_roundtrip": op3_bpe_roundtrip,
+    "op7_lines": op7_lines,
     "op8_quality": op8_quality,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_lines": op7.ORACLE,
+}
