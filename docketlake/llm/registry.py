@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import op7
 from .op2 import op2_mix
 from .op3 import op3_bpe_roundtrip
+from .op5 import op5_ngram_jaccard
 from .op7 import op7_lines
 from .op8 import op8_quality
 
 QUERIES: dict = {
+    "pipeline": corpus_pipeline.run,
     "op2_mix": op2_mix,
     "op3_bpe_roundtrip": op3_bpe_roundtrip,
+    "op5_ngram_jaccard": op5_ngram_jaccard,
     "op7_lines": op7_lines,
     "op8_quality": op8_quality,
 }
 ORACLES: dict[str, str] = {
+    "op5_ngram_jaccard": op5_ngram_jaccard,
     "op7_lines": op7.ORACLE,
 }
