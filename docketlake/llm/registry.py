@@ -10,6 +10,7 @@ from .op3 import op3_bpe_roundtrip
 from .op5 import op5_ngram_jaccard
 from .op7 import op7_lines
 from .op8 import op8_quality
+from .op9 import op9_pii
 
 QUERIES: dict = {
     "pipeline": corpus_pipeline.run,
@@ -18,8 +19,8 @@ QUERIES: dict = {
     "op5_ngram_jaccard": op5_ngram_jaccard,
     "op7_lines": op7_lines,
     "op8_quality": op8_quality,
+    "op9_pii": op9_pii,
 }
 ORACLES: dict[str, str] = {
-    "op5_ngram_jaccard": op5_ngram_jaccard,
     "op7_lines": op7.ORACLE,
 }
