@@ -11,6 +11,7 @@ from .op5 import op5_ngram_jaccard
 from .op7 import op7_lines
 from .op8 import op8_quality
 from .op9 import op9_pii
+from .op10 import op10_spans
 
 QUERIES: dict = {
     "pipeline": corpus_pipeline.run,
@@ -20,6 +21,7 @@ QUERIES: dict = {
     "op7_lines": op7_lines,
     "op8_quality": op8_quality,
     "op9_pii": op9_pii,
+    "op10_spans": op10_spans,
 }
 ORACLES: dict[str, str] = {
     "op7_lines": op7.ORACLE,
