@@ -25,7 +25,7 @@ from xxhash import xxh3_64_intdigest
 
 from ._common import bitmap, checkpoint, free_name, marked, mix64, slices
 
-LEAST, WORDS, MOST = 2, 25, 25
+LEAST, WORDS, MOST = 2, 15, 25
 #: The key that stands for null: such rows are one last document.
 NO_KEY = (1 << 63) - 1
 END = re.compile(r"[.!?]+[\"')\]]*\s+|\s*\n\s*")
