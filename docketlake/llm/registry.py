@@ -8,6 +8,7 @@ from . import op7
 from .op2 import op2_mix
 from .op3 import op3_bpe_roundtrip
 from .op5 import op5_ngram_jaccard
+from .op6 import op6_nearest
 from .op7 import op7_lines
 from .op8 import op8_quality
 from .op9 import op9_pii
@@ -18,6 +19,7 @@ QUERIES: dict = {
     "op2_mix": op2_mix,
     "op3_bpe_roundtrip": op3_bpe_roundtrip,
     "op5_ngram_jaccard": op5_ngram_jaccard,
+    "op6_nearest": op6_nearest,
     "op7_lines": op7_lines,
     "op8_quality": op8_quality,
     "op9_pii": op9_pii,
