@@ -5,6 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 
 from . import op7
+from .op1 import op1_token_counts
 from .op2 import op2_mix
 from .op3 import op3_bpe_roundtrip
 from .op5 import op5_ngram_jaccard
@@ -16,6 +17,7 @@ from .op10 import op10_spans
 
 QUERIES: dict = {
     "pipeline": corpus_pipeline.run,
+    "op1_token_counts": op1_token_counts,
     "op2_mix": op2_mix,
     "op3_bpe_roundtrip": op3_bpe_roundtrip,
     "op5_ngram_jaccard": op5_ngram_jaccard,
