@@ -8,6 +8,7 @@ from . import op7
 from .op1 import op1_token_counts
 from .op2 import op2_mix
 from .op3 import op3_bpe_roundtrip
+from .op4 import op4_audio
 from .op5 import op5_ngram_jaccard
 from .op6 import op6_nearest
 from .op7 import op7_lines
@@ -20,6 +21,7 @@ QUERIES: dict = {
     "op1_token_counts": op1_token_counts,
     "op2_mix": op2_mix,
     "op3_bpe_roundtrip": op3_bpe_roundtrip,
+    "op4_audio": op4_audio,
     "op5_ngram_jaccard": op5_ngram_jaccard,
     "op6_nearest": op6_nearest,
     "op7_lines": op7_lines,
