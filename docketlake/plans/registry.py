@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from . import queries_ranking
+
+QUERIES: dict = {**queries_ranking.QUERIES}
+ORACLES: dict[str, str] = {**queries_ranking.ORACLES}
