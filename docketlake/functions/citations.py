@@ -12,7 +12,7 @@ BOLD_BRACKET = r"\*\*\s*(\[[^\]]+\])\s*\*\*"
 
 
 def _ids(answer: Column, pattern: str) -> Column:
-    return F.flatten(F.transform(F.regexp_extract_all(answer, F.lit(pattern), F.lit(1)), lambda g: F.transform(F.split(g, ","), F.trim)))
+    return F.flatten(F.transform(F.regexp_extract_all(answer, F.lit(pattern), F.lit(1)), lambda g: F.transform(F.split(g, ","), lambda t: F.trim(t))))
 
 
 def cited_ids(answer: Column) -> Column:
@@ -39,7 +39,7 @@ def strip_bold_brackets(answer: Column) -> Column:
 
 def linked_groups(answer: Column, known: Column | None = None) -> Column:
     """The id lists of brackets that link: those whose every id is known, if a list is given."""
-    groups = F.transform(F.regexp_extract_all(strip_bold_brackets(answer), F.lit(LINKED), F.lit(1)), lambda g: F.filter(F.transform(F.split(g, ","), F.trim), lambda t: t != ""))
+    groups = F.transform(F.regexp_extract_all(strip_bold_brackets(answer), F.lit(LINKED), F.lit(1)), lambda g: F.filter(F.transform(F.split(g, ","), lambda t: F.trim(t)), lambda t: t != ""))
     return groups if known is None else F.filter(groups, lambda ids: F.size(F.array_except(ids, known)) == 0)
 
 
@@ -52,7 +52,7 @@ def segments(answer: Column, known: Column | None = None) -> Column:
     text_part = lambda t: F.struct(F.lit("text").alias("type"), t.alias("text"), F.lit(None).cast("array<int>").alias("numbers"))
 
     def part(bracket: Column) -> Column:
-        ids = F.filter(F.transform(F.split(F.regexp_replace(bracket, r"^\[|\]$", ""), ","), F.trim), lambda t: t != "")
+        ids = F.filter(F.transform(F.split(F.regexp_replace(bracket, r"^\[|\]$", ""), ","), lambda t: F.trim(t)), lambda t: t != "")
         links = F.lit(True) if known is None else F.size(F.array_except(ids, known)) == 0
         cite = F.struct(F.lit("citation").alias("type"), F.lit(None).cast("string").alias("text"), F.transform(ids, lambda i: F.array_position(order, i).cast("int")).alias("numbers"))
         return F.when(links, cite).otherwise(text_part(bracket))

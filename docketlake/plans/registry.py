@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import queries_ranking
+from . import queries_ranking, queries_text
 
-QUERIES: dict = {**queries_ranking.QUERIES}
-ORACLES: dict[str, str] = {**queries_ranking.ORACLES}
+QUERIES: dict = {**queries_ranking.QUERIES, **queries_text.QUERIES}
+ORACLES: dict[str, str] = {**queries_ranking.ORACLES, **queries_text.ORACLES}

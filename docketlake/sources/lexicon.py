@@ -55,7 +55,7 @@ def build(rows: DataFrame) -> DataFrame:
         .when(text.contains("|"), "synonym")
         .when((text != "") & (F.upper(text) != F.upper("key")), "normal")
     )
-    parts = F.filter(F.transform(F.split(text, r"\|"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(text, r"\|"), lambda t: F.trim(t)), lambda p: p != "")
     values = F.when(F.col("kind") == "synonym", parts).when(F.col("kind") == "normal", F.array(text)).otherwise(F.array().cast("array<string>"))
     return rows.withColumn("kind", kind).where("kind IS NOT NULL").select("kind", "key", values.alias("values"))
 
