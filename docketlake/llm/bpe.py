@@ -1,8 +1,10 @@
 """BPE encoding and decoding of whole texts, with tree concatenation for long unsplit text.
 
 A text falls into chunks at ASCII white space, which neither the normaliser nor the
-pre-tokeniser of the tokenizer file carries across; chunks are encoded by the library,
-each distinct one once per worker cache. A pre-token that is longer than ``leaf`` symbols
+pre-tokeniser of the tokenizer file carries across; each distinct chunk is encoded once per
+worker cache. Where the file's normaliser and pre-tokeniser are the ones that PLAIN knows, chunks of
+plain characters are split here and their pre-tokens go to the library's model, each distinct
+one once per worker cache; all other chunks go to the library whole. A pre-token that is longer than ``leaf`` symbols
 is cut into leaves that are encoded side by side; neighbours are then joined pairwise up a
 tree. A join re-encodes a window around the cut and doubles it until its first and last
 tokens are those that the two sides have there already. Adjacent tokens of a BPE encoding
@@ -13,20 +15,30 @@ encoding of the whole: agreement makes the join exact.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
-from tokenizers import Tokenizer, models
+from tokenizers import Tokenizer, models, pre_tokenizers
 
 from ._common import free_name, slices
 
 #: Symbols of a pre-token from which it is encoded as a tree, symbols of a leaf, tokens in the first window.
 LONG, LEAF, WINDOW = 2048, 512, 8
-#: Distinct chunks that a worker remembers.
-CACHE = 300_000
+#: Distinct chunks, and as many distinct pre-tokens, that a worker remembers.
+CACHE = 80_000
+#: The pipeline that the short cut covers, as the tokenizer file states it.
+PLAIN = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "split": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+",
+}
+#: Printable ASCII and the Latin-1 letters: composed, lowered one by one alike everywhere, and classed alike by both pattern libraries.
+PLAIN_CHUNK = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+PLAIN_TOKEN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
 
 
 class TreeBpe:
@@ -68,6 +80,11 @@ class TreeBpe:
             size *= 2
 
 
+def _symbols(character: str) -> str:
+    """The symbols that the last pre-tokeniser writes for a character's bytes."""
+    return "".join(w for w, _ in pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(character))
+
+
 class Codec:
     """Encodes and decodes whole texts as the tokenizer file does; ids are packed little-endian unsigned 32-bit integers."""
 
@@ -78,11 +95,25 @@ class Codec:
         self.long, self.leaf, self.window, self.limit = long, leaf, window, cache
         self.cache: dict[bytes, bytes] = {}
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.model = self.tokenizer.model
         self._tree: TreeBpe | None = None
         self._batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.pieces = np.array([self.tokenizer.id_to_token(i) for i in range(size)], dtype=object)
-        self.plain = json.loads(self.tokenizer.to_str())["decoder"] is None
+        spec = json.loads(self.tokenizer.to_str())
+        self.plain = spec["decoder"] is None
+        steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or []
+        self.known = (
+            spec.get("normalizer") == PLAIN["normalizer"]
+            and [p["type"] for p in steps] == ["Split", "ByteLevel"]
+            and (steps[0]["pattern"], steps[0]["behavior"], steps[0]["invert"]) == ({"Regex": PLAIN["split"]}, "Removed", True)
+            and (steps[1]["add_prefix_space"], steps[1]["use_regex"]) == (False, False)
+        )
+        self.words: dict[str, bytes] = {}
+        self.symbols = {}
+        if self.known:
+            for c in sorted({*map(chr, range(33, 127)), *map(chr, range(0xC0, 0x100))} - {"\u00d7", "\u00f7"}):
+                self.symbols[ord(c)] = _symbols(c)
 
     @property
     def tree(self) -> TreeBpe:
@@ -98,7 +129,7 @@ class Codec:
         words = [w for w, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
         out: list[int] = []
         for word in words:
-            out += self.tree.encode(word) if len(word) > self.long else [t.id for t in self.tokenizer.model.tokenize(word)]
+            out += self.tree.encode(word) if len(word) > self.long else [t.id for t in self.model.tokenize(word)]
         return out
 
     def learn(self, chunks: set[bytes]) -> None:
@@ -107,7 +138,14 @@ class Codec:
         if len(self.cache) + len(new) > self.limit:
             self.cache.clear()
             new = list(chunks)
-        short = [c for c in new if len(c) <= self.long]
+        short = []
+        for c in new:
+            if len(c) <= self.long:
+                text = c.decode(errors="replace")
+                if self.known and PLAIN_CHUNK.fullmatch(text) and not any(t in text for t in self.added):
+                    self.cache[c] = self._plain(text)
+                else:
+                    short.append(c)
         for at in range(0, len(short), 20_000):
             part = short[at : at + 20_000]
             for c, e in zip(part, self._batch([c.decode(errors="replace") for c in part], add_special_tokens=False), strict=True):
@@ -116,6 +154,18 @@ class Codec:
             if len(c) > self.long:
                 self.cache[c] = np.array(self._long_chunk(c.decode(errors="replace")), dtype="<u4").tobytes()
 
+    def _plain(self, text: str) -> bytes:
+        words = PLAIN_TOKEN.findall(text.lower())
+        out = []
+        for word in words:
+            ids = self.words.get(word)
+            if ids is None:
+                if len(self.words) >= self.limit:
+                    self.words.clear()
+                ids = self.words[word] = np.array([t.id for t in self.model.tokenize(word.translate(self.symbols))], dtype="<u4").tobytes()
+            out.append(ids)
+        return b"".join(out)
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         split = [t.split() for t in texts]
         self.learn(set().union(*split))
@@ -129,6 +179,12 @@ class Codec:
         return self.tokenizer.decode(ids.tolist(), skip_special_tokens=False)
 
 
+@lru_cache(maxsize=1)
+def shared_codec(path: str, long: int, leaf: int, window: int) -> Codec:
+    """The codec of a worker process, kept from task to task with what it remembers."""
+    return Codec(path, long, leaf, window)
+
+
 def encode_decode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded", long: int = LONG, leaf: int = LEAF, window: int = WINDOW) -> DataFrame:
     """Append ``ids`` (binary: little-endian unsigned 32-bit ids of the whole text) and ``decoded`` (their decoding).
 
@@ -141,7 +197,7 @@ def encode_decode(df: DataFrame, path: str, text: str = "text", ids: str = "ids"
     schema = T.StructType([*source.schema.fields, T.StructField(ids, T.BinaryType()), T.StructField(decoded, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(path, long, leaf, window)
+        codec = shared_codec(path, long, leaf, window)
         for batch in slices(batches, work):
             texts = batch.column(batch.schema.get_field_index(work)).cast(pa.large_binary()).to_pylist()
             packed = codec.encode([t or b"" for t in texts])
