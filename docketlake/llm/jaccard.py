@@ -6,7 +6,7 @@ start at full depth and are shortened until the chance that a pair at the thresh
 reaches the target recall; the classes below one node of that depth are a bucket.
 
 * Small buckets give pairs, each once, which are verified on the exact shingle sets.
-* A bucket of more than ``block`` classes is cut into blocks; tiles of two blocks are counted by a matrix
+* A bucket of more than ``small_bucket`` classes is cut into blocks; tiles of two blocks are counted by a matrix
   product, and give one row for each member: its number of links and an edge that keeps the tile's
   links connected. So a large group of near copies makes no row for each pair, and still each of its
   pairs is compared.
@@ -28,8 +28,8 @@ from ._common import bitmap, checkpoint, marked, mix64, runs_of, signed, slices,
 WORDS, THRESHOLD = 5, 0.8
 #: Trees of the forest, hash values on a path, and the share of pairs at the threshold that must meet.
 TREES, DEPTH, RECALL = 24, 8, 0.9995
-#: Classes of a bucket up to which it gives pairs; also the members of a block of a larger bucket.
-BLOCK = 64
+#: Classes of a bucket up to which it gives pairs, and members of a block of a larger bucket.
+SMALL, BLOCK = 64, 256
 
 
 def prefix_depth(threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> int:
@@ -225,7 +225,7 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
+def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL, small_bucket: int = SMALL, block: int = BLOCK) -> DataFrame:
     """key, class_id, n_links, n_copies: one row for each row of docs.
 
     Two documents are linked if the Jaccard similarity of their sets of ``words`` consecutive lower-case
@@ -242,8 +242,8 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     nodes = reps.select("rep", F.posexplode("labels").alias("tree", "label"))
     sizes = nodes.groupBy("tree", "label").agg(F.count("*").alias("members")).where("members > 1")
     members = checkpoint(nodes.join(sizes, ["tree", "label"]))
-    small, large = members.where(F.col("members") <= block), members.where(F.col("members") > block)
-    flags = members.groupBy("rep").agg(F.collect_set(F.when(F.col("members") > block, F.col("tree"))).alias("at"))
+    small, large = members.where(F.col("members") <= small_bucket), members.where(F.col("members") > small_bucket)
+    flags = members.groupBy("rep").agg(F.collect_set(F.when(F.col("members") > small_bucket, F.col("tree"))).alias("at"))
     wanted = flags.join(reps, "rep").select("rep", "id", "k1", "k2", "copies", "labels", F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.array_contains("at", t)).alias("large"))
     wanted = checkpoint(wanted)
     sets = checkpoint(shingle_sets(docs, key, text, words, wanted))
