@@ -90,6 +90,8 @@ def chroma(pcm: np.ndarray) -> np.ndarray:
 def fingerprint_all(recordings: list[np.ndarray]) -> list[np.ndarray]:
     """Packed integers of each recording, one for each place of the filter window; none for an empty recording."""
     images = [chroma(r) for r in recordings]
+    if not any(len(i) for i in images):
+        return [np.zeros(0, np.uint32) for _ in images]
     gap = len(SMOOTH) // 2
     # one image for all, with empty rows between recordings, so that smoothing does not mix them
     starts = np.cumsum([0, *(len(i) + gap for i in images)]) + gap
@@ -103,7 +105,7 @@ def fingerprint_all(recordings: list[np.ndarray]) -> list[np.ndarray]:
     integral = np.zeros((len(image) + 1, 13))
     integral[1:, 1:] = image.cumsum(0).cumsum(1)
     places = len(image) - WINDOW + 1
-    packed = np.zeros(max(0, places), np.uint32)
+    packed = np.zeros(places, np.uint32)
     for k, parts in enumerate(FILTERS):
         value = np.zeros(len(packed))
         for a, b, c, d, sign in parts:
@@ -113,7 +115,7 @@ def fingerprint_all(recordings: list[np.ndarray]) -> list[np.ndarray]:
         value = np.round(value, 7)
         level = (value > -THRESHOLD).astype(np.uint32) + (value > 0) + (value > THRESHOLD)
         packed |= (level ^ (level >> np.uint32(1))).astype(np.uint32) << np.uint32(2 * k)
-    return [packed[at : at + max(0, len(one) - WINDOW + 1)].copy() if len(one) else np.zeros(0, np.uint32) for at, one in zip(starts, images, strict=False)]
+    return [packed[at : at + len(one) - WINDOW + 1].copy() if len(one) else np.zeros(0, np.uint32) for at, one in zip(starts, images, strict=False)]
 
 
 def fingerprint(pcm: np.ndarray) -> np.ndarray:

@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._common import free_name
+
 ROUNDS = 10
 #: The formats, in the order in which they are tried at a place of the text.
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}_][\p{L}\p{N}._%+-]{0,63}@[A-Za-z0-9][A-Za-z0-9.-]{0,252}\.[A-Za-z]{2,24}(?![A-Za-z0-9])"
@@ -179,9 +181,10 @@ def pseudonymised(df: DataFrame, key: str, text: str = "text", found: str = "n_p
     matches = F.regexp_extract_all(F.col(text), F.lit(ANY), F.lit(0))
     names = [c for c in df.columns if c != found]
     marks = F.transform(matches, lambda m: F.struct(m.alias("old"), pseudonym(key, m).alias("new")))
-    held = df.select(*names, F.when(F.size(matches) > 0, marks).alias("_marks"))
+    held_name = free_name(df.select(*names), "marks")
+    held = df.select(*names, F.when(F.size(matches) > 0, marks).alias(held_name))
     pieces = F.split(F.col(text), ANY, -1)
-    tail = F.array_join(F.transform(F.col("_marks"), lambda m, i: F.concat(F.coalesce(m["new"], m["old"]), F.get(pieces, i + 1))), "")
-    new = F.when(F.col("_marks").isNull(), F.col(text)).otherwise(F.concat(F.get(pieces, F.lit(0)), tail))
-    count = F.when(F.col("_marks").isNull(), F.lit(0)).otherwise(F.size(F.filter(F.col("_marks"), lambda m: m["new"].isNotNull())))
+    tail = F.array_join(F.transform(F.col(held_name), lambda m, i: F.concat(F.coalesce(m["new"], m["old"]), F.get(pieces, i + 1))), "")
+    new = F.when(F.col(held_name).isNull(), F.col(text)).otherwise(F.concat(F.get(pieces, F.lit(0)), tail))
+    count = F.when(F.col(held_name).isNull(), F.lit(0)).otherwise(F.size(F.filter(F.col(held_name), lambda m: m["new"].isNotNull())))
     return held.select(*(new.alias(c) if c == text else F.col(c) for c in names), count.cast("long").alias(found))
