@@ -46,18 +46,39 @@ class Graph:
         self.c = centroids.astype(np.float32)
         n = len(self.c)
         degree = min(degree, n - 1)
-        near = np.zeros((n, 0), np.int64)
+        near = np.full((n, 0), -1, np.int64)
         if degree > 0:
-            rows = []
-            for at in range(0, n, 1024):
-                dots = self.c[at : at + 1024] @ self.c.T
-                dots[np.arange(len(dots)), np.arange(at, at + len(dots))] = -np.inf
-                rows.append(np.argpartition(-dots, degree - 1, axis=1)[:, :degree])
+            rows = [self._spread(np.arange(at, min(n, at + 256)), degree) for at in range(0, n, 256)]
+            near = np.concatenate(rows)
+            # the way back, for as many as there is room
+            a, b = np.repeat(np.arange(n), degree), near.reshape(-1)
+            order = np.lexsort((a, b))
+            a, b = a[order], b[order]
+            place = np.arange(len(b)) - np.searchsorted(b, b)
+            fits = (place < degree) & (b >= 0)
+            back = np.full((n, degree), -1, np.int64)
+            back[b[fits], place[fits]] = a[fits]
             far = np.random.Generator(np.random.PCG64(7)).integers(0, n, size=(n, min(4, n)))
-            near = np.concatenate([np.concatenate(rows), far], axis=1)
+            near = np.concatenate([near, back, far], axis=1)
         self.edges = near
         self.seeds = np.arange(0, n, max(1, n // 64))
 
+    def _spread(self, nodes: np.ndarray, degree: int) -> np.ndarray:
+        """Up to ``degree`` neighbours of each node: the nearest, without those that lie nearer to one that is chosen than to the node; then the nearest of the rest."""
+        n = len(self.c)
+        dots = self.c[nodes] @ self.c.T
+        dots[np.arange(len(nodes)), nodes] = -np.inf
+        m = min(3 * degree, n - 1)
+        ids = np.argpartition(-dots, m - 1, axis=1)[:, :m]
+        ids = np.take_along_axis(ids, np.argsort(-np.take_along_axis(dots, ids, 1), axis=1, kind="stable"), 1)
+        to_node = np.take_along_axis(dots, ids, 1)
+        among = np.einsum("imd,ikd->imk", self.c[ids], self.c[ids])
+        chosen = np.zeros(ids.shape, bool)
+        for k in range(m):
+            chosen[:, k] = ~((among[:, k, :] > to_node[:, k, None]) & chosen).any(axis=1) & (chosen.sum(1) < degree)
+        order = np.argsort(~chosen, axis=1, kind="stable")[:, :degree]
+        return np.take_along_axis(ids, order, 1)
+
     def search(self, x: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """(centroids, cosines) of each row of unit vectors, nearest first, up to ``beam`` of them."""
         x = x.astype(np.float32)
