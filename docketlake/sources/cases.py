@@ -71,7 +71,7 @@ def write_run(results: DataFrame, folder: str, run_name: str, parameters: dict,
     digest = stamped.agg(F.sum(F.conv(F.substring(F.sha2(F.to_json(F.struct("*")), 256), 1, 15), 16, 10).cast("decimal(38,0)")).alias("d")).first().d
     stamped.write.mode("overwrite").json(f"{folder}/run={run_name}")
     if latest:
-        stamped.write.mode("overwrite").json(f"{folder}/latest")
+        stamped.write.mode("overwrite").json(f"{folder}/run=latest")
     return hashlib.sha256(str(digest).encode()).hexdigest()
 
 
