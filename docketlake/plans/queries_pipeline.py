@@ -281,3 +281,82 @@ def expandable(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("m"))
     shown = held.select("conv_id", rank.shown_first(F.col("m.text")).alias("s"))
     return shown.select("conv_id", F.array_join("s.first", "|").alias("first"), F.col("s.more").cast("long").alias("more"))
+
+
+# ---- evaluation runs and what is left
+
+
+@query()
+def evaluation_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import evaluation
+
+    cases = fixtures.queries(spark, sf_dir).where("item_id < 5")
+    found = evaluation.stages(fixtures.index(spark, sf_dir), fixtures.hybrid_chunks(spark, sf_dir), cases.select("query_id", "query"), fixtures.query_vectors(spark, sf_dir), Offline())
+    return evaluation.ranks(found, cases, fixtures.gold(spark, sf_dir), "offline").select("run", "query_id", "stage", shown_rank(F.col("rank")).alias("rank"))
+
+
+@query(
+    with_tables(
+        "queries gold",
+        "SELECT n.run, n.stage, concat(n.passed, '/', n.total, ' ', CASE WHEN n.stage <> 'agentic' THEN printf('%+d', n.passed - b.passed) ELSE 'N/A' END) AS shown FROM rates n JOIN rates b ON b.stage = n.stage AND b.run = 'base' WHERE n.run <> 'base'",
+        **HITS,
+        rates="SELECT run, stage, CAST(count(*) FILTER (rank <= pass_at) AS BIGINT) AS passed, CAST(count(*) AS BIGINT) AS total FROM runs GROUP BY run, stage",
+    )
+)
+def shown_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import evaluation
+
+    flags = spark.createDataFrame([("base", True), ("next", False)], "run string, skip_agentic boolean")
+    return evaluation.shown_comparison(evaluate.pass_rates(_runs(spark, sf_dir)), "base", flags)
+
+
+@query("SELECT user_id AS query_id, event_type AS step, value AS ms FROM events WHERE event_id % 50 = 1")
+def step_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Times of steps gathered per request as a map, and read out of it again; a step that comes twice in a request keeps requests apart by the event."""
+    steps = table(spark, sf_dir, "events").where("event_id % 50 = 1").select(F.concat_ws("-", "user_id", "event_id").alias("request"), "user_id", F.col("event_type").alias("step"), F.col("value").alias("ms"))
+    maps = steps.groupBy("request", "user_id").agg(F.map_from_entries(F.collect_list(F.struct("step", "ms"))).alias("times"))
+    return maps.select(F.col("user_id").alias("query_id"), F.explode("times").alias("step", "ms"))
+
+
+@query("SELECT n, m AS path FROM range(9) r(n), (SELECT unnest(['instant', 'ai_mode']) AS m) WHERE (CASE n % 3 WHEN 0 THEN 'instant' WHEN 1 THEN 'ai_mode' ELSE 'both' END) IN (m, 'both')")
+def mode_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mode = F.when(F.col("id") % 3 == 0, "instant").when(F.col("id") % 3 == 1, "ai_mode").otherwise("both")
+    paths = F.filter(F.array(F.lit("instant"), F.lit("ai_mode")), lambda m: mode.isin("both") | (mode == m))
+    return spark.range(9).select(F.col("id").alias("n"), F.explode(paths).alias("path"))
+
+
+@query("SELECT role, coalesce(CASE WHEN role <> 'embedder' THEN override END, model) AS model FROM (VALUES ('slm', 'm1', 'Qwen3-30B-A3B'), ('embedder', 'm2', 'voyage'), ('reranker', NULL, 'Qwen3-Reranker'), ('nobody', NULL, NULL)) r(role, override, model)")
+def role_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .models import resolved
+
+    rows = spark.createDataFrame([("slm", "m1"), ("embedder", "m2"), ("reranker", None), ("nobody", None)], "role string, override string")
+    return rows.select("role", resolved(F.col("role"), F.col("override")).alias("model"))
+
+
+@query("SELECT CAST(doc_id AS STRING) AS doc_id, coalesce(CASE WHEN doc_id % 3 = 0 THEN '' WHEN doc_id % 3 = 1 THEN lang END, CASE WHEN doc_id % 2 = 0 THEN source END, '') AS snippet FROM documents")
+def reranked_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import fuse
+
+    d = F.col("doc_id")
+    hits = table(spark, sf_dir, "documents").select(
+        F.lit("q").alias("query_id"),
+        d.cast("string").alias("doc_id"),
+        F.lit(1.0).alias("rerank_score"),
+        F.lit(None).cast("string").alias("heading"),
+        F.when(d % 3 == 0, "").when(d % 3 == 1, F.col("lang")).alias("subheading"),
+        F.when(d % 2 == 0, F.col("source")).alias("text"),
+    )
+    return fuse.reranked_cards(hits).select("doc_id", "snippet")
+
+
+@query("SELECT n, CAST((n * 7) % 1000 AS STRING) AS linked, CAST((n * 7) % 1000 IN (SELECT doc_id FROM documents) AS BOOLEAN) AS known FROM range(200) r(n)")
+def link_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links in documents, joined with the documents that they open."""
+    from ..functions import markup
+
+    target = ((F.col("id") * 7) % 1000).cast("string")
+    pages = spark.range(200).select("id", F.concat(F.lit('<d><para>See <link href="'), target, F.lit('">it</link>.</para></d>')).alias("xml"))
+    spans = pages.select("id", F.explode(F.flatten(markup.blocks(F.col("xml"))["spans"])).alias("s")).where("s.type = 'link'")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.lit(True).alias("known"))
+    joined = spans.select("id", F.col("s.doc_id").alias("linked")).join(docs, F.col("linked") == F.col("doc_id"), "left")
+    return joined.select(F.col("id").alias("n"), "linked", F.coalesce("known", F.lit(False)).alias("known"))
