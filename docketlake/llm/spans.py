@@ -6,9 +6,8 @@ words is cut at its commas and then every ``most`` words. From each unit the sho
 stands in several documents is repeated; the document with the least key holds the first, and within a document the first
 place does. Units under any run that is not the first go.
 
-Documents are scanned three times, but only hashes are shuffled: all runs once, as (hash, key), then those of
-repeated runs, and last the texts of documents that hold a repeated run. Bounded bitmaps choose them before
-exact joins.
+Documents are scanned once for their runs, which are kept as (hash, key), and a second time to rewrite those that hold a repeated
+run; only their texts are shuffled. A bounded bitmap chooses them before the exact join.
 """
 
 from __future__ import annotations
@@ -17,6 +16,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -95,21 +95,23 @@ def _of(text: str | None, options: tuple[int, int, int]) -> tuple[list[str], np.
     return parts, *runs(counts, hashes, *options[:2])
 
 
-def _scan(docs: DataFrame, options: tuple[int, int, int], marks=None) -> DataFrame:
-    """h, doc: each distinct run of each row of docs (doc, text), of those that may be in ``marks`` if given."""
+def _scan(docs: DataFrame, options: tuple[int, int, int]) -> DataFrame:
+    """h, doc, again: each distinct run of each row of docs (doc, text); and one row with ``again`` where a row repeats a run within itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            ids, found = [], []
+            ids, found, again = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                h = np.unique(_of(text, options)[1])
-                if marks is not None and len(h):
-                    h = h[marked(marks.value, h)]
+                every = _of(text, options)[1]
+                h = np.unique(every)
                 found.append(h)
                 ids.append(np.full(len(h), doc, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(ids))], names=["h", "doc"])
+                if len(h) < len(every):
+                    again.append(doc)
+            h, ids = np.concatenate([*found, np.zeros(len(again), np.uint64)]), np.concatenate([*ids, np.array(again, np.int64)])
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids), pa.array(np.arange(len(h)) >= len(h) - len(again))], names=["h", "doc", "again"])
 
-    return docs.mapInArrow(run, "h long, doc long")
+    return docs.mapInArrow(run, "h long, doc long, again boolean")
 
 
 def _rewrite(options: tuple[int, int, int], columns: list[str], text: str, removed: str):
@@ -148,29 +150,25 @@ def without_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", leas
     options = (least, words, most)
     doc = F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY))
     slim = df.select(doc.alias("doc"), F.col(text).cast("string").alias("text"))
-    first = _scan(slim, options).groupBy("h").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first <> last").select("h", "first")
-    first = checkpoint(first)
-    marks = df.sparkSession.sparkContext.broadcast(bitmap(first, "h"))
-    hits = _scan(slim, options, marks).join(first, "h").where("doc <> first").select("doc", "h")
-    hits = checkpoint(hits.groupBy("doc").agg(F.collect_set("h").alias("hits")))  # as many as a document has runs at most
-    which = df.sparkSession.sparkContext.broadcast(bitmap(hits.select(F.xxhash64("doc").alias("m")), "m"))
+    scanned = checkpoint(_scan(slim, options))
+    every = scanned.where("NOT again").select("h", "doc")
+    first = every.groupBy("h").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first <> last").select("h", "first")
+    hits = every.join(first, "h").where("doc <> first").groupBy("doc").agg(F.collect_set("h").alias("hits"))  # as many as a document has runs at most
+    touched = checkpoint(hits.join(scanned.where("again").select("doc").distinct(), "doc", "full"))
+    which = df.sparkSession.sparkContext.broadcast(bitmap(touched.select(F.xxhash64("doc").alias("m")), "m"))
 
     columns = [c for c in df.columns if c != removed]
     source = df.select(*columns)
     mark, hit, number = free_name(source, "mark"), free_name(source, "hits_"), free_name(source, "doc_")
     tagged = source.withColumn(text, source[text].cast("string")).withColumn(mark, F.xxhash64(doc))
-    schema = tagged.schema
 
-    def part(inside: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                at = marked(which.value, batch.column(batch.num_columns - 1).to_numpy())
-                yield batch.filter(pa.array(at == inside))
+    @F.pandas_udf("boolean")
+    def perhaps(marks: pd.Series) -> pd.Series:
+        return pd.Series(marked(which.value, marks.to_numpy()))
 
-        return run
-
-    held = tagged.mapInArrow(part(True), schema).withColumn(number, doc)
-    held = held.join(hits.select(F.col("doc").alias(number), F.col("hits").alias(hit)), number, "left").select(*columns, hit)
-    free = tagged.mapInArrow(part(False), schema).select(*columns, F.lit(None).cast("array<long>").alias(hit))
+    held = tagged.where(perhaps(F.col(mark))).withColumn(number, doc)
+    held = held.join(touched.select(F.col("doc").alias(number), F.col("hits").alias(hit)), number, "left").select(*columns, hit)
     out = T.StructType([*tagged.select(*columns).schema.fields, T.StructField(removed, T.LongType())])
-    return held.unionByName(free).mapInArrow(_rewrite(options, columns, text, removed), out)
+    held = held.mapInArrow(_rewrite(options, columns, text, removed), out)
+    free = tagged.where(~perhaps(F.col(mark))).select(*columns, F.lit(0).cast("long").alias(removed))
+    return held.unionByName(free)
