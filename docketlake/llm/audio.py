@@ -6,7 +6,7 @@ read from the integral image, give two bits each; sixteen of them make the packe
 place. Filters are made by rule, thresholds are constants, so fingerprints of different runs compare.
 
 Recordings with equal fingerprints are one class. The query classes are looked up against all classes, in blocks of
-a bounded number of fingerprints: places with equal integers vote for an offset; the best offset of a pair is
+a bounded number of fingerprints: places whose coarse keys are equal vote for an offset; the best offset of a pair is
 checked by the bit errors along it, and the longest stretch with few errors is the match.
 """
 
@@ -28,8 +28,9 @@ WINDOW, SMOOTH = 16, np.array([0.25, 0.75, 1.0, 0.75, 0.25])
 #: Values of a filter between which its two middle levels lie.
 THRESHOLD = 0.03
 #: Frames of a match at least, share of wrong bits at most, and fingerprints that one block of queries holds.
-LEAST, ERROR, BLOCK = 16, 0.12, 1_000_000
-#: Fingerprint values of one recording that are looked up at a time.
+LEAST, ERROR, BLOCK = 16, 0.12, 400_000
+#: Places, from the first, whose coarse values make a key of 64 bits; and keys of one recording that are looked up at a time.
+BANDS = ((0, 8, 12, 15), (0, 3, 9, 14), (0, 5, 10, 15))
 LOOKUP = 4096
 
 
@@ -163,9 +164,30 @@ def stretch(errors: np.ndarray, least: int = LEAST, most: float = ERROR) -> tupl
     return first, int(lengths[end]), float(errors[first:end].mean() / 32.0)
 
 
-def landmarks(p: np.ndarray) -> np.ndarray:
-    """Places where the integer changes; a held sound votes once."""
-    return np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]])) if len(p) else np.zeros(0, np.int64)
+def landmarks(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(key, place) of a recording: for each band the signs of the sixteen filters at four places, where they differ from the place before.
+
+    One integer alone meets by chance in many recordings; the signs at four places hardly do, and
+    survive small changes better than all of an integer's bits. A held sound votes once.
+    """
+    sign = np.zeros(len(p), np.uint64)
+    for j in range(16):
+        sign |= ((p.astype(np.uint64) >> np.uint64(2 * j + 1)) & np.uint64(1)) << np.uint64(j)
+    keys, places = [], []
+    for number, band in enumerate(BANDS):
+        n = len(p) - max(band)
+        if n <= 0:
+            continue
+        key = np.zeros(n, np.uint64)
+        for d in band:
+            key = (key << np.uint64(16)) | sign[d : d + n]
+        key = mix64(key ^ np.uint64(number * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
+        at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        keys.append(key[at])
+        places.append(at)
+    if not keys:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return np.concatenate(keys), np.concatenate(places)
 
 
 class QueryBlock:
@@ -174,19 +196,19 @@ class QueryBlock:
     def __init__(self, ids: list[int], prints: list[np.ndarray]):
         self.ids, self.prints = ids, prints
         marks = [landmarks(p) for p in prints]
-        values = np.concatenate([p[m] for p, m in zip(prints, marks, strict=True)]) if ids else np.zeros(0, np.uint32)
+        values = np.concatenate([np.zeros(0, np.uint64), *(k for k, _ in marks)])
         order = np.argsort(values, kind="stable")
         self.values = values[order]
-        self.query = np.repeat(np.arange(len(ids)), [len(m) for m in marks])[order]
-        self.place = np.concatenate(marks)[order] if ids else np.zeros(0, np.int64)
+        self.query = np.repeat(np.arange(len(ids), dtype=np.int32), [len(k) for k, _ in marks])[order]
+        self.place = np.concatenate([np.zeros(0, np.int64), *(a for _, a in marks)])[order]
 
     def offsets(self, p: np.ndarray) -> dict[int, int]:
         """Query -> the offset (place in p less place in the query) with the most votes, the least of equals."""
-        marks = landmarks(p)
+        keys, marks = landmarks(p)
         found: list[tuple[np.ndarray, np.ndarray]] = []
         for at in range(0, len(marks), LOOKUP):
             some = marks[at : at + LOOKUP]
-            low, high = np.searchsorted(self.values, p[some]), np.searchsorted(self.values, p[some], side="right")
+            low, high = np.searchsorted(self.values, keys[at : at + LOOKUP]), np.searchsorted(self.values, keys[at : at + LOOKUP], side="right")
             n = high - low
             if not n.sum():
                 continue
