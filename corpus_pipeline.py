@@ -14,34 +14,40 @@ from pyspark.sql import functions as F
 
 from docketlake.llm import bpe, jaccard, lines, op2, op3, op8, quality
 from docketlake.llm._common import documents
+from docketlake.shipping import ship
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a quality score under the threshold go. The model learns from the labels of documents that may be learned from."""
+    ship(spark)
     model = op8.fitted(docs.select("doc_id", "text"), sf_dir)
     return quality.score(docs, model, name="_score").where(F.col("_score") >= op8.THRESHOLD).select(*docs.columns)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that stand in many sources go from every document; n_chars follows."""
+    ship(spark)
     out = lines.without_boilerplate(docs, removed="_removed")
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the least doc_id stays."""
+    ship(spark)
     return jaccard.one_per_group(docs).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in the number of copies that brings the sources to their targets: none, one or two."""
+    ship(spark)
     return op2.mixed(docs).select(*docs.columns, F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("_copy")).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document (binary, little-endian unsigned 32-bit), their number, and digests of ids and decoding."""
+    ship(spark)
     out = bpe.encode_decode(docs.select("doc_id", "lang", "source", "text"), op3.vocabulary())
     return out.select("doc_id", "lang", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

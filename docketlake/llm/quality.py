@@ -51,8 +51,9 @@ def _classes() -> np.ndarray:
 CLASS = _classes()
 KINDS = int(CLASS.max()) + 1
 PAIRS = KINDS * KINDS
-#: Bins of each share, and the shares: distinct words, the commonest word, words per text (log), letters per word, lines per word.
-BINS, SHARES = 16, 5
+#: Bins of each share, and the shares: distinct words, the commonest word, words per text (log), letters per word, lines per word,
+#: words that repeat the word before, distinct pairs of neighbours.
+BINS, SHARES = 16, 7
 WIDTH = PAIRS + BINS * SHARES
 
 def features(texts: pa.Array) -> np.ndarray:
@@ -74,15 +75,18 @@ def features(texts: pa.Array) -> np.ndarray:
         w = words[word_ends[i] - counts[i] : word_ends[i]]
         shares = np.zeros(SHARES)
         if len(w):
-
             _, times = np.unique(w, return_counts=True)
             shares[0] = len(times) / len(w)
             shares[1] = times.max() / len(w)
             shares[2] = np.log2(len(w) + 1) / 20
             shares[3] = min(1.0, len(k) / len(w) / 20)
             shares[4] = min(1.0, np.count_nonzero(k == CLASS[10]) / len(w))
+            shares[6] = 1.0
+            if len(w) > 1:
+                shares[5] = np.count_nonzero(w[1:] == w[:-1]) / (len(w) - 1)
+                shares[6] = len(np.unique(w[1:] * np.uint64(3) + w[:-1])) / (len(w) - 1)
         bins = np.minimum((shares * BINS).astype(np.int64), BINS - 1)
-        out[i, PAIRS + np.arange(SHARES) * BINS + bins] = 0.25
+        out[i, PAIRS + np.arange(SHARES) * BINS + bins] = 0.5
     return out
 
 @dataclass(frozen=True)
