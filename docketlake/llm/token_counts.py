@@ -22,7 +22,7 @@ from ._common import free_name, slices
 
 SPACE = "▁"
 #: Nodes and ends that a worker's trie holds before it is begun anew, and symbols from which a pre-token is scored aside.
-NODES, ENDS, LONG = 400_000, 200_000, 1024
+NODES, ENDS, LONG = 700_000, 300_000, 1024
 #: Score units for a factor e.
 UNIT = 1_000_000
 
