@@ -6,7 +6,7 @@ are broadcast; a larger batch is joined by shuffle. Document lengths and counts
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -19,6 +19,8 @@ PHRASE_BOOST = 3.0
 BLACKLISTED = -10.0
 #: Rows up to which the query side is broadcast.
 MOST_BROADCAST = 50_000
+#: Terms up to which a batch is a filter of the index's scan.
+MOST_PUSHED = 1000
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -26,26 +28,59 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else df
 
 
+def few(df: DataFrame, queries: DataFrame, each: int) -> DataFrame:
+    """df with a broadcast hint if ``each`` rows for each of the queries are few; the queries are counted, not df."""
+    return F.broadcast(df) if queries.select("query_id").limit(MOST_BROADCAST // each + 1).count() <= MOST_BROADCAST // each else df
+
+
 def query_terms(queries: DataFrame, text: str = "query") -> DataFrame:
     """query_id, term: the distinct terms of each query."""
     return queries.select("query_id", F.explode(F.array_distinct(T.tokens(F.col(text)))).alias("term"))
 
 
+def _tokenised(texts: DataFrame, group: str, doc: str, text: str) -> DataFrame:
+    return texts.where(F.col(text).isNotNull()).select(group, doc, T.tokens(F.col(text)).alias("_tokens")).withColumn("_len", F.size("_tokens"))
+
+
+def _scored(postings: DataFrame, stats: DataFrame, terms: DataFrame, group: str, doc: str) -> DataFrame:
+    """query_id, group, doc, score from postings (group, doc, _len, term, _tf) of the terms and stats (group, _n, _avg)."""
+    spread = postings.groupBy(group, "term").agg(F.count("*").alias("_df"))
+    idf = F.log(1 + (F.col("_n") - F.col("_df") + 0.5) / (F.col("_df") + 0.5))
+    weight = idf * F.col("_tf") * (K1 + 1) / (F.col("_tf") + K1 * (1 - B + B * F.col("_len") / F.col("_avg")))
+    scored = postings.join(spread, [group, "term"]).join(small(stats), group).select(group, doc, "term", weight.alias("_w"))
+    return scored.join(small(terms.select("query_id", "term")), "term").groupBy("query_id", group, doc).agg(F.sum("_w").alias("score"))
+
+
 def bm25(texts: DataFrame, terms: DataFrame, group: str, doc: str, text: str = "text") -> DataFrame:
     """query_id, group, doc, score: BM25 within each group of texts (a collection, a field).
 
     texts: group, doc, text; terms: query_id, term. Documents without a term of the query have no row.
+    For many batches over one corpus, ``write_index`` and ``bm25_of_index`` read only the postings of the terms.
     """
-    tokenised = texts.where(F.col(text).isNotNull()).select(group, doc, T.tokens(F.col(text)).alias("_tokens")).withColumn("_len", F.size("_tokens"))
+    tokenised = _tokenised(texts, group, doc, text)
     stats = tokenised.groupBy(group).agg(F.count("*").alias("_n"), F.avg("_len").alias("_avg"))
     asked = terms.select("term").distinct()
     found = tokenised.select(group, doc, "_len", F.explode("_tokens").alias("term")).join(small(asked), "term", "left_semi")
     postings = found.groupBy(group, doc, "_len", "term").agg(F.count("*").alias("_tf"))
-    spread = postings.groupBy(group, "term").agg(F.count("*").alias("_df"))
-    idf = F.log(1 + (F.col("_n") - F.col("_df") + 0.5) / (F.col("_df") + 0.5))
-    weight = idf * F.col("_tf") * (K1 + 1) / (F.col("_tf") + K1 * (1 - B + B * F.col("_len") / F.col("_avg")))
-    scored = postings.join(spread, [group, "term"]).join(F.broadcast(stats), group).select(group, doc, "term", weight.alias("_w"))
-    return scored.join(small(terms.select("query_id", "term")), "term").groupBy("query_id", group, doc).agg(F.sum("_w").alias("score"))
+    return _scored(postings, stats, terms, group, doc)
+
+
+def write_index(texts: DataFrame, path: str, group: str, doc: str, text: str = "text", files: int = 64) -> None:
+    """Write the postings of all terms, in ranges of terms and sorted by term, so that a reader of a few terms skips most row groups; and the groups' sizes."""
+    tokenised = _tokenised(texts, group, doc, text)
+    postings = tokenised.select(group, doc, "_len", F.explode("_tokens").alias("term")).groupBy(group, doc, "_len", "term").agg(F.count("*").alias("_tf"))
+    # a frequent term is spread over ranges by the document
+    postings.repartitionByRange(files, "term", doc).sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
+    tokenised.groupBy(group).agg(F.count("*").alias("_n"), F.avg("_len").alias("_avg")).write.mode("overwrite").parquet(f"{path}/stats")
+
+
+def bm25_of_index(spark: SparkSession, path: str, terms: DataFrame, group: str, doc: str) -> DataFrame:
+    """As ``bm25``, from an index that was written. A batch of few terms is pushed down to the scan; a larger one is joined."""
+    asked = terms.select("term").distinct()
+    postings = spark.read.parquet(f"{path}/postings")
+    few = [r.term for r in asked.limit(MOST_PUSHED + 1).collect()]
+    postings = postings.where(F.col("term").isin(few)) if len(few) <= MOST_PUSHED else postings.join(small(asked), "term", "left_semi")
+    return _scored(postings, spark.read.parquet(f"{path}/stats"), terms, group, doc)
 
 
 def fields_long(index: DataFrame) -> DataFrame:

@@ -26,7 +26,9 @@ def sparse_hits(chunks: DataFrame, queries: DataFrame, limit: int = LIMIT) -> Da
     texts = chunks.where(F.col("collection") != "ruling")
     scored = score.bm25(texts, score.query_terms(queries), "collection", "chunk_id").withColumn("score", F.round("score", 6))
     best = rank.top(scored, ["query_id", "collection"], [F.col("score").desc(), F.col("chunk_id")], limit, "pos")
-    return best.join(texts.select("chunk_id", "collection", "doc_id", "text", "collection_ord"), ["chunk_id", "collection"]).select("query_id", "collection", "collection_ord", "pos", "chunk_id", "doc_id", "text", "score")
+    # only the best chunks' texts are needed: their side is the small one
+    best = score.few(best, queries, limit * len(fixtures.SPARSE))
+    return texts.select("chunk_id", "collection", "doc_id", "text", "collection_ord").join(best, ["chunk_id", "collection"]).select("query_id", "collection", "collection_ord", "pos", "chunk_id", "doc_id", "text", "score")
 
 
 def lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
