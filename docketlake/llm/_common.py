@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that a Python step handles at once; bounds its working memory.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: Bits of the prefilter bitmaps; fixed, so what is broadcast (8 MB) never grows with the data.
 BITMAP_BITS = 1 << 26
 
@@ -29,6 +29,11 @@ def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
+def few_rows(df: DataFrame, most: int = 50_000) -> DataFrame:
+    """df with a broadcast hint if it has ``most`` rows or fewer; else as it is, so that joins shuffle."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def free_name(df: DataFrame, base: str) -> str:
     """A column name that df does not have."""
     taken, name = {c.lower() for c in df.columns}, base

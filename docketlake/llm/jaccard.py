@@ -291,7 +291,7 @@ def one_per_group(docs: DataFrame, key: str = "doc_id", text: str = "text", **op
     """
     groups = checkpoint(join(docs, key, text, **options))
     gone = groups.where(F.col(key) != F.col("class_id")).select(F.col(key).alias("_gone")).distinct()
-    kept = docs.join(gone, docs[key].cast("long") == F.col("_gone"), "left_anti")
+    kept = docs.join(gone, docs[key].cast("long") == gone["_gone"], "left_anti")
     again = groups.where(F.col(key) == F.col("class_id")).groupBy(F.col(key).alias("_again")).count().where("count > 1").select("_again")
-    repeated = kept.join(again, kept[key].cast("long") == F.col("_again"), "left_semi").dropDuplicates([key, text])
-    return kept.join(again, kept[key].cast("long") == F.col("_again"), "left_anti").unionByName(repeated)
+    repeated = kept.join(again, kept[key].cast("long") == again["_again"], "left_semi").dropDuplicates([key, text])
+    return kept.join(again, kept[key].cast("long") == again["_again"], "left_anti").unionByName(repeated)
