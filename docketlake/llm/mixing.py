@@ -19,12 +19,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import checkpoint
+from ._common import checkpoint, few_rows
 
 #: A word is a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of one (source, size) cell that a window may hold.
-CHUNK = 4096
+CHUNK = 1024
 #: Relative distance from the target at which Newton's method stops, and its largest number of steps.
 CLOSE, STEPS = 1e-9, 60
 
@@ -148,24 +148,28 @@ def mix(df: DataFrame, targets: DataFrame, source: str = "source", size: str = "
     which changes nothing. A document without words has the rate 1 and one copy. Reruns agree.
     """
     hashed = F.xxhash64(F.col(key).cast("string"), F.lit("mix"))
-    docs = df.select("*", source_key(F.col(source)).alias("_key"), F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("_size"), hashed.alias("_h"))
-    cells = checkpoint(docs.groupBy(F.col("_key").alias("key"), F.col("_size").alias("size")).agg(F.count("*").alias("n")))
+    docs = df.select("*", source_key(F.col(source)).alias("__m_key"), F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("__m_size"), hashed.alias("__m_h"))
+    cells = checkpoint(docs.groupBy(F.col("__m_key").alias("key"), F.col("__m_size").alias("size")).agg(F.count("*").alias("n")))
     sizes = cells.groupBy("key").agg(F.sum(F.col("n") * F.col("size")).alias("size"))
     wanted = sizes.join(targets.select(source_key(F.col(source)).alias("key"), F.col("target").cast("double")), "key", "left").select("key", "size", F.coalesce("target", F.lit(0.0)).alias("target"))
     duals = multipliers(cells, wanted, most)
     plan = rates(cells, duals, most)
     copies = rounded(plan, most).join(plan.select("key", "size", "rate"), ["key", "size"]).join(duals.select("key", F.col("size").alias("source_size"), "target"), "key")
     copies = checkpoint(copies.withColumn("salts", F.ceil(F.col("n") / chunk).cast("long")))
-    docs = docs.join(copies.select(F.col("key").alias("_key"), F.col("size").alias("_size"), "n", "copies", "rate", "source_size", "target", "salts"), ["_key", "_size"])
-    docs = docs.withColumn("_salt", F.pmod("_h", "salts"))
+    # only large cells are salted; at most n / chunk of them are told to the documents, by broadcast if they are few
+    cell = [F.col("key").alias("__m_key"), F.col("size").alias("__m_size")]
+    large = copies.where("salts > 1").select(*cell, F.col("salts").alias("__m_many"))
+    docs = docs.join(few_rows(large), ["__m_key", "__m_size"], "left").withColumn("__m_salt", F.pmod("__m_h", F.coalesce("__m_many", F.lit(1))))
+    spread = copies.select(*cell, F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("__m_salt"), *(F.col(c).alias(f"__m_{c}") for c in ("n", "copies", "rate", "source_size", "target", "salts")))
+    docs = docs.join(spread, ["__m_key", "__m_size", "__m_salt"])
     # documents of a cell before a salt: a window over the salts of a cell, one row for each
-    before = docs.where("salts > 1").groupBy("_key", "_size", "_salt").agg(F.count("*").alias("m"))
-    along = Window.partitionBy("_key", "_size").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
-    before = before.select("_key", "_size", "_salt", F.coalesce(F.sum("m").over(along), F.lit(0)).alias("_before"))
-    place = F.row_number().over(Window.partitionBy("_key", "_size", "_salt").orderBy("_h", F.col(key)))
-    docs = docs.withColumn("_place", place).join(before, ["_key", "_size", "_salt"], "left")
-    rank = F.col("_place") + F.coalesce("_before", F.lit(0))
-    got = F.floor(F.col("copies") / F.col("n")) + F.when(rank <= F.pmod("copies", "n"), 1).otherwise(0)
-    got = F.when(F.col("_size") == 0, F.lit(1)).otherwise(got).cast("long")
+    before = docs.where("__m_salts > 1").groupBy("__m_key", "__m_size", "__m_salt").agg(F.count("*").alias("m"))
+    along = Window.partitionBy("__m_key", "__m_size").orderBy("__m_salt").rowsBetween(Window.unboundedPreceding, -1)
+    before = before.select("__m_key", "__m_size", "__m_salt", F.coalesce(F.sum("m").over(along), F.lit(0)).alias("__m_before"))
+    place = F.row_number().over(Window.partitionBy("__m_key", "__m_size", "__m_salt").orderBy("__m_h", F.col(key)))
+    docs = docs.withColumn("__m_place", place).join(before, ["__m_key", "__m_size", "__m_salt"], "left")
+    rank = F.col("__m_place") + F.coalesce("__m_before", F.lit(0))
+    got = F.floor(F.col("__m_copies") / F.col("__m_n")) + F.when(rank <= F.pmod("__m_copies", "__m_n"), 1).otherwise(0)
+    got = F.when(F.col("__m_size") == 0, F.lit(1)).otherwise(got).cast("long")
     kept = [F.col(c) for c in df.columns if c not in ("source_size", "target", "rate", "copies", "taken")]
-    return docs.withColumn("_got", got).select(*kept, F.col("source_size").cast("long"), "target", "rate", F.col("_got").alias("copies"), (F.col("_got") * F.col("_size")).alias("taken"))
+    return docs.withColumn("__m_got", got).select(*kept, F.col("__m_source_size").cast("long").alias("source_size"), F.col("__m_target").alias("target"), F.col("__m_rate").alias("rate"), F.col("__m_got").alias("copies"), (F.col("__m_got") * F.col("__m_size")).alias("taken"))

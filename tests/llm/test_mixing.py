@@ -70,6 +70,12 @@ def test_hot_cells_are_dealt_by_salt(spark):
     assert all(r.copies == 0 for r in rows if r.source == "b")
 
 
+def test_clashing_columns(spark):
+    df = docs(spark).limit(50).select("*", *(F.lit(7).alias(c) for c in ("n", "key", "rate", "target", "salts", "_key", "copies", "taken", "_h")))
+    out = op2.mixed(df)
+    assert out.count() == 50 and {r._key for r in out.collect()} == {7} and out.columns.count("copies") == 1
+
+
 def test_empty_table(spark):
     assert op2.mixed(docs(spark).limit(0)).count() == 0
 
