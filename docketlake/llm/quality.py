@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from ._common import checkpoint, free_name, slices, word_hashes
 
 #: Largest numbers of rows that training collects: trusted positives, unlabelled texts, labelled rows for the scale.
-MAX_POSITIVES, MAX_UNLABELLED, MAX_SCALE = 6000, 6000, 6000
+MAX_POSITIVES, MAX_UNLABELLED, MAX_SCALE = 4000, 4000, 4000
 
 def _classes() -> np.ndarray:
     """The class of each byte: lower, upper, digit, space, newline, other control, one per punctuation mark, non-ASCII."""
@@ -105,21 +105,26 @@ class Model:
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(z, -60, 60)))
 
+def _gradient(residual: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The mean gradient of a linear margin, with that of the bias at the end."""
+    return np.append((residual.astype(np.float32) @ x).astype(np.float64), residual.sum()) / len(residual)
+
+
 def nn_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 300, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
     """Weights and bias that minimise the non-negative risk, by full-batch Adam.
 
     Where the negative part of the risk falls below zero its gradient is reversed, so that it rises again.
     """
-    positive = np.hstack([positive, np.ones((len(positive), 1), np.float32)])
-    unlabelled = np.hstack([unlabelled, np.ones((len(unlabelled), 1), np.float32)])
-    w = np.zeros(positive.shape[1])
+    width = positive.shape[1]
+    w = np.zeros(width + 1)  # the last is the bias
     m, v = np.zeros_like(w), np.zeros_like(w)
     for step in range(1, steps + 1):
-        zp, zu = positive @ w.astype(np.float32), unlabelled @ w.astype(np.float32)
+        narrow = w[:-1].astype(np.float32)
+        zp, zu = positive @ narrow + w[-1], unlabelled @ narrow + w[-1]
         sp, su = _sigmoid(zp), _sigmoid(zu)
         negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        of_negative = su @ unlabelled / len(zu) - prior * (sp @ positive) / len(zp)
-        grad = -of_negative if negative < 0 else of_negative + prior * ((sp - 1) @ positive) / len(zp)
+        of_negative = _gradient(su, unlabelled) - prior * _gradient(sp, positive)
+        grad = -of_negative if negative < 0 else of_negative + prior * _gradient(sp - 1, positive)
         grad = grad + decay * w
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
@@ -144,7 +149,7 @@ def scale(margins: np.ndarray, labels: np.ndarray, steps: int = 60) -> tuple[flo
     return float(w[0]), float(w[1])
 
 def _sample(docs: DataFrame, key: str, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, role, features) of a bounded table of rows."""
+    """(role, place, features) of a bounded table of rows: roles in the order of the keys, and where each row's features (half precision) are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -152,9 +157,14 @@ def _sample(docs: DataFrame, key: str, text: str) -> tuple[np.ndarray, np.ndarra
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r.astype("<f2").tobytes() for r in x], pa.binary())], names=["key", "role", "x"])
 
     schema = "key string, role int, x binary"
-    rows = docs.select(F.col(key).cast("string").alias("key"), "role", F.col(text).alias("text")).mapInArrow(run, schema).toArrow().sort_by([("key", "ascending"), ("role", "ascending"), ("x", "ascending")])
-    x = np.frombuffer(b"".join(rows.column("x").to_pylist()), dtype="<f2").reshape(-1, WIDTH).astype(np.float32)
-    return np.array(rows.column("key").to_pylist(), dtype=object), rows.column("role").to_numpy(), x
+    rows = docs.select(F.col(key).cast("string").alias("key"), "role", F.col(text).alias("text")).mapInArrow(run, schema).toArrow()
+    keys, roles = rows.column("key").to_pylist(), rows.column("role").to_pylist()
+    packed = rows.column("x").combine_chunks()
+    del rows
+    x = np.frombuffer(packed.buffers()[2] or b"", dtype="<f2").reshape(-1, WIDTH)
+    order = sorted(range(len(keys)), key=lambda i: (keys[i], roles[i]))
+    return np.array([roles[i] for i in order], dtype=np.int64), np.array(order, dtype=np.int64), x
+
 
 def _meets(allowed: Callable[[Column], Column] | None, name: str) -> Column:
     return F.lit(True) if allowed is None else allowed(F.col(name))
@@ -196,14 +206,14 @@ def train(
         chosen = chosen.unionByName(part)
     chosen = checkpoint(chosen)  # at most max_positives + max_unlabelled + max_scale keys: safe to broadcast
     sample = docs.select(F.col(key).alias("_k"), F.col(text).cast("string").alias("_t")).join(F.broadcast(chosen), "_k").dropDuplicates(["_k", "role"])
-    _, role, x = _sample(sample.select(F.col("_k"), "role", F.col("_t")), "_k", "_t")
-    positive, unlabelled = x[role == 0], x[role == 1]
+    role, place, x = _sample(sample.select(F.col("_k"), "role", F.col("_t")), "_k", "_t")
+    positive, unlabelled = x[place[role == 0]].astype(np.float32), x[place[role == 1]].astype(np.float32)
     if not len(positive) or not len(unlabelled):
         return Model(np.zeros(WIDTH), 0.0, 1.0, 0.0, prior)
     weights, bias = nn_pu(positive, unlabelled, prior)
     held = role >= 2
     y = (role[held] == 3).astype(np.float64)
-    margins = x[held].astype(np.float64) @ weights + bias
+    margins = (x[place[held]].astype(np.float32) @ weights.astype(np.float32)).astype(np.float64) + bias
     # the sample holds the labels in other shares than the corpus; the shift restores the prior
     slope, shift = scale(margins, y)
     if 0 < y.sum() < len(y):
