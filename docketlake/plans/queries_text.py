@@ -108,7 +108,7 @@ def synonym_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     _strings(
-        f"SELECT n, t AS token, upper(t) IN ('AAR', 'HIGHCOURT', 'ITAT') AS is_court, upper(t) IN ('ITR', 'SCC', 'TAXMAN') AS is_journal, upper(t) IN ({', '.join(repr(w) for w in sorted(SAMPLE.stopwords))}) AS is_stopword, CASE upper(t) WHEN '115I' THEN '115-I' WHEN '54F' THEN '54-F' ELSE t END AS normal FROM (SELECT n, unnest({_WORDS.format(q='q')}) AS t FROM strings)"
+        f"SELECT n, t AS token, upper(t) IN ('AAR', 'HIGHCOURT', 'ITAT') AS is_court, upper(t) IN ('CTR', 'ITR', 'SCC') AS is_journal, upper(t) IN ({', '.join(repr(w) for w in sorted(SAMPLE.stopwords))}) AS is_stopword, CASE upper(t) WHEN '115I' THEN '115-I' WHEN '54F' THEN '54-F' ELSE t END AS normal FROM (SELECT n, unnest({_WORDS.format(q='q')}) AS t FROM strings)"
     )
 )
 def lexicon_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:

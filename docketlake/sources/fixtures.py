@@ -37,7 +37,7 @@ FROM documents
 _CHUNK_COLLECTION = "CASE (doc_id + pos) % 6 WHEN 0 THEN 'case_summary' WHEN 1 THEN 'digest' WHEN 2 THEN 'headnotes' WHEN 3 THEN 'facts' WHEN 4 THEN 'held' ELSE 'ruling' END"
 _STRINGS = (
     "2024 ITR 123 exemption",
-    "2024taxman.com 123",
+    "2024itrnews.com 123",
     "Section 54F exemption eligibility",
     "State v. Doe",
     "between 2020 and 2022",

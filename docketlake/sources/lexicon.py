@@ -33,7 +33,7 @@ class Lexicon:
 #: A small lexicon of our own for examples and tests.
 SAMPLE = Lexicon(
     courts={"HIGHCOURT", "AAR", "ITAT"},
-    journals={"ITR", "SCC", "TAXMAN"},
+    journals={"ITR", "SCC", "CTR"},
     stopwords={"ABLE", "OF", "IN", "CASE", "THE", "ON"},
     synonyms={"ACIT": ["ASSISTANT COMMISSIONER INCOME TAX"], "CIT": ["COMMISSIONER INCOME TAX", "COMMISSIONER OF INCOME TAX"], "DEPRECIATION": ["amortisation"]},
     normal={"115I": "115-I", "54F": "54-F"},
