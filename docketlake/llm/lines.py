@@ -25,8 +25,8 @@ def line_key(line: Column) -> Column:
 
 
 def stripped(line: Column) -> Column:
-    """The line without blanks and carriage returns at its ends."""
-    return F.regexp_replace(line, r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
+    """The line without ASCII white space at its ends."""
+    return F.btrim(line, F.lit(" \t\n\x0b\x0c\r"))
 
 
 def spread(df: DataFrame, text: str = "text", site: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
@@ -54,6 +54,7 @@ def without_boilerplate(df: DataFrame, text: str = "text", site: str = "source",
     found = lines.select("t", line_key(stripped(F.col("line"))).alias("k")).select("t", "k.a", "k.b").join(boilerplate, ["a", "b"], "left_semi")
     # at most as many hashes as one text has distinct lines
     found = found.groupBy("t").agg(F.collect_set(F.struct("a", "b")).alias(hits)).withColumnRenamed("t", key)
+    found = checkpoint(found)  # with the aggregate out of the way, a text that many rows share can be split in the join
     joined = df.withColumn(key, text_key(F.col(text))).join(found, key, "left")
     kept = F.filter(F.split(F.col(text), "\n"), lambda x: ~F.array_contains(F.col(hits), line_key(stripped(x))))
     new = F.when(F.col(hits).isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
