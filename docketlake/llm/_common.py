@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Iterator
 
@@ -42,6 +43,15 @@ def free_name(df: DataFrame, base: str) -> str:
     return name
 
 
+def give_back() -> None:
+    """Return freed memory to the system, which the allocators of a worker that lives on would keep."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library has no such call
+        pass
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each slice holds about ``limit`` bytes of ``column``, or a single row."""
     for batch in batches:
@@ -55,6 +65,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
             stop = max(start + 1, int(np.searchsorted(ends, before + limit, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+    give_back()
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -30,7 +30,7 @@ from ._common import free_name, slices
 #: Symbols of a pre-token from which it is encoded as a tree, symbols of a leaf, tokens in the first window.
 LONG, LEAF, WINDOW = 2048, 512, 8
 #: Distinct chunks, and as many distinct pre-tokens, that a worker remembers.
-CACHE = 80_000
+CACHE = 60_000
 #: The pipeline that the short cut covers, as the tokenizer file states it.
 PLAIN = {
     "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
