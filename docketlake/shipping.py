@@ -9,9 +9,15 @@ import zipfile
 from pyspark.sql import SparkSession
 
 
+#: Rows of an Arrow batch.
+BATCH = 1000
+
+
 def ship(spark: SparkSession) -> None:
-    """Add a zip of this package to the session's files, once per application; executors fetch it from the driver."""
+    """Add a zip of this package to the session's files, once per application, and make Arrow batches smaller unless they were set; executors fetch the zip from the driver."""
     context = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":  # the default; texts are long, so batches have fewer rows
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
     if getattr(context, "_docketlake_shipped", False):
         return
     here = os.path.dirname(os.path.abspath(__file__))
