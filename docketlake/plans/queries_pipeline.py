@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import inspect
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,10 +23,16 @@ ORACLES: dict[str, str] = {}
 
 
 def query(oracle: str | None = None):
+    """Registers a query; one that takes ``whole`` also as ``<name>_all``, over all rows."""
+
     def add(f):
         QUERIES[f.__name__] = f
         if oracle is not None:
             ORACLES[f.__name__] = oracle
+        if "whole" in inspect.signature(f).parameters:
+            QUERIES[f"{f.__name__}_all"] = functools.partial(f, whole=True)
+            if oracle is not None:
+                ORACLES[f"{f.__name__}_all"] = fixtures.unrestricted(oracle)
         return f
 
     return add
@@ -73,9 +82,9 @@ def doc_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 SEVENS = "SELECT q.query_id, CAST(d.doc_id AS STRING) AS doc_id FROM q5 q, documents d WHERE d.doc_id % 7 = 0"
 
 
-def _sevens(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _sevens(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     docs = table(spark, sf_dir, "documents").where("doc_id % 7 = 0").select(F.col("doc_id").cast("string").alias("doc_id"))
-    return docs.crossJoin(F.broadcast(_five(spark, sf_dir).select("query_id")))
+    return docs.crossJoin(F.broadcast(_five(spark, sf_dir, whole).select("query_id")))
 
 
 @query(
@@ -86,9 +95,9 @@ def _sevens(spark: SparkSession, sf_dir: str) -> DataFrame:
         sevens=SEVENS,
     )
 )
-def collection_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, sparse = retrieval.lists(spark, sf_dir)
-    found = rank.gold_rank(sparse, _sevens(spark, sf_dir), ["query_id", "collection"])
+def collection_ranks(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    _, sparse = retrieval.lists(spark, sf_dir, whole)
+    found = rank.gold_rank(sparse, _sevens(spark, sf_dir, whole), ["query_id", "collection"])
     return found.select("query_id", "collection", F.col("rank").cast("long").alias("rank"))
 
 
@@ -135,9 +144,9 @@ def recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
         sevens=SEVENS,
     )
 )
-def first_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, sparse = retrieval.lists(spark, sf_dir)
-    return evaluate.first_collections(rank.gold_rank(sparse, _sevens(spark, sf_dir), ["query_id", "collection"]))
+def first_collection(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    _, sparse = retrieval.lists(spark, sf_dir, whole)
+    return evaluate.first_collections(rank.gold_rank(sparse, _sevens(spark, sf_dir, whole), ["query_id", "collection"]))
 
 
 @query(with_tables("queries", "SELECT query_id, s.stage, coalesce(CAST(CASE WHEN s.stage = 'es' AND item_id % 2 = 0 THEN item_id END AS STRING), '>50') AS rank FROM queries, (SELECT unnest(['es','raw_dense','raw_sparse','rewritten_dense','rewritten_sparse','rrf','reranker','agentic']) AS stage) s"))
@@ -158,12 +167,12 @@ def intent_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- modes with stand-in models
 
 
-def _five(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixtures.queries(spark, sf_dir).where("item_id < 5").select("query_id", "query")
+def _five(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return fixtures.some(fixtures.queries(spark, sf_dir), "item_id < 5", whole).select("query_id", "query")
 
 
 def _branches(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return modes.instant(fixtures.index(spark, sf_dir), fixtures.hybrid_chunks(spark, sf_dir), _five(spark, sf_dir), fixtures.query_vectors(spark, sf_dir))
+    return modes.instant(fixtures.index(spark, sf_dir), fixtures.hybrid_chunks(spark, sf_dir), _five(spark, sf_dir, True), fixtures.query_vectors(spark, sf_dir, None))
 
 
 @query()
@@ -177,18 +186,18 @@ def instant(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def instant_reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return modes.instant_reranked(_branches(spark, sf_dir), fixtures.index(spark, sf_dir), _five(spark, sf_dir), Offline())
+    return modes.instant_reranked(_branches(spark, sf_dir), fixtures.index(spark, sf_dir), _five(spark, sf_dir, True), Offline())
 
 
 @query()
 def ai_mode_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fused = retrieval.fused_chunks(*retrieval.lists(spark, sf_dir))
-    return modes.context(fused, _five(spark, sf_dir), Offline()).select("query_id", "rank", "chunk_id", "rerank_score")
+    fused = retrieval.fused_chunks(*retrieval.lists(spark, sf_dir, True))
+    return modes.context(fused, _five(spark, sf_dir, True), Offline()).select("query_id", "rank", "chunk_id", "rerank_score")
 
 
 @query()
 def ai_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = modes.ai_mode(fixtures.index(spark, sf_dir), fixtures.hybrid_chunks(spark, sf_dir), _five(spark, sf_dir), fixtures.query_vectors(spark, sf_dir), Offline())
+    out = modes.ai_mode(fixtures.index(spark, sf_dir), fixtures.hybrid_chunks(spark, sf_dir), _five(spark, sf_dir, True), fixtures.query_vectors(spark, sf_dir, None), Offline())
     return out.select("query_id", "ok", F.array_join("citations", ",").alias("citations"), F.md5("prompt").alias("prompt_md5"))
 
 
@@ -199,10 +208,10 @@ def ai_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
         **FLAT,
     )
 )
-def synthesis_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dense, _ = retrieval.lists(spark, sf_dir)
+def synthesis_prompts(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    dense, _ = retrieval.lists(spark, sf_dir, whole)
     chunks = rank.flattened(dense, ["query_id"]).where("flat_pos <= 5").select("query_id", F.col("flat_pos").alias("rank"), "doc_id", "text")
-    return modes.prompts(chunks, _five(spark, sf_dir))
+    return modes.prompts(chunks, _five(spark, sf_dir, whole))
 
 
 @query(
@@ -213,8 +222,8 @@ SELECT query_id, chunk_id, any_value(doc_id) AS doc_id, round(sum(1.0 / (60 + po
         **FLAT,
     )
 )
-def prefetch_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return modes.prefetched(retrieval.fused_chunks(*retrieval.lists(spark, sf_dir)), fixtures.index(spark, sf_dir))
+def prefetch_citations(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return modes.prefetched(retrieval.fused_chunks(*retrieval.lists(spark, sf_dir, whole)), fixtures.index(spark, sf_dir))
 
 
 # ---- traces and conversations
@@ -290,8 +299,8 @@ def expandable(spark: SparkSession, sf_dir: str) -> DataFrame:
 def evaluation_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import evaluation
 
-    cases = fixtures.queries(spark, sf_dir).where("item_id < 5")
-    found = evaluation.stages(fixtures.index(spark, sf_dir), fixtures.hybrid_chunks(spark, sf_dir), cases.select("query_id", "query"), fixtures.query_vectors(spark, sf_dir), Offline())
+    cases = fixtures.queries(spark, sf_dir)
+    found = evaluation.stages(fixtures.index(spark, sf_dir), fixtures.hybrid_chunks(spark, sf_dir), cases.select("query_id", "query"), fixtures.query_vectors(spark, sf_dir, None), Offline())
     return evaluation.ranks(found, cases, fixtures.gold(spark, sf_dir), "offline").select("run", "query_id", "stage", shown_rank(F.col("rank")).alias("rank"))
 
 
@@ -311,9 +320,9 @@ def shown_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("SELECT user_id AS query_id, event_type AS step, value AS ms FROM events WHERE event_id % 50 = 1")
-def step_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+def step_times(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     """Times of steps gathered per request as a map, and read out of it again; a step that comes twice in a request keeps requests apart by the event."""
-    steps = table(spark, sf_dir, "events").where("event_id % 50 = 1").select(F.concat_ws("-", "user_id", "event_id").alias("request"), "user_id", F.col("event_type").alias("step"), F.col("value").alias("ms"))
+    steps = fixtures.some(table(spark, sf_dir, "events"), "event_id % 50 = 1", whole).select(F.concat_ws("-", "user_id", "event_id").alias("request"), "user_id", F.col("event_type").alias("step"), F.col("value").alias("ms"))
     maps = steps.groupBy("request", "user_id").agg(F.map_from_entries(F.collect_list(F.struct("step", "ms"))).alias("times"))
     return maps.select(F.col("user_id").alias("query_id"), F.explode("times").alias("step", "ms"))
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import inspect
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,24 +48,30 @@ ORACLES: dict[str, str] = {}
 
 
 def query(oracle: str | None = None):
+    """Registers a query; one that takes ``whole`` also as ``<name>_all``, over all rows."""
+
     def add(f):
         QUERIES[f.__name__] = f
         if oracle is not None:
             ORACLES[f.__name__] = oracle
+        if "whole" in inspect.signature(f).parameters:
+            QUERIES[f"{f.__name__}_all"] = functools.partial(f, whole=True)
+            if oracle is not None:
+                ORACLES[f"{f.__name__}_all"] = fixtures.unrestricted(oracle)
         return f
 
     return add
 
 
 @query(_sql("SELECT query_id, collection, CAST(pos AS BIGINT) AS pos, chunk_id, doc_id, score FROM dense", {}, dense=DENSE))
-def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = retrieval.dense_hits(fixtures.hybrid_chunks(spark, sf_dir), fixtures.query_vectors(spark, sf_dir))
+def dense_topk(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    hits = retrieval.dense_hits(fixtures.hybrid_chunks(spark, sf_dir), fixtures.query_vectors(spark, sf_dir, None if whole else 5))
     return hits.select("query_id", "collection", F.col("pos").cast("long").alias("pos"), "chunk_id", "doc_id", "score")
 
 
 @query(_sql("SELECT query_id, collection, CAST(pos AS BIGINT) AS pos, chunk_id, doc_id, score FROM sparse", BOTH))
-def sparse_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = retrieval.sparse_hits(fixtures.hybrid_chunks(spark, sf_dir), fixtures.queries(spark, sf_dir).where("item_id < 5"))
+def sparse_bm25_topk(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    hits = retrieval.sparse_hits(fixtures.hybrid_chunks(spark, sf_dir), fixtures.some(fixtures.queries(spark, sf_dir), "item_id < 5", whole))
     return hits.select("query_id", "collection", F.col("pos").cast("long").alias("pos"), "chunk_id", "doc_id", "score")
 
 
@@ -72,8 +81,8 @@ SELECT query_id, chunk_id, any_value(doc_id) AS doc_id, round(sum({w} / (60 + po
 
 
 @query(_sql(_RRF.format(w="1.0", j="", c="WHERE fused_pos <= 20")))
-def rrf_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fused = retrieval.fused_chunks(*retrieval.lists(spark, sf_dir)).where("fused_pos <= 20")
+def rrf_chunk(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    fused = retrieval.fused_chunks(*retrieval.lists(spark, sf_dir, whole)).where("fused_pos <= 20")
     return fused.select("query_id", F.col("fused_pos").cast("long").alias("fused_pos"), "chunk_id", "doc_id", "rrf_score")
 
 
@@ -90,10 +99,10 @@ INTENTS = "SELECT query_id, CASE item_id % 4 WHEN 0 THEN 'citation_lookup' WHEN
         intents=INTENTS,
     )
 )
-def rrf_intent_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+def rrf_intent_weighted(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     names = F.array(*map(F.lit, ("citation_lookup", "provision_lookup", "conceptual", "other")))
-    intents = fixtures.queries(spark, sf_dir).where("item_id < 5").select("query_id", F.get(names, (F.col("item_id") % 4).cast("int")).alias("intent"))
-    fused = retrieval.fused_chunks(*retrieval.lists(spark, sf_dir), intents)
+    intents = fixtures.some(fixtures.queries(spark, sf_dir), "item_id < 5", whole).select("query_id", F.get(names, (F.col("item_id") % 4).cast("int")).alias("intent"))
+    fused = retrieval.fused_chunks(*retrieval.lists(spark, sf_dir, whole), intents)
     return fused.select("query_id", F.col("fused_pos").cast("long").alias("fused_pos"), "chunk_id", "doc_id", "rrf_score")
 
 
@@ -103,30 +112,30 @@ SELECT *, row_number() OVER w AS rn, lag(score) OVER w AS prev FROM sparse WINDO
 
 
 @query(_sql(_ELBOW.format(c=""), BOTH))
-def elbow_per_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, sparse = retrieval.lists(spark, sf_dir)
+def elbow_per_collection(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    _, sparse = retrieval.lists(spark, sf_dir, whole)
     kept = rank.elbow(sparse, ["query_id", "collection"], ties=[F.col("chunk_id")])
     return kept.select("query_id", "collection", F.col("rank").cast("long").alias("rank"), "chunk_id", "score")
 
 
 @query(_sql(_ELBOW.format(c="AND rn <= 5"), BOTH))
-def elbow_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, sparse = retrieval.lists(spark, sf_dir)
+def elbow_capped(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    _, sparse = retrieval.lists(spark, sf_dir, whole)
     kept = rank.elbow(sparse, ["query_id", "collection"], ties=[F.col("chunk_id")], max_keep=5)
     return kept.select("query_id", "collection", F.col("rank").cast("long").alias("rank"), "chunk_id", "score")
 
 
 @query(_sql("SELECT query_id, source, CAST(pos AS BIGINT) AS pos, chunk_id, doc_id FROM flat"))
-def flatten_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = retrieval.as_sources(*retrieval.lists(spark, sf_dir))
+def flatten_sorted(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    hits = retrieval.as_sources(*retrieval.lists(spark, sf_dir, whole))
     return hits.select("query_id", "source", F.col("pos").cast("long").alias("pos"), "chunk_id", "doc_id")
 
 
 @query(_sql("SELECT query_id, chunk_id, CASE WHEN length(text) > 500 THEN concat(substr(text, 1, 500), '...') ELSE text END AS text, CAST(pos AS BIGINT) AS pos FROM flat WHERE source = 'dense' AND pos <= 20"))
-def agent_merge_top20(spark: SparkSession, sf_dir: str) -> DataFrame:
+def agent_merge_top20(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     from ..functions.text import clipped
 
-    dense, _ = retrieval.lists(spark, sf_dir)
+    dense, _ = retrieval.lists(spark, sf_dir, whole)
     flat = rank.flattened(dense, ["query_id"]).where("flat_pos <= 20")
     return flat.select("query_id", "chunk_id", clipped(F.col("text")).alias("text"), F.col("flat_pos").cast("long").alias("pos"))
 
@@ -136,8 +145,8 @@ SELECT *, row_number() OVER (PARTITION BY query_id, source, doc_id ORDER BY pos)
 
 
 @query(_sql("SELECT query_id, source, doc_id, CAST(pos AS BIGINT) AS pos FROM collapsed", collapsed=COLLAPSED))
-def collapse_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = retrieval.as_sources(*retrieval.lists(spark, sf_dir))
+def collapse_doc(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    hits = retrieval.as_sources(*retrieval.lists(spark, sf_dir, whole))
     return fuse.collapsed(hits, ["query_id", "source"]).select("query_id", "source", "doc_id", F.col("pos").cast("long").alias("pos"))
 
 
@@ -151,23 +160,23 @@ SELECT query_id, doc_id, round(sum(w / (60 + pos)), 9) AS rrf_score, min({'s': s
 SELECT query_id, doc_id, pos, 0 AS src_ord, 1.0 AS w FROM es UNION ALL SELECT query_id, doc_id, pos, src_ord + 1, CASE source WHEN 'dense' THEN 1.5 ELSE 0.5 END FROM collapsed) GROUP BY query_id, doc_id)"""
 
 
-def _text_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    queries = fixtures.queries(spark, sf_dir).where("item_id < 5").select("query_id", "item_id")
-    index = fixtures.index(spark, sf_dir).where("doc_number < 200").select(F.col("id").alias("doc_id"), "doc_number", "heading", "subheading")
+def _text_list(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    queries = fixtures.some(fixtures.queries(spark, sf_dir), "item_id < 5", whole).select("query_id", "item_id")
+    index = fixtures.some(fixtures.index(spark, sf_dir), "doc_number < 200", whole).select(F.col("id").alias("doc_id"), "doc_number", "heading", "subheading")
     pairs = index.crossJoin(F.broadcast(queries)).withColumn("_k", (F.col("doc_number") * 31 + F.col("item_id") * 7) % 101)
     return rank.top(pairs, ["query_id"], [F.col("_k"), F.col("doc_number")], 20, "pos").select("query_id", "doc_id", "heading", "subheading", F.col("doc_number").cast("double").alias("score"), "pos")
 
 
-def fused_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = fuse.collapsed(retrieval.as_sources(*retrieval.lists(spark, sf_dir)), ["query_id", "source"]).select("query_id", "source", (F.col("src_ord") + 1).alias("src_ord"), "doc_id", "pos")
-    es = _text_list(spark, sf_dir).select("query_id", F.lit("es").alias("source"), F.lit(0).alias("src_ord"), "doc_id", "pos")
+def fused_documents(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    hits = fuse.collapsed(retrieval.as_sources(*retrieval.lists(spark, sf_dir, whole)), ["query_id", "source"]).select("query_id", "source", (F.col("src_ord") + 1).alias("src_ord"), "doc_id", "pos")
+    es = _text_list(spark, sf_dir, whole).select("query_id", F.lit("es").alias("source"), F.lit(0).alias("src_ord"), "doc_id", "pos")
     weight = fuse.shape_weight(F.lit("plain"), F.col("source"))
     return fuse.fused_rank(fuse.reciprocal(hits.unionByName(es), "doc_id", weight))
 
 
 @query(_sql(f"SELECT query_id, doc_id, CAST(fused_pos AS BIGINT) AS fused_pos, rrf_score FROM ({RRF_DOC})", tables=HYBRID + " ft_index", **THREE))
-def rrf_doc_3src(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fused_documents(spark, sf_dir).select("query_id", "doc_id", F.col("fused_pos").cast("long").alias("fused_pos"), "rrf_score")
+def rrf_doc_3src(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return fused_documents(spark, sf_dir, whole).select("query_id", "doc_id", F.col("fused_pos").cast("long").alias("fused_pos"), "rrf_score")
 
 
 _FIRST = {
@@ -181,8 +190,8 @@ def _with_first(hits: DataFrame) -> DataFrame:
 
 
 @query(_sql("SELECT query_id, doc_id, CAST(first_seen AS BIGINT) AS first_seen, b.score AS score, b.collection AS collection FROM best", BOTH, seen=_FIRST["seen"].format(t="dense"), best=_FIRST["best"].format(w="")))
-def best_per_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dense, _ = retrieval.lists(spark, sf_dir)
+def best_per_doc(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    dense, _ = retrieval.lists(spark, sf_dir, whole)
     best = fuse.best_per_document(_with_first(dense), ["query_id"])
     return best.select("query_id", "doc_id", F.col("first_seen").cast("long").alias("first_seen"), "score", "collection")
 
@@ -206,15 +215,15 @@ _ANTI = "WHERE NOT EXISTS (SELECT 1 FROM es WHERE es.query_id = seen{n}.query_id
         best2=_FIRST["best"].replace("FROM seen", "FROM seen2").format(w=_ANTI.format(n="2")),
     )
 )
-def card_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dense, sparse = retrieval.lists(spark, sf_dir)
-    merged = fuse.cards(_text_list(spark, sf_dir), _with_first(dense), _with_first(sparse))
+def card_merge(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    dense, sparse = retrieval.lists(spark, sf_dir, whole)
+    merged = fuse.cards(_text_list(spark, sf_dir, whole), _with_first(dense), _with_first(sparse))
     return merged.select("query_id", F.col("card_pos").cast("long").alias("card_pos"), "source", "doc_id", "score", "collection", "heading")
 
 
 @query(_sql(f"SELECT query_id, doc_id, CAST(fused_pos AS BIGINT) AS fused_pos, CAST(floor((fused_pos - 1) / 10) + 1 AS BIGINT) AS page FROM ({RRF_DOC}) QUALIFY page = least(2, max(page) OVER (PARTITION BY query_id))", tables=HYBRID + " ft_index", **THREE))
-def paginate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wanted = rank.page(fused_documents(spark, sf_dir), ["query_id"], "fused_pos", F.lit(2))
+def paginate(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    wanted = rank.page(fused_documents(spark, sf_dir, whole), ["query_id"], "fused_pos", F.lit(2))
     return wanted.select("query_id", "doc_id", F.col("fused_pos").cast("long").alias("fused_pos"), F.col("page").cast("long").alias("page"))
 
 
@@ -223,21 +232,21 @@ def paginate(spark: SparkSession, sf_dir: str) -> DataFrame:
         "SELECT query_id, doc_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY pos) AS BIGINT) AS doc_pos FROM (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY pos) AS own FROM flat WHERE source = 'sparse') WHERE own = 1 QUALIFY doc_pos <= 20"
     )
 )
-def first_unique_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = retrieval.as_sources(*retrieval.lists(spark, sf_dir)).where("source = 'sparse'")
+def first_unique_docs(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    hits = retrieval.as_sources(*retrieval.lists(spark, sf_dir, whole)).where("source = 'sparse'")
     return rank.first_unique(hits, ["query_id"], [F.col("pos")], 20).select("query_id", "doc_id", F.col("doc_pos").cast("long").alias("doc_pos"))
 
 
 @query(_sql("SELECT c.collection, CAST(count(s.chunk_id) AS BIGINT) AS hits FROM (SELECT unnest(['case_summary','digest','headnotes','facts','held','ruling','metadata']) AS collection) c LEFT JOIN sparse s USING (collection) GROUP BY c.collection", BOTH))
-def hits_per_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, sparse = retrieval.lists(spark, sf_dir)
+def hits_per_collection(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    _, sparse = retrieval.lists(spark, sf_dir, whole)
     names = spark.createDataFrame([(c,) for c in fixtures.COLLECTIONS], "collection string")
     return names.join(sparse.groupBy("collection").agg(F.count("*").alias("n")), "collection", "left").select("collection", F.coalesce("n", F.lit(0)).cast("long").alias("hits"))
 
 
 @query(_sql("SELECT query_id, collection, string_agg(chunk_id, ',' ORDER BY pos) AS ids, string_agg(substr(text, 1, 200), '|' ORDER BY pos) AS previews FROM dense WHERE pos <= 5 GROUP BY query_id, collection", {}, dense=DENSE))
-def collection_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dense, _ = retrieval.lists(spark, sf_dir)
+def collection_trace(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    dense, _ = retrieval.lists(spark, sf_dir, whole)
     kept = dense.where("pos <= 5").groupBy("query_id", "collection").agg(F.array_sort(F.collect_list(F.struct("pos", "chunk_id", F.substring("text", 1, 200).alias("t")))).alias("r"))
     return kept.select("query_id", "collection", F.array_join(F.col("r.chunk_id"), ",").alias("ids"), F.array_join(F.col("r.t"), "|").alias("previews"))
 
@@ -260,13 +269,13 @@ FIELD_PARTS = {
 }
 
 
-def _plain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixtures.queries(spark, sf_dir).where("item_id < 8").select("query_id", "query")
+def _plain(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return fixtures.some(fixtures.queries(spark, sf_dir), "item_id < 8", whole).select("query_id", "query")
 
 
 @query(with_tables("ft_index queries", "SELECT query_id, doc_id, round(score, 6) AS score FROM multi QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) <= 50", **FIELD_PARTS))
-def multi_field_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = score.multi_field(fixtures.index(spark, sf_dir), _plain(spark, sf_dir).withColumn("shape", F.lit("plain"))).withColumn("score", F.round("score", 6))
+def multi_field_bm25(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    scored = score.multi_field(fixtures.index(spark, sf_dir), _plain(spark, sf_dir, whole).withColumn("shape", F.lit("plain"))).withColumn("score", F.round("score", 6))
     return rank.top(scored, ["query_id"], [F.col("score").desc(), F.col("doc_id")], 50).select("query_id", "doc_id", "score")
 
 
@@ -280,10 +289,10 @@ FROM multi m JOIN ft_index i ON i.id = m.doc_id WHERE coalesce(landmarkruling, 0
         **FIELD_PARTS,
     )
 )
-def raw_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_search(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     from ..sources.lexicon import Lexicon
 
-    hits = retrieval.full_text(fixtures.index(spark, sf_dir), _plain(spark, sf_dir), Lexicon())
+    hits = retrieval.full_text(fixtures.index(spark, sf_dir), _plain(spark, sf_dir, whole), Lexicon())
     return hits.select("query_id", F.col("pos").cast("long").alias("pos"), "doc_id", "score", "heading", "subheading")
 
 
@@ -304,7 +313,7 @@ def fuzzy_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..functions.text import tokens
     from ..tables import table
 
-    terms = score.query_terms(fixtures.queries(spark, sf_dir).where("item_id < 3"))
+    terms = score.query_terms(fixtures.queries(spark, sf_dir))
     words = table(spark, sf_dir, "benchmark").select(F.explode(tokens(F.col("text"))).alias("term")).distinct()
     return score.fuzzy(terms, words).select("term", "match", F.col("distance").cast("long").alias("distance"))
 
@@ -316,5 +325,5 @@ def fuzzy_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
         **{k: v for k, v in FIELD_PARTS.items() if k in ("q8", "ft", "fpost", "fterms")},
     )
 )
-def all_tokens_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score.all_terms_match(fixtures.index(spark, sf_dir), _plain(spark, sf_dir))
+def all_tokens_match(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    return score.all_terms_match(fixtures.index(spark, sf_dir), _plain(spark, sf_dir, whole))

@@ -31,11 +31,11 @@ def sparse_hits(chunks: DataFrame, queries: DataFrame, limit: int = LIMIT) -> Da
     return texts.select("chunk_id", "collection", "doc_id", "text", "collection_ord").join(best, ["chunk_id", "collection"]).select("query_id", "collection", "collection_ord", "pos", "chunk_id", "doc_id", "text", "score")
 
 
-def lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Dense and sparse hits of the first five queries over the chunks that have a vector."""
+def lists(spark: SparkSession, sf_dir: str, whole: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Dense and sparse hits of the first five queries, or of all, over the chunks that have a vector."""
     chunks = fixtures.hybrid_chunks(spark, sf_dir)
-    queries = fixtures.queries(spark, sf_dir).where("item_id < 5")
-    return dense_hits(chunks, fixtures.query_vectors(spark, sf_dir)), sparse_hits(chunks, queries)
+    queries = fixtures.some(fixtures.queries(spark, sf_dir), "item_id < 5", whole)
+    return dense_hits(chunks, fixtures.query_vectors(spark, sf_dir, None if whole else 5)), sparse_hits(chunks, queries)
 
 
 def as_sources(dense: DataFrame, sparse: DataFrame) -> DataFrame:

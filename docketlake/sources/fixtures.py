@@ -110,9 +110,19 @@ def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.select(F.concat(F.lit("B"), F.col("item_id").cast("string")).alias("query_id"), F.col("doc_id").cast("string").alias("doc_id"))
 
 
-def query_vectors(spark: SparkSession, sf_dir: str, n: int = 5) -> DataFrame:
-    """query_id, vector: the vectors of the first numbers, paired with the queries of the same number."""
-    return table(spark, sf_dir, "embeddings").where(F.col("vec_id") < n).select(F.concat(F.lit("B"), F.col("vec_id").cast("string")).alias("query_id"), F.col("embedding").alias("vector"))
+def some(rows: DataFrame, condition: str, whole: bool) -> DataFrame:
+    """The rows that meet the condition, or all."""
+    return rows if whole else rows.where(condition)
+
+
+def query_vectors(spark: SparkSession, sf_dir: str, n: int | None = 5) -> DataFrame:
+    """query_id, vector: the vectors of the first ``n`` numbers, paired with the queries of the same number; without ``n``, of all queries."""
+    vectors = table(spark, sf_dir, "embeddings")
+    if n is None:
+        vectors = vectors.join(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("vec_id")).distinct(), "vec_id", "left_semi")
+    else:
+        vectors = vectors.where(F.col("vec_id") < n)
+    return vectors.select(F.concat(F.lit("B"), F.col("vec_id").cast("string")).alias("query_id"), F.col("embedding").alias("vector"))
 
 
 def query_strings(spark: SparkSession) -> DataFrame:
@@ -153,6 +163,23 @@ FROM benchmark""",
 _NEEDS = {"chunks": ["ft_index"], "hybrid": ["chunks"]}
 
 
+#: Restrictions of the registered SQL to a few rows, and what stands in their place for all rows.
+RESTRICTIONS = {
+    "FROM queries WHERE item_id < 5": "FROM queries",
+    "FROM queries WHERE item_id < 8": "FROM queries",
+    "FROM embeddings WHERE vec_id < 5": "FROM embeddings WHERE vec_id IN (SELECT item_id FROM benchmark)",
+    "ft_index i WHERE i.doc_number < 200": "ft_index i",
+    "FROM events WHERE event_id % 50 = 1": "FROM events",
+}
+
+
+def unrestricted(sql: str) -> str:
+    """The SQL over all rows."""
+    for few, every in RESTRICTIONS.items():
+        sql = sql.replace(few, every)
+    return sql
+
+
 def with_tables(names: str, select: str, **more: str) -> str:
     """SELECT over the named tables and further ones given as SQL, in one statement."""
     order: list[str] = []
