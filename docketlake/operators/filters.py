@@ -92,19 +92,20 @@ def matches(filters: dict, fuzzy: bool = False) -> Column:
     return out
 
 
-def allowlist(index: DataFrame, filters: dict, most: int = MOST) -> DataFrame | None:
-    """id of the documents that meet the filters, ``most`` at most, by id; None without filters.
+def allowlist(index: DataFrame, filters: dict, most: int | None = MOST) -> DataFrame | None:
+    """id of the documents that meet the filters, ``most`` at most, by id (all if it is None); None without filters.
 
     If none meets them and a filter has a looser form, the looser forms decide.
     """
     if not filters:
         return None
-    strict = index.where(matches(filters)).select("id").orderBy("id").limit(most)
+    first = lambda ids: ids if most is None else ids.orderBy("id").limit(most)
+    strict = first(index.where(matches(filters)).select("id"))
     if not any(k in filters for k in FALLBACK):
         return strict
     if strict.limit(1).count():
         return strict
-    return index.where(matches(filters, True)).select("id").orderBy("id").limit(most)
+    return first(index.where(matches(filters, True)).select("id"))
 
 
 def allowlists(index: DataFrame, requests: DataFrame, most: int = MOST) -> DataFrame:

@@ -242,7 +242,7 @@ def filter_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 )
 def allowlist_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    allowed = P.allowlist(fixtures.index(spark, sf_dir), {"court": "Supreme Court"})
+    allowed = P.allowlist(fixtures.index(spark, sf_dir), {"court": "Supreme Court"}, most=None)
     inside = fixtures.chunks(spark, sf_dir).join(allowed.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
     return inside.groupBy("collection").agg(F.count("*").alias("n"))
 
