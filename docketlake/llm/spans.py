@@ -1,7 +1,9 @@
 """Substring dedup by sliding runs of consecutive sentences.
 
-A text falls into units: sentences (ended by . ! ? or a line break), of which one of more than ``most``
-words is cut at its commas and then every ``most`` words. From each unit the shortest run of at least
+A text falls into units: sentences (ended by . ! ? or a line break), of which one of more than half of ``most``
+words is cut at places that its words choose: of every that many neighbouring places the one where the hash of the
+words at both sides is least. So copies are cut alike wherever they start, no unit has more than 12 words, and a
+repeated passage of 39 words or more keeps 12 words at most at each end. From each unit the shortest run of at least
 ``least`` units and ``words`` words that starts there is hashed, and the shortest that ends there. A run that
 stands in several documents is repeated; the document with the least key holds the first, and within a document the first
 place does. Units under any run that is not the first go.
@@ -29,40 +31,52 @@ LEAST, WORDS, MOST = 2, 15, 25
 #: The key that stands for null: such rows are one last document.
 NO_KEY = (1 << 63) - 1
 END = re.compile(r"[.!?]+[\"')\]]*\s+|\s*\n\s*")
-COMMA = re.compile(r",\s+")
+WORD = re.compile(r"\S+")
+
+
+def places(words: list[str], window: int) -> list[int]:
+    """Numbers of the words before which a sentence is cut: of each ``window`` neighbouring places that of the least hash, the last of equal ones."""
+    ends = [xxh3_64_intdigest(f"{a} {b}".encode("utf-8", "replace")) for a, b in zip(words, words[1:])]
+    out, best = [], -1
+    for start in range(len(ends) - window + 1):
+        last = start + window - 1
+        if best < start:
+            best = min(range(last, start - 1, -1), key=ends.__getitem__)
+        elif ends[last] <= ends[best]:
+            best = last
+        if not out or out[-1] != best + 1:
+            out.append(best + 1)
+    return out
 
 
 def units(text: str, most: int = MOST) -> tuple[list[str], list[int], list[int]]:
     """(units, number of words of each, hash of each); joined, the units are the text. Case and spacing don't enter the hash."""
     parts, counts, hashes = [], [], []
+    window = max(1, most // 2)
 
     def add(part: str, words: list[str]) -> None:
         parts.append(part)
         counts.append(len(words))
-        hashes.append(xxh3_64_intdigest(" ".join(words).lower().encode("utf-8", "replace")))
+        hashes.append(xxh3_64_intdigest(" ".join(words).encode("utf-8", "replace")))
 
-    def cut(part: str, pattern: re.Pattern) -> Iterator[str]:
+    def sentences() -> Iterator[str]:
         at = 0
-        for m in pattern.finditer(part):
-            yield part[at : m.end()]
+        for m in END.finditer(text):
+            yield text[at : m.end()]
             at = m.end()
-        if at < len(part):
-            yield part[at:]
+        if at < len(text):
+            yield text[at:]
 
-    for sentence in cut(text, END):
-        words = sentence.split()
-        if len(words) <= most:
+    for sentence in sentences():
+        words = sentence.lower().split()
+        if len(words) <= window:
             add(sentence, words)
             continue
-        for clause in cut(sentence, COMMA):
-            words = clause.split()
-            if len(words) <= most:
-                add(clause, words)
-            else:
-                places = [m.start() for m in re.finditer(r"\S+", clause)]
-                marks = [0, *places[most::most], len(clause)]
-                for a, b in zip(marks, marks[1:]):
-                    add(clause[a:b], clause[a:b].split())
+        starts = [m.start() for m in WORD.finditer(sentence)]
+        cuts = [0, *places(words, window), len(words)]
+        marks = [0, *(starts[c] for c in cuts[1:-1]), len(sentence)]
+        for i in range(len(cuts) - 1):
+            add(sentence[marks[i] : marks[i + 1]], words[cuts[i] : cuts[i + 1]])
     return parts, counts, hashes
 
 
