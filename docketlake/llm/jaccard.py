@@ -20,10 +20,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ._common import bitmap, checkpoint, marked, mix64, runs_of, signed, slices, word_hashes
+from ._common import bitmap, checkpoint, free_name, marked, mix64, runs_of, signed, slices, word_hashes
 
 WORDS, THRESHOLD = 5, 0.8
 #: Trees of the forest, hash values on a path, and the share of pairs at the threshold that must meet.
@@ -235,6 +236,11 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     shingles: no links, and its own key as class. Keys must be integers; a row whose key is null has null class and is
     neither linked nor counted. Rows with equal keys are rows of their own with one class each by their text.
     """
+    return _grouped(docs, key, text, words, threshold, trees, depth, recall, small_bucket, block).select(F.col("id").alias(key), "class_id", "n_links", "n_copies")
+
+
+def _grouped(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL, small_bucket: int = SMALL, block: int = BLOCK) -> DataFrame:
+    """id, k1, k2, root, class_id, n_links, n_copies: as ``join``, with the class of the row's words and its component (null: no words or no key)."""
     k = prefix_depth(threshold, trees, depth, recall)
     rows = checkpoint(classes(docs, key, text, words, trees, k))
     valid = rows.where("id IS NOT NULL AND n_shingles > 0")
@@ -273,25 +279,59 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
     roots = components(links.unionByName(counted.select("a", "b"))).withColumnRenamed("node", "rep")
     named = reps.join(roots, "rep", "left").join(counts, "rep", "left").select("k1", "k2", "id", "copies", F.coalesce("root", "rep").alias("root"), F.coalesce("n", F.lit(0)).alias("n"))
     least = named.groupBy("root").agg(F.min("id").alias("class_id"))
-    named = named.join(least, "root").select("k1", "k2", "class_id", "copies", "n")
+    named = named.join(least, "root").select("k1", "k2", "root", "class_id", "copies", "n")
     alone = (F.col("n_shingles") == 0) | F.col("id").isNull()
     out = rows.select("id", "k1", "k2", "n_shingles").join(named, ["k1", "k2"], "left")
     return out.select(
-        F.col("id").alias(key),
+        "id",
+        "k1",
+        "k2",
+        F.when(~alone, F.col("root")).alias("root"),
         F.when(alone, F.col("id")).otherwise(F.col("class_id")).alias("class_id"),
         F.when(alone, F.lit(0)).otherwise(F.col("n") + F.col("copies") - 1).cast("long").alias("n_links"),
         F.when(alone, F.lit(1)).otherwise(F.col("copies")).cast("long").alias("n_copies"),
     )
 
 
+def _with_class(docs: DataFrame, text: str, k1: str, k2: str) -> DataFrame:
+    """docs with the class of each row's words in columns of their own."""
+    plain = free_name(docs, "plain")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, plain):
+            keys = _keys(*word_hashes(batch.column(batch.num_columns - 1)))
+            arrays = [*batch.columns[:-1], *(signed(np.ascontiguousarray(keys[:, i])) for i in (0, 1))]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names[:-1], k1, k2])
+
+    out = T.StructType([*docs.schema.fields, T.StructField(k1, T.LongType()), T.StructField(k2, T.LongType())])
+    return docs.withColumn(plain, docs[text].cast("string")).mapInArrow(run, out)
+
+
 def one_per_group(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of docs that stay: of each group the row with the least key.
 
-    Rows with null keys and texts without words stay. Of rows that repeat a key with the same text one stays.
+    Rows with null keys and texts without words stay. A key that stands for texts of several groups is taken for a
+    group only if it has no other key, and each of its rows goes or stays by its own text. Of rows with one key in one
+    group, and of equal texts without words, one stays, the least text.
     """
-    groups = checkpoint(join(docs, key, text, **options))
-    gone = groups.where(F.col(key) != F.col("class_id")).select(F.col(key).alias("_gone")).distinct()
-    kept = docs.join(gone, docs[key].cast("long") == gone["_gone"], "left_anti")
-    again = groups.where(F.col(key) == F.col("class_id")).groupBy(F.col(key).alias("_again")).count().where("count > 1").select("_again")
-    repeated = kept.join(again, kept[key].cast("long") == again["_again"], "left_semi").dropDuplicates([key, text])
-    return kept.join(again, kept[key].cast("long") == again["_again"], "left_anti").unionByName(repeated)
+    groups = checkpoint(_grouped(docs, key, text, **options).select("id", "k1", "k2", "root", "class_id"))
+    shared = checkpoint(groups.where("root IS NOT NULL").groupBy("id").agg((F.min("root") != F.max("root")).alias("shared")).where("shared"))
+    if not shared.isEmpty():
+        touched = groups.join(shared, "id", "left").withColumn("shared", F.coalesce("shared", F.lit(False))).where("root IS NOT NULL").groupBy("root")
+        better = touched.agg(F.min(F.struct("shared", "id")).alias("m"), F.max("shared").alias("any")).where("any").select("root", F.col("m.id").alias("least"))
+        groups = checkpoint(groups.join(better, "root", "left").select("id", "k1", "k2", "root", F.coalesce("least", "class_id").alias("class_id")))
+    keys = groups.where("id IS NOT NULL").groupBy("id").agg((F.count("*") > 1).alias("again"), F.max(F.col("id") != F.col("class_id")).alias("moved"))
+    named = checkpoint(keys.where("again OR moved").select(F.col("id").alias("_named"), "again"))
+    alone = docs.join(named, docs[key].cast("long") == named["_named"], "left_anti")
+
+    several = named.where("again").select("_named")
+    k1, k2, own = free_name(docs, "k1"), free_name(docs, "k2"), free_name(docs, "own")
+    held = _with_class(docs.join(several, docs[key].cast("long") == several["_named"], "left_semi"), text, k1, k2)
+    number = free_name(docs, "number")
+    first = groups.where("id = class_id").select(F.col("id").alias(number), F.col("k1").alias(k1), F.col("k2").alias(k2), F.col("root").alias(own)).distinct()
+    held = held.withColumn(number, held[key].cast("long")).join(first, [number, k1, k2])
+    # without words there is no group: equal texts count as one
+    part = [F.col(number), F.col(own), F.when(F.col(own).isNull(), held[text])]
+    place = Window.partitionBy(*part).orderBy(held[text])
+    held = held.select(*(held[c] for c in docs.columns), F.row_number().over(place).alias(own)).where(F.col(own) == 1)
+    return alone.unionByName(held.select(*docs.columns))
