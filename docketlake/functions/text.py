@@ -50,8 +50,9 @@ KNOWN_ACTS = (
     "Indian Evidence Act",
 )
 HIGHLIGHT_STOPWORDS = (
-    "a an the is are was were be been being of in on at to for and or but if that this it its their they does do did can could from by as with not so"
-).split()
+    "a", "an", "the", "is", "are", "was", "were", "be", "been", "being", "of", "in", "on", "at", "to", "for", "and", "or", "but", "if", "that",
+    "this", "it", "its", "their", "they", "does", "do", "did", "can", "could", "from", "by", "as", "with", "not", "so",
+)
 OVERLAP_FLOOR = 0.6
 
 

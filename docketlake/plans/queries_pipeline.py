@@ -158,8 +158,8 @@ def case_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT CAST(count(*) FILTER (n % 3 = 0 AND n % 5 <> 0) AS BIGINT) AS passed, CAST(count(*) AS BIGINT) AS total FROM range(60) r(n)")
 def intent_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    expected = F.create_map(F.lit("court"), F.lit("SC"), F.lit("section"), F.lit("80C"))
-    actual = F.when(F.col("id") % 3 == 0, F.create_map(F.lit("section"), F.lit("80C"), F.lit("court"), F.lit("SC"))).otherwise(F.create_map(F.lit("court"), F.lit("SC")))
+    expected = F.create_map(F.lit("court"), F.lit("SC"), F.lit("section"), F.lit("17D"))
+    actual = F.when(F.col("id") % 3 == 0, F.create_map(F.lit("section"), F.lit("17D"), F.lit("court"), F.lit("SC"))).otherwise(F.create_map(F.lit("court"), F.lit("SC")))
     rows = spark.range(60).select(expected.alias("expected"), actual.alias("actual"), F.when(F.col("id") % 5 == 0, "timeout").alias("error"))
     return evaluate.intent_passes(rows)
 

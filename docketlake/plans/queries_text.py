@@ -108,7 +108,7 @@ def synonym_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     _strings(
-        f"SELECT n, t AS token, upper(t) IN ('AAR', 'HIGHCOURT', 'ITAT') AS is_court, upper(t) IN ('CTR', 'ITR', 'SCC') AS is_journal, upper(t) IN ({', '.join(repr(w) for w in sorted(SAMPLE.stopwords))}) AS is_stopword, CASE upper(t) WHEN '115I' THEN '115-I' WHEN '54F' THEN '54-F' ELSE t END AS normal FROM (SELECT n, unnest({_WORDS.format(q='q')}) AS t FROM strings)"
+        f"SELECT n, t AS token, upper(t) IN ('AAR', 'HIGHCOURT', 'ITAT') AS is_court, upper(t) IN ('CTR', 'ITR', 'SCC') AS is_journal, upper(t) IN ({', '.join(repr(w) for w in sorted(SAMPLE.stopwords))}) AS is_stopword, CASE upper(t) WHEN '115I' THEN '115-I' WHEN '12A' THEN '12-A' ELSE t END AS normal FROM (SELECT n, unnest({_WORDS.format(q='q')}) AS t FROM strings)"
     )
 )
 def lexicon_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -156,13 +156,13 @@ def safe_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rewritten.select("n", T.safe_rewrite(F.col("q"), F.col("r")).alias("kept"))
 
 
-_FILTERS = "concat_ws('', CASE WHEN n % 2 = 0 THEN 'court=Supreme court;' ELSE 'court=Delhi High Court;' END, 'section=54F;', 'judge=Nobody;', 'colour=red;')"
+_FILTERS = "concat_ws('', CASE WHEN n % 2 = 0 THEN 'court=Supreme court;' ELSE 'court=Oslo High Court;' END, 'section=12A;', 'judge=Nobody;', 'colour=red;')"
 
 
-@query(_strings("SELECT n, array_to_string(list_filter([CASE WHEN n % 2 = 0 THEN 'court=Supreme court' ELSE 'court=Delhi High Court' END, 'section=54F', 'judge=Nobody'], lambda p: contains(lower(q), lower(split_part(p, '=', 2)))), ';') AS kept FROM strings"))
+@query(_strings("SELECT n, array_to_string(list_filter([CASE WHEN n % 2 = 0 THEN 'court=Supreme court' ELSE 'court=Oslo High Court' END, 'section=12A', 'judge=Nobody'], lambda p: contains(lower(q), lower(split_part(p, '=', 2)))), ';') AS kept FROM strings"))
 def sanitize_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    court = F.when(F.col("n") % 2 == 0, "Supreme court").otherwise("Delhi High Court")
-    given = F.create_map(F.lit("court"), court, F.lit("section"), F.lit("54F"), F.lit("judge"), F.lit("Nobody"), F.lit("colour"), F.lit("red"))
+    court = F.when(F.col("n") % 2 == 0, "Supreme court").otherwise("Oslo High Court")
+    given = F.create_map(F.lit("court"), court, F.lit("section"), F.lit("12A"), F.lit("judge"), F.lit("Nobody"), F.lit("colour"), F.lit("red"))
     kept = F.map_entries(P.sanitised(F.col("q"), given))
     return fixtures.query_strings(spark).select("n", F.array_join(F.transform(kept, lambda e: F.concat_ws("=", e["key"], e["value"])), ";").alias("kept"))
 

@@ -36,19 +36,19 @@ FROM documents
 """
 _CHUNK_COLLECTION = "CASE (doc_id + pos) % 6 WHEN 0 THEN 'case_summary' WHEN 1 THEN 'digest' WHEN 2 THEN 'headnotes' WHEN 3 THEN 'facts' WHEN 4 THEN 'held' ELSE 'ruling' END"
 _STRINGS = (
-    "2024 ITR 123 exemption",
-    "2024itrnews.com 123",
-    "Section 54F exemption eligibility",
-    "State v. Doe",
-    "between 2020 and 2022",
-    "can a company claim depreciation on goodwill",
-    'Section 6 of "Income India" in case of Supreme court',
-    "Delhi High Court ruling on depreciation",
-    "u/s 80C",
-    "the number 80C alone",
-    "ACIT order on depreciation",
-    "Rule 6 7 of High Court Tribunal",
-    "ACIT v. CIT under Section 54F of the CGST Act 2017",
+    "1998 KLM 77 lease renewal",
+    "1998klmnotes 77",
+    "Rule 19 late filing of a claim",
+    "Harbour Board v. Marlowe Shipping",
+    "from 1975 to 1981",
+    "is a ferry ticket a contract of carriage",
+    'Clause 14 with "night ferry" in case of Supreme court',
+    "Oslo High Court order on salvage",
+    "u/s 12A",
+    "the number 12A alone",
+    "ACIT letter on salvage",
+    "Rule 3 4 of High Court Tribunal",
+    "ACIT v. CIT under Article 8 of the CGST Act 2017",
 )
 
 

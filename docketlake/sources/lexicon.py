@@ -36,7 +36,7 @@ SAMPLE = Lexicon(
     journals={"ITR", "SCC", "CTR"},
     stopwords={"ABLE", "OF", "IN", "CASE", "THE", "ON"},
     synonyms={"ACIT": ["ASSISTANT COMMISSIONER INCOME TAX"], "CIT": ["COMMISSIONER INCOME TAX", "COMMISSIONER OF INCOME TAX"], "DEPRECIATION": ["amortisation"]},
-    normal={"115I": "115-I", "54F": "54-F"},
+    normal={"115I": "115-I", "12A": "12-A"},
 )
 
 

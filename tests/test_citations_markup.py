@@ -11,16 +11,22 @@ def value(spark, column):
 
 @pytest.mark.parametrize(
     ("answer", "ids"),
-    [("See [999] and [111] and [222].", ["999", "111", "222"]), ("[sic] [1] [emphasis added]", []), ("[d1, d2] [gold-1]", ["d1", "d2", "gold-1"]), ("[Section 80C](x)", []), ("", [])],
+    [
+        ("It follows [k40], then [7731], then [k40].", ["k40", "7731"]),
+        ("He wrote [recte] and [4], with [a note].", []),
+        ("[b12 ,c9] holds; [roll-88]", ["b12", "c9", "roll-88"]),
+        ("[Clause 12](a link)", []),
+        ("", []),
+    ],
 )
 def test_cited_ids(spark, answer, ids):
     assert value(spark, C.cited_ids(F.lit(answer))) == ids
 
 
 def test_invalid_ids_and_flags(spark):
-    answer = F.lit("See [999] and [111] and [222].")
-    seen = F.array(F.lit("222"))
-    assert value(spark, C.invalid_ids(answer, seen)) == ["111", "999"]
+    answer = F.lit("Held in [m63], [k40] and [7731].")
+    seen = F.array(F.lit("7731"))
+    assert value(spark, C.invalid_ids(answer, seen)) == ["k40", "m63"]
     assert not value(spark, C.citation_valid(answer, seen))
     assert not value(spark, C.citation_valid(F.lit(""), seen))
     assert value(spark, C.gold_cited(answer, seen))

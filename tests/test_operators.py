@@ -66,7 +66,7 @@ def test_cards(spark):
 
 
 def index(spark):
-    rows = [("1", "[2020] 1 ITR 2 (SC)", "A Ltd vs. B", "gift tax", ["J One"], "2001-01-01"), ("2", "Section - 80C", "Reliance Industries", "income", ["J Two"], "2010-01-01"), ("3", "[2019] 5 (Delhi)", "Industries", "gift", ["J One", "J Three"], None)]
+    rows = [("1", "[2020] 1 ITR 2 (SC)", "A Ltd vs. B", "gift tax", ["J One"], "2001-01-01"), ("2", "Section - 17D", "Northwind Traders", "income", ["J Two"], "2010-01-01"), ("3", "[2019] 5 (Delhi)", "Traders", "gift", ["J One", "J Three"], None)]
     return spark.createDataFrame(rows, "id string, heading string, subheading string, fullcontent string, judges array<string>, d string").withColumn("formatteddocumentdate", F.col("d").cast("date"))
 
 
@@ -74,11 +74,11 @@ def index(spark):
     ("given", "ids"),
     [
         ({"court": "Supreme Court"}, ["1"]),
-        ({"section": "80C"}, ["2"]),
+        ({"section": "17D"}, ["2"]),
         ({"act": "gift act"}, ["1", "3"]),
         ({"judge": "J One"}, ["1", "3"]),
         ({"judge": "Three"}, ["3"]),
-        ({"party": "Reliance Industries"}, ["2"]),
+        ({"party": "Northwind Traders"}, ["2"]),
         ({"date_range": {"gte": "2005-01-01"}}, ["2"]),
         ({"court": "Supreme Court", "date_range": "2020"}, ["1"]),
         ({"court": "Delhi bench"}, ["3"]),
