@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import ctypes
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Text bytes that a Python step handles at once; bounds its working memory.
 SLICE_BYTES = 2 << 20
@@ -21,20 +22,36 @@ BITMAP_BITS = 1 << 26
 def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
     """Cut the lineage by a reliable checkpoint in the folder that the session names.
 
-    spark.checkpoint.dir is read from the session; only where it is unset (tests) a local folder is made.
+    spark.checkpoint.dir is read from the session; only where it is unset on a local master (tests) a local folder
+    is made, as executors of a cluster would not share it.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint_"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; unset, a temporary one on a local master, and an error on a cluster."""
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir")
+    if folder:
+        return folder
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir is not set: on a cluster it must name a folder that driver and executors share")
+    return tempfile.mkdtemp(prefix="checkpoint_")
+
+
 def few_rows(df: DataFrame, most: int = 50_000) -> DataFrame:
     """df with a broadcast hint if it has ``most`` rows or fewer; else as it is, so that joins shuffle."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def named(name: str) -> Column:
+    """The column of exactly this name, dots and other marks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def free_name(df: DataFrame, base: str) -> str:
     """A column name that df does not have."""
     taken, name = {c.lower() for c in df.columns}, base
@@ -43,6 +60,18 @@ def free_name(df: DataFrame, base: str) -> str:
     return name
 
 
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], out: T.StructType) -> DataFrame:
+    """mapInArrow for columns of any name, dots included: rows go to the workers and come back under plain names."""
+    names = df.columns
+    plain = T.StructType([T.StructField(f"c{i}", f.dataType, f.nullable) for i, f in enumerate(out.fields)])
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in run(b.rename_columns(names) for b in batches):
+            yield batch.rename_columns(plain.names)
+
+    return df.toDF(*(f"c{i}" for i in range(len(names)))).mapInArrow(wrapped, plain).toDF(*out.names)
+
+
 def give_back() -> None:
     """Return freed memory to the system, which the allocators of a worker that lives on would keep."""
     pa.default_memory_pool().release_unused()

@@ -1,17 +1,23 @@
 """N-gram Jaccard self-join by a MinHash LSH forest with exact verification.
 
 Texts are first reduced to classes of equal word sequences, so exact copies cost one row each. Every
-class has ``trees`` labels of up to ``depth`` MinHash values: the paths of a forest of prefix tries. Prefixes
-start at full depth and are shortened until the chance that a pair at the threshold shares a prefix in some tree
-reaches the target recall; the classes below one node of that depth are a bucket.
+class has a signature: for each of ``trees`` trees a path of ``depth`` MinHash values of 16 bits, as bytes whose
+order is that of the tree's sorted trie, so that a prefix of the bytes is a node. Two classes are compared if in some tree the prefix that
+counts for both is the same: they are in one bucket.
+
+Prefixes start at the full depth and are shortened one value at a time. A matched prefix that holds ``small_bucket`` classes or fewer
+is shortened on, as it costs little; one that would be crowded is shortened only while one of its classes has not reached the target:
+the chance 1 - prod(1 - threshold ** depth of its prefix in a tree) that it meets a partner at the threshold. So classes of crowded
+and of thin regions end at different depths, and all reach the recall. At ``prefix_depth`` the target holds even if all trees stop
+there; thin prefixes go one value further, which leaves room for the crowded ones to stay long.
 
 * Small buckets give pairs, each once, which are verified on the exact shingle sets.
 * A bucket of more than ``small_bucket`` classes is cut into blocks; tiles of two blocks are counted by a matrix
   product, and give one row for each member: its number of links and an edge that keeps the tile's
   links connected. So a large group of near copies makes no row for each pair, and still each of its
-  pairs is compared.
+  pairs is compared. A tile reads the sets of those members only that have a pair which no earlier tree held.
 
-Groups are the connected components of the links, found by label propagation with checkpoints.
+Groups are the connected components of the links, found by label propagation with checkpoints; labels are ordered by document.
 """
 
 from __future__ import annotations
@@ -20,21 +26,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import bitmap, checkpoint, free_name, marked, mix64, runs_of, signed, slices, word_hashes
+from ._common import bitmap, checkpoint, free_name, map_batches, marked, mix64, named, runs_of, signed, slices, word_hashes
 
 WORDS, THRESHOLD = 5, 0.8
-#: Trees of the forest, hash values on a path, and the share of pairs at the threshold that must meet.
-TREES, DEPTH, RECALL = 24, 8, 0.9995
+#: Trees of the forest, hash values on a path and bytes of each, and the share of pairs at the threshold that must meet.
+TREES, DEPTH, BYTES, RECALL = 32, 8, 2, 0.9999
 #: Classes of a bucket up to which it gives pairs, and members of a block of a larger bucket.
 SMALL, BLOCK = 64, 256
 
 
 def prefix_depth(threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> int:
-    """The longest prefix at which a pair at the threshold meets in some tree with the target recall."""
+    """The longest prefix at which a pair at the threshold meets with the target recall if it counts in all trees."""
     for k in range(depth, 0, -1):
         if 1 - (1 - threshold**k) ** trees >= recall:
             return k
@@ -42,23 +48,24 @@ def prefix_depth(threshold: float = THRESHOLD, trees: int = TREES, depth: int =
 
 
 def signatures(shingles: np.ndarray, counts: np.ndarray, trees: int, depth: int) -> np.ndarray:
-    """A row of ``trees`` labels for each text: the hash of its path's first ``depth`` MinHash values."""
+    """An array (text, tree, depth) of 16-bit MinHash values; zeros for a text without shingles."""
     full = counts > 0
-    out = np.zeros((len(counts), trees), dtype=np.uint64)
+    out = np.zeros((len(counts), trees, depth), dtype=">u2")
     if not full.any():
         return out
     starts = (np.cumsum(counts) - counts)[full]
     rng = np.random.Generator(np.random.PCG64(20240229))
     odd = rng.integers(1, 2**63, size=(trees, depth), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     shift = rng.integers(0, 2**63, size=(trees, depth), dtype=np.uint64)
+    values = np.empty_like(shingles)
     for t in range(trees):
-        label = np.full(int(full.sum()), t + 1, dtype=np.uint64)
         for k in range(depth):
-            # multiply, then keep the high half: the low bits of a product are not mixed
-            values = (shingles ^ shift[t, k]) * odd[t, k]
-            values = (values ^ (values >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)
-            label = mix64(label * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(values, starts))
-        out[full, t] = label
+            # the high half of a product is mixed, its low bits are not
+            np.bitwise_xor(shingles, shift[t, k], out=values)
+            np.multiply(values, odd[t, k], out=values)
+            np.right_shift(values, np.uint64(24), out=values)
+            least = np.minimum.reduceat(values, starts)
+            out[full, t, k] = mix64(least) & np.uint64(0xFFFF)
     return out
 
 
@@ -80,20 +87,59 @@ def _distinct(shingles: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
     return [np.unique(shingles[e - c : e]) for e, c in zip(ends, counts, strict=True)]
 
 
+def _slim(docs: DataFrame, key: str, text: str) -> DataFrame:
+    return docs.select(named(key).cast("long").alias("id"), named(text).cast("string").alias("text"))
+
+
 def classes(docs: DataFrame, key: str, text: str, words: int, trees: int, depth: int) -> DataFrame:
-    """id, k1, k2, n_shingles, labels: one row per row of docs; equal word sequences have equal (k1, k2)."""
+    """id, k1, k2, n_shingles, signature: one row per row of docs; equal word sequences have equal (k1, k2)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             hashes, counts = word_hashes(batch.column(1))
             shingles, n = runs_of(hashes, counts, words)
             keys = _keys(hashes, counts)
-            labels = signatures(shingles, n, trees, depth)
-            lists = pa.FixedSizeListArray.from_arrays(signed(labels.reshape(-1)), trees).cast(pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), signed(np.ascontiguousarray(keys[:, 0])), signed(np.ascontiguousarray(keys[:, 1])), pa.array(n), lists], names=["id", "k1", "k2", "n_shingles", "labels"])
-
-    source = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    return source.mapInArrow(run, "id long, k1 long, k2 long, n_shingles long, labels array<long>")
+            packed = signatures(shingles, n, trees, depth).reshape(len(n), -1)
+            paths = pa.array([row.tobytes() if m else None for row, m in zip(packed, n, strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), signed(np.ascontiguousarray(keys[:, 0])), signed(np.ascontiguousarray(keys[:, 1])), pa.array(n), paths], names=["id", "k1", "k2", "n_shingles", "signature"])
+
+    return _slim(docs, key, text).mapInArrow(run, "id long, k1 long, k2 long, n_shingles long, signature binary")
+
+
+def _node(depth: int) -> Column:
+    return F.substring("path", 1, BYTES * depth)
+
+
+def buckets(reps: DataFrame, trees: int, depth: int, shortest: int, threshold: float, recall: float, small: int) -> DataFrame:
+    """tree, rep, depth, bucket, members: the node that each class (rep, signature) ends at in each tree where another one ends there too."""
+    cut = F.substring("signature", F.col("tree") * (BYTES * depth) + 1, F.lit(BYTES * depth))
+    paths = reps.select("rep", "signature", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")).select("tree", "rep", cut.alias("path"))
+    sizes = paths.groupBy("tree", _node(shortest).alias("node")).agg(F.count("*").alias("members")).where("members > 1")
+    shared = checkpoint(paths.withColumn("node", _node(shortest)).join(sizes, ["tree", "node"]).select("tree", "rep", "path", "members"))
+    name = F.expr(f"xxhash64(tree, depth, substring(path, 1, {BYTES} * depth)) | 1").alias("bucket")
+    calm = shared.where(F.col("members") <= small).withColumn("depth", F.lit(shortest)).select("tree", "rep", "depth", name, "members")
+    crowd = shared.where(F.col("members") > small).drop("members")
+    if crowd.isEmpty():
+        return calm
+    # the sizes of all nodes, from the full paths upwards, and with them the shortest prefix of each path that is not crowded
+    full = crowd.groupBy("tree", "path").agg(F.count("*").alias("n"))
+    ends, above = full.select("tree", "path").withColumn("depth", F.lit(depth)), full
+    for d in range(depth - 1, shortest, -1):
+        above = above.groupBy("tree", _node(d).alias("path")).agg(F.sum("n").alias("n"))
+        free = above.where(F.col("n") <= small).select("tree", F.col("path").alias("node"), F.lit(d).alias("d"))
+        ends = ends.withColumn("node", _node(d)).join(free, ["tree", "node"], "left").select("tree", "path", F.coalesce("d", "depth").alias("depth"))
+    crowd = checkpoint(crowd.join(ends, ["tree", "path"]).select("tree", "rep", "path", "depth"))
+    # a class lacks recall while the chance that all its trees miss is above the target's; trees out of the crowd end at the shortest prefix
+    miss = F.sum(F.log1p(-F.pow(F.lit(threshold), F.col("depth")))) + (trees - F.count("*")) * float(np.log1p(-(threshold**shortest)))
+    for d in range(depth - 1, shortest - 1, -1):
+        lacking = crowd.groupBy("rep").agg(miss.alias("miss")).where(F.col("miss") > float(np.log1p(-recall))).select("rep")
+        short = crowd.where(F.col("depth") > d).join(lacking, "rep", "left_semi").select("tree", _node(d).alias("node")).distinct().withColumn("hit", F.lit(True))
+        # all classes below a node that is shortened come to stand at it
+        moved = F.when(F.col("hit") & (F.col("depth") > d), F.lit(d)).otherwise(F.col("depth"))
+        crowd = checkpoint(crowd.withColumn("node", _node(d)).join(short, ["tree", "node"], "left").select("tree", "rep", "path", moved.alias("depth")))
+    crowd = crowd.select("tree", "rep", "depth", name)
+    members = crowd.groupBy("tree", "bucket").agg(F.count("*").alias("members")).where("members > 1")
+    return calm.unionByName(crowd.join(members, ["tree", "bucket"]).select("tree", "rep", "depth", "bucket", "members"))
 
 
 def shingle_sets(docs: DataFrame, key: str, text: str, words: int, wanted: DataFrame) -> DataFrame:
@@ -117,8 +163,7 @@ def shingle_sets(docs: DataFrame, key: str, text: str, words: int, wanted: DataF
             sets = [s.astype("<u8").tobytes() for s in _distinct(shingles, n)]
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(hit)), signed(np.ascontiguousarray(keys[hit, 0])), signed(np.ascontiguousarray(keys[hit, 1])), pa.array(sets, pa.binary())], names=["id", "k1", "k2", "grams"])
 
-    source = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    found = source.mapInArrow(run, "id long, k1 long, k2 long, grams binary")
+    found = _slim(docs, key, text).mapInArrow(run, "id long, k1 long, k2 long, grams binary")
     return found.join(wanted.select("id", "k1", "k2", "rep"), ["id", "k1", "k2"]).dropDuplicates(["rep"]).select("rep", "grams")
 
 
@@ -161,30 +206,44 @@ def _common_counts(left: list[np.ndarray], right: list[np.ndarray], columns: int
     return out
 
 
+def _sides(table: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray, bool]:
+    """(members by side and rep, places of the left ones, of the right ones, which pairs no earlier tree's bucket holds, whether the block is paired with itself)."""
+    table = table.sort_by([("side", "ascending"), ("rep", "ascending")]).combine_chunks()
+    side, tree = table.column("side").to_numpy(), table.column("tree")[0].as_py()
+    diagonal = table.column("i")[0].as_py() == table.column("j")[0].as_py()
+    large = np.array(table.column("large").combine_chunks().flatten().fill_null(0)).reshape(len(side), -1)
+    left = np.flatnonzero(side == 0)
+    right = left if diagonal else np.flatnonzero(side == 1)
+    new = np.ones((len(left), len(right)), dtype=bool)
+    for t in range(tree):
+        new &= (large[left, t][:, None] != large[right, t][None, :]) | (large[left, t] == 0)[:, None]
+    if diagonal:
+        np.fill_diagonal(new, False)
+    return table, left, right, new, diagonal
+
+
+def _needed(table: pa.Table) -> pa.Table:
+    """The members of a tile that have a pair which counts here."""
+    table, left, right, new, diagonal = _sides(table)
+    keep = np.zeros(table.num_rows, dtype=bool)
+    keep[left[new.any(1)]] = True
+    keep[right[new.any(0)]] = True
+    return table.filter(pa.array(keep)).select(["tree", "bucket", "rep", "i", "j", "side"])
+
+
 def _tile(threshold: float):
-    """Links within a tile: rows (a, b, n, w): an edge of a forest that spans the tile's links, or counts of links for a."""
+    """Links within a tile: rows (a, b, n): the number of links of member a, and an edge of a forest that spans the tile's links."""
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("rep", "ascending"), ("side", "ascending")])
-        reps, side, tree = table.column("rep").to_numpy(), table.column("side").to_numpy(), table.column("tree")[0].as_py()
-        diagonal = table.column("i")[0].as_py() == table.column("j")[0].as_py()
+        table, left, right, linked, diagonal = _sides(table)
+        reps, copies = table.column("rep").to_numpy(), table.column("copies").to_numpy()
         grams = [np.frombuffer(x, "<u8") for x in table.column("grams").to_pylist()]
-        labels = np.array(table.column("labels").to_pylist(), dtype=np.int64).reshape(len(reps), -1)
-        large = np.array(table.column("large").to_pylist(), dtype=bool).reshape(len(reps), -1)
-        copies = table.column("copies").to_numpy()
-        left = np.flatnonzero(side == 0)
-        right = left if diagonal else np.flatnonzero(side == 1)
         empty = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "n": pa.array([], pa.int64())})
         if not len(left) or not len(right):
             return empty
         common = _common_counts([grams[x] for x in left], [grams[x] for x in right])
         sizes = np.array([len(g) for g in grams], dtype=np.float64)
-        linked = (common > 0) & (common >= threshold * (sizes[left][:, None] + sizes[right][None, :] - common) - 1e-9)
-        for t in range(tree):  # a pair counts in the first tree where a large bucket holds both
-            both = (labels[left, t][:, None] == labels[right, t][None, :]) & large[left, t][:, None] & large[right, t][None, :]
-            linked &= ~both
-        if diagonal:
-            np.fill_diagonal(linked, False)
+        linked &= (common > 0) & (common >= threshold * (sizes[left][:, None] + sizes[right][None, :] - common) - 1e-9)
         if not linked.any():
             return empty
         degree: dict[int, int] = {}
@@ -210,15 +269,20 @@ def _tile(threshold: float):
     return run
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """node, root: the smallest node of each component; edges: a, b. Labels take the least of their neighbours' and then jump to their label's label."""
-    both = checkpoint(edges.where("a <> b").select("a", "b").unionByName(edges.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    state = checkpoint(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")))
+def components(edges: DataFrame, ids: DataFrame, rounds: int = 40) -> DataFrame:
+    """node, root: the least (id, node) of each component; edges: a, b; ids: node, id.
+
+    Labels take the least of their neighbours' and then jump to their label's label.
+    """
+    ends = edges.where("a <> b").select("a", "b")
+    both = checkpoint(ends.unionByName(ends.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    state = checkpoint(both.select(F.col("a").alias("node")).distinct().join(ids, "node").select("node", F.struct("id", "node").alias("root")))
     for _ in range(rounds):
         near = both.join(state.select(F.col("node").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("m"))
         low = state.join(near.withColumnRenamed("a", "node"), "node").select("node", F.col("root").alias("old"), F.least("root", "m").alias("root"))
-        jump = low.select(F.col("node").alias("root"), F.col("root").alias("far"))
-        new = checkpoint(low.join(jump, "root", "left").select("node", "old", F.least("root", F.coalesce("far", "root")).alias("root")))
+        jump = low.select(F.col("node").alias("at"), F.col("root").alias("far"))
+        new = low.withColumn("at", F.col("root.node")).join(jump, "at", "left")
+        new = checkpoint(new.select("node", "old", F.least("root", F.coalesce("far", "root")).alias("root")))
         changed = new.where("old <> root").limit(1).count()
         state = new.select("node", "root")
         if not changed:
@@ -241,47 +305,47 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int =
 
 def _grouped(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL, small_bucket: int = SMALL, block: int = BLOCK) -> DataFrame:
     """id, k1, k2, root, class_id, n_links, n_copies: as ``join``, with the class of the row's words and its component (null: no words or no key)."""
-    k = prefix_depth(threshold, trees, depth, recall)
-    rows = checkpoint(classes(docs, key, text, words, trees, k))
+    shortest = max(1, prefix_depth(threshold, trees, depth, recall) - 1)
+    rows = checkpoint(classes(docs, key, text, words, trees, depth))
     valid = rows.where("id IS NOT NULL AND n_shingles > 0")
-    reps = checkpoint(valid.groupBy("k1", "k2").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("labels").alias("labels")).withColumn("rep", F.xxhash64("k1", "k2")))
-    nodes = reps.select("rep", F.posexplode("labels").alias("tree", "label"))
-    sizes = nodes.groupBy("tree", "label").agg(F.count("*").alias("members")).where("members > 1")
-    members = checkpoint(nodes.join(sizes, ["tree", "label"]))
+    # numbers, not hashes, name the classes: they are fixed once they are written, and no two are equal
+    reps = checkpoint(valid.groupBy("k1", "k2").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("signature").alias("signature")).withColumn("rep", F.monotonically_increasing_id()))
+    members = checkpoint(buckets(reps, trees, depth, shortest, threshold, recall, small_bucket))
     small, large = members.where(F.col("members") <= small_bucket), members.where(F.col("members") > small_bucket)
-    flags = members.groupBy("rep").agg(F.collect_set(F.when(F.col("members") > small_bucket, F.col("tree"))).alias("at"))
-    wanted = flags.join(reps, "rep").select("rep", "id", "k1", "k2", "copies", "labels", F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.array_contains("at", t)).alias("large"))
-    wanted = checkpoint(wanted)
+    flags = members.groupBy("rep").agg(F.collect_list(F.when(F.col("members") > small_bucket, F.struct("tree", "bucket"))).alias("at"))  # one of each tree at most
+    at = F.map_from_entries("at")
+    by_tree = F.when(F.size("at") > 0, F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.try_element_at(at, t)))
+    wanted = checkpoint(flags.select("rep", by_tree.alias("large")).join(reps.drop("signature"), "rep").select("rep", "id", "k1", "k2", "copies", "large"))
     sets = checkpoint(shingle_sets(docs, key, text, words, wanted))
 
-    left, right = small.select("tree", "label", F.col("rep").alias("a")), small.select("tree", "label", F.col("rep").alias("b"))
-    pairs = left.join(right, ["tree", "label"]).where("a < b").select("a", "b").distinct()
-    info = wanted.where(F.exists("large", lambda x: x)).select("rep", "labels", "large")
+    left, right = small.select("tree", "bucket", F.col("rep").alias("a")), small.select("tree", "bucket", F.col("rep").alias("b"))
+    pairs = left.join(right, ["tree", "bucket"]).where("a < b").select("a", "b").distinct()
+    info = wanted.where("large IS NOT NULL").select("rep", "large")
     # a pair that also meets in a large bucket is counted there
-    meets = F.exists(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.get("large_a", t) & F.get("large_b", t) & (F.get("labels_a", t) == F.get("labels_b", t)))
-    pairs = pairs.join(info.select(F.col("rep").alias("a"), F.col("labels").alias("labels_a"), F.col("large").alias("large_a")), "a", "left")
-    pairs = pairs.join(info.select(F.col("rep").alias("b"), F.col("labels").alias("labels_b"), F.col("large").alias("large_b")), "b", "left")
+    meets = F.exists(F.arrays_zip("large_a", "large_b"), lambda x: F.coalesce(x["large_a"] == x["large_b"], F.lit(False)))
+    pairs = pairs.join(info.select(F.col("rep").alias("a"), F.col("large").alias("large_a")), "a", "left")
+    pairs = pairs.join(info.select(F.col("rep").alias("b"), F.col("large").alias("large_b")), "b", "left")
     pairs = pairs.where(~F.coalesce(meets, F.lit(False))).select("a", "b")
     with_sets = pairs.join(sets.select(F.col("rep").alias("a"), F.col("grams").alias("grams_a")), "a").join(sets.select(F.col("rep").alias("b"), F.col("grams").alias("grams_b")), "b")
     links = checkpoint(with_sets.select("a", "b", "grams_a", "grams_b").mapInArrow(_verify(threshold), "a long, b long"))
 
     blocks = F.ceil(F.col("members") / block).cast("int")
     cut = large.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rep", F.lit("block")), F.col("blocks")).cast("int"))
-    tiles = cut.select("tree", "label", "rep", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    tiles = tiles.select("tree", "label", "rep", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
-    tiles = tiles.join(wanted.select("rep", "copies", "labels", "large"), "rep").join(sets, "rep")
-    counted = checkpoint(tiles.groupBy("tree", "label", "i", "j").applyInArrow(_tile(threshold), "a long, b long, n long"))
+    tiles = cut.select("tree", "bucket", "rep", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    tiles = tiles.select("tree", "bucket", "rep", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
+    tiles = tiles.join(info, "rep").groupBy("tree", "bucket", "i", "j").applyInArrow(_needed, "tree int, bucket long, rep long, i int, j int, side int")
+    tiles = tiles.join(wanted.select("rep", "copies", "large"), "rep").join(sets, "rep")
+    counted = checkpoint(tiles.groupBy("tree", "bucket", "i", "j").applyInArrow(_tile(threshold), "a long, b long, n long"))
 
     copies = reps.select("rep", "copies")
     ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     counts = ends.join(copies.withColumnRenamed("rep", "b"), "b").groupBy("a").agg(F.sum("copies").alias("n")).unionByName(counted.groupBy("a").agg(F.sum("n").alias("n")))
     counts = counts.groupBy("a").agg(F.sum("n").alias("n")).withColumnRenamed("a", "rep")
-    roots = components(links.unionByName(counted.select("a", "b"))).withColumnRenamed("node", "rep")
-    named = reps.join(roots, "rep", "left").join(counts, "rep", "left").select("k1", "k2", "id", "copies", F.coalesce("root", "rep").alias("root"), F.coalesce("n", F.lit(0)).alias("n"))
-    least = named.groupBy("root").agg(F.min("id").alias("class_id"))
-    named = named.join(least, "root").select("k1", "k2", "root", "class_id", "copies", "n")
+    roots = components(links.unionByName(counted.select("a", "b")), reps.select(F.col("rep").alias("node"), "id")).withColumnRenamed("node", "rep")
+    known = reps.join(roots, "rep", "left").join(counts, "rep", "left")
+    known = known.select("k1", "k2", F.coalesce("root.node", "rep").alias("root"), F.coalesce("root.id", "id").alias("class_id"), "copies", F.coalesce("n", F.lit(0)).alias("n"))
     alone = (F.col("n_shingles") == 0) | F.col("id").isNull()
-    out = rows.select("id", "k1", "k2", "n_shingles").join(named, ["k1", "k2"], "left")
+    out = rows.select("id", "k1", "k2", "n_shingles").join(known, ["k1", "k2"], "left")
     return out.select(
         "id",
         "k1",
@@ -304,7 +368,7 @@ def _with_class(docs: DataFrame, text: str, k1: str, k2: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names[:-1], k1, k2])
 
     out = T.StructType([*docs.schema.fields, T.StructField(k1, T.LongType()), T.StructField(k2, T.LongType())])
-    return docs.withColumn(plain, docs[text].cast("string")).mapInArrow(run, out)
+    return map_batches(docs.withColumn(plain, named(text).cast("string")), run, out)
 
 
 def one_per_group(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -321,17 +385,19 @@ def one_per_group(docs: DataFrame, key: str = "doc_id", text: str = "text", **op
         better = touched.agg(F.min(F.struct("shared", "id")).alias("m"), F.max("shared").alias("any")).where("any").select("root", F.col("m.id").alias("least"))
         groups = checkpoint(groups.join(better, "root", "left").select("id", "k1", "k2", "root", F.coalesce("least", "class_id").alias("class_id")))
     keys = groups.where("id IS NOT NULL").groupBy("id").agg((F.count("*") > 1).alias("again"), F.max(F.col("id") != F.col("class_id")).alias("moved"))
-    named = checkpoint(keys.where("again OR moved").select(F.col("id").alias("_named"), "again"))
-    alone = docs.join(named, docs[key].cast("long") == named["_named"], "left_anti")
+    number, again = free_name(docs, "number"), free_name(docs, "again")
+    touched = checkpoint(keys.where("again OR moved").select(F.col("id").alias(number), F.col("again").alias(again)))
+    columns = [named(c) for c in docs.columns]
+    numbered = docs.withColumn(number, named(key).cast("long"))
+    alone = numbered.join(touched, number, "left_anti").select(*columns)
 
-    several = named.where("again").select("_named")
+    several = touched.where(F.col(again)).select(number)
     k1, k2, own = free_name(docs, "k1"), free_name(docs, "k2"), free_name(docs, "own")
-    held = _with_class(docs.join(several, docs[key].cast("long") == several["_named"], "left_semi"), text, k1, k2)
-    number = free_name(docs, "number")
+    held = _with_class(numbered.join(several, number, "left_semi").select(*columns, number), text, k1, k2)
     first = groups.where("id = class_id").select(F.col("id").alias(number), F.col("k1").alias(k1), F.col("k2").alias(k2), F.col("root").alias(own)).distinct()
-    held = held.withColumn(number, held[key].cast("long")).join(first, [number, k1, k2])
+    held = held.join(first, [number, k1, k2])
     # without words there is no group: equal texts count as one
-    part = [F.col(number), F.col(own), F.when(F.col(own).isNull(), held[text])]
-    place = Window.partitionBy(*part).orderBy(held[text])
-    held = held.select(*(held[c] for c in docs.columns), F.row_number().over(place).alias(own)).where(F.col(own) == 1)
-    return alone.unionByName(held.select(*docs.columns))
+    part = [F.col(number), F.col(own), F.when(F.col(own).isNull(), named(text))]
+    place = Window.partitionBy(*part).orderBy(named(text))
+    held = held.select(*columns, F.row_number().over(place).alias(own)).where(F.col(own) == 1)
+    return alone.unionByName(held.select(*columns))
