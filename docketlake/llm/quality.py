@@ -1,10 +1,16 @@
 """Quality classifier learned from trusted positives and unlabelled text.
 
 Features are computed over whole texts: the frequencies of pairs of neighbouring character
-classes, and shares such as that of distinct words in bins. A linear model minimises the
-non-negative unbiased risk  pi R+(f) + max(0, R-u(f) - pi R-p(f))  with the logistic loss,
-where pi is the class prior estimated from the labelled rows that may be learned from. Its
-margin is then scaled to a probability on those same rows.
+classes, and shares such as that of distinct words in bins. A linear margin f minimises the
+non-negative unbiased risk  pi R+(f) + max(0, R-u(f) - pi R-p(f))  with the squared loss,
+where pi is the class prior. With that loss all three parts are quadratic forms in the moments of the
+features, so one distributed pass over all unlabelled texts and the trusted positives gathers what the fit needs: two
+matrices whose size depends on the number of features only. Features are whole numbers there, so sums are exact and
+do not depend on the order of rows or on which task is run again.
+
+The prior is estimated from positives and unlabelled text alone: the share of the positives' density that fits best
+into the unlabelled one by the Pearson divergence, 1 / (h' S^-1 h) with the positives' mean h and the unlabelled second moments S. Labels
+other than positives are used nowhere; scores follow from the margin, whose (f + 1) / 2 estimates the probability.
 """
 
 from __future__ import annotations
@@ -15,39 +21,37 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import checkpoint, free_name, slices, word_hashes
+from ._common import checkpoint, free_name, map_batches, named, slices, word_hashes
+
+#: Largest number of trusted positives that training uses; all unlabelled texts count.
+MAX_POSITIVES = 20_000
+#: Whole numbers that a feature of 1 becomes in the moments; tasks whose moments are added at a time; weight of the ridge.
+GRID, FAN, RIDGE = 1024, 32, 1e-4
+#: Steepness of scores around a probability of a half: with it a probability of 0.3 has the score 0.3.
+STEEP = float(np.log(0.7 / 0.3) / 0.2)
+#: Bytes of a text that are counted at a time.
+WINDOW = 1 << 20
+
+# Punctuation marks that make one class each.
+MARKS = (".", ",;", "!?", "'\"", "-_", ":", "/\\", "()[]", "{}", "<>", "=+*|", "#$%&@^~`")
 
-#: Largest numbers of rows that training collects: trusted positives, unlabelled texts, labelled rows for the scale.
-MAX_POSITIVES, MAX_UNLABELLED, MAX_SCALE = 4000, 4000, 4000
 
 def _classes() -> np.ndarray:
-    """The class of each byte: lower, upper, digit, space, newline, other control, one per punctuation mark, non-ASCII."""
-    out = np.zeros(256, dtype=np.int64)
-    for b in range(256):
-        c = chr(b)
-        if b >= 128:
-            out[b] = 0
-        elif c.islower():
-            out[b] = 1
-        elif c.isupper():
-            out[b] = 2
-        elif c.isdigit():
-            out[b] = 3
-        elif c == " ":
-            out[b] = 4
-        elif c == "\n":
-            out[b] = 5
-        elif b < 32 or b == 127:
-            out[b] = 6
-    marks = [b for b in range(33, 127) if not chr(b).isalnum()]
-    for k, b in enumerate(marks):
-        out[b] = 7 + k
+    """The class of each byte: non-ASCII, lower, upper, digit, space, newline, other control, and groups of marks."""
+    out = np.full(256, 6, dtype=np.uint8)
+    out[128:] = 0
+    for k, (first, last) in enumerate((("a", "z"), ("A", "Z"), ("0", "9"), (" ", " "), ("\n", "\n")), 1):
+        out[ord(first) : ord(last) + 1] = k
+    for k, group in enumerate(MARKS, 7):
+        out[[ord(c) for c in group]] = k
     return out
 
+
 CLASS = _classes()
 KINDS = int(CLASS.max()) + 1
 PAIRS = KINDS * KINDS
@@ -56,6 +60,16 @@ PAIRS = KINDS * KINDS
 BINS, SHARES = 16, 7
 WIDTH = PAIRS + BINS * SHARES
 
+
+def _pair_counts(raw: np.ndarray) -> np.ndarray:
+    """Numbers of pairs of neighbouring classes in one text, a window at a time."""
+    out = np.zeros(PAIRS, np.int64)
+    for at in range(0, len(raw) - 1, WINDOW):
+        k = CLASS[raw[at : at + WINDOW + 1]].astype(np.uint16)
+        out += np.bincount(k[:-1] * np.uint16(KINDS) + k[1:], minlength=PAIRS)
+    return out
+
+
 def features(texts: pa.Array) -> np.ndarray:
     """A float32 row of WIDTH features for each text; null counts as empty."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
@@ -65,13 +79,12 @@ def features(texts: pa.Array) -> np.ndarray:
     data = texts.buffers()[2]
     raw = np.frombuffer(data, dtype=np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)
     bounds = offsets - offsets[0]
-    kinds = CLASS[raw]
     words, counts = word_hashes(texts, lower=False)
     word_ends = np.cumsum(counts)
     for i in range(n):
-        k = kinds[bounds[i] : bounds[i + 1]]
-        if len(k) > 1:
-            out[i, :PAIRS] = np.sqrt(np.bincount(k[:-1] * KINDS + k[1:], minlength=PAIRS) / (len(k) - 1))
+        text = raw[bounds[i] : bounds[i + 1]]
+        if len(text) > 1:
+            out[i, :PAIRS] = np.sqrt(_pair_counts(text) / (len(text) - 1))
         w = words[word_ends[i] - counts[i] : word_ends[i]]
         shares = np.zeros(SHARES)
         if len(w):
@@ -79,8 +92,8 @@ def features(texts: pa.Array) -> np.ndarray:
             shares[0] = len(times) / len(w)
             shares[1] = times.max() / len(w)
             shares[2] = np.log2(len(w) + 1) / 20
-            shares[3] = min(1.0, len(k) / len(w) / 20)
-            shares[4] = min(1.0, np.count_nonzero(k == CLASS[10]) / len(w))
+            shares[3] = min(1.0, len(text) / len(w) / 20)
+            shares[4] = min(1.0, np.count_nonzero(text == 10) / len(w))
             shares[6] = 1.0
             if len(w) > 1:
                 shares[5] = np.count_nonzero(w[1:] == w[:-1]) / (len(w) - 1)
@@ -89,85 +102,94 @@ def features(texts: pa.Array) -> np.ndarray:
         out[i, PAIRS + np.arange(SHARES) * BINS + bins] = 0.5
     return out
 
+
 @dataclass(frozen=True)
 class Model:
-    """A linear margin, and the scale that makes it a probability."""
+    """A linear margin (the last weight is the bias) and the class prior."""
 
     weights: np.ndarray
-    bias: float
-    slope: float
-    shift: float
     prior: float
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        return _sigmoid(self.slope * (x.astype(np.float64) @ self.weights + self.bias) + self.shift)
+        margin = x.astype(np.float64) @ self.weights[:-1] + self.weights[-1]
+        return 1.0 / (1.0 + np.exp(-np.clip(STEEP * margin / 2, -60, 60)))
 
-def _sigmoid(z: np.ndarray) -> np.ndarray:
-    return 1.0 / (1.0 + np.exp(-np.clip(z, -60, 60)))
 
-def _gradient(residual: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """The mean gradient of a linear margin, with that of the bias at the end."""
-    return np.append((residual.astype(np.float32) @ x).astype(np.float64), residual.sum()) / len(residual)
+NEUTRAL = Model(np.zeros(WIDTH + 1), 0.5)
 
 
-def nn_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 300, rate: float = 0.05, decay: float = 1e-4) -> tuple[np.ndarray, float]:
-    """Weights and bias that minimise the non-negative risk, by full-batch Adam.
+def moments(x: np.ndarray) -> np.ndarray:
+    """Sums of products of all pairs of features, on the grid, with a constant one last."""
+    whole = np.append(np.rint(x.astype(np.float64) * GRID), np.full((len(x), 1), float(GRID)), axis=1)
+    return (whole.T @ whole).astype(np.int64)  # below 2 ** 53, so exact
 
-    Where the negative part of the risk falls below zero its gradient is reversed, so that it rises again.
-    """
-    width = positive.shape[1]
-    w = np.zeros(width + 1)  # the last is the bias
-    m, v = np.zeros_like(w), np.zeros_like(w)
-    for step in range(1, steps + 1):
-        narrow = w[:-1].astype(np.float32)
-        zp, zu = positive @ narrow + w[-1], unlabelled @ narrow + w[-1]
-        sp, su = _sigmoid(zp), _sigmoid(zu)
-        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        of_negative = _gradient(su, unlabelled) - prior * _gradient(sp, positive)
-        grad = -of_negative if negative < 0 else of_negative + prior * _gradient(sp - 1, positive)
-        grad = grad + decay * w
-        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
-        w -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    return w[:-1], float(w[-1])
-
-def scale(margins: np.ndarray, labels: np.ndarray, steps: int = 60) -> tuple[float, float]:
-    """Slope and shift of a logistic curve over the margins, by Newton's method with smoothed targets."""
-    n1 = labels.sum()
-    n0 = len(labels) - n1
-    if not n1 or not n0:
-        return 1.0, 0.0
-    target = np.where(labels > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    x = np.column_stack([margins, np.ones_like(margins)])
-    w = np.array([1.0, 0.0])
-    for _ in range(steps):
-        p = _sigmoid(x @ w)
-        h = (x * (p * (1 - p))[:, None]).T @ x + 1e-6 * np.eye(2)
-        move = np.linalg.solve(h, x.T @ (p - target) + 1e-6 * (w - np.array([1.0, 0.0])))
-        w = w - move * min(1.0, 5.0 / max(1e-12, np.abs(move).max()))
-        if np.abs(move).max() < 1e-9:
-            break
-    return float(w[0]), float(w[1])
 
-def _sample(docs: DataFrame, key: str, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(role, place, features) of a bounded table of rows: roles in the order of the keys, and where each row's features (half precision) are."""
+def gathered(rows: DataFrame, text: str, positive: str, unlabelled: str) -> dict[int, np.ndarray]:
+    """role (0: unlabelled, 1: positive) -> summed moments of the rows whose flags are set; roles without rows have none.
+
+    Each task adds up its own rows. The tasks' sums are then added FAN at a time, round by round, so no task holds more than FAN of them
+    and the driver gets one for each role.
+    """
+    width = WIDTH + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
         for batch in slices(batches, "text"):
-            x = features(batch.column(2))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r.astype("<f2").tobytes() for r in x], pa.binary())], names=["key", "role", "x"])
-
-    schema = "key string, role int, x binary"
-    rows = docs.select(F.col(key).cast("string").alias("key"), "role", F.col(text).alias("text")).mapInArrow(run, schema).toArrow()
-    keys, roles = rows.column("key").to_pylist(), rows.column("role").to_pylist()
-    packed = rows.column("x").combine_chunks()
-    del rows
-    x = np.frombuffer(packed.buffers()[2] or b"", dtype="<f2").reshape(-1, WIDTH)
-    order = sorted(range(len(keys)), key=lambda i: (keys[i], roles[i]))
-    return np.array([roles[i] for i in order], dtype=np.int64), np.array(order, dtype=np.int64), x
-
+            x = features(batch.column(0))
+            for role in (0, 1):
+                mine = batch.column(role + 1).to_numpy(zero_copy_only=False).astype(bool)
+                if mine.any():
+                    sums[role] = sums.get(role, 0) + moments(x[mine])
+        for role, total in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([role], pa.int32()), pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["role", "part", "sums"])
+
+    def add(table: pa.Table) -> pa.Table:
+        total = np.zeros(width * width, np.int64)
+        for packed in table.column("sums"):
+            total += np.frombuffer(packed.as_buffer(), np.int64)
+        return pa.table({"role": table.column("role").slice(0, 1), "part": pa.array([table.column("part")[0].as_py() // FAN], pa.int64()), "sums": pa.array([total.tobytes()], pa.binary())})
+
+    schema = "role int, part long, sums binary"
+    parts = checkpoint(rows.select(named(text).cast("string").alias("text"), F.col(unlabelled).alias("unlabelled"), F.col(positive).alias("positive")).mapInArrow(run, schema))
+    most = parts.agg(F.max("part").alias("m")).first().m
+    while most:
+        parts = checkpoint(parts.groupBy("role", F.floor(F.col("part") / FAN).alias("slot")).applyInArrow(add, schema))
+        most //= FAN
+    table = parts.toArrow()
+    return {role: np.frombuffer(packed, np.int64).reshape(width, width) for role, packed in zip(table.column("role").to_pylist(), table.column("sums").to_pylist(), strict=True)}
+
+
+def nn_pu(unlabelled: np.ndarray, positive: np.ndarray, prior: float | None = None, ridge: float = RIDGE, steps: int = 500) -> tuple[np.ndarray, float]:
+    """(weights with the bias last, prior) of least non-negative risk; arguments are mean second moments with a constant one as last feature.
+
+    The unbiased risk has its least value in closed form. If the part that stands for the negatives is below 0 there, that
+    solution fits the positives too closely; steps then go up that part where it is negative and down the whole
+    risk elsewhere, and the best weights by the non-negative risk are kept.
+    """
+    width = len(unlabelled)
+    held = unlabelled + ridge * np.eye(width)
+    direction = np.linalg.solve(held, positive[:, -1])
+    if prior is None:
+        prior = float(np.clip(1.0 / max(positive[:, -1] @ direction, 1e-9), 0.01, 0.99))
+    one = np.eye(width)[-1]
+    w = 2 * prior * direction - one
+
+    def parts(v: np.ndarray) -> tuple[float, float, np.ndarray, np.ndarray]:
+        of = lambda m, sign: ((v - sign * one) @ m @ (v - sign * one) / 4, m @ (v - sign * one) / 2)
+        (good, up), (wrong, down), (rest, all_) = of(positive, 1), of(positive, -1), of(unlabelled, -1)
+        return prior * good, rest - prior * wrong, prior * up, all_ - prior * down
+
+    best, least = w, np.inf
+    for step in range(steps):
+        good, negative, of_good, of_negative = parts(w)
+        if good + max(0.0, negative) < least:
+            best, least = w, good + max(0.0, negative)
+        if step == 0 and negative >= 0:
+            break
+        move = -of_negative if negative < 0 else of_good + of_negative
+        w = w - 0.5 / (1 + step / 20) * np.linalg.solve(held, move)
+    return best, prior
 
-def _meets(allowed: Callable[[Column], Column] | None, name: str) -> Column:
-    return F.lit(True) if allowed is None else allowed(F.col(name))
 
 def train(
     docs: DataFrame,
@@ -177,59 +199,44 @@ def train(
     text: str = "text",
     label: str = "quality",
     max_positives: int = MAX_POSITIVES,
-    max_unlabelled: int = MAX_UNLABELLED,
-    max_scale: int = MAX_SCALE,
 ) -> Model:
-    """Fit on bounded samples: positives and unlabelled texts for the risk, labelled rows for prior and scale.
+    """Fit on all texts as unlabelled ones and on the positives: those of the smallest hashes of the key, ``max_positives`` at most.
 
     ``allowed`` maps the key to a condition; only rows that meet it are learned from. Rows with a
-    null key or label are left out; a key labelled twice counts once, with its largest label.
-    Samples are those of the smallest hashes of the key. With no positives the model scores 0.5.
+    null key or label are left out; a key labelled twice counts once, with its largest label, and of several rows of a
+    positive key each counts. With no positives, or no texts, all scores are 0.5.
     """
-    known = labels.select(F.col(key).alias("_k"), F.col(label).cast("int").alias("_y")).where(F.col("_k").isNotNull() & F.col("_y").isin(0, 1)).groupBy("_k").agg(F.max("_y").alias("_y"))
-    known = known.where(_meets(allowed, "_k"))
-    counts = dict(known.groupBy("_y").count().collect())
-    n1, n0 = counts.get(1, 0), counts.get(0, 0)
-    if not n1:
-        return Model(np.zeros(WIDTH), 0.0, 1.0, 0.0, 0.5)
-    prior = (n1 + 1) / (n1 + n0 + 2)
-    order = [F.xxhash64(F.col("_k").cast("string"), F.lit("sample")), F.col("_k")]
-    parts = [
-        known.where("_y = 1").orderBy(*order).limit(max_positives).select("_k", F.lit(0).alias("role")),
-        known.where("_y = 1").orderBy(*order).limit(max_scale // 2).select("_k", F.lit(3).alias("role")),
-        known.where("_y = 0").orderBy(*order).limit(max_scale // 2).select("_k", F.lit(2).alias("role")),
-    ]
-    keys = docs.select(F.col(key).alias("_k")).where(F.col("_k").isNotNull())
-    parts.append(keys.where(_meets(allowed, "_k")).orderBy(F.xxhash64(F.col("_k").cast("string"), F.lit("unlabelled")), F.col("_k")).limit(max_unlabelled).distinct().select("_k", F.lit(1).alias("role")))
-    chosen = parts[0]
-    for part in parts[1:]:
-        chosen = chosen.unionByName(part)
-    chosen = checkpoint(chosen)  # at most max_positives + max_unlabelled + max_scale keys: safe to broadcast
-    sample = docs.select(F.col(key).alias("_k"), F.col(text).cast("string").alias("_t")).join(F.broadcast(chosen), "_k").dropDuplicates(["_k", "role"])
-    role, place, x = _sample(sample.select(F.col("_k"), "role", F.col("_t")), "_k", "_t")
-    positive, unlabelled = x[place[role == 0]].astype(np.float32), x[place[role == 1]].astype(np.float32)
-    if not len(positive) or not len(unlabelled):
-        return Model(np.zeros(WIDTH), 0.0, 1.0, 0.0, prior)
-    weights, bias = nn_pu(positive, unlabelled, prior)
-    held = role >= 2
-    y = (role[held] == 3).astype(np.float64)
-    margins = (x[place[held]].astype(np.float32) @ weights.astype(np.float32)).astype(np.float64) + bias
-    # the sample holds the labels in other shares than the corpus; the shift restores the prior
-    slope, shift = scale(margins, y)
-    if 0 < y.sum() < len(y):
-        shift += np.log(prior / (1 - prior)) - np.log(y.sum() / (len(y) - y.sum()))
-    return Model(weights, bias, max(slope, 1e-6), float(shift), prior)
+    meets = (lambda c: F.lit(True)) if allowed is None else allowed
+    slim = docs.select(named(key).alias("_k"), named(text).alias("_t")).where(F.col("_k").isNotNull())
+    known = labels.select(named(key).alias("_k"), named(label).cast("int").alias("_y")).where(F.col("_k").isNotNull() & F.col("_y").isin(0, 1)).groupBy("_k").agg(F.max("_y").alias("_y"))
+    positives = known.where(meets(F.col("_k")) & (F.col("_y") == 1)).orderBy(F.xxhash64(F.col("_k").cast("string"), F.lit("sample")), F.col("_k")).limit(max_positives).select("_k", F.lit(True).alias("_p"))
+    positives = checkpoint(positives)
+    if positives.isEmpty():
+        return NEUTRAL
+    # at most max_positives keys: safe to broadcast
+    rows = slim.where(meets(F.col("_k"))).join(F.broadcast(positives), "_k", "left").select("_t", F.coalesce("_p", F.lit(False)).alias("_p"), F.lit(True).alias("_u"))
+    sums = gathered(rows, "_t", "_p", "_u")
+    if len(sums) < 2:
+        return NEUTRAL
+    # the corner of the moments holds the number of rows
+    weights, prior = nn_pu(*(sums[role] / sums[role][-1, -1] for role in (0, 1)))
+    return Model(weights, prior)
+
 
 def score(df: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
-    """Append the probability of label 1 of each whole text; null and empty texts get one too. One pass, no shuffle."""
+    """Append the probability of label 1 of each whole text; null and empty texts get one too. One pass, no shuffle.
+
+    A column of that name is replaced; all others stay, whatever their names.
+    """
     kept = [c for c in df.columns if c != name]
-    source = df.select(*kept)
+    source = df.select(*map(named, kept))
     work = free_name(source, "quality_text")
     schema = T.StructType([*source.schema.fields, T.StructField(name, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, work):
-            scores = model.score(features(batch.column(batch.schema.get_field_index(work))))
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in kept), pa.array(scores, pa.float64())], names=[*kept, name])
+            scores = model.score(features(batch.column(batch.num_columns - 1)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], names=[*kept, name])
 
-    return source.withColumn(work, source[text].cast("string")).mapInArrow(run, schema)
+    text_column = named(text) if text in kept else F.lit(None)
+    return map_batches(source.withColumn(work, text_column.cast("string")), run, schema)
