@@ -1,22 +1,34 @@
 """Format-preserving pseudonyms for personal numbers, with SQL functions only.
 
-Found and validated are payment card numbers (Luhn), social security numbers (no unassigned area, group or serial),
-telephone numbers, IPv4 addresses, dates (year-month-day, day.month.year, day/month/year; 1904 to 2099) and the local
-parts of e-mail addresses. Each is mapped by a keyed Feistel network onto a value of the same format, and the map is one to one:
-equal values stay linked across documents, different ones stay apart, and the key's holder can invert it.
-
-A value is a pair (a, b) of numbers below A and B; a round adds a keyed hash of one half to the other, modulo its
+Found and validated are payment card numbers (Luhn), bank accounts (IBAN, modulo 97), social security numbers (no unassigned area,
+group or serial), telephone numbers, IPv4 and IPv6 addresses, dates (year-month-day, day.month.year, day/month/year; 1904 to 2099)
+and the local parts of e-mail addresses. Each is mapped by a keyed Feistel network onto a value of the same format, and the map is one to one:
+equal values stay linked across documents, different ones stay apart, and the key's holder can invert it. What is mapped is the value and not its
+spelling: a telephone number is its country code and national digits, however they are spaced (one without a country code, in the form of
+North America, has the code 1); an IPv6 address is its 128 bits and is written in full; a date is the day.
+
+A value is a pair (a, b) of numbers below A and B; a round adds a keyed hash (HMAC with SHA-256) of one half to the other, modulo its
 bound. The pair covers exactly the valid values, so no result has to be drawn again: a card's digits without the check digit,
 which is computed anew; 898 * 99 areas and groups by 9999 serials; two 16-bit halves of an address; 49 leap cycles of 1461
 days. Other digits, such as a number that fails its check, stay as they are.
+
+The key is no literal of the plan: it comes as a one-row table through a scalar subquery, so that neither the plan's text nor the event
+log shows it.
+
+Left in clear: the domain of an e-mail address, country codes, social security numbers without hyphens, telephone numbers with
+neither a leading + nor the hyphens or brackets of North America, dates with one-digit parts, in words or outside 1904 to 2099.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import hashlib
+from collections.abc import Callable
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import free_name
+from ._common import free_name, named
 
 ROUNDS = 10
 #: The formats, in the order in which they are tried at a place of the text.
@@ -26,20 +38,40 @@ ISO_DATE = r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])"
 DAY_DATE = r"(?<![0-9./])(?:[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9/]|\.[0-9])"
 SOCIAL = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 CARD = r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4} [0-9]{4} [0-9]{4} [0-9]{4}|[0-9]{4}-[0-9]{4}-[0-9]{4}-[0-9]{4}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})(?![0-9])"
-PHONE = r"(?<![0-9+])\+[0-9]{1,3}[ .-]?\([0-9]{1,4}\)[ .-]?[0-9]{2,4}[ .-]?[0-9]{2,4}(?![0-9]|[.-][0-9])|(?<![0-9+])\+[0-9]{1,3}(?:[ .-]?[0-9]{1,4}){2,5}(?![0-9]|[.-][0-9])|(?<![0-9])\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])|(?<![0-9-])[0-9]{3}-[0-9]{3}-[0-9]{4}(?![0-9-])"
-ANY = "|".join((EMAIL, ADDRESS, ISO_DATE, DAY_DATE, SOCIAL, PHONE, CARD))
+IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
+ADDRESS6 = r"(?<![0-9A-Za-z:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|[0-9A-Fa-f]{3,4}(?::[0-9A-Fa-f]{1,4}){0,5}::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?)(?![0-9A-Za-z:])"
+PHONE = r"(?<![0-9+])\+[0-9]{1,3}[ .-]?\([0-9]{1,4}\)(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9]|[.-][0-9])|(?<![0-9+])\+[0-9]{1,3}(?:[ .-]?[0-9]{1,4}){2,5}(?![0-9]|[.-][0-9])|(?<![0-9])(?:1[ -]?)?\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])|(?<![0-9-])(?:1-)?[0-9]{3}-[0-9]{3}-[0-9]{4}(?![0-9-])"
+ANY = "|".join((EMAIL, ADDRESS6, ADDRESS, ISO_DATE, DAY_DATE, SOCIAL, PHONE, IBAN, CARD))
+#: Country codes of two digits; 1 and 7 have one, all others three.
+TWO_DIGITS = (
+    "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49", "51", "52", "53", "54", "55", "56", "57", "58",
+    "60", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86", "90", "91", "92", "93", "94", "95", "98",
+)
 FIRST_YEAR, LAST_YEAR = 1904, 2099
 
 
-def _hash(key: str, kind: str, round_: Column, value: Column) -> Column:
-    return F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), round_.cast("string"), value.cast("string")), 256)
+def key_column(spark: SparkSession, secret: str) -> Column:
+    """struct(i, o): the two keyed blocks of HMAC with SHA-256, as a scalar subquery."""
+    raw = hashlib.sha256(b"pseudonyms|" + secret.encode()).digest().ljust(64, b"\0")
+    blocks = [{"i": bytes(x ^ 0x36 for x in raw), "o": bytes(x ^ 0x5C for x in raw)}]
+    return spark.createDataFrame(pa.table({"k": pa.array(blocks, pa.struct([("i", pa.binary()), ("o", pa.binary())]))})).scalar()
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value made once however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _hash(key: Column, kind: Column, round_: Column, value: Column) -> Column:
+    message = F.concat_ws("|", kind, round_.cast("string"), value.cast("string")).cast("binary")
+    return F.sha2(F.concat(key["o"], F.unhex(F.sha2(F.concat(key["i"], message), 256))), 256)
 
 
 def _number(digest: Column) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long")
 
 
-def feistel(key: str, kind: str, a: Column, b: Column, bound_a: Column, bound_b: Column) -> Column:
+def feistel(key: Column, kind: Column, a: Column, b: Column, bound_a: Column, bound_b: Column) -> Column:
     """struct(a, b) permuted; a below bound_a, b below bound_b, both at least 1."""
 
     def step(s: Column, r: Column) -> Column:
@@ -69,16 +101,20 @@ def _power(n: Column) -> Column:
     return F.pow(F.lit(10), n).cast("long")
 
 
-def _digit_string(key: str, kind: str, digits: Column) -> Column:
-    """A permutation of the digit strings of each length; the length is part of the key."""
-    n = F.length(digits)
-    u = F.floor(n / 2).cast("int")
-    v = n - u
-    # a leading 1 keeps an empty half a number
-    half = lambda start, length: F.concat(F.lit("1"), F.substr(digits, start, length)).cast("long") - _power(length)
-    out = lambda x, length: F.substr((x + _power(length)).cast("string"), F.lit(2), length)
-    pair = feistel(key, kind, half(F.lit(1), u), half(u + 1, v), _power(u), _power(v))
-    return F.transform(F.array(pair), lambda p: F.concat(out(p["a"], u), out(p["b"], v)))[0]
+def _digit_string(key: Column, kind: Column, digits: Column) -> Column:
+    """A permutation of the digit strings of each length, another one for each kind and length."""
+
+    def of(d: Column) -> Column:
+        n = F.length(d)
+        u = F.floor(n / 2).cast("int")
+        v = n - u
+        # a leading 1 keeps an empty half a number
+        half = lambda start, length: F.concat(F.lit("1"), F.substr(d, start, length)).cast("long") - _power(length)
+        out = lambda x, length: F.substr((x + _power(length)).cast("string"), F.lit(2), length)
+        pair = feistel(key, F.concat_ws(":", kind, n.cast("string")), half(F.lit(1), u), half(u + 1, v), _power(u), _power(v))
+        return _let(pair, lambda p: F.concat(out(p["a"], u), out(p["b"], v)))
+
+    return _let(digits, of)
 
 
 def check_digit(payload: Column) -> Column:
@@ -88,78 +124,152 @@ def check_digit(payload: Column) -> Column:
     return ((F.lit(10) - F.aggregate(parts, F.lit(0), lambda s, x: s + x) % 10) % 10).cast("string")
 
 
-def _card(key: str, x: Column) -> Column:
-    digits = _digits(x)
-    payload = F.substr(digits, F.lit(1), F.length(digits) - 1)
-    new = F.transform(F.array(_digit_string(key, "card", payload)), lambda p: F.concat(p, check_digit(p)))[0]
-    return F.when(check_digit(payload) == F.substr(digits, F.length(digits), F.lit(1)), _put(x, new))
+def _card(key: Column, x: Column) -> Column:
+    def of(digits: Column) -> Column:
+        payload = F.substr(digits, F.lit(1), F.length(digits) - 1)
+        new = _let(_digit_string(key, F.lit("card"), payload), lambda p: F.concat(p, check_digit(p)))
+        return F.when(check_digit(payload) == F.substr(digits, F.length(digits), F.lit(1)), _put(x, new))
+
+    return _let(_digits(x), of)
 
 
-def _social(key: str, x: Column) -> Column:
+def _social(key: Column, x: Column) -> Column:
     area, group, serial = (F.substring(x, *at).cast("int") for at in ((1, 3), (5, 2), (8, 4)))
     valid = (area > 0) & (area != 666) & (area < 900) & (group > 0) & (serial > 0)
     index = area - F.when(area > 666, 2).otherwise(1)
-    pair = feistel(key, "social", index * 99 + group - 1, serial - 1, F.lit(898 * 99), F.lit(9999))
+    pair = feistel(key, F.lit("social"), index * 99 + group - 1, serial - 1, F.lit(898 * 99), F.lit(9999))
 
     def text(p: Column) -> Column:
         i = F.floor(p["a"] / 99)
         return F.concat_ws("-", F.lpad((i + F.when(i >= 665, 2).otherwise(1)).cast("string"), 3, "0"), F.lpad((p["a"] % 99 + 1).cast("string"), 2, "0"), F.lpad((p["b"] + 1).cast("string"), 4, "0"))
 
-    return F.when(valid, F.transform(F.array(pair), text)[0])
+    return F.when(valid, _let(pair, text))
 
 
-def _address(key: str, x: Column) -> Column:
+def _address(key: Column, x: Column) -> Column:
     parts = F.transform(F.split(x, r"\."), lambda p: p.cast("int"))
     valid = F.forall(parts, lambda p: p < 256)
-    pair = feistel(key, "address", parts[0] * 256 + parts[1], parts[2] * 256 + parts[3], F.lit(65536), F.lit(65536))
+    pair = feistel(key, F.lit("address"), parts[0] * 256 + parts[1], parts[2] * 256 + parts[3], F.lit(65536), F.lit(65536))
     octet = lambda v: v.cast("string")
     return F.when(valid, F.transform(F.array(pair), lambda p: F.concat_ws(".", octet(F.floor(p["a"] / 256)), octet(p["a"] % 256), octet(F.floor(p["b"] / 256)), octet(p["b"] % 256)))[0])
 
 
-def _date(key: str, x: Column, year: tuple[int, int], month: tuple[int, int], day: tuple[int, int], pattern: str) -> Column:
+def _date(key: Column, x: Column, year: tuple[int, int], month: tuple[int, int], day: tuple[int, int], pattern: str) -> Column:
     iso = F.concat_ws("-", F.substring(x, *year), F.substring(x, *month), F.substring(x, *day))
     date = iso.try_cast("date")
     start = F.lit(f"{FIRST_YEAR}-01-01").cast("date")
     days = F.date_diff(date, start)
     valid = date.isNotNull() & F.year(date).between(FIRST_YEAR, LAST_YEAR)
-    pair = feistel(key, "date", F.floor(days / 1461), days % 1461, F.lit((LAST_YEAR - FIRST_YEAR + 1) // 4), F.lit(1461))
+    pair = feistel(key, F.lit("date"), F.floor(days / 1461), days % 1461, F.lit((LAST_YEAR - FIRST_YEAR + 1) // 4), F.lit(1461))
     return F.when(valid, F.transform(F.array(pair), lambda p: F.date_format(F.date_add(start, (p["a"] * 1461 + p["b"]).cast("int")), pattern))[0])
 
 
-def _phone(key: str, x: Column) -> Column:
-    country = F.regexp_extract(x, r"^(\+[0-9]{1,3})?", 1)
-    rest = F.substr(x, F.length(country) + 1)
-    digits = _digits(rest)
-    return F.when((F.length(digits) >= 6) & (F.length(digits) <= 15), F.concat(country, _put(rest, _digit_string(key, "phone", digits))))
+def _phone(key: Column, x: Column) -> Column:
+    head = F.regexp_extract(x, r"^\+([0-9]{1,3})", 1)
+    own = _let(head, lambda h: F.substr(h, F.lit(1), F.when(F.substring(h, 1, 1).isin("1", "7"), 1).when(F.substring(h, 1, 2).isin(*TWO_DIGITS), 2).otherwise(3)))
+    first = F.when(x.startswith("+"), F.concat(F.lit("+"), own)).otherwise(F.regexp_extract(x, r"^(1[ -]?)?", 0))
+
+    def of(s: Column) -> Column:
+        digits = _digits(s["rest"])
+        code = F.when(x.startswith("+"), F.regexp_replace(s["kept"], r"^\+|[^0-9+].*$", "")).otherwise("1")
+        new = F.concat(s["kept"], _put(s["rest"], _digit_string(key, F.concat(F.lit("phone:"), code), digits)))
+        return F.when(F.length(digits).between(6, 15), new)
+
+    # what stays: the sign and the code, and a zero in brackets, which is not dialled after a code
+    kept = _let(first, lambda f: F.concat(f, F.regexp_extract(F.substr(x, F.length(f) + 1), r"^([ .-]?\(0\))?", 0)))
+    return _let(_let(kept, lambda k: F.struct(k.alias("kept"), F.substr(x, F.length(k) + 1).alias("rest"))), of)
+
+
+def _groups6(x: Column) -> Column:
+    """The eight 16-bit groups of an IPv6 address as hex of four digits, or null if it has too many."""
+
+    def of(sides: Column) -> Column:
+        part = lambda i: F.filter(F.split(F.coalesce(F.get(sides, F.lit(i)), F.lit("")), ":"), lambda g: g != "")
+        missing = 8 - F.size(part(0)) - F.size(part(1))
+        filled = F.concat(part(0), F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), part(1))
+        fits = (missing >= 0) & ((F.size(sides) == 1) | (missing >= 1))
+        return F.when(fits, F.transform(filled, lambda g: F.lpad(F.lower(g), 4, "0")))
+
+    return _let(F.split(x, "::", -1), of)
+
+
+def _address6(key: Column, x: Column) -> Column:
+    number = lambda h: F.conv(h, 16, -10).cast("long")
+
+    def step(s: Column, r: Column) -> Column:
+        even = r % 2 == 0
+        mask = lambda of: number(F.substring(_hash(key, F.lit("address6"), r, of), 1, 16))
+        return F.struct(F.when(even, s["a"].bitwiseXOR(mask(s["b"]))).otherwise(s["a"]).alias("a"), F.when(even, s["b"]).otherwise(s["b"].bitwiseXOR(mask(s["a"]))).alias("b"))
+
+    def text(groups: Column) -> Column:
+        halves = F.struct(number(F.array_join(F.slice(groups, 1, 4), "")).alias("a"), number(F.array_join(F.slice(groups, 5, 4), "")).alias("b"))
+        pair = F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), halves, step)
+        return F.transform(F.array(pair), lambda p: F.regexp_replace(F.concat(F.lpad(F.lower(F.hex(p["a"])), 16, "0"), F.lpad(F.lower(F.hex(p["b"])), 16, "0")), "(?<=[0-9a-f])(?=(?:[0-9a-f]{4})+$)", ":"))[0]
+
+    return _let(_groups6(x), lambda g: F.when(g.isNotNull(), text(g)))
+
+
+def _mod97(text: Column) -> Column:
+    """The remainder of an account's letters and digits as a number, letters being 10 to 35."""
+    value = lambda c: F.when(c.rlike("^[0-9]$"), F.ascii(c) - 48).otherwise(F.ascii(c) - 55)
+    return F.aggregate(F.split(text, ""), F.lit(0), lambda r, c: (r * F.when(c.rlike("^[0-9]$"), 10).otherwise(100) + value(c)) % 97)
+
+
+def _iban(key: Column, x: Column) -> Column:
+    country = F.substring(x, 1, 2)
+
+    def text(b: Column) -> Column:
+        check = F.lpad((98 - _mod97(F.concat(b, country, F.lit("00")))).cast("string"), 2, "0")
+        return F.concat(country, check, b)
+
+    def spaced(t: Column) -> Column:
+        # the spelling's spaces come back at their places
+        step = lambda s, c: F.struct(F.concat(s["out"], F.when(c == " ", c).otherwise(F.substr(t, s["at"], F.lit(1)))).alias("out"), (s["at"] + F.when(c == " ", 0).otherwise(1)).cast("int").alias("at"))
+        return F.aggregate(F.split(x, ""), F.struct(F.lit("").alias("out"), F.lit(1).alias("at")), step)["out"]
+
+    def of(plain: Column) -> Column:
+        bank = F.substr(plain, F.lit(5))
+        half = F.floor(F.length(bank) / 2).cast("int")
+        valid = F.length(plain).between(15, 34) & (_mod97(F.concat(bank, F.substring(plain, 1, 4))) == 1)
+        new = _letters(key, F.concat(F.lit("iban:"), country), F.substr(bank, F.lit(1), half), F.substr(bank, half + 1))
+        return F.when(valid, _let(_let(new, text), spaced))
+
+    return _let(F.replace(x, F.lit(" "), F.lit("")), of)
 
 
 def _shifted(text: Column, digest: Column) -> Column:
     """ASCII letters and digits moved within their class, by a byte of the digest each."""
 
-    def move(c: Column, i: Column) -> Column:
-        by = F.conv(F.substr(digest, (i % 32) * 2 + 1, F.lit(2)), 16, 10).cast("int")
+    def move(d: Column, c: Column, i: Column) -> Column:
+        by = F.conv(F.substr(d, (i % 32) * 2 + 1, F.lit(2)), 16, 10).cast("int")
         code = F.ascii(c)
         inside = lambda first, n: F.char(F.pmod(code - first + by, F.lit(n)) + first)
         return F.when(c.rlike("^[a-z]$"), inside(97, 26)).when(c.rlike("^[A-Z]$"), inside(65, 26)).when(c.rlike("^[0-9]$"), inside(48, 10)).otherwise(c)
 
-    return F.when(F.length(text) == 0, text).otherwise(F.array_join(F.transform(F.split(text, ""), move), ""))
+    return F.when(F.length(text) == 0, text).otherwise(_let(digest, lambda d: F.array_join(F.transform(F.split(text, ""), lambda c, i: move(d, c, i)), "")))
 
 
-def _email(key: str, x: Column) -> Column:
-    local = F.regexp_extract(x, "^([^@]*)@", 1)
-    u = F.floor(F.length(local) / 2).cast("int")
+def _letters(key: Column, kind: Column, a: Column, b: Column) -> Column:
+    """Two strings, each moved by a digest of the other in turn, in one; characters stay in their class."""
 
     def step(s: Column, r: Column) -> Column:
         even = r % 2 == 0
-        left, right = _shifted(s["a"], _hash(key, "mail", r, s["b"])), _shifted(s["b"], _hash(key, "mail", r, s["a"]))
+        left, right = _shifted(s["a"], _hash(key, kind, r, s["b"])), _shifted(s["b"], _hash(key, kind, r, s["a"]))
         return F.struct(F.when(even, left).otherwise(s["a"]).alias("a"), F.when(even, s["b"]).otherwise(right).alias("b"))
 
-    halves = F.struct(F.substr(local, F.lit(1), u).alias("a"), F.substr(local, u + 1).alias("b"))
-    pair = F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), halves, step)
-    return F.transform(F.array(pair), lambda p: F.concat(p["a"], p["b"], F.substr(x, F.length(local) + 1)))[0]
+    pair = F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), F.struct(a.alias("a"), b.alias("b")), step)
+    return F.transform(F.array(pair), lambda p: F.concat(p["a"], p["b"]))[0]
+
+
+def _email(key: Column, x: Column) -> Column:
+    def of(local: Column) -> Column:
+        u = F.floor(F.length(local) / 2).cast("int")
+        return F.concat(_letters(key, F.lit("mail"), F.substr(local, F.lit(1), u), F.substr(local, u + 1)), F.substr(x, F.length(local) + 1))
+
+    return _let(F.regexp_extract(x, "^([^@]*)@", 1), of)
 
 
-def pseudonym(key: str, x: Column) -> Column:
+def pseudonym(key: Column, x: Column) -> Column:
     """The pseudonym of a found string, or null where it is not valid."""
     return (
         F.when(x.contains("@"), _email(key, x))
@@ -168,23 +278,33 @@ def pseudonym(key: str, x: Column) -> Column:
         .when(x.rlike(r"^[0-9]{2}\.[0-9]{2}\.[0-9]{4}$"), _date(key, x, (7, 4), (4, 2), (1, 2), "dd.MM.yyyy"))
         .when(x.rlike(r"^[0-9]{2}/[0-9]{2}/[0-9]{4}$"), _date(key, x, (7, 4), (4, 2), (1, 2), "dd/MM/yyyy"))
         .when(x.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), _social(key, x))
-        .when(x.rlike(r"^\+|^\(|^[0-9]{3}-[0-9]{3}-[0-9]{4}$"), _phone(key, x))
+        .when(x.rlike(r"^\+|\(|^(1-)?[0-9]{3}-[0-9]{3}-[0-9]{4}$"), _phone(key, x))
+        .when(x.contains(":"), _address6(key, x))
+        .when(x.rlike("^[A-Z]{2}"), _iban(key, x))
         .otherwise(_card(key, x))
     )
 
 
 def pseudonymised(df: DataFrame, key: str, text: str = "text", found: str = "n_pii") -> DataFrame:
-    """df with the personal numbers in ``text`` replaced by pseudonyms under ``key``, and their number in ``n_pii``.
+    """df with the personal numbers in ``text`` replaced by pseudonyms under the secret ``key``, and their number in ``n_pii``.
 
-    A null text stays null with 0 found. One pass; no shuffle and no Python; rows stay one to one.
+    A null text stays null with 0 found. One pass; no shuffle and no Python; rows stay one to one. A column that is named like
+    ``found`` is replaced; names may hold dots.
     """
-    matches = F.regexp_extract_all(F.col(text), F.lit(ANY), F.lit(0))
+    if not key:
+        raise ValueError("pseudonyms need a secret key")
     names = [c for c in df.columns if c != found]
-    marks = F.transform(matches, lambda m: F.struct(m.alias("old"), pseudonym(key, m).alias("new")))
-    held_name = free_name(df.select(*names), "marks")
-    held = df.select(*names, F.when(F.size(matches) > 0, marks).alias(held_name))
-    pieces = F.split(F.col(text), ANY, -1)
-    tail = F.array_join(F.transform(F.col(held_name), lambda m, i: F.concat(F.coalesce(m["new"], m["old"]), F.get(pieces, i + 1))), "")
-    new = F.when(F.col(held_name).isNull(), F.col(text)).otherwise(F.concat(F.get(pieces, F.lit(0)), tail))
-    count = F.when(F.col(held_name).isNull(), F.lit(0)).otherwise(F.size(F.filter(F.col(held_name), lambda m: m["new"].isNotNull())))
-    return held.select(*(new.alias(c) if c == text else F.col(c) for c in names), count.cast("long").alias(found))
+    held_name, key_name = free_name(df, "marks"), free_name(df, "key")
+    matches = F.regexp_extract_all(named(text), F.lit(ANY), F.lit(0))
+    marks = F.transform(matches, lambda m: F.struct(m.alias("old"), pseudonym(F.col(key_name), m).alias("new")))
+    keyed = df.select(*map(named, names), key_column(df.sparkSession, key).alias(key_name))
+    found_ = F.struct(marks.alias("marks"), F.split(named(text), ANY, -1).alias("pieces"))
+    held = keyed.select(*map(named, names), F.when(named(text).rlike(ANY), found_).alias(held_name))
+
+    def rebuilt(h: Column) -> Column:
+        # the pieces are bound once; an expression inside the inner function would be made again for each match
+        return F.array_join(F.concat(F.slice(h["pieces"], 1, 1), F.flatten(F.zip_with(h["marks"], F.slice(h["pieces"], F.lit(2), F.size(h["pieces"])), lambda m, p: F.array(F.coalesce(m["new"], m["old"]), p)))), "")
+
+    new = F.when(F.col(held_name).isNull(), named(text)).otherwise(_let(F.col(held_name), rebuilt))
+    count = F.when(F.col(held_name).isNull(), F.lit(0)).otherwise(F.size(F.filter(F.col(held_name)["marks"], lambda m: m["new"].isNotNull())))
+    return held.select(*(new.alias(c) if c == text else named(c) for c in names), count.cast("long").alias(found))

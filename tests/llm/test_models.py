@@ -73,20 +73,21 @@ def labelled(spark, n=600):
 
 def test_quality_on_held_out_rows(spark):
     docs, labels = labelled(spark)
-    model = quality.train(docs, labels, lambda k: ~op8.held_out(k), max_positives=200, max_unlabelled=300, max_scale=200)
+    model = quality.train(docs, labels, lambda k: ~op8.held_out(k), max_positives=200)
     rows = quality.score(docs, model).collect()
     assert len(rows) == docs.count() and all(0 <= r.score <= 1 for r in rows)
     held = [(r.score >= op8.THRESHOLD, r.doc_id % 6 != 0) for r in rows if r.doc_id is not None and r.doc_id < 600 and zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
     assert len(held) > 80 and np.mean([a == b for a, b in held]) > 0.95
-    again = quality.train(docs.repartition(5), labels, lambda k: ~op8.held_out(k), max_positives=200, max_unlabelled=300, max_scale=200)
-    assert np.allclose(again.weights, model.weights)
+    again = quality.train(docs.repartition(5), labels, lambda k: ~op8.held_out(k), max_positives=200)
+    assert (again.weights == model.weights).all()
+    assert 0.75 < model.prior < 0.95  # five of six are good
 
 
 def test_labels_of_held_out_rows_do_not_matter(spark):
     docs, labels = labelled(spark)
     flipped = labels.withColumn("quality", F.when(op8.held_out(F.col("doc_id")), 1 - F.col("quality")).otherwise(F.col("quality")))
-    a, b = (quality.train(docs, t, lambda k: ~op8.held_out(k), max_positives=100, max_unlabelled=100, max_scale=100) for t in (labels, flipped))
-    assert (a.weights == b.weights).all() and a.shift == b.shift
+    a, b = (quality.train(docs, t, lambda k: ~op8.held_out(k)) for t in (labels, flipped))
+    assert (a.weights == b.weights).all() and a.prior == b.prior
 
 
 def test_quality_without_labels(spark):
@@ -95,15 +96,55 @@ def test_quality_without_labels(spark):
     assert {r.score for r in quality.score(docs, model).collect()} == {0.5}
 
 
+def mean_moments(x):
+    x = np.column_stack([x, np.ones(len(x))])
+    return x.T @ x / len(x)
+
+
 def test_the_risk_separates_positives_from_the_rest():
     rng = np.random.default_rng(0)
-    p = rng.normal(2, 1, (300, 2)).astype(np.float32)
-    u = np.vstack([rng.normal(2, 1, (150, 2)), rng.normal(-2, 1, (150, 2))]).astype(np.float32)
-    w, b = quality.nn_pu(p, u, 0.5)
-    z = u @ w + b
+    p = rng.normal(2, 1, (300, 2))
+    u = np.vstack([rng.normal(2, 1, (150, 2)), rng.normal(-2, 1, (150, 2))])
+    w, prior = quality.nn_pu(mean_moments(u), mean_moments(p))
+    z = u @ w[:-1] + w[-1]
+    assert 0.35 < prior < 0.7
     assert (z[:150] > 0).mean() > 0.9 and (z[150:] < 0).mean() > 0.9
 
 
+def test_the_negative_part_of_the_risk_does_not_stay_below_zero():
+    rng = np.random.default_rng(1)
+    p, u = rng.normal(size=(12, 30)), rng.normal(size=(400, 30))
+    p[:, 0] += 2
+    u[:200, 0] += 2
+    mu, mp = mean_moments(u), mean_moments(p)
+    one = np.eye(31)[-1]
+    negative = lambda w, prior: (w + one) @ (mu - prior * mp) @ (w + one) / 4
+    loose, prior = quality.nn_pu(mu, mp, 0.9, ridge=1e-6, steps=1)
+    held, _ = quality.nn_pu(mu, mp, 0.9, ridge=1e-6)
+    good = lambda w: 0.9 * (w - one) @ mp @ (w - one) / 4
+    assert negative(loose, prior) < 0
+    assert good(held) + max(0, negative(held, 0.9)) <= good(loose) + max(0, negative(loose, 0.9))
+
+
+def test_quality_of_empty_tables_long_texts_and_any_names(spark):
+    docs, labels = labelled(spark, 60)
+    assert quality.train(docs.limit(0), labels) is quality.NEUTRAL
+    model = quality.train(docs, labels)
+    odd = docs.select(F.col("doc_id").alias("doc.id"), F.col("text").alias("te.xt"), F.lit(9).alias("score"), F.lit("q").alias("quality_text"))
+    out = quality.score(odd, model, text="te.xt")
+    assert out.columns == ["doc.id", "te.xt", "quality_text", "score"] and out.count() == docs.count() and {r.quality_text for r in out.collect()} == {"q"}
+    assert quality.score(odd.limit(0), model, text="te.xt").count() == 0
+    long = spark.createDataFrame([("word and word. " * 400_000,)], "text string")
+    assert 0 <= quality.score(long, model).first().score <= 1
+
+
+def test_pair_counts_do_not_depend_on_the_window(monkeypatch):
+    raw = np.frombuffer(("Some text, of 12 words!\n" * 50).encode(), np.uint8)
+    whole = quality._pair_counts(raw)
+    monkeypatch.setattr(quality, "WINDOW", 7)
+    assert (quality._pair_counts(raw) == whole).all() and whole.sum() == len(raw) - 1
+
+
 def luhn(s):
     digits = [int(c) for c in s][::-1]
     return sum(d if i % 2 == 0 else (d * 2 - 9 if d > 4 else d * 2) for i, d in enumerate(digits)) % 10 == 0
@@ -133,13 +174,14 @@ def test_what_is_not_valid_stays(spark):
 
 
 def test_feistel_is_a_permutation(spark):
-    df = spark.range(49 * 61).select(pii.feistel("k", "t", F.floor(F.col("id") / 61), F.col("id") % 61, F.lit(49), F.lit(61)).alias("p"))
+    keyed = lambda df: df.withColumn("key", pii.key_column(spark, "k"))
+    df = keyed(spark.range(49 * 61)).select(pii.feistel(F.col("key"), F.lit("t"), F.floor(F.col("id") / 61), F.col("id") % 61, F.lit(49), F.lit(61)).alias("p"))
     seen = {(r.p.a, r.p.b) for r in df.collect()}
     assert len(seen) == 49 * 61 and max(a for a, _ in seen) == 48 and max(b for _, b in seen) == 60
     days = spark.sql("SELECT cast(date_add(date'1904-01-01', cast(id as int)) as string) AS text, id AS doc_id FROM range(0, 71589, 37)")
     out = [r.text for r in pii.pseudonymised(days, "k").collect()]
     assert len(set(out)) == len(out) and all("1904" <= d[:4] <= "2099" for d in out)
-    digits = spark.range(1000).select(F.lpad(F.col("id").cast("string"), 3, "0").alias("d")).select(pii._digit_string("k", "x", F.col("d")).alias("d"))
+    digits = keyed(spark.range(1000)).select("key", F.lpad(F.col("id").cast("string"), 3, "0").alias("d")).select(pii._digit_string(F.col("key"), F.lit("x"), F.col("d")).alias("d"))
     assert len({r.d for r in digits.collect()}) == 1000
 
 
