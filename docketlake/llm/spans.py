@@ -2,11 +2,12 @@
 
 A text falls into units: sentences (ended by . ! ? or a line break), of which one of more than half of ``most``
 words is cut at places that its words choose: of every that many neighbouring places the one where the hash of the
-words at both sides is least. So copies are cut alike wherever they start, no unit has more than 12 words, and a
-repeated passage of 39 words or more keeps 12 words at most at each end. From each unit the shortest run of at least
-``least`` units and ``words`` words that starts there is hashed, and the shortest that ends there. A run that
-stands in several documents is repeated; the document with the least key holds the first, and within a document the first
-place does. Units under any run that is not the first go.
+words at both sides is least. So copies are cut alike wherever they start, and no unit has more than 12 words.
+From each unit the shortest run of at least ``least`` units and ``words`` words that starts there is hashed, and the shortest that ends
+there. A run that stands in several documents is repeated; the document with the least key holds the first, and within a document the
+first place does. Units under any run that is not the first are covered, and each stretch of covered units
+of at least ``stretch`` words goes. A passage that stands elsewhere has its own units but for 12 words at most at each end, so
+27 words is what one of over 50 words is sure to keep: it goes wherever it starts, and shorter ones, which unrelated texts share, stay.
 
 Documents are scanned once for their runs, which are kept as (hash, key), and a second time to rewrite those that hold a repeated
 run; only their texts are shuffled. A bounded bitmap chooses them before the exact join.
@@ -14,156 +15,206 @@ run; only their texts are shuffled. A bounded bitmap chooses them before the exa
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from xxhash import xxh3_64_intdigest
 
-from ._common import bitmap, checkpoint, free_name, marked, mix64, slices
+from ._common import bitmap, checkpoint, free_name, map_batches, marked, mix64, named, slices, word_hashes
 
 LEAST, WORDS, MOST = 2, 15, 25
+#: Words that a removed stretch has at least: those of over 50 that whole units are sure to hold.
+STRETCH = 27
 #: The key that stands for null: such rows are one last document.
 NO_KEY = (1 << 63) - 1
-END = re.compile(r"[.!?]+[\"')\]]*\s+|\s*\n\s*")
-WORD = re.compile(r"\S+")
-
-
-def places(words: list[str], window: int) -> list[int]:
-    """Numbers of the words before which a sentence is cut: of each ``window`` neighbouring places that of the least hash, the last of equal ones."""
-    ends = [xxh3_64_intdigest(f"{a} {b}".encode("utf-8", "replace")) for a, b in zip(words, words[1:])]
-    out, best = [], -1
-    for start in range(len(ends) - window + 1):
-        last = start + window - 1
-        if best < start:
-            best = min(range(last, start - 1, -1), key=ends.__getitem__)
-        elif ends[last] <= ends[best]:
-            best = last
-        if not out or out[-1] != best + 1:
-            out.append(best + 1)
-    return out
-
-
-def units(text: str, most: int = MOST) -> tuple[list[str], list[int], list[int]]:
-    """(units, number of words of each, hash of each); joined, the units are the text. Case and spacing don't enter the hash."""
-    parts, counts, hashes = [], [], []
-    window = max(1, most // 2)
-
-    def add(part: str, words: list[str]) -> None:
-        parts.append(part)
-        counts.append(len(words))
-        hashes.append(xxh3_64_intdigest(" ".join(words).encode("utf-8", "replace")))
-
-    def sentences() -> Iterator[str]:
-        at = 0
-        for m in END.finditer(text):
-            yield text[at : m.end()]
-            at = m.end()
-        if at < len(text):
-            yield text[at:]
-
-    for sentence in sentences():
-        words = sentence.lower().split()
-        if len(words) <= window:
-            add(sentence, words)
-            continue
-        starts = [m.start() for m in WORD.finditer(sentence)]
-        cuts = [0, *places(words, window), len(words)]
-        marks = [0, *(starts[c] for c in cuts[1:-1]), len(sentence)]
-        for i in range(len(cuts) - 1):
-            add(sentence[marks[i] : marks[i + 1]], words[cuts[i] : cuts[i + 1]])
-    return parts, counts, hashes
-
-
-def runs(counts: list[int], hashes: list[int], least: int = LEAST, words: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, first unit, end unit) of each run, in the order of places; runs that are both the shortest from a start and to an end come once."""
-    n = len(counts)
+#: Windows that are compared at a time.
+CHUNK = 1 << 16
+
+SPACE = np.zeros(256, bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
+CLOSERS = np.zeros(256, bool)
+CLOSERS[[ord(c) for c in "\"')]"]] = True
+ENDS = np.zeros(256, bool)
+ENDS[[ord(c) for c in ".!?"]] = True
+
+
+@dataclass
+class Units:
+    """The units of some texts, one after another."""
+
+    bounds: np.ndarray  # byte of the text where a unit begins; the end of the last unit of a text is the text's
+    counts: np.ndarray  # words of a unit
+    hashes: np.ndarray
+    first: np.ndarray  # number of the first unit of each text, and of the one after the last text
+
+    def pieces(self, i: int, text: bytes) -> list[bytes]:
+        at = [*self.bounds[self.first[i] : self.first[i + 1]].tolist(), len(text)]
+        return [text[a:b] for a, b in zip(at, at[1:])]
+
+
+def places(hashes: np.ndarray, sentence: np.ndarray, window: int) -> np.ndarray:
+    """Numbers of the words before which sentences are cut: of each ``window`` neighbouring places of a sentence that of the least hash, the last of equal ones."""
+    if len(hashes) <= window:
+        return np.zeros(0, np.int64)
+    pair = mix64(hashes[:-1] * np.uint64(0x9E3779B97F4A7C15) + hashes[1:])
+    starts = np.flatnonzero(sentence[:-window] == sentence[window:])
+    view = np.lib.stride_tricks.sliding_window_view(pair, window)
+    found = [starts[at : at + CHUNK] + window - np.argmin(view[starts[at : at + CHUNK], ::-1], axis=1) for at in range(0, len(starts), CHUNK)]
+    return np.unique(np.concatenate([np.zeros(0, np.int64), *found]))
+
+
+def units(texts: pa.Array, most: int = MOST) -> Units:
+    """Units of each text, null being empty; joined, a text's units are the text. Case and spacing don't enter the hashes."""
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    n = len(texts)
+    offsets = np.frombuffer(texts.buffers()[1], dtype=np.int64)[texts.offset : texts.offset + n + 1]
+    data = texts.buffers()[2]
+    raw = np.frombuffer(data, dtype=np.uint8)[offsets[0] : offsets[-1]] if data is not None else np.zeros(0, np.uint8)
+    heads = offsets - offsets[0]
+    space = SPACE[raw]
+    before = np.ones(len(raw), bool)
+    before[1:] = space[:-1]
+    before[heads[:-1][heads[:-1] < len(raw)]] = True
+    starts = np.flatnonzero(~space & before)
+    after = np.ones(len(raw), bool)
+    after[:-1] = before[1:] | space[1:]
+    ends = np.flatnonzero(~space & after) + 1  # of the words
+    hashes, per_text = word_hashes(texts)
+    text = np.repeat(np.arange(n), per_text)
+    # a word ends a sentence by its last mark, closing ones aside, or by a line break that follows
+    last = ends - 1
+    while len(inner := np.flatnonzero(CLOSERS[raw[last]] & (last > starts))):
+        last[inner] -= 1
+    breaks = np.concatenate([[0], np.cumsum(raw == 10)])
+    following = np.append(starts[1:], len(raw)) if len(starts) else starts
+    stop = ENDS[raw[last]] | (breaks[following] > breaks[ends])
+    new = np.ones(len(starts), bool)
+    new[1:] = stop[:-1] | (text[1:] != text[:-1])
+    sentence = np.cumsum(new)
+    new[places(hashes, sentence, max(1, most // 2))] = True
+    at = np.flatnonzero(new)
+    # a text without words is one unit of none
+    bare = np.flatnonzero((per_text == 0) & (np.diff(heads) > 0))
+    owner = np.concatenate([text[at], bare])
+    counts = np.concatenate([np.diff(np.append(at, len(starts))), np.zeros(len(bare), np.int64)])
+    begin = np.concatenate([starts[at] - heads[text[at]], np.zeros(len(bare), np.int64)]).astype(np.int64)
+    place = np.arange(len(starts)) - np.repeat(at, np.diff(np.append(at, len(starts))))
+    terms = mix64(hashes + place.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+    own = np.concatenate([np.add.reduceat(terms, at) if len(at) else np.zeros(0, np.uint64), np.zeros(len(bare), np.uint64)])
+    order = np.argsort(owner, kind="stable")
+    owner, counts, begin, own = owner[order], counts[order], begin[order], own[order]
+    first = np.searchsorted(owner, np.arange(n + 1))
+    begin[first[:-1][np.diff(first) > 0]] = 0  # space before the first word belongs to the first unit
+    return Units(begin, counts, own, first)
+
+
+def runs(held: Units, least: int = LEAST, words: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, first unit, end unit) of each run of each text, in the order of places; runs that are both the shortest from a start and to an end come once."""
+    n = len(held.counts)
     none = np.zeros(0, np.int64)
-    if n < least:
+    if not n:
         return none.astype(np.uint64), none, none
-    total = np.concatenate([[0], np.cumsum(counts)])
-    start = np.arange(n)
-    stop = np.maximum(np.searchsorted(total, total[:-1] + words), start + least)
-    forward = np.column_stack([start, stop])[stop <= n]
-    end = np.arange(1, n + 1)
-    begin = np.minimum(np.searchsorted(total, total[1:] - words, side="right") - 1, end - least)
-    backward = np.column_stack([begin, end])[(begin >= 0) & (total[1:] >= words)]
-    both = np.unique(np.concatenate([forward, backward]), axis=0)
+    owner = np.repeat(np.arange(len(held.first) - 1), np.diff(held.first))
+    low, high = held.first[owner], held.first[owner + 1]
+    total = np.concatenate([[0], np.cumsum(held.counts)])
+    unit = np.arange(n)
+    stop = np.maximum(np.searchsorted(total, total[:-1] + words), unit + least)
+    forward = stop <= high
+    begin = np.minimum(np.searchsorted(total, total[1:] - words, side="right") - 1, unit + 1 - least)
+    backward = begin >= low
+    pairs = np.concatenate([np.column_stack([unit, stop])[forward], np.column_stack([begin, unit + 1])[backward]])
+    pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+    pairs = pairs[np.concatenate([[True], (pairs[1:] != pairs[:-1]).any(axis=1)])] if len(pairs) else pairs
     # a polynomial in the units' hashes, from prefix sums; an odd factor has an inverse modulo 2**64
     factor, inverse = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
     up = np.cumprod(np.full(n, factor, np.uint64), dtype=np.uint64)
     down = np.cumprod(np.full(n, inverse, np.uint64), dtype=np.uint64)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(np.array(hashes, np.uint64)) * up, dtype=np.uint64)])
-    a, b = both[:, 0], both[:, 1]
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix64(held.hashes) * up, dtype=np.uint64)])
+    a, b = pairs[:, 0], pairs[:, 1]
     value = (sums[b] - sums[a]) * down[a]
     return mix64(value + (b - a).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)), a, b
 
 
-def _of(text: str | None, options: tuple[int, int, int]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-    parts, counts, hashes = units(text or "", options[2])
-    return parts, *runs(counts, hashes, *options[:2])
-
-
 def _scan(docs: DataFrame, options: tuple[int, int, int]) -> DataFrame:
     """h, doc, again: each distinct run of each row of docs (doc, text); and one row with ``again`` where a row repeats a run within itself."""
+    least, words, most = options
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            ids, found, again = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                every = _of(text, options)[1]
-                h = np.unique(every)
-                found.append(h)
-                ids.append(np.full(len(h), doc, np.int64))
-                if len(h) < len(every):
-                    again.append(doc)
-            h, ids = np.concatenate([*found, np.zeros(len(again), np.uint64)]), np.concatenate([*ids, np.array(again, np.int64)])
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids), pa.array(np.arange(len(h)) >= len(h) - len(again))], names=["h", "doc", "again"])
+            held = units(batch.column(1), most)
+            h, a, _ = runs(held, least, words)
+            row = np.searchsorted(held.first, a, side="right") - 1
+            order = np.lexsort((h, row))
+            h, row = h[order], row[order]
+            same = np.concatenate([[False], (h[1:] == h[:-1]) & (row[1:] == row[:-1])]) if len(h) else np.zeros(0, bool)
+            twice = np.unique(row[same])
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            h, ids = np.concatenate([h[~same], np.zeros(len(twice), np.uint64)]), np.concatenate([ids[row[~same]], ids[twice]])
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids), pa.array(np.arange(len(h)) >= len(h) - len(twice))], names=["h", "doc", "again"])
 
     return docs.mapInArrow(run, "h long, doc long, again boolean")
 
 
-def _rewrite(options: tuple[int, int, int], columns: list[str], text: str, removed: str):
+def _covered(a: np.ndarray, b: np.ndarray, counts: np.ndarray, stretch: int) -> np.ndarray:
+    """Which units lie under the runs, in stretches of at least ``stretch`` words."""
+    depth = np.zeros(len(counts) + 1, np.int64)
+    np.add.at(depth, a, 1)
+    np.add.at(depth, b, -1)
+    under = np.cumsum(depth)[:-1] > 0
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], under.astype(np.int8), [0]])))
+    total = np.concatenate([[0], np.cumsum(counts)])
+    for first, last in zip(edge[::2], edge[1::2]):
+        if total[last] - total[first] < stretch:
+            under[first:last] = False
+    return under
+
+
+def _rewrite(options: tuple[int, int, int], stretch: int, columns: list[str], text: str, removed: str):
+    least, words, most = options
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text):
+            column = batch.column(columns.index(text))
+            held = units(column, most)
+            h, a, b = runs(held, least, words)
+            row = np.searchsorted(a, held.first)  # of each text, the first of its runs
             texts, gone = [], []
-            for old, hits in zip(batch.column(batch.schema.get_field_index(text)).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
-                parts, h, a, b = _of(old, options)
-                first = np.zeros(len(h), bool)
-                first[np.unique(h, return_index=True)[1]] = True
-                bad = ~first
+            for i, (old, hits) in enumerate(zip(column.to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True)):
+                mine = slice(row[i], row[i + 1])
+                bad = np.ones(row[i + 1] - row[i], bool)
+                bad[np.unique(h[mine], return_index=True)[1]] = False
                 if hits:
-                    bad |= np.isin(h.view(np.int64), np.array(hits, np.int64))
-                if not bad.any():
-                    texts.append(old)
-                    gone.append(0)
-                    continue
-                depth = np.zeros(len(parts) + 1, np.int64)
-                np.add.at(depth, a[bad], 1)
-                np.add.at(depth, b[bad], -1)
-                covered = np.cumsum(depth)[:-1] > 0
-                texts.append("".join(p for p, c in zip(parts, covered, strict=True) if not c))
+                    bad |= np.isin(h[mine].view(np.int64), np.array(hits, np.int64))
+                low = held.first[i]
+                covered = _covered(a[mine][bad] - low, b[mine][bad] - low, held.counts[low : held.first[i + 1]], stretch) if bad.any() else bad[:0]
+                if covered.any():
+                    pieces = held.pieces(i, old.encode())
+                    old = b"".join(p for p, c in zip(pieces, covered, strict=True) if not c).decode()
+                texts.append(old)
                 gone.append(int(covered.sum()))
-            arrays = [pa.array(texts, pa.string()) if c == text else batch.column(batch.schema.get_field_index(c)) for c in columns]
+            arrays = [pa.array(texts, pa.string()) if c == text else batch.column(k) for k, c in enumerate(columns)]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(gone, pa.int64())], names=[*columns, removed])
 
     return run
 
 
-def without_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST, words: int = WORDS, most: int = MOST, removed: str = "removed_units") -> DataFrame:
-    """df with ``text`` rewritten without the units under repeated runs that are not the first; ``removed_units`` counts them.
+def without_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST, words: int = WORDS, most: int = MOST, removed: str = "removed_units", stretch: int = STRETCH) -> DataFrame:
+    """df with ``text`` rewritten without the stretches under repeated runs that are not the first; ``removed_units`` counts their units.
 
     Rows stay one to one; a text may become empty, a null text stays null. A document is its integer key: rows with
-    equal keys are one document, so they don't take text from each other; rows with a null key are one document after all others.
+    equal keys are one document, so they don't take text from each other; rows with a null key are one document after all
+    others, which loses what another document holds and keeps what only such rows repeat. A column that is named like ``removed`` is
+    replaced; names may hold dots.
     """
     options = (least, words, most)
-    doc = F.coalesce(F.col(key).cast("long"), F.lit(NO_KEY))
-    slim = df.select(doc.alias("doc"), F.col(text).cast("string").alias("text"))
+    doc = F.coalesce(named(key).cast("long"), F.lit(NO_KEY))
+    slim = df.select(doc.alias("doc"), named(text).cast("string").alias("text"))
     scanned = checkpoint(_scan(slim, options))
     every = scanned.where("NOT again").select("h", "doc")
     first = every.groupBy("h").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first <> last").select("h", "first")
@@ -172,17 +223,18 @@ def without_repeats(df: DataFrame, key: str = "doc_id", text: str = "text", leas
     which = df.sparkSession.sparkContext.broadcast(bitmap(touched.select(F.xxhash64("doc").alias("m")), "m"))
 
     columns = [c for c in df.columns if c != removed]
-    source = df.select(*columns)
+    source = df.select(*map(named, columns)).withColumn(text, named(text).cast("string"))
     mark, hit, number = free_name(source, "mark"), free_name(source, "hits_"), free_name(source, "doc_")
-    tagged = source.withColumn(text, source[text].cast("string")).withColumn(mark, F.xxhash64(doc))
+    tagged = source.withColumn(mark, F.xxhash64(doc))
 
     @F.pandas_udf("boolean")
     def perhaps(marks: pd.Series) -> pd.Series:
         return pd.Series(marked(which.value, marks.to_numpy()))
 
+    kept = [named(c) for c in columns]
     held = tagged.where(perhaps(F.col(mark))).withColumn(number, doc)
-    held = held.join(touched.select(F.col("doc").alias(number), F.col("hits").alias(hit)), number, "left").select(*columns, hit)
-    out = T.StructType([*tagged.select(*columns).schema.fields, T.StructField(removed, T.LongType())])
-    held = held.mapInArrow(_rewrite(options, columns, text, removed), out)
-    free = tagged.where(~perhaps(F.col(mark))).select(*columns, F.lit(0).cast("long").alias(removed))
+    held = held.join(touched.select(F.col("doc").alias(number), F.col("hits").alias(hit)), number, "left").select(*kept, hit)
+    out = T.StructType([*source.schema.fields, T.StructField(removed, T.LongType())])
+    held = map_batches(held, _rewrite(options, stretch, columns, text, removed), out)
+    free = tagged.where(~perhaps(F.col(mark))).select(*kept, F.lit(0).cast("long").alias(removed))
     return held.unionByName(free)

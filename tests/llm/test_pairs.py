@@ -1,13 +1,16 @@
 """Near duplicates, lines, spans and recordings against brute force."""
 
 import random
+import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from docketlake.llm import audio, jaccard, lines, spans
+from docketlake.llm._common import word_hashes
 from docketlake.llm.op4 import played
 
 SCHEMA = "doc_id long, text string, grams string, rep string"
@@ -106,7 +109,30 @@ def test_lines_equal_brute_force(spark):
     assert lines.without_boilerplate(df.limit(0)).count() == 0
 
 
-def test_spans_equal_brute_force(spark):
+def plain_units(text):
+    """(units, their words in lower case), word by word."""
+    cut, words, starts = [], [], []
+    for m in re.finditer(r"[^ \t\n\x0b\x0c\r]+", text):
+        starts.append(m.start())
+        words.append(m[0].lower())
+    ends = [bool(re.search(r"[.!?][\"')\]]*$", w)) or "\n" in text[s + len(w) : t] for w, s, t in zip(words, starts, [*starts[1:], len(text)])]
+    pair = spans.mix64(word_hashes(pa.array([" ".join(words)]))[0][:-1] * np.uint64(0x9E3779B97F4A7C15) + word_hashes(pa.array([" ".join(words)]))[0][1:]) if len(words) > 1 else []
+    at = 0
+    while at < len(words):
+        stop = next((k + 1 for k in range(at, len(words)) if ends[k]), len(words))
+        cut.append(at)
+        for s in range(at, stop - 12):
+            cut.append(max(range(s, s + 12), key=lambda k: (-int(pair[k]), k)) + 1)
+        at = stop
+    cut = sorted(set(cut))
+    if not cut:
+        return ([text] if text else []), ([()] if text else [])
+    marks = [0, *(starts[c] for c in cut[1:]), len(text)]
+    return [text[a:b] for a, b in zip(marks, marks[1:])], [tuple(words[a:b]) for a, b in zip(cut, [*cut[1:], len(words)])]
+
+
+@pytest.mark.parametrize("stretch", [0, spans.STRETCH])
+def test_spans_equal_brute_force(spark, stretch):
     rng = random.Random(4)
     sentence = lambda: " ".join(words(rng, rng.randint(1, 40))) + rng.choice([".", "!", ", and so on.", "?\n"])
     shared = [" ".join(sentence() for _ in range(4)) for _ in range(5)]
@@ -123,27 +149,33 @@ def test_spans_equal_brute_force(spark):
     key = lambda i: spans.NO_KEY if i is None else i
     first, found = {}, []
     for i, t in rows:
-        parts, counts, hashes = spans.units(t or "")
+        parts, keys = plain_units(t or "")
         assert "".join(parts) == (t or "")
+        counts = [len(k) for k in keys]
         own = set()
         for a in range(len(parts)):
             own |= {next(((a, b) for b in range(a + 2, len(parts) + 1) if sum(counts[a:b]) >= spans.WORDS), None)}
             own |= {next(((b, a + 1) for b in range(a - 1, -1, -1) if sum(counts[b : a + 1]) >= spans.WORDS), None)}
         own = sorted(own - {None})
-        found.append((i, t, parts, hashes, own))
+        found.append((i, t, parts, keys, own))
         for a, b in own:
-            k = tuple(hashes[a:b])
+            k = tuple(keys[a:b])
             first[k] = min(first.get(k, spans.NO_KEY), key(i))
     want = []
-    for i, t, parts, hashes, own in found:
+    for i, t, parts, keys, own in found:
         bad, seen = set(), set()
         for a, b in own:
-            k = tuple(hashes[a:b])
+            k = tuple(keys[a:b])
             if first[k] != key(i) or k in seen:
                 bad |= set(range(a, b))
             seen.add(k)
+        for n in sorted(bad):  # stretches that are too short stay
+            if n - 1 not in bad:
+                end = next(m for m in range(n, len(parts) + 1) if m not in bad)
+                if sum(len(keys[m]) for m in range(n, end)) < stretch:
+                    bad -= set(range(n, end))
         want.append((i, None if t is None else "".join(p for n, p in enumerate(parts) if n not in bad), len(bad)))
-    out = spans.without_repeats(df)
+    out = spans.without_repeats(df, stretch=stretch)
     assert sorted(((r.doc_id, r.text, r.removed_units) for r in out.collect()), key=repr) == sorted(want, key=repr)
     assert any(w[2] for w in want) and out.columns == ["doc_id", "text", "mark", "removed_units"]
     assert spans.without_repeats(df.limit(0)).count() == 0
