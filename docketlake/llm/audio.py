@@ -5,13 +5,17 @@ smoothed over time and normalised, and make an image of twelve columns. Filters
 read from the integral image, give two bits each; sixteen of them make the packed 32-bit integer of a
 place. Filters are made by rule, thresholds are constants, so fingerprints of different runs compare.
 
-Recordings with equal fingerprints are one class. The query classes are looked up against all classes, in blocks of
-a bounded number of fingerprints: places whose coarse keys are equal vote for an offset; the best offset of a pair is
-checked by the bit errors along it, and the longest stretch with few errors is the match.
+Recordings with equal fingerprints are one class. The query classes are dealt to blocks of a bounded number of fingerprints. Their coarse
+keys and those of all classes meet in a shuffled join, with keys that many recordings hold salted, which tells each class the blocks
+that it shares a key with; only those are compared, in tiles of bounded size. There, places whose keys are equal
+vote for an offset; the best offset of a pair is checked by the bit errors along it, and the longest stretch
+with few errors is the match. Votes are counted some at a time, so a sound that repeats costs time and not memory.
 """
 
 from __future__ import annotations
 
+import io
+import wave
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -19,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import checkpoint, mix64, signed, slices
+from ._common import bitmap, checkpoint, few_rows, marked, mix64, named, signed, slices
 
 #: Samples per second, of a frame, and from frame to frame.
 RATE, FRAME, HOP = 2048, 256, 128
@@ -27,11 +31,12 @@ RATE, FRAME, HOP = 2048, 256, 128
 WINDOW, SMOOTH = 16, np.array([0.25, 0.75, 1.0, 0.75, 0.25])
 #: Values of a filter between which its two middle levels lie.
 THRESHOLD = 0.03
-#: Frames of a match at least, share of wrong bits at most, and fingerprints that one block of queries holds.
-LEAST, ERROR, BLOCK = 16, 0.12, 400_000
-#: Places, from the first, whose coarse values make a key of 64 bits; and keys of one recording that are looked up at a time.
+#: Frames of a match at least, share of wrong bits at most, fingerprints of a block of queries and of a tile's other side.
+LEAST, ERROR, BLOCK, TILE = 16, 0.12, 100_000, 2_000_000
+#: Recordings of one key in a salt, and votes that are counted at a time.
+SALT, VOTES = 512, 1 << 20
+#: Places, from the first, whose coarse values make a key of 64 bits.
 BANDS = ((0, 8, 12, 15), (0, 3, 9, 14), (0, 5, 10, 15))
-LOOKUP = 4096
 
 
 def _filters() -> list[list[tuple[int, int, int, int, int]]]:
@@ -123,9 +128,42 @@ def fingerprint(pcm: np.ndarray) -> np.ndarray:
     return fingerprint_all([pcm])[0]
 
 
-def pcm16(column: pa.Array) -> list[np.ndarray]:
-    """Samples of little-endian 16-bit mono audio; null is an empty recording."""
-    return [np.frombuffer((d or b"")[: len(d or b"") // 2 * 2], "<i2").astype(np.float32) / 32768 for d in column.to_pylist()]
+def resampled(x: np.ndarray, rate: int) -> np.ndarray:
+    """Samples at RATE from samples at another rate: a low-pass filter, and values between samples by straight lines."""
+    if rate == RATE or not len(x):
+        return x
+    half = 16 * max(1, -(-rate // RATE))
+    at = np.arange(-half, half + 1)
+    band = 0.9 * min(1.0, RATE / rate)
+    kernel = (band * np.sinc(band * at) * np.hanning(2 * half + 3)[1:-1]).astype(np.float32)
+    filled = np.concatenate([np.zeros(half, np.float32), x, np.zeros(half, np.float32)])
+    smooth = np.convolve(filled, kernel, "valid")
+    return np.interp(np.arange(int(len(x) * RATE / rate)) * (rate / RATE), np.arange(len(smooth)), smooth).astype(np.float32)
+
+
+def pcm16(column: pa.Array, rate: int = RATE) -> list[np.ndarray]:
+    """Samples of little-endian 16-bit mono audio at a rate; null is an empty recording."""
+    return [resampled(np.frombuffer((d or b"")[: len(d or b"") // 2 * 2], "<i2").astype(np.float32) / 32768, rate) for d in column.to_pylist()]
+
+
+def _of_wav(data: bytes | None) -> np.ndarray:
+    try:
+        with wave.open(io.BytesIO(data or b"")) as f:
+            width, channels, rate, raw = f.getsampwidth(), f.getnchannels(), f.getframerate(), f.readframes(f.getnframes())
+    except (wave.Error, EOFError):
+        return np.zeros(0, np.float32)
+    n = len(raw) // (width * channels)
+    raw = raw[: n * width * channels]
+    if width == 1:  # the only unsigned one
+        x = np.frombuffer(raw, np.uint8).astype(np.float32) / 128 - 1
+    else:  # the highest two bytes of each sample
+        x = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(-1, width)[:, -2:]).view("<i2").astype(np.float32).ravel() / 32768
+    return resampled(x.reshape(n, channels).mean(1), rate)
+
+
+def wav(column: pa.Array) -> list[np.ndarray]:
+    """Samples of WAV files with whole-number samples of any width, rate and number of channels; what does not parse is an empty recording."""
+    return [_of_wav(d) for d in column.to_pylist()]
 
 
 def fingerprints(df: DataFrame, key: str, media: str, limit: int = 1 << 20, decode: Callable[[pa.Array], list[np.ndarray]] = pcm16) -> DataFrame:
@@ -140,7 +178,7 @@ def fingerprints(df: DataFrame, key: str, media: str, limit: int = 1 << 20, deco
                 keys[i] = v.sum(dtype=np.uint64), mix64(v ^ np.uint64(0x9E3779B97F4A7C15)).sum(dtype=np.uint64) + np.uint64(len(p))
             yield pa.RecordBatch.from_arrays([batch.column(0), signed(np.ascontiguousarray(keys[:, 0])), signed(np.ascontiguousarray(keys[:, 1])), pa.array([p.astype("<u4").tobytes() for p in prints], pa.binary())], names=["id", "k1", "k2", "fp"])
 
-    source = df.select(F.col(key).cast("long").alias("id"), F.col(media).alias("media"))
+    source = df.select(named(key).cast("long").alias("id"), named(media).alias("media"))
     return source.mapInArrow(run, "id long, k1 long, k2 long, fp binary")
 
 
@@ -205,20 +243,25 @@ class QueryBlock:
     def offsets(self, p: np.ndarray) -> dict[int, int]:
         """Query -> the offset (place in p less place in the query) with the most votes, the least of equals."""
         keys, marks = landmarks(p)
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        for at in range(0, len(marks), LOOKUP):
-            some = marks[at : at + LOOKUP]
-            low, high = np.searchsorted(self.values, keys[at : at + LOOKUP]), np.searchsorted(self.values, keys[at : at + LOOKUP], side="right")
-            n = high - low
-            if not n.sum():
-                continue
-            inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
-            code = (self.query[inside].astype(np.int64) << 32) + (np.repeat(some, n) - self.place[inside] + (1 << 31))
-            found.append(np.unique(code, return_counts=True))
-        if not found:
+        low, high = np.searchsorted(self.values, keys), np.searchsorted(self.values, keys, side="right")
+        n = high - low
+        held = np.flatnonzero(n)
+        if not len(held):
             return {}
-        codes, back = np.unique(np.concatenate([c for c, _ in found]), return_inverse=True)
-        votes = np.bincount(back, np.concatenate([v for _, v in found])).astype(np.int64)
+        total = np.cumsum(n[held])
+        codes, votes, at = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+        while at < len(held):  # distinct (query, offset) are kept, and never all votes
+            stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + VOTES, side="right")))
+            some = held[at:stop]
+            m = n[some]
+            inside = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m) + np.repeat(low[some], m)
+            code, count = np.unique((self.query[inside].astype(np.int64) << 32) + (np.repeat(marks[some], m) - self.place[inside] + (1 << 31)), return_counts=True)
+            if len(codes):
+                both, back = np.unique(np.concatenate([codes, code]), return_inverse=True)
+                codes, votes = both, np.bincount(back, np.concatenate([votes, count])).astype(np.int64)
+            else:
+                codes, votes = code, count
+            at = stop
         order = np.lexsort((codes, -votes, codes >> 32))
         first = np.unique(codes[order] >> 32, return_index=True)[1]
         return {int(c >> 32): int((c & 0xFFFFFFFF) - (1 << 31)) for c in codes[order][first]}
@@ -237,36 +280,72 @@ class QueryBlock:
         return out
 
 
-def align(prints: DataFrame, is_query: Column, least: int = LEAST, most: float = ERROR, block: int = BLOCK) -> DataFrame:
+def _keys_of(marks=None, column: str = "block"):
+    """(key, ``column``) of each recording (``column``, fp); with ``marks`` only keys that have one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "fp"):
+            keys = [np.unique(landmarks(np.frombuffer(p, "<u4"))[0]) for p in batch.column(1).to_pylist()]
+            owner = np.repeat(batch.column(0).to_numpy(), [len(k) for k in keys])
+            keys = np.concatenate([np.zeros(0, np.uint64), *keys])
+            if marks is not None:
+                hit = marked(marks.value, keys)
+                keys, owner = keys[hit], owner[hit]
+            yield pa.RecordBatch.from_arrays([signed(keys), pa.array(owner)], names=["key", column])
+
+    return run
+
+
+def _compare(least: int, most: float, schema: pa.Schema):
+    def run(asked: pa.Table, others: pa.Table) -> pa.Table:
+        found: list[tuple] = []
+        if asked.num_rows and others.num_rows:
+            asked = asked.sort_by("class_id")
+            queries = QueryBlock(asked.column("class_id").to_pylist(), [np.frombuffer(x, "<u4") for x in asked.column("fp").to_pylist()])
+            for c, p in zip(others.column("other").to_pylist(), others.column("other_fp"), strict=True):
+                found += [(c, c, *m) for m in queries.matches(np.frombuffer(p.as_buffer(), "<u4"), least, most) if m[0] != c]
+        return pa.Table.from_arrays([pa.array([f[i] for f in found], t.type) for i, t in enumerate(schema)], schema=schema)
+
+    return run
+
+
+def align(prints: DataFrame, is_query: Column, least: int = LEAST, most: float = ERROR, block: int = BLOCK, tile: int = TILE, salt: int = SALT) -> DataFrame:
     """Search the recordings that meet ``is_query`` (a condition on ``id``) in all recordings.
 
     prints: id, k1, k2, fp of ``fingerprints``. Rows of two kinds: for each recording (doc_id, class_id) with nulls else, where
     class_id is the least id with the same fingerprints; and for each pair of a query class and another class that match, doc_id and
     class_id of that class, query_class, offset (places), first, length and error. A class is a query if one of its
     recordings is. A match is ``least`` places long or more, so shorter recordings match their equals only, as a class; empty
-    recordings are one class. Rows with a null id are left out.
+    recordings are one class. Rows with a null id are left out. An offset is looked at if it has the most equal keys of the pair: that
+    finds all matches of twice ``least`` places in tests against all offsets; of shorter ones with nearly ``most`` wrong bits, many share no key.
     """
     rows = checkpoint(prints.where("id IS NOT NULL"))
     reps = checkpoint(rows.groupBy("k1", "k2").agg(F.min("id").alias("class_id"), F.max(is_query).alias("asks"), F.first("fp").alias("fp")))
     members = rows.select("id", "k1", "k2").join(reps.select("k1", "k2", "class_id"), ["k1", "k2"]).select(F.col("id").alias("doc_id"), "class_id")
-    sizes = reps.where("asks AND octet_length(fp) > 0").select("class_id", F.floor(F.octet_length("fp") / 4).alias("n"))
-    # blocks by a hash of the class id, of about ``block`` fingerprints each
-    total = sizes.agg(F.sum("n").alias("n")).first().n or 0
-    blocks = int(-(-total // block))
     out = members.select("doc_id", "class_id", *(F.lit(None).cast(t).alias(c) for c, t in (("query_class", "long"), ("offset", "long"), ("first", "long"), ("length", "long"), ("error", "double"))))
-    for number in range(blocks):
-        mine = reps.where("asks AND octet_length(fp) > 0").where(F.pmod(F.xxhash64("class_id"), F.lit(blocks)) == number)
-        table = mine.select("class_id", "fp").toArrow().sort_by("class_id")
-        queries = prints.sparkSession.sparkContext.broadcast(QueryBlock(table.column("class_id").to_pylist(), [np.frombuffer(x, "<u4") for x in table.column("fp").to_pylist()]))
-
-        def run(batches: Iterator[pa.RecordBatch], queries=queries) -> Iterator[pa.RecordBatch]:
-            for batch in slices(batches, "fp"):
-                found = [(c, *m) for c, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for m in queries.value.matches(np.frombuffer(p, "<u4"), least, most) if m[0] != c]
-                columns = list(zip(*found, strict=True)) if found else [()] * 6
-                types = [pa.int64()] * 5 + [pa.float64()]
-                arrays = [pa.array(c, t) for c, t in zip(columns, types, strict=True)]
-                yield pa.RecordBatch.from_arrays([arrays[0], *arrays], names=["doc_id", "class_id", "query_class", "offset", "first", "length", "error"])
-
-        searched = reps.where("octet_length(fp) > 0").select("class_id", "fp").mapInArrow(run, out.schema)
-        out = out.unionByName(searched)
-    return out
+    sounding = reps.where("octet_length(fp) > 0")
+    asked = sounding.where("asks")
+    total = asked.agg(F.sum(F.floor(F.octet_length("fp") / 4)).alias("n")).first().n or 0
+    if not total:
+        return out
+    blocks = int(-(-total // block))
+    asked = asked.select("class_id", "fp", F.pmod(F.xxhash64("class_id"), F.lit(blocks)).alias("block"))
+
+    # which classes share a key with which block
+    wanted = checkpoint(asked.select("block", "fp").mapInArrow(_keys_of(), "key long, block long").distinct())
+    marks = prints.sparkSession.sparkContext.broadcast(bitmap(wanted, "key"))
+    held = checkpoint(sounding.select("class_id", "fp").mapInArrow(_keys_of(marks, "class_id"), "key long, class_id long"))
+    common = few_rows(checkpoint(held.groupBy("key").agg(F.ceil(F.count("*") / salt).cast("int").alias("salts")).where("salts > 1")))
+    held = held.join(common, "key", "left").select("key", "class_id", F.pmod(F.xxhash64("class_id"), F.coalesce("salts", F.lit(1))).alias("salt"))
+    wanted = wanted.join(common, "key", "left").select("key", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("salts", F.lit(1)).cast("long") - 1)).alias("salt"))
+    met = held.join(wanted, ["key", "salt"]).select("class_id", "block").distinct()
+
+    # tiles: a block's queries and a bounded part of the classes that it meets
+    others = checkpoint(met.join(sounding.select("class_id", "fp"), "class_id"))
+    parts = others.groupBy("block").agg(F.ceil(F.sum(F.octet_length("fp")) / (4 * tile)).cast("long").alias("parts"))
+    parts = few_rows(checkpoint(parts))
+    left = asked.join(parts, "block").select("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "class_id", "fp")
+    right = others.join(parts, "block").select("block", F.pmod(F.xxhash64("class_id", F.lit("part")), F.col("parts")).alias("part"), F.col("class_id").alias("other"), F.col("fp").alias("other_fp"))
+    fields = [("doc_id", pa.int64()), ("class_id", pa.int64()), ("query_class", pa.int64()), ("offset", pa.int64()), ("first", pa.int64()), ("length", pa.int64()), ("error", pa.float64())]
+    found = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(_compare(least, most, pa.schema(fields)), out.schema)
+    return out.unionByName(found)
