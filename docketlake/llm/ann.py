@@ -2,10 +2,12 @@
 
 * Equal vectors are one entry, which keeps its smallest ids, as no answer can hold more of them.
 * Centroids come from a bounded sample, halved again and again at the median between two means, so
-  that all lists are of one size there. All vectors are indexed.
+  that all lists are of one size there. All vectors are indexed. Vectors of each length have centroids of their own.
 * A vector joins its nearest list and, near a boundary, others whose distance is within a ratio of the nearest,
   unless a chosen centroid lies nearer to that centroid than the vector does. Centroids are found by a best-first search of an in-memory
   neighbour graph, for a batch of vectors at a time.
+* Where a table is so large that lists outgrow ``split`` vectors, a second level of centroids, fitted to a bounded sample of each such
+  list, divides it by the same rules; the second level is a distributed table.
 * A query reads the lists within a distance ratio of its nearest. Lists and their queries meet in tiles of bounded
   size; each tile keeps what can still be among the nearest, with the exact cosine of the original vectors.
 """
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import checkpoint
+from ._common import checkpoint, named
 
 
 @dataclass(frozen=True)
@@ -37,6 +39,10 @@ class Settings:
     index_ratio: float = 1.25
     search_ratio: float = 1.6
     tile: int = 2048  # vectors, and queries, of a tile
+    split: int = 1024  # vectors of a list from which it gets a second level, ...
+    max_parts: int = 1024  # ... of so many parts at most, ...
+    part_sample: int = 8192  # ... fitted to about so many of its vectors
+    chunk: int = 20_000  # vectors, or queries, of a list that one task deals to parts
 
 
 class Graph:
@@ -114,7 +120,13 @@ class Graph:
             ids, scores, open_ = np.concatenate([ids, np.maximum(new, 0)], 1), np.concatenate([scores, dots], 1), np.concatenate([open_, fresh], 1)
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two that brings their largest component near 1: cosines keep their bits, and squares neither overflow nor vanish."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
+    x = _scaled(x)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -165,95 +177,194 @@ def _stable_cosine(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     return dot / (np.sqrt(qq) * np.sqrt(vv))
 
 
-def _lists_of(graph: Graph, settings: Settings, searching: bool):
+def _chosen(ids: np.ndarray, cos: np.ndarray, centroids: np.ndarray, settings: Settings, searching: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(which of the found centroids, nearest first, a vector joins or a query reads; their distances)."""
+    d = np.sqrt(np.maximum(0.0, 2 - 2 * cos.astype(np.float64)))
+    d[~np.isfinite(cos)] = np.inf
+    if searching:
+        return d <= settings.search_ratio * d[:, :1] + 1e-9, d
+    keep = np.zeros(d.shape, bool)
+    keep[:, 0] = True
+    for k in range(1, d.shape[1]):
+        fits = (d[:, k] <= settings.index_ratio * d[:, 0] + 1e-9) & (keep.sum(1) < settings.replicas)
+        for j in range(k):  # a chosen centroid that lies nearer to this one stands for it
+            apart = np.sqrt(np.maximum(0.0, 2 - 2 * np.einsum("ij,ij->i", centroids[ids[:, j]], centroids[ids[:, k]])))
+            fits &= ~(keep[:, j] & (apart < d[:, k]))
+        keep[:, k] = fits
+    return keep, d
+
+
+def _most(settings: Settings, searching: bool) -> int:
+    return settings.beam if searching else 4 * settings.replicas
+
+
+def _lists_of(graphs, settings: Settings, searching: bool):
+    """Rows (dim, list, part, d, ...) of rows (dim, vec, ...): the lists of each vector; lengths without a graph have one list."""
+
+    def dealt(batch: pa.RecordBatch, dim: int) -> pa.RecordBatch:
+        graph = graphs.value.get(dim)
+        if graph is None:
+            rows, lists, d = np.arange(batch.num_rows), np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
+        else:
+            x = _unit(_matrix(batch.column(batch.schema.get_field_index("vec"))).astype(np.float64))
+            ids, cos = graph.search(x, _most(settings, searching))
+            keep, far = _chosen(ids, cos, graph.c, settings, searching)
+            rows, places = np.nonzero(keep)
+            lists, d = ids[rows, places], far[rows, places]
+        some = batch.take(pa.array(rows))
+        arrays = [some.column("dim"), pa.array(lists.astype(np.int32)), pa.array(np.zeros(len(rows), np.int32)), pa.array(d), *some.columns[1:]]
+        return pa.RecordBatch.from_arrays(arrays, names=["dim", "list", "part", "d", *batch.schema.names[1:]])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, 1024):
                 batch = whole.slice(at, 1024)
-                x = _unit(_matrix(batch.column(batch.schema.get_field_index("vec"))).astype(np.float64))
-                ids, cos = graph.value.search(x, settings.beam if searching else 4 * settings.replicas)
-                d = np.sqrt(np.maximum(0.0, 2 - 2 * cos.astype(np.float64)))
-                d[~np.isfinite(cos)] = np.inf
-                if searching:
-                    keep = d <= settings.search_ratio * d[:, :1] + 1e-9
-                else:
-                    keep = np.zeros(d.shape, bool)
-                    keep[:, 0] = True
-                    c = graph.value.c
-                    for k in range(1, d.shape[1]):
-                        fits = (d[:, k] <= settings.index_ratio * d[:, 0] + 1e-9) & (keep.sum(1) < settings.replicas)
-                        for j in range(k):  # a chosen centroid that lies nearer to this one stands for it
-                            apart = np.sqrt(np.maximum(0.0, 2 - 2 * np.einsum("ij,ij->i", c[ids[:, j]], c[ids[:, k]])))
-                            fits &= ~(keep[:, j] & (apart < d[:, k]))
-                        keep[:, k] = fits
-                rows, places = np.nonzero(keep)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[rows, places].astype(np.int32)), *(c.take(pa.array(rows)) for c in batch.columns)], names=["list", *batch.schema.names])
+                dims = batch.column(0).to_numpy()
+                for dim in np.unique(dims):
+                    yield dealt(batch.filter(pa.array(dims == dim)), int(dim))
+
+    return run
+
+
+def _fit_parts(settings: Settings):
+    """Unit centroids (dim, list, part, c) of a sample of one list's vectors (with the list's size n)."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("q").combine_chunks()
+        x = _unit(_matrix(table.column("vec").combine_chunks()).astype(np.float64))
+        parts, n = 1, table.column("n")[0].as_py()
+        while parts * 2 * settings.list_size <= n and parts * 2 <= min(settings.max_parts, len(x)):
+            parts *= 2
+        c = balanced_centroids(x, parts)
+        same = lambda name: pa.array(np.full(len(c), table.column(name)[0].as_py(), np.int32))
+        return pa.table({"dim": same("dim"), "list": same("list"), "part": pa.array(np.arange(len(c), dtype=np.int32)), "c": pa.array(list(c.astype(np.float32)), pa.list_(pa.float32()))})
 
     return run
 
 
+def _deal_parts(settings: Settings, searching: bool, names: list[str]):
+    """Rows of a chunk of one list at the parts that they join or read."""
+
+    def run(rows: pa.Table, parts: pa.Table) -> pa.Table:
+        rows = rows.select(names).combine_chunks()
+        if not rows.num_rows or not parts.num_rows:
+            return rows.slice(0, 0)
+        c = _matrix(parts.sort_by("part").column("c").combine_chunks()).astype(np.float32)
+        out = []
+        for at in range(0, rows.num_rows, 1024):
+            some = rows.slice(at, 1024)
+            scores = _unit(_matrix(some.column("vec").combine_chunks()).astype(np.float64)).astype(np.float32) @ c.T
+            ids = np.argsort(-scores, axis=1, kind="stable")[:, : _most(settings, searching)]
+            keep, far = _chosen(ids, np.take_along_axis(scores, ids, 1), c, settings, searching)
+            at_row, places = np.nonzero(keep)
+            taken = some.take(pa.array(at_row))
+            taken = taken.set_column(names.index("part"), "part", pa.array(ids[at_row, places].astype(np.int32)))
+            out.append(taken.set_column(names.index("d"), "d", pa.array(far[at_row, places])))
+        return pa.concat_tables(out)
+
+    return run
+
+
+def _second_level(postings: DataFrame, probes: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]:
+    """Both with the lists of more than ``split`` vectors divided into parts."""
+    sizes = checkpoint(postings.groupBy("dim", "list").agg(F.count("*").alias("n")).where(F.col("n") > settings.split))
+    if sizes.isEmpty():
+        return postings, probes
+    at = ["dim", "list"]
+    # about part_sample vectors of each list, by their hashes
+    some = postings.join(F.broadcast(sizes), at).where(F.pmod(F.xxhash64("q", F.lit("part")), F.col("n")) < settings.part_sample)  # at most max_lists rows for each length
+    parts = checkpoint(some.select("dim", "list", "n", "q", "vec").groupBy(*at).applyInArrow(_fit_parts(settings), "dim int, list int, part int, c array<float>"))
+
+    def divided(df: DataFrame, searching: bool) -> DataFrame:
+        counts = df.groupBy(*at).agg(F.ceil(F.count("*") / settings.chunk).cast("int").alias("chunks"))
+        counts = checkpoint(counts.join(F.broadcast(sizes.select(*at)), at))
+        held = df.join(F.broadcast(counts), at, "left")
+        cut = held.where("chunks IS NOT NULL").withColumn("chunk", F.pmod(F.xxhash64("q", F.lit("chunk")), F.col("chunks")).cast("int"))
+        told = parts.join(F.broadcast(counts), at).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        told = told.select(*(F.col(c).alias(f"p_{c}") for c in ("dim", "list", "chunk")), "part", "c")
+        own = cut.groupBy("dim", "list", "chunk").cogroup(told.groupBy("p_dim", "p_list", "p_chunk")).applyInArrow(_deal_parts(settings, searching, df.columns), df.schema)
+        return checkpoint(held.where("chunks IS NULL").select(*df.columns).unionByName(own))
+
+    postings, probes = divided(postings, False), divided(probes, True)
+    # over all lists that a query reads: the nearest parts, by the same rules
+    near = Window.partitionBy("dim", "q")
+    ranked = probes.withColumn("least", F.min("d").over(near)).withColumn("place", F.row_number().over(near.orderBy("d", "list", "part")))
+    probes = ranked.where((F.col("place") <= settings.beam) & (F.col("d") <= settings.search_ratio * F.col("least") + 1e-9)).drop("least", "place")
+    return postings, checkpoint(probes)
+
+
 def _tile(k: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        empty = pa.table({"q": pa.array([], pa.binary()), "id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-        if not left.num_rows or not right.num_rows:
-            return empty
-        left = left.combine_chunks()
-        right = right.combine_chunks()
-        v, q = _matrix(left.column("vec").combine_chunks()), _matrix(right.column("vec").combine_chunks())
-        ids, keys = left.column("ids").to_pylist(), right.column("q").to_pylist()
-        dots = _unit(q) @ _unit(v).T
-        # all that reach the k-th, with room for rounding and ties
-        floor = np.partition(dots, -min(k, dots.shape[1]), axis=1)[:, -min(k, dots.shape[1])] - 1e-9
-        rows, columns = np.nonzero(dots >= floor[:, None])
-        exact = _stable_cosine(q[rows], v[columns])
-        best: dict[int, list] = {}
-        for r, c, s in zip(rows.tolist(), columns.tolist(), exact.tolist(), strict=True):
-            best.setdefault(r, []).extend((-s, i) for i in ids[c])
-        out = [(keys[r], i, -s) for r, found in best.items() for s, i in sorted(found)[:k]]
+        left, right = left.combine_chunks(), right.combine_chunks()
+        out: list[tuple] = []
+        if left.num_rows and right.num_rows:
+            v, q = _scaled(_matrix(left.column("vec").combine_chunks())), _scaled(_matrix(right.column("asked").combine_chunks()))
+            ids, keys = left.column("ids").to_pylist(), right.column("q").to_pylist()
+            dots = _unit(q) @ _unit(v).T
+            # all that reach the k-th, with room for rounding and ties
+            wide = dots >= np.partition(dots, -min(k, dots.shape[1]), axis=1)[:, -min(k, dots.shape[1])][:, None] - 1e-9
+            many = np.cumsum(wide.sum(1))
+            limit, at = max(1, (1 << 22) // q.shape[1]), 0
+            while at < len(q):  # some rows at a time, so that ties of many vectors are not all spread out
+                stop = max(at + 1, int(np.searchsorted(many, (many[at - 1] if at else 0) + limit, side="right")))
+                rows, columns = np.nonzero(wide[at:stop])
+                best: dict[int, list] = {}
+                for r, c, s in zip(rows.tolist(), columns.tolist(), _stable_cosine(q[at + rows], v[columns]).tolist(), strict=True):
+                    best.setdefault(r, []).extend((-s, i) for i in ids[c])
+                out += [(keys[at + r], i, -s) for r, found in best.items() for s, i in sorted(found)[:k]]
+                at = stop
         return pa.table({"q": pa.array([o[0] for o in out], pa.binary()), "id": pa.array([o[1] for o in out], pa.int64()), "score": pa.array([o[2] for o in out], pa.float64())})
 
     return run
 
 
+def _graphs(entries: DataFrame, settings: Settings) -> dict[int, Graph]:
+    """The centroids of each vector length that has enough for two lists; what is collected is bounded for all lengths together."""
+    counts = {r.dim: r.n for r in entries.groupBy("dim").agg(F.count("*").alias("n")).collect()}  # one row for each length
+    total, out = sum(counts.values()), {}
+    for dim, n in sorted(counts.items()):
+        size = max(2, min(settings.sample, settings.sample_values // dim) * n // total)
+        lists = 1
+        while lists * 2 * settings.list_size <= n and lists * 2 <= min(settings.max_lists, size):
+            lists *= 2
+        if lists > 1:
+            picked = entries.where(F.col("dim") == dim).orderBy(F.xxhash64("q"), "q").limit(size).select("vec").toArrow()
+            sample = _unit(_matrix(picked.column("vec").combine_chunks()).astype(np.float64))
+            out[dim] = Graph(balanced_centroids(sample, lists), settings.degree)
+    return out
+
+
 def nearest(df: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", vector: str = "embedding", settings: Settings = Settings()) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row of df that meets ``is_query``, its own row left out.
 
     Ties go to the smaller id. Vectors that are null or zero or hold null or non-finite components take no part,
-    nor do null keys and vectors of another length than the sample's first. Rows that repeat a key with
+    nor do null keys. Vectors are compared with those of their own length. Rows that repeat a key with
     the same vector count once. No vectors, no rows.
     """
-    source = df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("vec"), is_query.alias("asks")).where(F.col("id").isNotNull() & usable(F.col("vec")))
+    source = df.select(named(key).cast("long").alias("id"), named(vector).cast("array<double>").alias("vec"), is_query.alias("asks")).where(F.col("id").isNotNull() & usable(F.col("vec")))
     source = source.withColumn("q", F.unhex(F.md5(F.to_json(F.struct("vec")))))
     order = Window.partitionBy("q").orderBy("id")
     few = source.groupBy("q", "id").agg(F.first("vec").alias("vec")).withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1)
-    entries = checkpoint(few.groupBy("q").agg(F.first("vec").alias("vec"), F.sort_array(F.collect_list("id")).alias("ids")))
-    n = entries.count()
+    entries = few.groupBy("q").agg(F.first("vec").alias("vec"), F.sort_array(F.collect_list("id")).alias("ids"))
+    entries = checkpoint(entries.select(F.size("vec").alias("dim"), "q", "vec", "ids"))
     asks = checkpoint(source.where(F.coalesce("asks", F.lit(False))).select("id", "q").distinct())
-    schema = "query_id long, rank int, vec_id long, score double"
-    if not n:
-        return df.sparkSession.createDataFrame([], schema)
-    dim = entries.orderBy("q").select(F.size("vec").alias("n")).first().n
-    entries = entries.where(F.size("vec") == dim)
-    size = max(1, min(settings.sample, settings.sample_values // dim))
-    picked = entries.orderBy(F.xxhash64("q")).limit(size).select("vec").toArrow()
-    sample = _unit(_matrix(picked.column("vec").combine_chunks()).astype(np.float64))
-    lists = 1
-    while lists * 2 * settings.list_size <= n and lists * 2 <= min(settings.max_lists, len(sample)):
-        lists *= 2
-    # at most max_lists centroids: what is broadcast does not grow with the table
-    graph = df.sparkSession.sparkContext.broadcast(Graph(balanced_centroids(sample, lists), settings.degree))
-
-    shape = "list int, q binary, vec array<double>"
-    postings = checkpoint(entries.select("q", "vec", "ids").mapInArrow(_lists_of(graph, settings, False), shape + ", ids array<long>"))
-    probes = asks.select("q").distinct().join(entries.select("q", "vec"), "q").select("q", "vec").mapInArrow(_lists_of(graph, settings, True), shape)
-    probes = checkpoint(probes)
+    if entries.isEmpty():
+        return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    # at most max_lists centroids of a length: what is broadcast does not grow with the table
+    graphs = df.sparkSession.sparkContext.broadcast(_graphs(entries, settings))
+
+    shape = "dim int, list int, part int, d double, q binary, vec array<double>"
+    postings = checkpoint(entries.mapInArrow(_lists_of(graphs, settings, False), shape + ", ids array<long>"))
+    probes = asks.select("q").distinct().join(entries.select("dim", "q", "vec"), "q").select("dim", "q", "vec").mapInArrow(_lists_of(graphs, settings, True), shape)
+    postings, probes = _second_level(postings, checkpoint(probes), settings)
+    at = ["dim", "list", "part"]
     tiles = lambda t: F.ceil(t / settings.tile).cast("int")
-    counts = postings.groupBy("list").agg(tiles(F.count("*")).alias("blocks")).join(probes.groupBy("list").agg(tiles(F.count("*")).alias("parts")), "list")
+    counts = postings.groupBy(*at).agg(tiles(F.count("*")).alias("blocks")).join(probes.groupBy(*at).agg(tiles(F.count("*")).alias("sides")), at)
     own = lambda of: F.pmod(F.xxhash64("q", F.lit("tile")), F.col(of)).cast("int")
     every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
-    left = postings.join(counts, "list").withColumn("block", own("blocks")).withColumn("part", every("parts")).select("list", "block", "part", "vec", "ids")
-    right = probes.join(counts, "list").withColumn("part", own("parts")).withColumn("block", every("blocks")).select("list", "block", "part", "q", "vec")
-    at = ["list", "block", "part"]
+    left = postings.join(counts, at).withColumn("block", own("blocks")).withColumn("side", every("sides")).select(*at, "block", "side", "vec", "ids")
+    right = probes.join(counts, at).withColumn("side", own("sides")).withColumn("block", every("blocks")).select(*at, "block", "side", "q", F.col("vec").alias("asked"))
+    at = [*at, "block", "side"]
     found = left.groupBy(*at).cogroup(right.groupBy(*at)).applyInArrow(_tile(k + 1), "q binary, id long, score double")
     best = found.groupBy("q", "id").agg(F.max("score").alias("score"))
     by_score = Window.partitionBy("q").orderBy(F.col("score").desc(), "id")
