@@ -18,11 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from ._common import free_name, slices
+from ._common import free_name, map_batches, named, slices
 
 SPACE = "▁"
-#: Nodes and ends that a worker's trie holds before it is begun anew, and symbols from which a pre-token is scored aside.
-NODES, ENDS, LONG = 700_000, 300_000, 1024
+#: Nodes, ends and symbols in their names that a worker's trie holds before it is begun anew, and symbols from which a pre-token is scored aside.
+NODES, ENDS, SYMBOLS, LONG = 700_000, 300_000, 24_000_000, 1024
 #: Score units for a factor e.
 UNIT = 1_000_000
 
@@ -40,8 +40,8 @@ def scores_of(path: str) -> dict[str, int]:
 class PrefixTrie:
     """Forward scores of the prefixes of pre-tokens, each computed once."""
 
-    def __init__(self, scores: dict[str, int], nodes: int = NODES, ends: int = ENDS, long: int = LONG):
-        self.scores, self.limit, self.most_ends, self.long = scores, nodes, ends, long
+    def __init__(self, scores: dict[str, int], nodes: int = NODES, ends: int = ENDS, long: int = LONG, symbols: int = SYMBOLS):
+        self.scores, self.limit, self.most_ends, self.long, self.most_symbols = scores, nodes, ends, long, symbols
         # a character that no piece holds becomes its bytes, each less likely than any piece
         self.unknown = min(scores.values(), default=0) - 10 * UNIT
         # lengths of the pieces of three symbols and more, by their last three
@@ -57,6 +57,10 @@ class PrefixTrie:
         #: The trie, each node under its prefix: (forward score, tokens). With a prefix all shorter ones are there.
         self.nodes: dict[str, tuple[int, int]] = {"": (0, 0)}
         self.ends.clear()
+        self.symbols = 0
+
+    def full(self) -> bool:
+        return len(self.ends) >= self.most_ends or len(self.nodes) >= self.limit or self.symbols >= self.most_symbols
 
     def count(self, word: str) -> int:
         """Tokens of one pre-token; its prefixes stay in the trie, but for one that is very long."""
@@ -69,6 +73,8 @@ class PrefixTrie:
                 low = middle
             else:
                 high = middle - 1
+        if keep:
+            self.symbols += (len(word) - low) * (len(word) + low) // 2 + len(word)
         path = [nodes[word[:low]]]
         for depth in range(low + 1, len(word) + 1):
             above = path[-1]
@@ -100,21 +106,22 @@ class PrefixTrie:
         ends = self.ends
         for word in set(words):
             if word not in ends:
-                if len(ends) >= self.most_ends or len(self.nodes) >= self.limit:
-                    self.clear()
+                if self.full() or len(word) > self.long:
                     return len(words), self._slowly(words)
                 ends[word] = self.count(SPACE + word.decode("utf-8", "replace"))
         return len(words), sum(map(ends.__getitem__, words))
 
     def _slowly(self, words: list[bytes]) -> int:
-        """A text's tokens while the trie may be cleared on the way."""
+        """A text's tokens while the trie may be cleared on the way, and very long pre-tokens are not kept."""
         total = 0
         for word in words:
             n = self.ends.get(word)
             if n is None:
-                if len(self.ends) >= self.most_ends or len(self.nodes) >= self.limit:
+                if self.full():
                     self.clear()
-                n = self.ends[word] = self.count(SPACE + word.decode("utf-8", "replace"))
+                n = self.count(SPACE + word.decode("utf-8", "replace"))
+                if len(word) <= self.long:  # a very long one would fill the trie by itself
+                    self.ends[word] = n
             total += n
         return total
 
@@ -126,18 +133,20 @@ def shared_trie(path: str) -> PrefixTrie:
 
 
 def with_counts(df: DataFrame, path: str, text: str = "text", words: str = "n_pretokens", tokens: str = "n_tokens") -> DataFrame:
-    """Append the numbers of pre-tokens and of tokens of each whole text; null and empty texts have none. One pass, no shuffle, rows one to one."""
+    """Append the numbers of pre-tokens and of tokens of each whole text; null and empty texts have none. One pass, no shuffle, rows one to one.
+
+    Columns of df that are named like the new ones are replaced; names may hold dots.
+    """
     kept = [c for c in df.columns if c not in (words, tokens)]
-    source = df.select(*kept)
+    source = df.select(*map(named, kept))
     work = free_name(source, "counted_text")
     schema = T.StructType([*source.schema.fields, T.StructField(words, T.LongType()), T.StructField(tokens, T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = shared_trie(path)
         for batch in slices(batches, work):
-            texts = batch.column(batch.schema.get_field_index(work)).cast(pa.large_binary()).to_pylist()
+            texts = batch.column(batch.num_columns - 1).cast(pa.large_binary()).to_pylist()
             counts = [trie.count_text(t or b"") for t in texts]
-            columns = [batch.column(batch.schema.get_field_index(c)) for c in kept]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([c[0] for c in counts], pa.int64()), pa.array([c[1] for c in counts], pa.int64())], names=[*kept, words, tokens])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([c[0] for c in counts], pa.int64()), pa.array([c[1] for c in counts], pa.int64())], names=[*kept, words, tokens])
 
-    return source.withColumn(work, source[text].cast("string")).mapInArrow(run, schema)
+    return map_batches(df.select(*map(named, kept), named(text).cast("string").alias(work)), run, schema)
