@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import checkpoint, few_rows
+from ._common import checkpoint, few_rows, named
 
 #: A word is a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -145,31 +145,35 @@ def mix(df: DataFrame, targets: DataFrame, source: str = "source", size: str = "
 
     targets: source, target (words). A source without a row there has the target 0. Null is a
     source like any other. Repeated rows are documents of their own; equal rows may swap their copies,
-    which changes nothing. A document without words has the rate 1 and one copy. Reruns agree.
+    which changes nothing. A document without words has the rate 1 and one copy. Reruns agree. Columns of df that are named like an
+    appended one are replaced; names may hold dots.
     """
-    hashed = F.xxhash64(F.col(key).cast("string"), F.lit("mix"))
-    docs = df.select("*", source_key(F.col(source)).alias("__m_key"), F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("__m_size"), hashed.alias("__m_h"))
-    cells = checkpoint(docs.groupBy(F.col("__m_key").alias("key"), F.col("__m_size").alias("size")).agg(F.count("*").alias("n")))
+    p = "__m_"  # begins the names of the columns that are made on the way
+    while any(c.lower().startswith(p) for c in df.columns):
+        p = f"_{p}"
+    hashed = F.xxhash64(named(key).cast("string"), F.lit("mix"))
+    docs = df.select("*", source_key(named(source)).alias(f"{p}key"), F.coalesce(named(size).cast("long"), F.lit(0)).alias(f"{p}size"), hashed.alias(f"{p}h"))
+    cells = checkpoint(docs.groupBy(F.col(f"{p}key").alias("key"), F.col(f"{p}size").alias("size")).agg(F.count("*").alias("n")))
     sizes = cells.groupBy("key").agg(F.sum(F.col("n") * F.col("size")).alias("size"))
-    wanted = sizes.join(targets.select(source_key(F.col(source)).alias("key"), F.col("target").cast("double")), "key", "left").select("key", "size", F.coalesce("target", F.lit(0.0)).alias("target"))
+    wanted = sizes.join(targets.select(source_key(named(source)).alias("key"), F.col("target").cast("double")), "key", "left").select("key", "size", F.coalesce("target", F.lit(0.0)).alias("target"))
     duals = multipliers(cells, wanted, most)
     plan = rates(cells, duals, most)
     copies = rounded(plan, most).join(plan.select("key", "size", "rate"), ["key", "size"]).join(duals.select("key", F.col("size").alias("source_size"), "target"), "key")
     copies = checkpoint(copies.withColumn("salts", F.ceil(F.col("n") / chunk).cast("long")))
     # only large cells are salted; at most n / chunk of them are told to the documents, by broadcast if they are few
-    cell = [F.col("key").alias("__m_key"), F.col("size").alias("__m_size")]
-    large = copies.where("salts > 1").select(*cell, F.col("salts").alias("__m_many"))
-    docs = docs.join(few_rows(large), ["__m_key", "__m_size"], "left").withColumn("__m_salt", F.pmod("__m_h", F.coalesce("__m_many", F.lit(1))))
-    spread = copies.select(*cell, F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("__m_salt"), *(F.col(c).alias(f"__m_{c}") for c in ("n", "copies", "rate", "source_size", "target", "salts")))
-    docs = docs.join(spread, ["__m_key", "__m_size", "__m_salt"])
+    cell = [F.col("key").alias(f"{p}key"), F.col("size").alias(f"{p}size")]
+    large = copies.where("salts > 1").select(*cell, F.col("salts").alias(f"{p}many"))
+    docs = docs.join(few_rows(large), [f"{p}key", f"{p}size"], "left").withColumn(f"{p}salt", F.pmod(f"{p}h", F.coalesce(f"{p}many", F.lit(1))))
+    spread = copies.select(*cell, F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias(f"{p}salt"), *(F.col(c).alias(f"{p}{c}") for c in ("n", "copies", "rate", "source_size", "target", "salts")))
+    docs = docs.join(spread, [f"{p}key", f"{p}size", f"{p}salt"])
     # documents of a cell before a salt: a window over the salts of a cell, one row for each
-    before = docs.where("__m_salts > 1").groupBy("__m_key", "__m_size", "__m_salt").agg(F.count("*").alias("m"))
-    along = Window.partitionBy("__m_key", "__m_size").orderBy("__m_salt").rowsBetween(Window.unboundedPreceding, -1)
-    before = before.select("__m_key", "__m_size", "__m_salt", F.coalesce(F.sum("m").over(along), F.lit(0)).alias("__m_before"))
-    place = F.row_number().over(Window.partitionBy("__m_key", "__m_size", "__m_salt").orderBy("__m_h", F.col(key)))
-    docs = docs.withColumn("__m_place", place).join(before, ["__m_key", "__m_size", "__m_salt"], "left")
-    rank = F.col("__m_place") + F.coalesce("__m_before", F.lit(0))
-    got = F.floor(F.col("__m_copies") / F.col("__m_n")) + F.when(rank <= F.pmod("__m_copies", "__m_n"), 1).otherwise(0)
-    got = F.when(F.col("__m_size") == 0, F.lit(1)).otherwise(got).cast("long")
-    kept = [F.col(c) for c in df.columns if c not in ("source_size", "target", "rate", "copies", "taken")]
-    return docs.withColumn("__m_got", got).select(*kept, F.col("__m_source_size").cast("long").alias("source_size"), F.col("__m_target").alias("target"), F.col("__m_rate").alias("rate"), F.col("__m_got").alias("copies"), (F.col("__m_got") * F.col("__m_size")).alias("taken"))
+    before = docs.where(f"`{p}salts` > 1").groupBy(f"{p}key", f"{p}size", f"{p}salt").agg(F.count("*").alias("m"))
+    along = Window.partitionBy(f"{p}key", f"{p}size").orderBy(f"{p}salt").rowsBetween(Window.unboundedPreceding, -1)
+    before = before.select(f"{p}key", f"{p}size", f"{p}salt", F.coalesce(F.sum("m").over(along), F.lit(0)).alias(f"{p}before"))
+    place = F.row_number().over(Window.partitionBy(f"{p}key", f"{p}size", f"{p}salt").orderBy(f"{p}h", named(key)))
+    docs = docs.withColumn(f"{p}place", place).join(before, [f"{p}key", f"{p}size", f"{p}salt"], "left")
+    rank = F.col(f"{p}place") + F.coalesce(f"{p}before", F.lit(0))
+    got = F.floor(F.col(f"{p}copies") / F.col(f"{p}n")) + F.when(rank <= F.pmod(f"{p}copies", f"{p}n"), 1).otherwise(0)
+    got = F.when(F.col(f"{p}size") == 0, F.lit(1)).otherwise(got).cast("long")
+    kept = [named(c) for c in df.columns if c not in ("source_size", "target", "rate", "copies", "taken")]
+    return docs.withColumn(f"{p}got", got).select(*kept, F.col(f"{p}source_size").cast("long").alias("source_size"), F.col(f"{p}target").alias("target"), F.col(f"{p}rate").alias("rate"), F.col(f"{p}got").alias("copies"), (F.col(f"{p}got") * F.col(f"{p}size")).alias("taken"))
