@@ -25,12 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from tokenizers import Tokenizer, models, pre_tokenizers
 
-from ._common import free_name, slices
+from ._common import free_name, map_batches, named, slices
 
 #: Symbols of a pre-token from which it is encoded as a tree, symbols of a leaf, tokens in the first window.
 LONG, LEAF, WINDOW = 2048, 512, 8
-#: Distinct chunks, and as many distinct pre-tokens, that a worker remembers.
-CACHE = 60_000
+#: Distinct chunks, and as many distinct pre-tokens, that a worker remembers, and bytes of them and of their ids.
+CACHE, CACHE_BYTES = 60_000, 32 << 20
 #: The pipeline that the short cut covers, as the tokenizer file states it.
 PLAIN = {
     "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
@@ -88,11 +88,12 @@ def _symbols(character: str) -> str:
 class Codec:
     """Encodes and decodes whole texts as the tokenizer file does; ids are packed little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str, long: int = LONG, leaf: int = LEAF, window: int = WINDOW, cache: int = CACHE):
+    def __init__(self, path: str, long: int = LONG, leaf: int = LEAF, window: int = WINDOW, cache: int = CACHE, cache_bytes: int = CACHE_BYTES):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.long, self.leaf, self.window, self.limit = long, leaf, window, cache
+        self.long, self.leaf, self.window, self.limit, self.most_bytes = long, leaf, window, cache, cache_bytes
+        self.held = 0  # bytes of what is remembered
         self.cache: dict[bytes, bytes] = {}
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
@@ -135,8 +136,10 @@ class Codec:
     def learn(self, chunks: set[bytes]) -> None:
         """Encode the chunks that are not remembered yet."""
         new = [c for c in chunks if c not in self.cache]
-        if len(self.cache) + len(new) > self.limit:
+        if len(self.cache) + len(new) > self.limit or self.held > self.most_bytes:
             self.cache.clear()
+            self.words.clear()
+            self.held = 0
             new = list(chunks)
         short = []
         for c in new:
@@ -153,6 +156,7 @@ class Codec:
         for c in new:
             if len(c) > self.long:
                 self.cache[c] = np.array(self._long_chunk(c.decode(errors="replace")), dtype="<u4").tobytes()
+        self.held += sum(len(c) + len(self.cache[c]) for c in new)
 
     def _plain(self, text: str) -> bytes:
         words = PLAIN_TOKEN.findall(text.lower())
@@ -163,6 +167,7 @@ class Codec:
                 if len(self.words) >= self.limit:
                     self.words.clear()
                 ids = self.words[word] = np.array([t.id for t in self.model.tokenize(word.translate(self.symbols))], dtype="<u4").tobytes()
+                self.held += len(word) + len(ids)
             out.append(ids)
         return b"".join(out)
 
@@ -189,19 +194,18 @@ def encode_decode(df: DataFrame, path: str, text: str = "text", ids: str = "ids"
     """Append ``ids`` (binary: little-endian unsigned 32-bit ids of the whole text) and ``decoded`` (their decoding).
 
     A null or empty text gives no ids and an empty decoding. Rows, repeated ones too, are kept
-    one to one; no shuffle. Columns of the input with the names of the new ones are replaced.
+    one to one; no shuffle. Columns of the input with the names of the new ones are replaced; names may hold dots.
     """
     kept = [c for c in df.columns if c not in (ids, decoded)]
-    source = df.select(*kept)
+    source = df.select(*map(named, kept))
     work = free_name(source, "bpe_text")
     schema = T.StructType([*source.schema.fields, T.StructField(ids, T.BinaryType()), T.StructField(decoded, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = shared_codec(path, long, leaf, window)
         for batch in slices(batches, work):
-            texts = batch.column(batch.schema.get_field_index(work)).cast(pa.large_binary()).to_pylist()
+            texts = batch.column(batch.num_columns - 1).cast(pa.large_binary()).to_pylist()
             packed = codec.encode([t or b"" for t in texts])
-            columns = [batch.column(batch.schema.get_field_index(c)) for c in kept]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(packed, pa.binary()), pa.array([codec.decode(p) for p in packed], pa.string())], names=[*kept, ids, decoded])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(packed, pa.binary()), pa.array([codec.decode(p) for p in packed], pa.string())], names=[*kept, ids, decoded])
 
-    return source.withColumn(work, source[text].cast("string")).mapInArrow(run, schema)
+    return map_batches(df.select(*map(named, kept), named(text).cast("string").alias(work)), run, schema)
