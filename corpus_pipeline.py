@@ -5,15 +5,13 @@ Each stage is a function (spark, docs, sf_dir) -> DataFrame. All but the last re
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketlake.llm import bpe, jaccard, lines, op2, op3, op8, quality
-from docketlake.llm._common import documents
+from docketlake.llm._common import documents, shared_folder
 from docketlake.shipping import ship
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -64,14 +62,26 @@ STAGES = [
 ORACLE_SQL = None
 
 
+def _dropped(spark: SparkSession, path: str) -> None:
+    """Delete a folder wherever it lies."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; between stages the rows are written as Parquet in the folder of spark.checkpoint.dir and read again."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="pipeline_")
+    """All stages over documents; between stages the rows are written as Parquet in the shared folder of spark.checkpoint.dir and read again.
+
+    What a stage has read is deleted when its own rows are written, but for the input of the last one, which the result still reads.
+    """
+    base, before = shared_folder(spark).rstrip("/"), None
     docs = documents(spark, sf_dir).select(*COLUMNS)
     for number, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if number < len(STAGES) - 1:
-            path = os.path.join(base, f"pipeline_{uuid.uuid4().hex}_{number}")
+            path = f"{base}/pipeline_{uuid.uuid4().hex}_{number}"
             docs.write.parquet(path)
             docs = spark.read.parquet(path)
+            if before:
+                _dropped(spark, before)
+            before = path
     return docs
