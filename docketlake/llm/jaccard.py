@@ -12,10 +12,12 @@ and of thin regions end at different depths, and all reach the recall. At ``pref
 there; thin prefixes go one value further, which leaves room for the crowded ones to stay long.
 
 * Small buckets give pairs, each once, which are verified on the exact shingle sets.
-* A bucket of more than ``small_bucket`` classes is cut into blocks; tiles of two blocks are counted by a matrix
+* Larger buckets that overlap make a region. Where comparing all of a region once takes no more pairs than comparing each of its
+  buckets, as with a group of near copies that meet in nearly all trees, the region takes the buckets' place.
+* A region or bucket of more than ``small_bucket`` classes is cut into blocks; tiles of two blocks are counted by a matrix
   product, and give one row for each member: its number of links and an edge that keeps the tile's
   links connected. So a large group of near copies makes no row for each pair, and still each of its
-  pairs is compared. A tile reads the sets of those members only that have a pair which no earlier tree held.
+  pairs is compared. A bucket's tile reads the sets of those members only that have a pair which no earlier tree held.
 
 Groups are the connected components of the links, found by label propagation with checkpoints; labels are ordered by document.
 """
@@ -30,11 +32,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import bitmap, checkpoint, free_name, map_batches, marked, mix64, named, runs_of, signed, slices, word_hashes
+from ._common import bitmap, checkpoint, few_rows, free_name, map_batches, marked, mix64, named, runs_of, signed, slices, word_hashes
 
 WORDS, THRESHOLD = 5, 0.8
 #: Trees of the forest, hash values on a path and bytes of each, and the share of pairs at the threshold that must meet.
-TREES, DEPTH, BYTES, RECALL = 32, 8, 2, 0.9999
+TREES, DEPTH, BYTES, RECALL = 32, 7, 2, 0.9999
 #: Classes of a bucket up to which it gives pairs, and members of a block of a larger bucket.
 SMALL, BLOCK = 64, 256
 
@@ -114,11 +116,15 @@ def buckets(reps: DataFrame, trees: int, depth: int, shortest: int, threshold: f
     """tree, rep, depth, bucket, members: the node that each class (rep, signature) ends at in each tree where another one ends there too."""
     cut = F.substring("signature", F.col("tree") * (BYTES * depth) + 1, F.lit(BYTES * depth))
     paths = reps.select("rep", "signature", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree")).select("tree", "rep", cut.alias("path"))
-    sizes = paths.groupBy("tree", _node(shortest).alias("node")).agg(F.count("*").alias("members")).where("members > 1")
-    shared = checkpoint(paths.withColumn("node", _node(shortest)).join(sizes, ["tree", "node"]).select("tree", "rep", "path", "members"))
+    paths = paths.withColumn("node", _node(shortest))
+    sizes = checkpoint(paths.groupBy("tree", "node").agg(F.count("*").alias("members")).where("members > 1"))
+    # crowded nodes are told to the paths first, so that none of their many rows is dealt out by its node
+    marks = few_rows(sizes.where(F.col("members") > small).select("tree", "node", F.lit(True).alias("crowded")))
+    paths = paths.join(marks, ["tree", "node"], "left")
+    shared = paths.where("crowded IS NULL").join(sizes.where(F.col("members") <= small), ["tree", "node"]).select("tree", "rep", "path", "members")
     name = F.expr(f"xxhash64(tree, depth, substring(path, 1, {BYTES} * depth)) | 1").alias("bucket")
-    calm = shared.where(F.col("members") <= small).withColumn("depth", F.lit(shortest)).select("tree", "rep", "depth", name, "members")
-    crowd = shared.where(F.col("members") > small).drop("members")
+    calm = checkpoint(shared.withColumn("depth", F.lit(shortest)).select("tree", "rep", "depth", name, "members"))
+    crowd = checkpoint(paths.where("crowded").select("tree", "rep", "path"))
     if crowd.isEmpty():
         return calm
     # the sizes of all nodes, from the full paths upwards, and with them the shortest prefix of each path that is not crowded
@@ -211,10 +217,13 @@ def _sides(table: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarra
     table = table.sort_by([("side", "ascending"), ("rep", "ascending")]).combine_chunks()
     side, tree = table.column("side").to_numpy(), table.column("tree")[0].as_py()
     diagonal = table.column("i")[0].as_py() == table.column("j")[0].as_py()
-    large = np.array(table.column("large").combine_chunks().flatten().fill_null(0)).reshape(len(side), -1)
     left = np.flatnonzero(side == 0)
     right = left if diagonal else np.flatnonzero(side == 1)
     new = np.ones((len(left), len(right)), dtype=bool)
+    if tree >= 0:  # a bucket's: pairs of one region count there
+        region = table.column("region").to_numpy()
+        new &= region[left][:, None] != region[right][None, :]
+        large = np.array(table.column("large").combine_chunks().flatten().fill_null(0)).reshape(len(side), -1)
     for t in range(tree):
         new &= (large[left, t][:, None] != large[right, t][None, :]) | (large[left, t] == 0)[:, None]
     if diagonal:
@@ -290,6 +299,21 @@ def components(edges: DataFrame, ids: DataFrame, rounds: int = 40) -> DataFrame:
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
+def _regions(large: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rep, region, members of regions that take the place of their buckets; tree, bucket of those buckets) for large buckets (tree, bucket, rep).
+
+    A class belongs to the least class that shares a large bucket with it; a region's buckets are those whose classes all belong to it.
+    """
+    heads = large.groupBy("tree", "bucket").agg(F.min("rep").alias("head"))
+    own = checkpoint(large.join(heads, ["tree", "bucket"]).groupBy("rep").agg(F.min("head").alias("region")))
+    of = large.join(own, "rep").groupBy("tree", "bucket").agg(F.min("region").alias("region"), F.max("region").alias("last"), F.count("*").alias("n"))
+    pure = checkpoint(of.where(F.col("region") == F.col("last")))
+    apart = pure.groupBy("region").agg(F.sum(F.pow("n", F.lit(2))).alias("apart"))
+    sizes = own.groupBy("region").agg(F.count("*").alias("members")).join(apart, "region").where(F.pow("members", F.lit(2)) <= F.col("apart")).select("region", "members")
+    sizes = few_rows(checkpoint(sizes))
+    return own.join(sizes, "region").select("rep", "region", "members"), pure.join(sizes, "region").select("tree", "bucket")
+
+
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL, small_bucket: int = SMALL, block: int = BLOCK) -> DataFrame:
     """key, class_id, n_links, n_copies: one row for each row of docs.
 
@@ -312,30 +336,38 @@ def _grouped(docs: DataFrame, key: str = "doc_id", text: str = "text", words: in
     reps = checkpoint(valid.groupBy("k1", "k2").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("signature").alias("signature")).withColumn("rep", F.monotonically_increasing_id()))
     members = checkpoint(buckets(reps, trees, depth, shortest, threshold, recall, small_bucket))
     small, large = members.where(F.col("members") <= small_bucket), members.where(F.col("members") > small_bucket)
-    flags = members.groupBy("rep").agg(F.collect_list(F.when(F.col("members") > small_bucket, F.struct("tree", "bucket"))).alias("at"))  # one of each tree at most
-    at = F.map_from_entries("at")
-    by_tree = F.when(F.size("at") > 0, F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.try_element_at(at, t)))
-    wanted = checkpoint(flags.select("rep", by_tree.alias("large")).join(reps.drop("signature"), "rep").select("rep", "id", "k1", "k2", "copies", "large"))
+    if large.isEmpty():
+        regions = large.select("rep", F.lit(0).cast("long").alias("region"), "members")
+    else:
+        regions, done = _regions(large)
+        regions, large = checkpoint(regions), checkpoint(large.join(done, ["tree", "bucket"], "left_anti"))
+    flags = large.groupBy("rep").agg(F.map_from_entries(F.collect_list(F.struct("tree", "bucket"))).alias("at"))  # one of each tree at most
+    flags = flags.select("rep", F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.try_element_at("at", t)).alias("large"))
+    held = members.select("rep").distinct().join(flags, "rep", "left").join(regions.select("rep", "region"), "rep", "left")
+    wanted = checkpoint(held.join(reps.drop("signature"), "rep").select("rep", "id", "k1", "k2", "copies", "large", "region"))
     sets = checkpoint(shingle_sets(docs, key, text, words, wanted))
 
     left, right = small.select("tree", "bucket", F.col("rep").alias("a")), small.select("tree", "bucket", F.col("rep").alias("b"))
     pairs = left.join(right, ["tree", "bucket"]).where("a < b").select("a", "b").distinct()
-    info = wanted.where("large IS NOT NULL").select("rep", "large")
-    # a pair that also meets in a large bucket is counted there
-    meets = F.exists(F.arrays_zip("large_a", "large_b"), lambda x: F.coalesce(x["large_a"] == x["large_b"], F.lit(False)))
-    pairs = pairs.join(info.select(F.col("rep").alias("a"), F.col("large").alias("large_a")), "a", "left")
-    pairs = pairs.join(info.select(F.col("rep").alias("b"), F.col("large").alias("large_b")), "b", "left")
-    pairs = pairs.where(~F.coalesce(meets, F.lit(False))).select("a", "b")
+    # a pair that also meets in a region or a large bucket is counted there
+    info = checkpoint(wanted.where("large IS NOT NULL OR region IS NOT NULL").select("rep", "large", "region"))
+    if not info.isEmpty():
+        meets = F.exists(F.arrays_zip("large_a", "large_b"), lambda x: F.coalesce(x["large_a"] == x["large_b"], F.lit(False)))
+        for side in "ab":
+            pairs = pairs.join(info.select(F.col("rep").alias(side), F.col("large").alias(f"large_{side}"), F.col("region").alias(f"region_{side}")), side, "left")
+        pairs = pairs.where(~F.coalesce(meets, F.lit(False)) & ~F.coalesce(F.col("region_a") == F.col("region_b"), F.lit(False))).select("a", "b")
     with_sets = pairs.join(sets.select(F.col("rep").alias("a"), F.col("grams").alias("grams_a")), "a").join(sets.select(F.col("rep").alias("b"), F.col("grams").alias("grams_b")), "b")
     links = checkpoint(with_sets.select("a", "b", "grams_a", "grams_b").mapInArrow(_verify(threshold), "a long, b long"))
 
-    blocks = F.ceil(F.col("members") / block).cast("int")
-    cut = large.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rep", F.lit("block")), F.col("blocks")).cast("int"))
+    cut = large.select("tree", "bucket", "rep", "members").unionByName(regions.select(F.lit(-1).alias("tree"), F.col("region").alias("bucket"), "rep", "members"))
+    cut = cut.withColumn("blocks", F.ceil(F.col("members") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("rep", F.lit("block")), F.col("blocks")).cast("int"))
     tiles = cut.select("tree", "bucket", "rep", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     tiles = tiles.select("tree", "bucket", "rep", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
-    tiles = tiles.join(info, "rep").groupBy("tree", "bucket", "i", "j").applyInArrow(_needed, "tree int, bucket long, rep long, i int, j int, side int")
-    tiles = tiles.join(wanted.select("rep", "copies", "large"), "rep").join(sets, "rep")
-    counted = checkpoint(tiles.groupBy("tree", "bucket", "i", "j").applyInArrow(_tile(threshold), "a long, b long, n long"))
+    at = ["tree", "bucket", "i", "j"]
+    own = F.coalesce("region", -1 - F.col("rep")).alias("region")  # a class without a region is one of its own
+    some = tiles.where("tree >= 0").join(info.select("rep", "large", own), "rep").groupBy(*at).applyInArrow(_needed, "tree int, bucket long, rep long, i int, j int, side int")
+    tiles = tiles.where("tree < 0").unionByName(some).join(wanted.select("rep", "copies", "large", own), "rep").join(sets, "rep")
+    counted = checkpoint(tiles.groupBy(*at).applyInArrow(_tile(threshold), "a long, b long, n long"))
 
     copies = reps.select("rep", "copies")
     ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
