@@ -30,8 +30,10 @@ from ._common import checkpoint, free_name, map_batches, named, slices, word_has
 
 #: Largest number of trusted positives that training uses; all unlabelled texts count.
 MAX_POSITIVES = 20_000
-#: Whole numbers that a feature of 1 becomes in the moments; tasks whose moments are added at a time; weight of the ridge.
-GRID, FAN, RIDGE = 1024, 32, 1e-4
+#: Whole numbers that a feature of 1 becomes in the moments; tasks whose moments are added at a time.
+GRID, FAN = 1024, 32
+#: Weight of the ridge, and what is added to it for one positive; the more there are, the less.
+RIDGE, RIDGE_OF_ONE = 1e-4, 0.1
 #: Steepness of scores around a probability of a half: with it a probability of 0.3 has the score 0.3.
 STEEP = float(np.log(0.7 / 0.3) / 0.2)
 #: Bytes of a text that are counted at a time.
@@ -218,8 +220,8 @@ def train(
     sums = gathered(rows, "_t", "_p", "_u")
     if len(sums) < 2:
         return NEUTRAL
-    # the corner of the moments holds the number of rows
-    weights, prior = nn_pu(*(sums[role] / sums[role][-1, -1] for role in (0, 1)))
+    # the corner of the moments holds the number of rows, times the square of the grid
+    weights, prior = nn_pu(*(sums[role] / sums[role][-1, -1] for role in (0, 1)), ridge=RIDGE + RIDGE_OF_ONE * GRID**2 / sums[1][-1, -1])
     return Model(weights, prior)
 
 
