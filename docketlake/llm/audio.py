@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import bitmap, checkpoint, few_rows, marked, mix64, named, signed, slices
+from ._common import BITMAP_BITS, bitmap, checkpoint, few_rows, marked, mix64, named, signed, slices
 
 #: Samples per second, of a frame, and from frame to frame.
 RATE, FRAME, HOP = 2048, 256, 128
@@ -35,8 +35,11 @@ THRESHOLD = 0.03
 LEAST, ERROR, BLOCK, TILE = 16, 0.12, 100_000, 2_000_000
 #: Recordings of one key in a salt, and votes that are counted at a time.
 SALT, VOTES = 512, 1 << 20
-#: Places, from the first, whose coarse values make a key of 64 bits.
-BANDS = ((0, 8, 12, 15), (0, 3, 9, 14), (0, 5, 10, 15))
+#: Places, from the first, whose coarse values make a key. Signs of neighbouring places go together, so four places tell about 2 ** 24 sounds
+#: apart, which many recordings share by chance; seven tell enough.
+BANDS = ((0, 3, 8, 9, 12, 14, 15), (0, 2, 5, 8, 10, 12, 15), (0, 3, 5, 9, 10, 13, 15))
+#: Bits of the prefilter for each key of the queries, and bits at most (64 MB).
+KEY_BITS, MOST_BITS = 16, 1 << 29
 
 
 def _filters() -> list[list[tuple[int, int, int, int, int]]]:
@@ -203,9 +206,9 @@ def stretch(errors: np.ndarray, least: int = LEAST, most: float = ERROR) -> tupl
 
 
 def landmarks(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(key, place) of a recording: for each band the signs of the sixteen filters at four places, where they differ from the place before.
+    """(key, place) of a recording: for each band the signs of the sixteen filters at its places, where they differ from the place before.
 
-    One integer alone meets by chance in many recordings; the signs at four places hardly do, and
+    One integer alone meets by chance in many recordings; the signs at seven places hardly do, and
     survive small changes better than all of an integer's bits. A held sound votes once.
     """
     sign = np.zeros(len(p), np.uint64)
@@ -216,10 +219,9 @@ def landmarks(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = len(p) - max(band)
         if n <= 0:
             continue
-        key = np.zeros(n, np.uint64)
+        key = np.full(n, number + 1, np.uint64)
         for d in band:
-            key = (key << np.uint64(16)) | sign[d : d + n]
-        key = mix64(key ^ np.uint64(number * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
+            key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + sign[d : d + n])
         at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         keys.append(key[at])
         places.append(at)
@@ -333,7 +335,8 @@ def align(prints: DataFrame, is_query: Column, least: int = LEAST, most: float =
 
     # which classes share a key with which block
     wanted = checkpoint(asked.select("block", "fp").mapInArrow(_keys_of(), "key long, block long").distinct())
-    marks = prints.sparkSession.sparkContext.broadcast(bitmap(wanted, "key"))
+    bits = min(MOST_BITS, max(BITMAP_BITS, 1 << (KEY_BITS * wanted.count()).bit_length()))
+    marks = prints.sparkSession.sparkContext.broadcast(bitmap(wanted, "key", bits))
     held = checkpoint(sounding.select("class_id", "fp").mapInArrow(_keys_of(marks, "class_id"), "key long, class_id long"))
     common = few_rows(checkpoint(held.groupBy("key").agg(F.ceil(F.count("*") / salt).cast("int").alias("salts")).where("salts > 1")))
     held = held.join(common, "key", "left").select("key", "class_id", F.pmod(F.xxhash64("class_id"), F.coalesce("salts", F.lit(1))).alias("salt"))

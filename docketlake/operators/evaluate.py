@@ -30,6 +30,24 @@ def comparison(rates: DataFrame, baseline: str, flags: DataFrame) -> DataFrame:
     return joined.select("run", "stage", "passed", "total", (F.col("passed") - F.col("_base")).alias("delta"), comparable.alias("comparable"))
 
 
+def citation_deltas(results: DataFrame, baseline: str) -> DataFrame:
+    """run, passed, total, delta: passes by valid citations of the other runs against the baseline's; results: run, citation_valid."""
+    rates = citation_rates(results)
+    base = rates.where(F.col("run") == baseline).select(F.col("passed").alias("_base"))
+    return rates.where(F.col("run") != baseline).crossJoin(F.broadcast(base.limit(1))).select("run", "passed", "total", (F.col("passed") - F.col("_base")).alias("delta"))
+
+
+# The ranks up to which a case passes and passes weakly, by class.
+BANDS = {"direct": (5, 10), "indirect": (10, 20), "adversarial": (20, 20)}
+
+
+def bands(ranks: DataFrame) -> DataFrame:
+    """ranks (class, rank) with ``band``: pass, weak or fail."""
+    limit = lambda i: F.element_at(F.create_map(*(F.lit(x) for k, v in BANDS.items() for x in (k, v[i]))), F.col("class"))
+    band = F.when(F.col("rank") <= limit(0), "pass").when(F.col("rank") <= limit(1), "weak").otherwise("fail")
+    return ranks.withColumn("band", band)
+
+
 def recall(ranks: DataFrame, at: tuple[int, ...] = (5, 10)) -> DataFrame:
     """class, stage, recall at each depth, mean reciprocal rank, n; ranks: query_id, class, stage, rank."""
     hit = lambda k: F.avg(F.when(F.col("rank") <= k, 1.0).otherwise(0.0)).alias(f"recall_{k}")
@@ -47,14 +65,24 @@ def with_stages(cases: DataFrame, ranks: DataFrame, stages: tuple[str, ...] = ST
     return each.join(ranks.select("query_id", "stage", "rank"), ["query_id", "stage"], "left")
 
 
-def selected(cases: DataFrame, ids: list[str] | None = None, kind: str | None = None) -> DataFrame:
-    """Cases by id or by class; an unknown id raises ValueError."""
+# The ids of the small sample.
+SAMPLE = ("Q01", "Q15", "Q27", "Q51", "Q02", "Q16", "Q28", "Q52", "Q23", "Q35", "Q47", "Q53")
+
+
+def selected(cases: DataFrame, ids: list[str] | None = None, kind: str | None = None, sample: bool = False) -> DataFrame:
+    """Cases by id, by class, and by the small sample; an unknown id raises ValueError, and so does a selection without cases."""
     if ids:
         known = {r[0] for r in cases.where(F.col("id").isin(ids)).select("id").collect()}
         if missing := sorted(set(ids) - known):
             raise ValueError(f"unknown cases: {missing}")
         cases = cases.where(F.col("id").isin(ids))
-    return cases if kind is None else cases.where(F.col("class") == kind)
+    if kind is not None:
+        cases = cases.where(F.col("class") == kind)
+    if sample:
+        cases = cases.where(F.col("id").isin(*SAMPLE))
+    if not cases.limit(1).count():
+        raise ValueError("no cases are selected")
+    return cases
 
 
 def intent_passes(results: DataFrame) -> DataFrame:

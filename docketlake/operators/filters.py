@@ -108,25 +108,67 @@ def allowlist(index: DataFrame, filters: dict, most: int | None = MOST) -> DataF
     return first(index.where(matches(filters, True)).select("id"))
 
 
+#: Columns of a batch of requests; null where a filter is not asked for.
+REQUEST = ("court", "bench", "section", "act", "judge", "party", "date_from", "date_to")
+
+
+def requests_of(read: DataFrame) -> DataFrame:
+    """query_id and the columns of REQUEST from queries with ``filters`` and ``dates`` (maps)."""
+    named = [F.try_element_at("filters", F.lit(k)).alias(k) for k in REQUEST[:6]]
+    bounds = [F.try_element_at("dates", F.lit(k)).try_cast("date").alias(n) for k, n in (("gte", "date_from"), ("lte", "date_to"))]
+    return read.select("query_id", *named, *bounds)
+
+
 def allowlists(index: DataFrame, requests: DataFrame, most: int = MOST) -> DataFrame:
-    """query_id, doc_id for a batch of requests (query_id, court, section, party, judge, date_from, date_to; null: not asked).
+    """query_id, doc_id for a batch of requests (query_id and any columns of REQUEST); a request without a filter has no row.
 
-    Strict matches, and for the queries that have none but ask for a filter with a looser form, loose ones.
+    Strict matches, and for the queries that have none but ask for a filter with a looser form, loose ones. The index's texts
+    are cut into tokens once, before they meet the requests.
     """
-    condition = lambda fuzzy: (
-        (F.col("court").isNull() | court_is(F.col("heading"), F.col("court"), fuzzy))
-        & (F.col("section").isNull() | section_is(F.col("heading"), F.col("section"), fuzzy))
-        & (F.col("judge").isNull() | judge_is(F.col("judges"), F.col("judge"), fuzzy))
-        & (F.col("party").isNull() | all_terms(F.col("subheading"), F.col("party")))
-        & between_dates(F.col("formatteddocumentdate"), F.col("date_from"), F.col("date_to"))
-    )
-    slim = index.select(F.col("id").alias("doc_id"), "heading", "subheading", "judges", "formatteddocumentdate")
-    strict = slim.join(small(requests), condition(False)).select("query_id", "doc_id")
-    again = requests.where("court IS NOT NULL OR section IS NOT NULL OR judge IS NOT NULL").join(strict.select("query_id").distinct(), "query_id", "left_anti")
+    for name in REQUEST:
+        if name not in requests.columns:
+            requests = requests.withColumn(name, F.lit(None).cast("date" if name.startswith("date") else "string"))
+    requests = requests.where(F.coalesce(*(F.col(c).cast("string") for c in REQUEST)).isNotNull())
+    blank = F.array().cast("array<string>")
+    asked = requests
+    for name, value in (("court", heading_term(F.col("court"))), ("bench", heading_term(F.col("bench"))), ("act", F.col("act")), ("judge", F.col("judge")), ("party", F.col("party"))):
+        asked = asked.withColumn(f"_{name}", T.tokens(value))
+    for name in ("Section", "Rule"):
+        asked = asked.withColumn(f"_{name}", T.tokens(F.concat(F.lit(f"{name} - "), F.trim("section"))))
+    slim = index.select(
+        F.col("id").alias("doc_id"),
+        "judges",
+        "formatteddocumentdate",
+        *(F.coalesce(T.tokens(F.col(c)), blank).alias(f"_{c}") for c in ("heading", "subheading", "fullcontent")),
+        F.transform("judges", lambda j: T.tokens(j)).alias("_judges"),
+    ).withColumn("_line", F.concat(F.lit(" "), F.array_join("_heading", " "), F.lit(" ")))
+
+    def condition(loose: bool) -> Column:
+        in_heading = lambda ts: F.arrays_overlap("_heading", ts) if loose else F.col("_line").contains(F.concat(F.lit(" "), F.array_join(ts, " "), F.lit(" ")))
+        unless = lambda name, met: F.col(name).isNull() | met
+        return (
+            unless("court", in_heading(F.col("_court")))
+            & unless("bench", in_heading(F.col("_bench")))
+            & unless("section", in_heading(F.col("_Section")) | in_heading(F.col("_Rule")))
+            & unless("act", F.arrays_overlap("_fullcontent", "_act"))
+            & unless("judge", F.exists("_judges", lambda j: F.arrays_overlap(j, F.col("_judge"))) if loose else F.array_contains("judges", F.col("judge")))
+            & unless("party", F.size(F.array_except("_party", "_subheading")) == 0)
+            & between_dates(F.col("formatteddocumentdate"), F.col("date_from"), F.col("date_to"))
+        )
+
+    strict = slim.join(small(asked), condition(False)).select("query_id", "doc_id")
+    again = asked.where(F.coalesce(*FALLBACK).isNotNull()).join(strict.select("query_id").distinct(), "query_id", "left_anti")
     loose = slim.join(small(again), condition(True)).select("query_id", "doc_id")
     return top(strict.unionByName(loose), ["query_id"], [F.col("doc_id")], most).select("query_id", "doc_id")
 
 
+def modes_of(read: DataFrame, allowed: DataFrame) -> DataFrame:
+    """query_id, mode for queries with ``filters`` and ``dates`` and their allowlists."""
+    asks = F.map_concat("filters", F.transform_keys("dates", lambda k, v: F.concat(F.lit("date "), k)))
+    hits = allowed.groupBy("query_id").agg(F.count("*").alias("_hits"))
+    return read.select("query_id", asks.alias("_asks")).join(hits, "query_id", "left").select("query_id", allowlist_mode(F.col("_asks"), F.coalesce("_hits", F.lit(0))).alias("mode"))
+
+
 def allowlist_mode(filters: Column, hits: Column) -> Column:
     """none (no filters), empty_ignored (filters that match nothing restrict nothing) or applied."""
     return F.when(filters.isNull() | (F.size(filters) == 0), "none").when(hits == 0, "empty_ignored").otherwise("applied")
@@ -145,6 +187,11 @@ def sanitised(query: Column, filters: Column) -> Column:
     return F.map_filter(filters, lambda k, v: k.isin(*(x for x in KEYS if x != "date_range")) & v.isNotNull() & (F.trim(v) != "") & q.contains(F.lower(v)))
 
 
+def read_dates(filters: Column) -> Column:
+    """Map of the bounds of a ``date_range`` that stands as JSON among the filters; null where it is no object."""
+    return F.from_json(F.try_element_at(filters, F.lit("date_range")), "map<string,string>")
+
+
 def sanitised_dates(query: Column, dates: Column) -> Column:
     """Map of the bounds gte and lte that are ISO dates with a year that stands in the query."""
     return F.map_filter(dates, lambda k, v: k.isin("gte", "lte") & v.isNotNull() & v.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$") & query.contains(F.substring(v, 1, 4)))

@@ -80,3 +80,8 @@ def cards(es: DataFrame, dense: DataFrame, sparse: DataFrame) -> DataFrame:
 def reranked_cards(hits: DataFrame) -> DataFrame:
     """Cards of reranked rows: the snippet is the subheading, else the text, else empty."""
     return hits.select("query_id", "doc_id", F.lit("reranked").alias("source"), F.col("rerank_score").alias("score"), "heading", F.coalesce("subheading", "text", F.lit("")).alias("snippet"))
+
+
+def of_sources(cards: DataFrame, sources: list[str], developer: bool, reranked: bool) -> DataFrame:
+    """The cards of the chosen sources; only developers choose, and reranked cards have one source."""
+    return cards.where(F.col("source").isin(sources)) if developer and not reranked else cards

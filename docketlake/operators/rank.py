@@ -36,6 +36,12 @@ def elbow(df: DataFrame, by: list[str], score: str = "score", ties: list[Column]
     return kept.drop("_before", "_breaks")
 
 
+def cutoff_counts(before: DataFrame, after: DataFrame, by: list[str]) -> DataFrame:
+    """by, before, after: how many hits lists have before and after their cutoff; a list of which nothing is left counts 0."""
+    left = after.groupBy(*by).agg(F.count("*").alias("after"))
+    return before.groupBy(*by).agg(F.count("*").alias("before")).join(left, by, "left").withColumn("after", F.coalesce("after", F.lit(0)))
+
+
 def document_ranks(hits: DataFrame, by: list[str], pos: str = "pos", doc: str = "doc_id") -> DataFrame:
     """by, doc, doc_rank: the rank of each document among the distinct documents of a list, by first occurrence."""
     first = hits.groupBy(*by, doc).agg(F.min(pos).alias("_first"))

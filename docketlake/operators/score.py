@@ -19,6 +19,8 @@ PHRASE_BOOST = 3.0
 BLACKLISTED = -10.0
 #: Rows up to which the query side is broadcast.
 MOST_BROADCAST = 50_000
+#: Groups of texts (fields, collections) that are scored apart.
+MOST_GROUPS = 1000
 #: Terms up to which a batch is a filter of the index's scan.
 MOST_PUSHED = 1000
 
@@ -43,22 +45,39 @@ def _tokenised(texts: DataFrame, group: str, doc: str, text: str) -> DataFrame:
 
 
 def _scored(postings: DataFrame, stats: DataFrame, terms: DataFrame, group: str, doc: str) -> DataFrame:
-    """query_id, group, doc, score from postings (group, doc, _len, term, _tf) of the terms and stats (group, _n, _avg)."""
+    """query_id, group, doc, score from postings (group, doc, _len, term, _tf) of the terms and stats (group, _n, _avg).
+
+    stats must be bounded: its groups are fields or collections. Terms that have a ``word`` are found by any of the
+    vocabulary's terms of it, of which the best counts.
+    """
     spread = postings.groupBy(group, "term").agg(F.count("*").alias("_df"))
     idf = F.log(1 + (F.col("_n") - F.col("_df") + 0.5) / (F.col("_df") + 0.5))
     weight = idf * F.col("_tf") * (K1 + 1) / (F.col("_tf") + K1 * (1 - B + B * F.col("_len") / F.col("_avg")))
-    scored = postings.join(spread, [group, "term"]).join(small(stats), group).select(group, doc, "term", weight.alias("_w"))
-    return scored.join(small(terms.select("query_id", "term")), "term").groupBy("query_id", group, doc).agg(F.sum("_w").alias("score"))
+    scored = postings.join(spread, [group, "term"]).join(F.broadcast(stats), group).select(group, doc, "term", weight.alias("_w"))
+    if "word" in terms.columns:
+        found = scored.join(small(terms.select("query_id", "word", "term")), "term").groupBy("query_id", group, doc, "word").agg(F.max("_w").alias("_w"))
+    else:
+        found = scored.join(small(terms.select("query_id", "term")), "term")
+    return found.groupBy("query_id", group, doc).agg(F.sum("_w").alias("score"))
+
+
+def _stats(tokenised: DataFrame, group: str, groups: tuple[str, ...] | None) -> DataFrame:
+    """Sizes of the groups: of those named, or of all after a check that they are few, as every score reads them."""
+    stats = (tokenised if groups is None else tokenised.where(F.col(group).isin(*groups))).groupBy(group).agg(F.count("*").alias("_n"), F.avg("_len").alias("_avg"))
+    if groups is None and stats.limit(MOST_GROUPS + 1).count() > MOST_GROUPS:
+        raise ValueError(f"more than {MOST_GROUPS} groups")
+    return stats
 
 
-def bm25(texts: DataFrame, terms: DataFrame, group: str, doc: str, text: str = "text") -> DataFrame:
+def bm25(texts: DataFrame, terms: DataFrame, group: str, doc: str, text: str = "text", groups: tuple[str, ...] | None = None) -> DataFrame:
     """query_id, group, doc, score: BM25 within each group of texts (a collection, a field).
 
     texts: group, doc, text; terms: query_id, term. Documents without a term of the query have no row.
+    ``groups`` names the groups there are, which saves a job that counts them.
     For many batches over one corpus, ``write_index`` and ``bm25_of_index`` read only the postings of the terms.
     """
     tokenised = _tokenised(texts, group, doc, text)
-    stats = tokenised.groupBy(group).agg(F.count("*").alias("_n"), F.avg("_len").alias("_avg"))
+    stats = _stats(tokenised, group, groups)
     asked = terms.select("term").distinct()
     found = tokenised.select(group, doc, "_len", F.explode("_tokens").alias("term")).join(small(asked), "term", "left_semi")
     postings = found.groupBy(group, doc, "_len", "term").agg(F.count("*").alias("_tf"))
@@ -95,9 +114,20 @@ def boost(shape: Column, field: Column) -> Column:
     return F.element_at(table, F.concat_ws("|", shape, field))
 
 
-def multi_field(index: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id, doc_id, score: the sum over fields of boost times BM25; queries: query_id, query, shape."""
-    per_field = bm25(fields_long(index), query_terms(queries), "field", "doc_id")
+def vocabulary(texts: DataFrame, text: str = "text") -> DataFrame:
+    """term: the distinct terms of texts."""
+    return texts.where(F.col(text).isNotNull()).select(F.explode(F.array_distinct(T.tokens(F.col(text)))).alias("term")).distinct()
+
+
+def widened(terms: DataFrame, words: DataFrame) -> DataFrame:
+    """query_id, word, term: each term of a query with the vocabulary's terms that its edits allow, its own among them."""
+    return terms.withColumnRenamed("term", "word").join(fuzzy(terms, words).select(F.col("term").alias("word"), F.col("match").alias("term")), "word")
+
+
+def multi_field(index: DataFrame, queries: DataFrame, loose: bool = False) -> DataFrame:
+    """query_id, doc_id, score: the sum over fields of boost times BM25; queries: query_id, query, shape. ``loose``: terms allow edits."""
+    fields, terms = fields_long(index), query_terms(queries)
+    per_field = bm25(fields, widened(terms, vocabulary(fields)) if loose else terms, "field", "doc_id", groups=FIELDS)
     shaped = per_field.join(small(queries.select("query_id", "shape")), "query_id")
     return shaped.groupBy("query_id", "doc_id").agg(F.sum(F.col("score") * boost(F.col("shape"), F.col("field"))).alias("score"))
 

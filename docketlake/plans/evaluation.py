@@ -8,56 +8,73 @@ from pyspark.sql import functions as F
 from ..functions import citations as C
 from ..functions import values as V
 from ..operators import evaluate, rank
-from ..operators.score import small
 from . import modes, retrieval
-from .models import Models, answered
+from .models import Models
+from .retrieval import Corpus
 
 
 def flat(hits: DataFrame) -> DataFrame:
     return rank.flattened(hits, ["query_id"]).withColumn("pos", F.col("flat_pos"))
 
 
-def stages(index: DataFrame, chunks: DataFrame, queries: DataFrame, vectors: DataFrame, models: Models, limit: int = 50) -> dict[str, DataFrame]:
-    """Ranked rows (query_id, pos, doc_id and more) of each stage. The rewritten query is searched only where it differs from the query.
+def stages(corpus: Corpus, queries: DataFrame, vectors: DataFrame, models: Models, limit: int = 50, checkpoint=None) -> dict[str, DataFrame]:
+    """Ranked rows (query_id, pos, doc_id and more) of each stage; vectors are those of the queries as asked.
 
-    A stage is a plan of its own: an error in one leaves the others.
+    The rewritten query is embedded and searched, within the allowlist of its filters, by the same steps as answers are. A stage is a plan of its own:
+    an error in one leaves the others.
     """
-    read = modes.intents(queries, models)
-    rewritten = read.where(F.col("rewritten_query") != F.col("query")).select("query_id", F.col("rewritten_query").alias("query"))
-    raw_dense, raw_sparse = retrieval.dense_hits(chunks, vectors, limit), retrieval.sparse_hits(chunks, queries, limit)
-    again = retrieval.sparse_hits(chunks, rewritten, limit).unionByName(raw_sparse.join(small(rewritten.select("query_id")), "query_id", "left_anti"))
-    fused = retrieval.fused_chunks(raw_dense, again, read.select("query_id", "intent"))
-    reranked = modes.reranked(fused.join(small(queries.select("query_id", "query")), "query_id"), "query", "text", models)
+    kept = checkpoint or (lambda df: df)
+    read = kept(modes.intents(queries, models))
+    dense, sparse, fused = modes.retrieved(corpus, read, models, modes.allowed(corpus.index, read), limit)
+    reranked = modes.context(fused, queries, models, keep=None, cut=False)
     return {
-        "es": retrieval.full_text(index, queries, limit=limit),
-        "raw_dense": flat(raw_dense),
-        "raw_sparse": flat(raw_sparse),
-        "rewritten_dense": flat(raw_dense),
-        "rewritten_sparse": flat(again),
+        "es": retrieval.full_text(corpus.index, queries, limit=limit),
+        "raw_dense": flat(retrieval.dense_hits(corpus.vectors, vectors, limit)),
+        "raw_sparse": flat(retrieval.sparse_hits(corpus.chunks, queries, limit)),
+        "rewritten_dense": flat(dense),
+        "rewritten_sparse": flat(sparse),
         "rrf": fused.drop("pos").withColumnRenamed("fused_pos", "pos"),
-        "reranker": rank.ranked(reranked.drop("pos"), ["query_id"], [F.col("rerank_score").desc(), F.col("fused_pos")], "pos"),
+        "reranker": reranked.withColumnRenamed("rank", "pos"),
     }
 
 
-def ranks(found: dict[str, DataFrame], cases: DataFrame, gold: DataFrame, run: str) -> DataFrame:
-    """run, query_id, class, pass_at, stage, rank (null: no gold document found) for every case and stage."""
+def agentic(answers: DataFrame, gold: DataFrame) -> DataFrame:
+    """query_id, rank: 1 where an agent's answer (query_id, doc_ids) cites a gold document; gold: query_id, doc_id."""
+    cited = answers.select("query_id", F.explode("doc_ids").alias("doc_id")).join(gold, ["query_id", "doc_id"], "left_semi")
+    return cited.select("query_id").distinct().withColumn("rank", F.lit(1))
+
+
+def ranks(found: dict[str, DataFrame], cases: DataFrame, gold: DataFrame, run: str, answers: DataFrame | None = None) -> DataFrame:
+    """run, query_id, class, pass_at, stage, rank (null: no gold document found) for every case and stage; with an agent's answers its stage too."""
     parts = [rank.gold_rank(hits, gold, ["query_id"]).select("query_id", F.lit(name).alias("stage"), "rank") for name, hits in found.items()]
     held = parts[0]
     for part in parts[1:]:
         held = held.unionByName(part)
-    every = evaluate.with_stages(cases.select("query_id", "class", "pass_at"), held, tuple(found))
+    names = tuple(found)
+    if answers is not None:
+        held, names = held.unionByName(agentic(answers, gold).select("query_id", F.lit("agentic").alias("stage"), "rank")), (*names, "agentic")
+    every = evaluate.with_stages(cases.select("query_id", "class", "pass_at"), held, names)
     return every.withColumn("run", F.lit(run)).select("run", "query_id", "class", "pass_at", "stage", "rank")
 
 
+def collection_ranks(found: dict[str, DataFrame], gold: DataFrame) -> DataFrame:
+    """query_id, stage, collection, rank of the gold document in each collection of the stages that search collections."""
+    out = None
+    for name in ("raw_dense", "raw_sparse", "rewritten_dense", "rewritten_sparse"):
+        part = rank.gold_rank(found[name], gold, ["query_id", "collection"]).select("query_id", F.lit(name).alias("stage"), "collection", "rank")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def citation_flags(best: DataFrame, queries: DataFrame, gold: DataFrame, models: Models) -> DataFrame:
-    """query_id, citation_valid, gold_cited of the answers that a model writes from the best chunks."""
-    message = F.to_json(F.array(F.struct(F.lit("user").alias("role"), F.col("prompt").alias("content"))))
-    answers = answered(modes.prompts(best, queries).withColumn("_m", message), "_m", models).select("query_id", F.get_json_object("reply", "$.content").alias("answer"))
+    """query_id, citation_count, invalid, citation_valid, gold_cited of the answers that a model writes from the best chunks."""
+    answers = modes.synthesised(best, queries, models).select("query_id", "answer")
     seen = best.groupBy("query_id").agg(F.collect_set("doc_id").alias("seen"))
     right = gold.groupBy("query_id").agg(F.collect_set("doc_id").alias("gold"))
-    joined = answers.join(seen, "query_id").join(right, "query_id", "left")
+    joined = answers.join(seen, "query_id", "left").join(right, "query_id", "left")
     none = F.array().cast("array<string>")
-    return joined.select("query_id", C.citation_valid(F.col("answer"), F.col("seen")).alias("citation_valid"), C.gold_cited(F.coalesce("answer", F.lit("")), F.coalesce("gold", none)).alias("gold_cited"))
+    joined = joined.withColumn("answer", F.coalesce("answer", F.lit(""))).withColumn("seen", F.coalesce("seen", none))
+    return joined.select("query_id", F.size(C.cited_ids(F.col("answer"))).alias("citation_count"), C.invalid_ids(F.col("answer"), F.col("seen")).alias("invalid"), C.citation_valid(F.col("answer"), F.col("seen")).alias("citation_valid"), C.gold_cited(F.col("answer"), F.coalesce("gold", none)).alias("gold_cited"))
 
 
 def errors_and_times(steps: DataFrame) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import json
 import re
 from collections.abc import Callable, Iterator
@@ -24,17 +23,25 @@ class Models(Protocol):
 
 
 class Offline:
-    """Deterministic stand-ins: a hashed bag of words, the share of query words in a text, an echo as JSON."""
+    """Deterministic stand-ins that SQL can follow.
+
+    Vectors count words by their first letter and length; a rerank score is the share of the query's words in the text. A
+    question with excerpts is answered with the ids of the first two; any other message is read as a query, whose first
+    word is a filter and whose number of words tells the intent.
+    """
 
     dim = 64
 
+    @staticmethod
+    def words(text: str | None) -> list[str]:
+        return re.findall(r"[^\W_]+", (text or "").lower())
+
     def embed(self, texts: list[str]) -> list[list[float]]:
         out = []
         for text in texts:
             v = [0.0] * self.dim
-            for w in re.findall(r"\w+", (text or "").lower()):
-                h = int.from_bytes(hashlib.md5(w.encode()).digest()[:4], "little")
-                v[h % self.dim] += 1.0 if h & 1 << 20 else -1.0
+            for w in self.words(text):
+                v[(ord(w[0]) * 31 + len(w) * 7) % self.dim] += 1.0
             norm = sum(x * x for x in v) ** 0.5 or 1.0
             out.append([x / norm for x in v])
         return out
@@ -42,12 +49,23 @@ class Offline:
     def rerank(self, pairs: list[tuple[str, str]]) -> list[float]:
         out = []
         for query, text in pairs:
-            q, t = set(re.findall(r"\w+", (query or "").lower())), set(re.findall(r"\w+", (text or "").lower()))
+            q, t = set(self.words(query)), set(self.words(text))
             out.append(round(len(q & t) / len(q), 6) if q else 0.0)
         return out
 
     def chat(self, messages: list[list[dict]]) -> list[dict]:
-        return [{"content": json.dumps({"rewritten_query": m[-1]["content"], "intent": "unknown", "filters": {}}), "tool_calls": []} for m in messages]
+        out = []
+        for given in messages:
+            asked = given[-1]["content"]
+            if asked.startswith("Question: "):
+                ids = list(dict.fromkeys(re.findall(r"^\[([^\]]+)\]", asked.partition("\nRelevant excerpts:\n")[2], re.M)))
+                content = " ".join(f"See [{i}]." for i in ids[:2])
+                out.append({"content": content, "reasoning": f"{len(ids)} documents", "tool_calls": []})
+                continue
+            found = self.words(asked)
+            read = {"rewritten_query": asked, "intent": "citation_lookup" if len(found) % 2 else "conceptual", "filters": {"act": found[0]} if found else {}}
+            out.append({"content": json.dumps(read), "tool_calls": []})
+        return out
 
 
 # The models of the roles, which a request may override except for embedding.
@@ -60,12 +78,20 @@ def resolved(role: Column, override: Column) -> Column:
     return F.when(role == "embedder", F.element_at(table, role)).when(F.map_contains_key(table, role), F.coalesce(override, F.element_at(table, role)))
 
 
+def _each(call: Callable[[list], list], items: list, failed: Callable[[Exception], object]) -> list:
+    """call(items); if that fails, each item by itself, so that one bad item spoils no other."""
+    try:
+        return call(items)
+    except Exception as error:  # noqa: BLE001 - a model's error is a value of its row
+        return [failed(error)] if len(items) == 1 else [x for item in items for x in _each(call, [item], failed)]
+
+
 def embedded(df: DataFrame, text: str, models: Models, name: str = "vector") -> DataFrame:
-    """df with the vectors of a text column; each distinct text is embedded once."""
+    """df with the vectors of a text column; each distinct text is embedded once. The vector is null where the model fails."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield pd.Series(models.embed(batch.tolist()))
+            yield pd.Series(_each(models.embed, batch.tolist(), lambda error: None))
 
     udf = F.pandas_udf(run, "array<float>", F.PandasUDFType.SCALAR_ITER).asNondeterministic()
     vectors = df.select(text).distinct().withColumn(name, udf(F.col(text)))
@@ -73,21 +99,22 @@ def embedded(df: DataFrame, text: str, models: Models, name: str = "vector") ->
 
 
 def reranked(df: DataFrame, query: str, text: str, models: Models, name: str = "rerank_score") -> DataFrame:
-    """df with a score of each (query, text) row, made in the row, so that no position has to be matched."""
+    """df with a score of each (query, text) row, made in the row, so that no position has to be matched; null where the model fails."""
 
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for q, t in batches:
-            yield pd.Series(models.rerank(list(zip(q, t, strict=True))), dtype="float64")
+            yield pd.Series(_each(models.rerank, list(zip(q, t, strict=True)), lambda error: None), dtype="float64")
 
     return df.withColumn(name, F.pandas_udf(run, "double", F.PandasUDFType.SCALAR_ITER)(F.col(query), F.col(text)))
 
 
 def answered(df: DataFrame, messages: str, models: Models, name: str = "reply") -> DataFrame:
-    """df with the reply to a JSON list of messages, as JSON with content and tool_calls."""
+    """df with the reply to a JSON list of messages, as JSON with content and tool_calls, or with error where the model fails."""
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield pd.Series([json.dumps(r) for r in models.chat([json.loads(m) for m in batch])])
+            replies = _each(models.chat, [json.loads(m) for m in batch], lambda error: {"error": f"{type(error).__name__}: {error}"})
+            yield pd.Series([json.dumps(r) for r in replies])
 
     return df.withColumn(name, F.pandas_udf(run, "string", F.PandasUDFType.SCALAR_ITER)(F.col(messages)))
 

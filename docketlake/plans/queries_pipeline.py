@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-import inspect
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,23 +13,18 @@ from ..streaming import trace
 from ..tables import table
 from . import modes, retrieval
 from .models import Offline
-from .queries_ranking import BOTH, FLAT, HYBRID
+from .kept import kept
+from .queries_ranking import BOTH, DENSE, FLAT, FULL_TEXT, HYBRID, SPARSE
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 
 def query(oracle: str | None = None):
-    """Registers a query; one that takes ``whole`` also as ``<name>_all``, over all rows."""
-
     def add(f):
         QUERIES[f.__name__] = f
         if oracle is not None:
             ORACLES[f.__name__] = oracle
-        if "whole" in inspect.signature(f).parameters:
-            QUERIES[f"{f.__name__}_all"] = functools.partial(f, whole=True)
-            if oracle is not None:
-                ORACLES[f"{f.__name__}_all"] = fixtures.unrestricted(oracle)
         return f
 
     return add
@@ -79,12 +71,12 @@ def doc_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # the chunks that have a vector hold no benchmark text of the first queries: documents of every seventh number stand for gold
-SEVENS = "SELECT q.query_id, CAST(d.doc_id AS STRING) AS doc_id FROM q5 q, documents d WHERE d.doc_id % 7 = 0"
+SEVENS = "SELECT q.query_id, CAST(d.doc_id AS STRING) AS doc_id FROM queries q, documents d WHERE d.doc_id % 7 = 0"
 
 
-def _sevens(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def _sevens(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").where("doc_id % 7 = 0").select(F.col("doc_id").cast("string").alias("doc_id"))
-    return docs.crossJoin(F.broadcast(_five(spark, sf_dir, whole).select("query_id")))
+    return docs.crossJoin(F.broadcast(_asked(spark, sf_dir).select("query_id")))
 
 
 @query(
@@ -95,9 +87,9 @@ def _sevens(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
         sevens=SEVENS,
     )
 )
-def collection_ranks(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    _, sparse = retrieval.lists(spark, sf_dir, whole)
-    found = rank.gold_rank(sparse, _sevens(spark, sf_dir, whole), ["query_id", "collection"])
+def collection_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, sparse = retrieval.lists(spark, sf_dir)
+    found = rank.gold_rank(sparse, _sevens(spark, sf_dir), ["query_id", "collection"])
     return found.select("query_id", "collection", F.col("rank").cast("long").alias("rank"))
 
 
@@ -120,7 +112,7 @@ def stage_pass_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 )
 def compare_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flags = spark.createDataFrame([("base", True), ("next", False)], "run string, skip_agentic boolean")
+    flags = spark.createDataFrame([("base"), ("next", False)], "run string, skip_agentic boolean")
     return evaluate.comparison(evaluate.pass_rates(_runs(spark, sf_dir)), "base", flags)
 
 
@@ -144,9 +136,9 @@ def recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
         sevens=SEVENS,
     )
 )
-def first_collection(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    _, sparse = retrieval.lists(spark, sf_dir, whole)
-    return evaluate.first_collections(rank.gold_rank(sparse, _sevens(spark, sf_dir, whole), ["query_id", "collection"]))
+def first_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, sparse = retrieval.lists(spark, sf_dir)
+    return evaluate.first_collections(rank.gold_rank(sparse, _sevens(spark, sf_dir), ["query_id", "collection"]))
 
 
 @query(with_tables("queries", "SELECT query_id, s.stage, coalesce(CAST(CASE WHEN s.stage = 'es' AND item_id % 2 = 0 THEN item_id END AS STRING), '>50') AS rank FROM queries, (SELECT unnest(['es','raw_dense','raw_sparse','rewritten_dense','rewritten_sparse','rrf','reranker','agentic']) AS stage) s"))
@@ -167,38 +159,134 @@ def intent_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- modes with stand-in models
 
 
-def _five(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return fixtures.some(fixtures.queries(spark, sf_dir), "item_id < 5", whole).select("query_id", "query")
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixtures.queries(spark, sf_dir).select("query_id", "query")
+
+
+# the stand-in models in SQL: vectors by first letters and lengths, a reading whose first word is a filter, shares of words
+TOK = "'[\\p{L}\\p{N}]+'"
+
+
+def _words(x: str) -> str:
+    return f"list_distinct(regexp_extract_all(lower({x}), {TOK}))"
+
+
+def _share(text: str) -> str:
+    """The share of a query's words that stand in a text."""
+    return f"round(len(list_intersect({_words('q.query')}, {_words(text)})) / len({_words('q.query')}), 6)::DOUBLE"
+
+
+READ = {
+    "reads": f"SELECT query_id, query, CASE WHEN len(regexp_extract_all(query, {TOK})) % 2 = 1 THEN 'citation_lookup' ELSE 'conceptual' END AS intent, lower(regexp_extract(query, {TOK})) AS act FROM queries",
+    "fullwords": f"SELECT id, unnest(list_distinct(regexp_extract_all(lower(fullcontent), {TOK}))) AS w FROM ft_index",
+    "allow": "SELECT query_id, id AS doc_id FROM reads JOIN fullwords ON w = act QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY id) <= 1000",
+    "counted": f"SELECT query_id, list_transform(range(64), lambda i: len(list_filter(regexp_extract_all(lower(query), {TOK}), lambda x: (unicode(x) * 31 + length(x) * 7) % 64 = i))) AS v FROM queries",
+    "vecs": "SELECT query_id, list_transform(v, lambda x: (x / sqrt(list_sum(list_transform(v, lambda y: y * y))))::FLOAT) AS vector FROM counted",
+}
+_INSIDE = "(({q}, {d}) IN (SELECT query_id, doc_id FROM allow) OR {q} NOT IN (SELECT query_id FROM allow))"
+RETRIEVED = READ | {k: v for k, v in BOTH.items() if k not in ("dense", "sparse")} | {
+    "dense": DENSE.replace("hybrid h, vectors v", f"hybrid h, vecs v WHERE {_INSIDE.format(q='v.query_id', d='h.doc_id')}"),
+    "sparse": SPARSE.replace("GROUP BY t.query_id, p.collection, p.chunk_id)", f"WHERE {_INSIDE.format(q='t.query_id', d='p.doc_id')} GROUP BY t.query_id, p.collection, p.chunk_id)"),
+    "flat": FLAT["flat"],
+    "fused": """SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, first.s, first.p) AS fused_pos FROM (
+SELECT f.query_id, chunk_id, any_value(doc_id) AS doc_id, any_value(text) AS text, round(sum(CASE WHEN (intent = 'conceptual') = (source = 'dense') THEN 1.5 ELSE 0.5 END / (60 + pos)), 9) AS rrf_score, min({'s': src_ord, 'p': pos}) AS first
+FROM flat f JOIN reads USING (query_id) GROUP BY f.query_id, chunk_id)""",
+}
+
+
+def _cut(source: str, order: str, most: int | None = None) -> str:
+    """Rows of a scored list (query_id, rerank_score) up to its elbow."""
+    return f"""SELECT * FROM (SELECT *, sum(CASE WHEN rank > 1 AND rerank_score < 0.6 * prev THEN 1 ELSE 0 END) OVER (PARTITION BY query_id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS brk FROM (
+SELECT *, row_number() OVER w AS rank, lag(rerank_score) OVER w AS prev FROM {source} WINDOW w AS (PARTITION BY query_id ORDER BY rerank_score DESC, {order}))) WHERE brk = 0 {f"AND rank <= {most}" if most else ""}"""
+
+
+CONTEXT = {"scored": f"SELECT f.*, {_share('f.text')} AS rerank_score FROM fused f JOIN queries q USING (query_id)", "best": _cut("scored", "fused_pos", 5)}
+PROMPTS = {
+    "prompts": """SELECT q.query_id, concat('Question: ', any_value(q.query), chr(10), chr(10), 'Relevant excerpts:', chr(10), coalesce(string_agg(concat('[', b.doc_id, '] ', b.text), concat(chr(10), chr(10)) ORDER BY b.rank), '')) AS prompt,
+list_slice(list_distinct(list(b.doc_id ORDER BY b.rank) FILTER (b.doc_id IS NOT NULL)), 1, 0) AS none FROM queries q LEFT JOIN best b USING (query_id) GROUP BY q.query_id""",
+    "firsts": "SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY min(rank)) AS n FROM best GROUP BY query_id, doc_id",
+    "answers_": "SELECT query_id, coalesce(string_agg(concat('See [', doc_id, '].'), ' ' ORDER BY n) FILTER (n <= 2), '') AS answer FROM queries LEFT JOIN firsts USING (query_id) GROUP BY query_id",
+    "fetched": "SELECT query_id, doc_id FROM (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY min(fused_pos)) AS dp FROM fused GROUP BY query_id, doc_id) WHERE dp <= 20 UNION SELECT query_id, doc_id FROM best",
+    "told": "SELECT f.query_id, string_agg(concat_ws('|', i.id, i.heading, i.court, i.bench, i.judge, coalesce(i.partyname, '-')), ';' ORDER BY i.id) AS citations FROM fetched f JOIN ft_index i ON i.id = f.doc_id GROUP BY f.query_id",
+}
+ES = {
+    "asked": "SELECT query_id AS n, query AS q FROM queries",
+    **FULL_TEXT,
+}
+_ELBOW_ES = "SELECT * FROM (SELECT *, sum(CASE WHEN pos > 1 AND score < 0.6 * prev THEN 1 ELSE 0 END) OVER (PARTITION BY query_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS brk FROM (SELECT *, lag(score) OVER (PARTITION BY query_id ORDER BY pos) AS prev FROM es)) WHERE brk = 0"
+_ELBOW_LISTS = "SELECT * FROM (SELECT *, sum(CASE WHEN pos > 1 AND score < 0.6 * prev THEN 1 ELSE 0 END) OVER (PARTITION BY query_id, collection ORDER BY pos ROWS UNBOUNDED PRECEDING) AS brk FROM (SELECT *, lag(score) OVER (PARTITION BY query_id, collection ORDER BY pos) AS prev FROM {t})) WHERE brk = 0"
+BRANCHES = ES | BOTH | {"es_cut": _ELBOW_ES, "dense_cut": _ELBOW_LISTS.format(t="dense"), "sparse_cut": _ELBOW_LISTS.format(t="sparse")}
 
 
 def _branches(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return modes.instant(fixtures.index(spark, sf_dir), fixtures.hybrid_chunks(spark, sf_dir), _five(spark, sf_dir, True), fixtures.query_vectors(spark, sf_dir, None))
+    return modes.instant(retrieval.corpus(spark, sf_dir), _asked(spark, sf_dir), fixtures.query_vectors(spark, sf_dir))
 
 
-@query()
+@query(
+    with_tables(
+        HYBRID + " ft_index",
+        "SELECT query_id, 'es' AS source, NULL::VARCHAR AS collection, CAST(pos AS BIGINT) AS pos, doc_id, score FROM es_cut UNION ALL SELECT query_id, 'dense', collection, CAST(pos AS BIGINT), doc_id, score FROM dense_cut UNION ALL SELECT query_id, 'sparse', collection, CAST(pos AS BIGINT), doc_id, score FROM sparse_cut",
+        **BRANCHES,
+    )
+)
 def instant(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = _branches(spark, sf_dir)
-    out = b["es"].select("query_id", F.lit("es").alias("source"), F.lit(None).cast("string").alias("collection"), "pos", "doc_id", "score")
+    out = b["es"].select("query_id", F.lit("es").alias("source"), F.lit(None).cast("string").alias("collection"), F.col("pos").cast("long").alias("pos"), "doc_id", "score")
     for name in ("dense", "sparse"):
-        out = out.unionByName(b[name].select("query_id", F.lit(name).alias("source"), "collection", "pos", "doc_id", "score"))
+        out = out.unionByName(b[name].select("query_id", F.lit(name).alias("source"), "collection", F.col("pos").cast("long").alias("pos"), "doc_id", "score"))
     return out
 
 
-@query()
+@query(
+    with_tables(
+        HYBRID + " ft_index",
+        "SELECT query_id, CAST(rank AS BIGINT) AS rank, doc_id, rerank_score FROM kept",
+        **BRANCHES,
+        lists="""SELECT query_id, 0 AS src_ord, 'es' AS source, doc_id, pos FROM es_cut
+UNION ALL SELECT query_id, 1, 'dense', doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, collection_ord, pos) FROM dense_cut
+UNION ALL SELECT query_id, 2, 'sparse', doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, collection_ord, pos) FROM sparse_cut""",
+        collapsed="SELECT query_id, src_ord, source, doc_id, row_number() OVER (PARTITION BY query_id, source ORDER BY min(pos)) AS pos FROM lists GROUP BY query_id, src_ord, source, doc_id",
+        fused="""SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, first.s, first.p) AS fused_pos FROM (
+SELECT c.query_id, doc_id, round(sum(CASE shape WHEN 'plain' THEN CASE source WHEN 'es' THEN 1.0 WHEN 'dense' THEN 1.5 ELSE 0.5 END ELSE CASE source WHEN 'dense' THEN 0.5 ELSE 1.5 END END / (60 + pos)), 9) AS rrf_score, min({'s': src_ord, 'p': pos}) AS first
+FROM collapsed c JOIN shapes s ON s.n = c.query_id GROUP BY c.query_id, doc_id) QUALIFY fused_pos <= 20""",
+        scored=f"SELECT f.query_id, f.doc_id, f.fused_pos, {_share('i.fullcontent')} AS rerank_score FROM fused f JOIN queries q USING (query_id) JOIN ft_index i ON i.id = f.doc_id AND length(i.fullcontent) > 0",
+        kept=_cut("scored", "fused_pos"),
+    )
+)
 def instant_reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return modes.instant_reranked(_branches(spark, sf_dir), fixtures.index(spark, sf_dir), _five(spark, sf_dir, True), Offline())
+    out = modes.instant_reranked(_branches(spark, sf_dir), fixtures.index(spark, sf_dir), _asked(spark, sf_dir), Offline())
+    return out.select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", "rerank_score")
 
 
-@query()
+@query(
+    with_tables(
+        HYBRID,
+        "SELECT query_id, CAST(rank AS BIGINT) AS rank, chunk_id, rerank_score FROM best",
+        **FLAT,
+        fused="""SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, first.s, first.p) AS fused_pos FROM (
+SELECT query_id, chunk_id, any_value(doc_id) AS doc_id, any_value(text) AS text, round(sum(1.0 / (60 + pos)), 9) AS rrf_score, min({'s': src_ord, 'p': pos}) AS first FROM flat GROUP BY query_id, chunk_id)""",
+        **CONTEXT,
+    )
+)
 def ai_mode_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fused = retrieval.fused_chunks(*retrieval.lists(spark, sf_dir, True))
-    return modes.context(fused, _five(spark, sf_dir, True), Offline()).select("query_id", "rank", "chunk_id", "rerank_score")
+    fused = retrieval.fused_chunks(*retrieval.lists(spark, sf_dir))
+    return modes.context(fused, _asked(spark, sf_dir), Offline()).select("query_id", F.col("rank").cast("long").alias("rank"), "chunk_id", "rerank_score")
 
 
-@query()
+@query(
+    with_tables(
+        HYBRID + " ft_index",
+        "SELECT p.query_id, a.answer <> '' OR true AS ok, a.answer, concat((SELECT count(DISTINCT doc_id) FROM best b WHERE b.query_id = p.query_id), ' documents') AS reasoning, coalesce(t.citations, '') AS citations, md5(p.prompt) AS prompt_md5 FROM prompts p JOIN answers_ a USING (query_id) LEFT JOIN told t USING (query_id)",
+        **RETRIEVED,
+        **CONTEXT,
+        **PROMPTS,
+    )
+)
 def ai_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = modes.ai_mode(fixtures.index(spark, sf_dir), fixtures.hybrid_chunks(spark, sf_dir), _five(spark, sf_dir, True), fixtures.query_vectors(spark, sf_dir, None), Offline())
-    return out.select("query_id", "ok", F.array_join("citations", ",").alias("citations"), F.md5("prompt").alias("prompt_md5"))
+    """The whole answer mode with the stand-in models: reading, allowlist by a filter, retrieval within it, fusion by intent, rerank, metadata, answer."""
+    out = modes.ai_mode(retrieval.corpus(spark, sf_dir), _asked(spark, sf_dir), Offline(), checkpoint=kept)
+    shown = F.transform("citations", lambda c: F.concat_ws("|", c["doc_id"], c["heading"], c["court"], c["bench"], c["judge"], F.coalesce(c["partyname"], F.lit("-"))))
+    return out.select("query_id", "ok", "answer", "reasoning", F.array_join(shown, ";").alias("citations"), F.md5("prompt").alias("prompt_md5"))
 
 
 @query(
@@ -208,22 +296,23 @@ def ai_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
         **FLAT,
     )
 )
-def synthesis_prompts(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    dense, _ = retrieval.lists(spark, sf_dir, whole)
+def synthesis_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dense, _ = retrieval.lists(spark, sf_dir)
     chunks = rank.flattened(dense, ["query_id"]).where("flat_pos <= 5").select("query_id", F.col("flat_pos").alias("rank"), "doc_id", "text")
-    return modes.prompts(chunks, _five(spark, sf_dir, whole))
+    return modes.prompts(chunks, _asked(spark, sf_dir))
 
 
 @query(
     with_tables(
         HYBRID,
-        """SELECT query_id, doc_id, heading, subheading, judge FROM (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY min(fp)) AS dp FROM (SELECT query_id, chunk_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, first.s, first.p) AS fp FROM (
+        """SELECT query_id, doc_id, heading, subheading, heading AS citation, court, bench, judge, coalesce(partyname, '') AS partyname FROM (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY min(fp)) AS dp FROM (SELECT query_id, chunk_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, first.s, first.p) AS fp FROM (
 SELECT query_id, chunk_id, any_value(doc_id) AS doc_id, round(sum(1.0 / (60 + pos)), 9) AS rrf_score, min({'s': src_ord, 'p': pos}) AS first FROM flat GROUP BY query_id, chunk_id)) GROUP BY query_id, doc_id) f JOIN ft_index i ON i.id = f.doc_id WHERE dp <= 20""",
         **FLAT,
     )
 )
-def prefetch_citations(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return modes.prefetched(retrieval.fused_chunks(*retrieval.lists(spark, sf_dir, whole)), fixtures.index(spark, sf_dir))
+def prefetch_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = modes.prefetched(retrieval.fused_chunks(*retrieval.lists(spark, sf_dir)), fixtures.index(spark, sf_dir))
+    return found.select("query_id", "doc_id", "heading", "subheading", F.element_at("citations", 1).alias("citation"), "court", "bench", "judge", F.coalesce("partyname", F.lit("")).alias("partyname"))
 
 
 # ---- traces and conversations
@@ -295,13 +384,42 @@ def expandable(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- evaluation runs and what is left
 
 
-@query()
+_STAGE_LISTS = {
+    "es": "SELECT query_id, doc_id, pos FROM es50",
+    "raw_dense": "SELECT query_id, doc_id, pos FROM rawflat WHERE source = 'dense'",
+    "raw_sparse": "SELECT query_id, doc_id, pos FROM rawflat WHERE source = 'sparse'",
+    "rewritten_dense": "SELECT query_id, doc_id, pos FROM flat WHERE source = 'dense'",
+    "rewritten_sparse": "SELECT query_id, doc_id, pos FROM flat WHERE source = 'sparse'",
+    "rrf": "SELECT query_id, doc_id, fused_pos AS pos FROM fused",
+    "reranker": "SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY rerank_score DESC, fused_pos) AS pos FROM scored",
+}
+
+
+@query(
+    with_tables(
+        HYBRID + " ft_index gold",
+        "SELECT 'offline' AS run, q.query_id, s.stage, coalesce(CAST(r.rank AS STRING), '>50') AS rank FROM queries q, (SELECT unnest(['es', 'raw_dense', 'raw_sparse', 'rewritten_dense', 'rewritten_sparse', 'rrf', 'reranker', 'agentic']) AS stage) s LEFT JOIN ranks r ON r.query_id = q.query_id AND r.stage = s.stage",
+        **{k: v.replace("pos <= 20", "pos <= 50") for k, v in ES.items() if k != "es"},
+        es50=FULL_TEXT["es"].replace("pos <= 20", "pos <= 50"),
+        **{k: v for k, v in BOTH.items() if k not in ("dense", "sparse")},
+        rawdense=DENSE,
+        rawsparse=SPARSE,
+        rawflat=FLAT["flat"].replace("FROM dense", "FROM rawdense").replace("FROM sparse", "FROM rawsparse"),
+        **{k: v for k, v in RETRIEVED.items() if k not in BOTH or k in ("dense", "sparse")},
+        scored=CONTEXT["scored"],
+        lists=" UNION ALL ".join(f"SELECT '{name}' AS stage, query_id, doc_id, pos FROM ({sql})" for name, sql in _STAGE_LISTS.items()),
+        docs_="SELECT stage, query_id, doc_id, row_number() OVER (PARTITION BY stage, query_id ORDER BY min(pos), doc_id) AS rank FROM lists GROUP BY stage, query_id, doc_id",
+        ranks="SELECT stage, query_id, min(rank) AS rank FROM docs_ JOIN gold USING (query_id, doc_id) GROUP BY stage, query_id UNION ALL SELECT DISTINCT 'agentic', query_id, 1 FROM lists JOIN gold USING (query_id, doc_id) WHERE stage = 'es' AND pos = 1",
+    )
+)
 def evaluation_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every case through every stage; the agent's answers cite the first document of the full-text search."""
     from . import evaluation
 
-    cases = fixtures.queries(spark, sf_dir)
-    found = evaluation.stages(fixtures.index(spark, sf_dir), fixtures.hybrid_chunks(spark, sf_dir), cases.select("query_id", "query"), fixtures.query_vectors(spark, sf_dir, None), Offline())
-    return evaluation.ranks(found, cases, fixtures.gold(spark, sf_dir), "offline").select("run", "query_id", "stage", shown_rank(F.col("rank")).alias("rank"))
+    cases, corpus = fixtures.queries(spark, sf_dir), retrieval.corpus(spark, sf_dir)
+    found = evaluation.stages(corpus, cases.select("query_id", "query"), fixtures.query_vectors(spark, sf_dir), Offline(), checkpoint=kept)
+    answers = found["es"].where("pos = 1").select("query_id", F.array("doc_id").alias("doc_ids"))
+    return evaluation.ranks(found, cases, fixtures.gold(spark, sf_dir), "offline", answers).select("run", "query_id", "stage", shown_rank(F.col("rank")).alias("rank"))
 
 
 @query(
@@ -315,14 +433,14 @@ def evaluation_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shown_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import evaluation
 
-    flags = spark.createDataFrame([("base", True), ("next", False)], "run string, skip_agentic boolean")
+    flags = spark.createDataFrame([("base"), ("next", False)], "run string, skip_agentic boolean")
     return evaluation.shown_comparison(evaluate.pass_rates(_runs(spark, sf_dir)), "base", flags)
 
 
-@query("SELECT user_id AS query_id, event_type AS step, value AS ms FROM events WHERE event_id % 50 = 1")
-def step_times(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+@query("SELECT user_id AS query_id, event_type AS step, value AS ms FROM events")
+def step_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Times of steps gathered per request as a map, and read out of it again; a step that comes twice in a request keeps requests apart by the event."""
-    steps = fixtures.some(table(spark, sf_dir, "events"), "event_id % 50 = 1", whole).select(F.concat_ws("-", "user_id", "event_id").alias("request"), "user_id", F.col("event_type").alias("step"), F.col("value").alias("ms"))
+    steps = table(spark, sf_dir, "events").select(F.concat_ws("-", "user_id", "event_id").alias("request"), "user_id", F.col("event_type").alias("step"), F.col("value").alias("ms"))
     maps = steps.groupBy("request", "user_id").agg(F.map_from_entries(F.collect_list(F.struct("step", "ms"))).alias("times"))
     return maps.select(F.col("user_id").alias("query_id"), F.explode("times").alias("step", "ms"))
 

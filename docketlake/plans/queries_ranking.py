@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import functools
-import inspect
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,23 +10,23 @@ from ..operators import fuse, rank, score
 from ..sources import fixtures
 from ..sources.fixtures import with_tables
 from . import retrieval
+from .queries_text import PHRASES, SHAPE, SYNONYMS, WORDS
 
 # ---- SQL pieces
 
 DENSE = """SELECT query_id, collection, collection_ord, chunk_id, doc_id, text, score, row_number() OVER (PARTITION BY query_id, collection ORDER BY score DESC, chunk_id) AS pos
 FROM (SELECT v.query_id, h.collection, h.collection_ord, h.chunk_id, h.doc_id, h.text, round(list_dot_product(h.embedding::DOUBLE[], v.vector::DOUBLE[]), 6) AS score FROM hybrid h, vectors v) QUALIFY pos <= 50"""
-TERMS = r"SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(query), '[\p{L}\p{N}]+')) AS term FROM q5"
+TERMS = r"SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(query), '[\p{L}\p{N}]+')) AS term FROM queries"
 SPARSE = r"""SELECT query_id, collection, collection_ord, chunk_id, doc_id, text, score, row_number() OVER (PARTITION BY query_id, collection ORDER BY score DESC, chunk_id) AS pos
 FROM (SELECT t.query_id, p.collection, any_value(p.collection_ord) AS collection_ord, p.chunk_id, any_value(p.doc_id) AS doc_id, any_value(p.text) AS text,
       round(sum(ln(1 + (s.n - d.df + 0.5) / (d.df + 0.5)) * p.tf * 2.2 / (p.tf + 1.2 * (0.25 + 0.75 * p.len / s.avglen))), 6) AS score
       FROM terms t JOIN post p ON p.term = t.term JOIN dfs d ON d.term = p.term AND d.collection = p.collection JOIN stats s ON s.collection = p.collection GROUP BY t.query_id, p.collection, p.chunk_id) QUALIFY pos <= 50"""
 SPARSE_PARTS = {
-    "toks": r"SELECT collection, collection_ord, chunk_id, doc_id, text, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM hybrid WHERE collection <> 'ruling'",
+    "toks": r"SELECT collection, collection_ord, chunk_id, doc_id, text, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM chunks WHERE collection <> 'ruling'",
     "stats": "SELECT collection, count(*) AS n, avg(len(w)) AS avglen FROM toks GROUP BY collection",
     "post": "SELECT collection, collection_ord, chunk_id, doc_id, text, len, term, count(*) AS tf FROM (SELECT collection, collection_ord, chunk_id, doc_id, text, len(w) AS len, unnest(w) AS term FROM toks) GROUP BY ALL",
     "dfs": "SELECT collection, term, count(*) AS df FROM post GROUP BY collection, term",
-    "q5": "SELECT * FROM queries WHERE item_id < 5",
-    "terms": TERMS,
+        "terms": TERMS,
 }
 BOTH = SPARSE_PARTS | {"dense": DENSE, "sparse": SPARSE}
 FLAT = BOTH | {
@@ -48,30 +45,24 @@ ORACLES: dict[str, str] = {}
 
 
 def query(oracle: str | None = None):
-    """Registers a query; one that takes ``whole`` also as ``<name>_all``, over all rows."""
-
     def add(f):
         QUERIES[f.__name__] = f
         if oracle is not None:
             ORACLES[f.__name__] = oracle
-        if "whole" in inspect.signature(f).parameters:
-            QUERIES[f"{f.__name__}_all"] = functools.partial(f, whole=True)
-            if oracle is not None:
-                ORACLES[f"{f.__name__}_all"] = fixtures.unrestricted(oracle)
         return f
 
     return add
 
 
 @query(_sql("SELECT query_id, collection, CAST(pos AS BIGINT) AS pos, chunk_id, doc_id, score FROM dense", {}, dense=DENSE))
-def dense_topk(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    hits = retrieval.dense_hits(fixtures.hybrid_chunks(spark, sf_dir), fixtures.query_vectors(spark, sf_dir, None if whole else 5))
+def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = retrieval.dense_hits(fixtures.hybrid_chunks(spark, sf_dir), fixtures.query_vectors(spark, sf_dir))
     return hits.select("query_id", "collection", F.col("pos").cast("long").alias("pos"), "chunk_id", "doc_id", "score")
 
 
 @query(_sql("SELECT query_id, collection, CAST(pos AS BIGINT) AS pos, chunk_id, doc_id, score FROM sparse", BOTH))
-def sparse_bm25_topk(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    hits = retrieval.sparse_hits(fixtures.hybrid_chunks(spark, sf_dir), fixtures.some(fixtures.queries(spark, sf_dir), "item_id < 5", whole))
+def sparse_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = retrieval.sparse_hits(fixtures.chunks(spark, sf_dir), fixtures.queries(spark, sf_dir))
     return hits.select("query_id", "collection", F.col("pos").cast("long").alias("pos"), "chunk_id", "doc_id", "score")
 
 
@@ -81,12 +72,12 @@ SELECT query_id, chunk_id, any_value(doc_id) AS doc_id, round(sum({w} / (60 + po
 
 
 @query(_sql(_RRF.format(w="1.0", j="", c="WHERE fused_pos <= 20")))
-def rrf_chunk(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    fused = retrieval.fused_chunks(*retrieval.lists(spark, sf_dir, whole)).where("fused_pos <= 20")
+def rrf_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fused = retrieval.fused_chunks(*retrieval.lists(spark, sf_dir)).where("fused_pos <= 20")
     return fused.select("query_id", F.col("fused_pos").cast("long").alias("fused_pos"), "chunk_id", "doc_id", "rrf_score")
 
 
-INTENTS = "SELECT query_id, CASE item_id % 4 WHEN 0 THEN 'citation_lookup' WHEN 1 THEN 'provision_lookup' WHEN 2 THEN 'conceptual' ELSE 'other' END AS intent FROM q5"
+INTENTS = "SELECT query_id, CASE item_id % 4 WHEN 0 THEN 'citation_lookup' WHEN 1 THEN 'provision_lookup' WHEN 2 THEN 'conceptual' ELSE 'other' END AS intent FROM queries"
 
 
 @query(
@@ -99,10 +90,10 @@ INTENTS = "SELECT query_id, CASE item_id % 4 WHEN 0 THEN 'citation_lookup' WHEN
         intents=INTENTS,
     )
 )
-def rrf_intent_weighted(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def rrf_intent_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.array(*map(F.lit, ("citation_lookup", "provision_lookup", "conceptual", "other")))
-    intents = fixtures.some(fixtures.queries(spark, sf_dir), "item_id < 5", whole).select("query_id", F.get(names, (F.col("item_id") % 4).cast("int")).alias("intent"))
-    fused = retrieval.fused_chunks(*retrieval.lists(spark, sf_dir, whole), intents)
+    intents = fixtures.queries(spark, sf_dir).select("query_id", F.get(names, (F.col("item_id") % 4).cast("int")).alias("intent"))
+    fused = retrieval.fused_chunks(*retrieval.lists(spark, sf_dir), intents)
     return fused.select("query_id", F.col("fused_pos").cast("long").alias("fused_pos"), "chunk_id", "doc_id", "rrf_score")
 
 
@@ -112,30 +103,30 @@ SELECT *, row_number() OVER w AS rn, lag(score) OVER w AS prev FROM sparse WINDO
 
 
 @query(_sql(_ELBOW.format(c=""), BOTH))
-def elbow_per_collection(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    _, sparse = retrieval.lists(spark, sf_dir, whole)
+def elbow_per_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, sparse = retrieval.lists(spark, sf_dir)
     kept = rank.elbow(sparse, ["query_id", "collection"], ties=[F.col("chunk_id")])
     return kept.select("query_id", "collection", F.col("rank").cast("long").alias("rank"), "chunk_id", "score")
 
 
 @query(_sql(_ELBOW.format(c="AND rn <= 5"), BOTH))
-def elbow_capped(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    _, sparse = retrieval.lists(spark, sf_dir, whole)
+def elbow_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, sparse = retrieval.lists(spark, sf_dir)
     kept = rank.elbow(sparse, ["query_id", "collection"], ties=[F.col("chunk_id")], max_keep=5)
     return kept.select("query_id", "collection", F.col("rank").cast("long").alias("rank"), "chunk_id", "score")
 
 
 @query(_sql("SELECT query_id, source, CAST(pos AS BIGINT) AS pos, chunk_id, doc_id FROM flat"))
-def flatten_sorted(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    hits = retrieval.as_sources(*retrieval.lists(spark, sf_dir, whole))
+def flatten_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = retrieval.as_sources(*retrieval.lists(spark, sf_dir))
     return hits.select("query_id", "source", F.col("pos").cast("long").alias("pos"), "chunk_id", "doc_id")
 
 
 @query(_sql("SELECT query_id, chunk_id, CASE WHEN length(text) > 500 THEN concat(substr(text, 1, 500), '...') ELSE text END AS text, CAST(pos AS BIGINT) AS pos FROM flat WHERE source = 'dense' AND pos <= 20"))
-def agent_merge_top20(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def agent_merge_top20(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..functions.text import clipped
 
-    dense, _ = retrieval.lists(spark, sf_dir, whole)
+    dense, _ = retrieval.lists(spark, sf_dir)
     flat = rank.flattened(dense, ["query_id"]).where("flat_pos <= 20")
     return flat.select("query_id", "chunk_id", clipped(F.col("text")).alias("text"), F.col("flat_pos").cast("long").alias("pos"))
 
@@ -145,38 +136,38 @@ SELECT *, row_number() OVER (PARTITION BY query_id, source, doc_id ORDER BY pos)
 
 
 @query(_sql("SELECT query_id, source, doc_id, CAST(pos AS BIGINT) AS pos FROM collapsed", collapsed=COLLAPSED))
-def collapse_doc(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    hits = retrieval.as_sources(*retrieval.lists(spark, sf_dir, whole))
+def collapse_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = retrieval.as_sources(*retrieval.lists(spark, sf_dir))
     return fuse.collapsed(hits, ["query_id", "source"]).select("query_id", "source", "doc_id", F.col("pos").cast("long").alias("pos"))
 
 
 # a third list, for fusion by document: documents by boost
 THREE = {
     "collapsed": COLLAPSED,
-    "es": "SELECT q.query_id, i.id AS doc_id, i.heading, i.subheading, CAST(i.doc_number AS DOUBLE) AS score, row_number() OVER (PARTITION BY q.query_id ORDER BY (i.doc_number * 31 + q.item_id * 7) % 101, i.doc_number) AS pos FROM q5 q, ft_index i WHERE i.doc_number < 200 QUALIFY pos <= 20",
+    "es": "SELECT q.query_id, i.id AS doc_id, i.heading, i.subheading, CAST(i.doc_number AS DOUBLE) AS score, row_number() OVER (PARTITION BY q.query_id ORDER BY (i.doc_number * 31 + q.item_id * 7) % 101, i.doc_number) AS pos FROM queries q, ft_index i QUALIFY pos <= 20",
 }
 RRF_DOC = """SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, first.s, first.p) AS fused_pos, rrf_score FROM (
 SELECT query_id, doc_id, round(sum(w / (60 + pos)), 9) AS rrf_score, min({'s': src_ord, 'p': pos}) AS first FROM (
 SELECT query_id, doc_id, pos, 0 AS src_ord, 1.0 AS w FROM es UNION ALL SELECT query_id, doc_id, pos, src_ord + 1, CASE source WHEN 'dense' THEN 1.5 ELSE 0.5 END FROM collapsed) GROUP BY query_id, doc_id)"""
 
 
-def _text_list(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    queries = fixtures.some(fixtures.queries(spark, sf_dir), "item_id < 5", whole).select("query_id", "item_id")
-    index = fixtures.some(fixtures.index(spark, sf_dir), "doc_number < 200", whole).select(F.col("id").alias("doc_id"), "doc_number", "heading", "subheading")
+def _text_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    queries = fixtures.queries(spark, sf_dir).select("query_id", "item_id")
+    index = fixtures.index(spark, sf_dir).select(F.col("id").alias("doc_id"), "doc_number", "heading", "subheading")
     pairs = index.crossJoin(F.broadcast(queries)).withColumn("_k", (F.col("doc_number") * 31 + F.col("item_id") * 7) % 101)
     return rank.top(pairs, ["query_id"], [F.col("_k"), F.col("doc_number")], 20, "pos").select("query_id", "doc_id", "heading", "subheading", F.col("doc_number").cast("double").alias("score"), "pos")
 
 
-def fused_documents(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    hits = fuse.collapsed(retrieval.as_sources(*retrieval.lists(spark, sf_dir, whole)), ["query_id", "source"]).select("query_id", "source", (F.col("src_ord") + 1).alias("src_ord"), "doc_id", "pos")
-    es = _text_list(spark, sf_dir, whole).select("query_id", F.lit("es").alias("source"), F.lit(0).alias("src_ord"), "doc_id", "pos")
+def fused_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = fuse.collapsed(retrieval.as_sources(*retrieval.lists(spark, sf_dir)), ["query_id", "source"]).select("query_id", "source", (F.col("src_ord") + 1).alias("src_ord"), "doc_id", "pos")
+    es = _text_list(spark, sf_dir).select("query_id", F.lit("es").alias("source"), F.lit(0).alias("src_ord"), "doc_id", "pos")
     weight = fuse.shape_weight(F.lit("plain"), F.col("source"))
     return fuse.fused_rank(fuse.reciprocal(hits.unionByName(es), "doc_id", weight))
 
 
 @query(_sql(f"SELECT query_id, doc_id, CAST(fused_pos AS BIGINT) AS fused_pos, rrf_score FROM ({RRF_DOC})", tables=HYBRID + " ft_index", **THREE))
-def rrf_doc_3src(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return fused_documents(spark, sf_dir, whole).select("query_id", "doc_id", F.col("fused_pos").cast("long").alias("fused_pos"), "rrf_score")
+def rrf_doc_3src(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fused_documents(spark, sf_dir).select("query_id", "doc_id", F.col("fused_pos").cast("long").alias("fused_pos"), "rrf_score")
 
 
 _FIRST = {
@@ -190,8 +181,8 @@ def _with_first(hits: DataFrame) -> DataFrame:
 
 
 @query(_sql("SELECT query_id, doc_id, CAST(first_seen AS BIGINT) AS first_seen, b.score AS score, b.collection AS collection FROM best", BOTH, seen=_FIRST["seen"].format(t="dense"), best=_FIRST["best"].format(w="")))
-def best_per_doc(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    dense, _ = retrieval.lists(spark, sf_dir, whole)
+def best_per_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dense, _ = retrieval.lists(spark, sf_dir)
     best = fuse.best_per_document(_with_first(dense), ["query_id"])
     return best.select("query_id", "doc_id", F.col("first_seen").cast("long").alias("first_seen"), "score", "collection")
 
@@ -215,15 +206,15 @@ _ANTI = "WHERE NOT EXISTS (SELECT 1 FROM es WHERE es.query_id = seen{n}.query_id
         best2=_FIRST["best"].replace("FROM seen", "FROM seen2").format(w=_ANTI.format(n="2")),
     )
 )
-def card_merge(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    dense, sparse = retrieval.lists(spark, sf_dir, whole)
-    merged = fuse.cards(_text_list(spark, sf_dir, whole), _with_first(dense), _with_first(sparse))
+def card_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dense, sparse = retrieval.lists(spark, sf_dir)
+    merged = fuse.cards(_text_list(spark, sf_dir), _with_first(dense), _with_first(sparse))
     return merged.select("query_id", F.col("card_pos").cast("long").alias("card_pos"), "source", "doc_id", "score", "collection", "heading")
 
 
 @query(_sql(f"SELECT query_id, doc_id, CAST(fused_pos AS BIGINT) AS fused_pos, CAST(floor((fused_pos - 1) / 10) + 1 AS BIGINT) AS page FROM ({RRF_DOC}) QUALIFY page = least(2, max(page) OVER (PARTITION BY query_id))", tables=HYBRID + " ft_index", **THREE))
-def paginate(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    wanted = rank.page(fused_documents(spark, sf_dir, whole), ["query_id"], "fused_pos", F.lit(2))
+def paginate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wanted = rank.page(fused_documents(spark, sf_dir), ["query_id"], "fused_pos", F.lit(2))
     return wanted.select("query_id", "doc_id", F.col("fused_pos").cast("long").alias("fused_pos"), F.col("page").cast("long").alias("page"))
 
 
@@ -232,21 +223,21 @@ def paginate(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame
         "SELECT query_id, doc_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY pos) AS BIGINT) AS doc_pos FROM (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY pos) AS own FROM flat WHERE source = 'sparse') WHERE own = 1 QUALIFY doc_pos <= 20"
     )
 )
-def first_unique_docs(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    hits = retrieval.as_sources(*retrieval.lists(spark, sf_dir, whole)).where("source = 'sparse'")
+def first_unique_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = retrieval.as_sources(*retrieval.lists(spark, sf_dir)).where("source = 'sparse'")
     return rank.first_unique(hits, ["query_id"], [F.col("pos")], 20).select("query_id", "doc_id", F.col("doc_pos").cast("long").alias("doc_pos"))
 
 
 @query(_sql("SELECT c.collection, CAST(count(s.chunk_id) AS BIGINT) AS hits FROM (SELECT unnest(['case_summary','digest','headnotes','facts','held','ruling','metadata']) AS collection) c LEFT JOIN sparse s USING (collection) GROUP BY c.collection", BOTH))
-def hits_per_collection(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    _, sparse = retrieval.lists(spark, sf_dir, whole)
+def hits_per_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, sparse = retrieval.lists(spark, sf_dir)
     names = spark.createDataFrame([(c,) for c in fixtures.COLLECTIONS], "collection string")
     return names.join(sparse.groupBy("collection").agg(F.count("*").alias("n")), "collection", "left").select("collection", F.coalesce("n", F.lit(0)).cast("long").alias("hits"))
 
 
 @query(_sql("SELECT query_id, collection, string_agg(chunk_id, ',' ORDER BY pos) AS ids, string_agg(substr(text, 1, 200), '|' ORDER BY pos) AS previews FROM dense WHERE pos <= 5 GROUP BY query_id, collection", {}, dense=DENSE))
-def collection_trace(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    dense, _ = retrieval.lists(spark, sf_dir, whole)
+def collection_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dense, _ = retrieval.lists(spark, sf_dir)
     kept = dense.where("pos <= 5").groupBy("query_id", "collection").agg(F.array_sort(F.collect_list(F.struct("pos", "chunk_id", F.substring("text", 1, 200).alias("t")))).alias("r"))
     return kept.select("query_id", "collection", F.array_join(F.col("r.chunk_id"), ",").alias("ids"), F.array_join(F.col("r.t"), "|").alias("previews"))
 
@@ -258,41 +249,64 @@ def function_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 FIELD_PARTS = {
-    "q8": "SELECT * FROM queries WHERE item_id < 8",
     "ft": "SELECT field, id AS doc_id, regexp_extract_all(lower(v), '[\\p{L}\\p{N}]+') AS w FROM (SELECT id, unnest(['heading','subheading','fullcontent','facts_text','held_text','headnotes_text']) AS field, unnest([heading, subheading, fullcontent, facts_text, held_text, headnotes_text]) AS v FROM ft_index) WHERE v IS NOT NULL",
     "fstats": "SELECT field, count(*) AS n, avg(len(w)) AS avglen FROM ft GROUP BY field",
     "fpost": "SELECT field, doc_id, len, term, count(*) AS tf FROM (SELECT field, doc_id, len(w) AS len, unnest(w) AS term FROM ft) GROUP BY ALL",
     "fdf": "SELECT field, term, count(*) AS df FROM fpost GROUP BY field, term",
-    "fterms": "SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(query), '[\\p{L}\\p{N}]+')) AS term FROM q8",
+    "fterms": "SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(query), '[\\p{L}\\p{N}]+')) AS term FROM queries",
     "boosts": "SELECT * FROM (VALUES ('heading', 2.0), ('subheading', 2.0), ('fullcontent', 1.5), ('facts_text', 1.0), ('held_text', 1.0), ('headnotes_text', 1.0)) b(field, boost)",
     "multi": "SELECT t.query_id, p.doc_id, sum(b.boost * ln(1 + (s.n - d.df + 0.5) / (d.df + 0.5)) * p.tf * 2.2 / (p.tf + 1.2 * (0.25 + 0.75 * p.len / s.avglen))) AS score FROM fterms t JOIN fpost p USING (term) JOIN fdf d ON d.term = p.term AND d.field = p.field JOIN fstats s ON s.field = p.field JOIN boosts b ON b.field = p.field GROUP BY t.query_id, p.doc_id",
 }
+_TOKENS = "regexp_extract_all(lower({x}), '[\\p{{L}}\\p{{N}}]+')"
+_FACTORS = "CASE WHEN documenttypeboost > 0 THEN sqrt(0.2 * documenttypeboost) ELSE 1 END * CASE WHEN court_boost > 0 THEN 0.01 * court_boost ELSE 1 END * CASE WHEN landmarkruling > 0 THEN log10(2 + 1.2 * landmarkruling) ELSE 1 END"
+#: Full-text search of a table ``asked`` (n, q): shapes, synonyms, terms, phrases and their scores; ``es`` holds the first twenty documents of each.
+FULL_TEXT = {
+    "shapes": f"SELECT n, {SHAPE} AS shape FROM asked",
+    "asked_words": f"SELECT n, unnest({WORDS.format(q='q')}) AS t, generate_subscripts({WORDS.format(q='q')}, 1) AS pos FROM asked",
+    "syns": f"SELECT * FROM (VALUES {SYNONYMS}) v(k, i, syn)",
+    "widened": "SELECT a.n, CASE WHEN x.extra IS NULL THEN a.q ELSE concat(a.q, ' ', x.extra) END AS q FROM asked a LEFT JOIN (SELECT n, string_agg(syn, ' ') AS extra FROM (SELECT DISTINCT w.n, y.syn FROM asked_words w JOIN syns y ON y.k = upper(w.t)) GROUP BY n) x USING (n)",
+    "eterms": f"SELECT DISTINCT n, unnest({_TOKENS.format(x='q')}) AS term FROM widened",
+    **{k: FIELD_PARTS[k] for k in ("ft", "fstats", "fpost", "fdf")},
+    "profiles": "SELECT * FROM (VALUES ('citation', [5.0, 3.0, 1.0, 1.0, 1.0, 1.5]), ('provision', [2.0, 3.0, 1.0, 1.0, 1.0, 2.5]), ('plain', [2.0, 2.0, 1.5, 1.0, 1.0, 1.0])) b(shape, boost)",
+    "eboosts": "SELECT shape, unnest(['heading','subheading','fullcontent','facts_text','held_text','headnotes_text']) AS field, unnest(boost) AS boost FROM profiles",
+    "emulti": "SELECT t.n, p.doc_id, sum(b.boost * ln(1 + (s.n - d.df + 0.5) / (d.df + 0.5)) * p.tf * 2.2 / (p.tf + 1.2 * (0.25 + 0.75 * p.len / s.avglen))) AS score FROM eterms t JOIN shapes h USING (n) JOIN fpost p USING (term) JOIN fdf d ON d.term = p.term AND d.field = p.field JOIN fstats s ON s.field = p.field JOIN eboosts b ON b.field = p.field AND b.shape = h.shape GROUP BY t.n, p.doc_id",
+    "ephrases": f"SELECT DISTINCT n, concat(' ', array_to_string({_TOKENS.format(x='phrase')}, ' '), ' ') AS phrase FROM (SELECT n, unnest({PHRASES}) AS phrase FROM asked)",
+    "padded": f"SELECT doc_id, list(concat(' ', array_to_string(w, ' '), ' ')) AS lines FROM ft GROUP BY doc_id",
+    "ebonus": "SELECT n, doc_id, 3.0 * count(*) AS bonus FROM ephrases, padded WHERE len(list_filter(lines, lambda l: contains(l, phrase))) > 0 GROUP BY n, doc_id",
+    "esum": "SELECT coalesce(m.n, b.n) AS n, coalesce(m.doc_id, b.doc_id) AS doc_id, coalesce(m.score, 0) + coalesce(b.bonus, 0) AS score FROM emulti m FULL JOIN ebonus b ON b.n = m.n AND b.doc_id = m.doc_id",
+    "es": f"""SELECT query_id, pos, doc_id, score, heading, subheading FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS pos FROM (
+SELECT e.n AS query_id, e.doc_id, round(e.score * {_FACTORS}, 6) AS score, heading, subheading FROM esum e JOIN ft_index i ON i.id = e.doc_id WHERE coalesce(landmarkruling, 0) <> -10)) WHERE pos <= 20""",
+}
 
 
-def _plain(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return fixtures.some(fixtures.queries(spark, sf_dir), "item_id < 8", whole).select("query_id", "query")
+def _plain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixtures.queries(spark, sf_dir).select("query_id", "query")
 
 
 @query(with_tables("ft_index queries", "SELECT query_id, doc_id, round(score, 6) AS score FROM multi QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) <= 50", **FIELD_PARTS))
-def multi_field_bm25(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    scored = score.multi_field(fixtures.index(spark, sf_dir), _plain(spark, sf_dir, whole).withColumn("shape", F.lit("plain"))).withColumn("score", F.round("score", 6))
+def multi_field_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = score.multi_field(fixtures.index(spark, sf_dir), _plain(spark, sf_dir).withColumn("shape", F.lit("plain"))).withColumn("score", F.round("score", 6))
     return rank.top(scored, ["query_id"], [F.col("score").desc(), F.col("doc_id")], 50).select("query_id", "doc_id", "score")
 
 
 @query(
     with_tables(
-        "ft_index queries",
-        """SELECT query_id, CAST(pos AS BIGINT) AS pos, doc_id, score, heading, subheading FROM (
-SELECT m.query_id, m.doc_id, round(m.score * CASE WHEN documenttypeboost > 0 THEN sqrt(0.2 * documenttypeboost) ELSE 1 END * CASE WHEN court_boost > 0 THEN 0.01 * court_boost ELSE 1 END * CASE WHEN landmarkruling > 0 THEN log10(2 + 1.2 * landmarkruling) ELSE 1 END, 6) AS score, heading, subheading,
-row_number() OVER (PARTITION BY m.query_id ORDER BY round(m.score * CASE WHEN documenttypeboost > 0 THEN sqrt(0.2 * documenttypeboost) ELSE 1 END * CASE WHEN court_boost > 0 THEN 0.01 * court_boost ELSE 1 END * CASE WHEN landmarkruling > 0 THEN log10(2 + 1.2 * landmarkruling) ELSE 1 END, 6) DESC, m.doc_id) AS pos
-FROM multi m JOIN ft_index i ON i.id = m.doc_id WHERE coalesce(landmarkruling, 0) <> -10) WHERE pos <= 20""",
-        **FIELD_PARTS,
+        "ft_index queries strings",
+        "SELECT query_id, CAST(pos AS BIGINT) AS pos, doc_id, score, heading, subheading FROM es",
+        asked="SELECT query_id AS n, query AS q FROM queries UNION ALL SELECT concat('S', n), q FROM strings UNION ALL SELECT concat('P', doc_number), concat('\"', subheading, '\" of ', heading) FROM ft_index WHERE doc_number IN (SELECT item_id FROM benchmark)",
+        **FULL_TEXT,
     )
 )
-def raw_search(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    from ..sources.lexicon import Lexicon
+def raw_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark texts, queries of all shapes with phrases and synonyms, and quoted headings of documents."""
+    from ..sources.lexicon import SAMPLE
+    from ..tables import table
 
-    hits = retrieval.full_text(fixtures.index(spark, sf_dir), _plain(spark, sf_dir, whole), Lexicon())
+    index = fixtures.index(spark, sf_dir)
+    quoted = index.join(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_number")).distinct(), "doc_number", "left_semi")
+    asked = _plain(spark, sf_dir).unionByName(fixtures.query_strings(spark).select(F.concat(F.lit("S"), F.col("n").cast("string")).alias("query_id"), F.col("q").alias("query")))
+    asked = asked.unionByName(quoted.select(F.concat(F.lit("P"), F.col("doc_number").cast("string")).alias("query_id"), F.concat(F.lit('"'), "subheading", F.lit('" of '), "heading").alias("query")))
+    hits = retrieval.full_text(index, asked, SAMPLE)
     return hits.select("query_id", F.col("pos").cast("long").alias("pos"), "doc_id", "score", "heading", "subheading")
 
 
@@ -322,8 +336,8 @@ def fuzzy_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     with_tables(
         "ft_index queries",
         "SELECT h.query_id, h.doc_id FROM (SELECT t.query_id, f.doc_id, count(DISTINCT t.term) AS have FROM fterms t JOIN fpost f USING (term) GROUP BY t.query_id, f.doc_id) h JOIN (SELECT query_id, count(*) AS need FROM fterms GROUP BY query_id) n USING (query_id) WHERE have = need",
-        **{k: v for k, v in FIELD_PARTS.items() if k in ("q8", "ft", "fpost", "fterms")},
+        **{k: v for k, v in FIELD_PARTS.items() if k in ("ft", "fpost", "fterms")},
     )
 )
-def all_tokens_match(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    return score.all_terms_match(fixtures.index(spark, sf_dir), _plain(spark, sf_dir, whole))
+def all_tokens_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score.all_terms_match(fixtures.index(spark, sf_dir), _plain(spark, sf_dir))

@@ -35,7 +35,7 @@ def _strings(select: str, **more: str) -> str:
 
 
 _SEP = "chr(31)"
-_WORDS = "list_filter(regexp_split_to_array({q}, '\\s+'), lambda t: t <> '')"
+WORDS = "list_filter(regexp_split_to_array({q}, '\\s+'), lambda t: t <> '')"
 # merges as patterns over the parts joined by a separator
 _KEYWORD = "regexp_replace({s}, '([^\\x1f]+)\\x1f([0-9]+)(\\x1f|$)', '\\1 \\2\\3', 'g')"
 _COURT = "regexp_replace({s}, '\\x1f((?i:court|high|tribunal))\\b(?:$|)', ' \\1', 'g')"
@@ -47,16 +47,16 @@ def citation_spacing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixtures.query_strings(spark).select("n", T.citation_spacing(F.col("q")).alias("spaced"))
 
 
-_SHAPE = f"""CASE WHEN regexp_matches({_SPACED}, '(?i)\\(?\\d{{4}}\\)?\\s*\\(?\\d*\\)?\\s*[A-Z]{{2,10}}\\s*\\d+') OR regexp_matches({_SPACED}, '(?i)\\bv(?:s\\.?|ersus)?\\.?\\s+\\w') THEN 'citation'
+SHAPE = f"""CASE WHEN regexp_matches({_SPACED}, '(?i)\\(?\\d{{4}}\\)?\\s*\\(?\\d*\\)?\\s*[A-Z]{{2,10}}\\s*\\d+') OR regexp_matches({_SPACED}, '(?i)\\bv(?:s\\.?|ersus)?\\.?\\s+\\w') THEN 'citation'
 WHEN regexp_matches({_SPACED}, '(?i)\\b(?:section|sec\\.?|u/s|rule|article)\\s*\\d+[A-Za-z]*(?:\\(\\d+\\))?') THEN 'provision' ELSE 'plain' END"""
 
 
-@query(_strings(f"SELECT n, {_SHAPE} AS shape FROM strings"))
+@query(_strings(f"SELECT n, {SHAPE} AS shape FROM strings"))
 def query_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixtures.query_strings(spark).select("n", T.query_shape(F.col("q")).alias("shape"))
 
 
-_PARTS = f"array_to_string({_WORDS.format(q='q')}, {_SEP})"
+_PARTS = f"array_to_string({WORDS.format(q='q')}, {_SEP})"
 
 
 @query(_strings(f"SELECT n, replace({_KEYWORD.format(s=_PARTS)}, {_SEP}, '|') AS merged FROM strings"))
@@ -72,12 +72,12 @@ def merge_court_city(spark: SparkSession, sf_dir: str) -> DataFrame:
 _STOP = ", ".join(f"'{w}'" for w in sorted(SAMPLE.stopwords - SAMPLE.journals))
 
 
-@query(_strings(f"SELECT n, array_to_string(list_filter({_WORDS.format(q='q')}, lambda t: upper(t) NOT IN ({_STOP})), '|') AS kept FROM strings"))
+@query(_strings(f"SELECT n, array_to_string(list_filter({WORDS.format(q='q')}, lambda t: upper(t) NOT IN ({_STOP})), '|') AS kept FROM strings"))
 def strip_stopwords(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixtures.query_strings(spark).select("n", F.array_join(T.strip_stopwords(T.words(F.col("q")), SAMPLE), "|").alias("kept"))
 
 
-_QUOTED = f"""array_to_string(list_concat(regexp_extract_all(q, '"([^"]+)"', 1), {_WORDS.format(q="regexp_replace(q, '\"([^\"]+)\"', ' ', 'g')")}), {_SEP})"""
+_QUOTED = f"""array_to_string(list_concat(regexp_extract_all(q, '"([^"]+)"', 1), {WORDS.format(q="regexp_replace(q, '\"([^\"]+)\"', ' ', 'g')")}), {_SEP})"""
 
 
 @query(_strings(f"SELECT n, replace({_QUOTED}, {_SEP}, '|') AS parts FROM strings"))
@@ -85,12 +85,15 @@ def quoted_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixtures.query_strings(spark).select("n", F.array_join(T.quoted_phrases(F.col("q")), "|").alias("parts"))
 
 
-@query(_strings(f"SELECT n, array_to_string(list_filter(string_split({_COURT.format(s=_KEYWORD.format(s=_QUOTED))}, {_SEP}), lambda t: upper(t) NOT IN ({_STOP}) AND contains(t, ' ')), '|') AS phrases FROM strings"))
+PHRASES = f"list_filter(string_split({_COURT.format(s=_KEYWORD.format(s=_QUOTED))}, {_SEP}), lambda t: upper(t) NOT IN ({_STOP}) AND contains(t, ' '))"
+
+
+@query(_strings(f"SELECT n, array_to_string({PHRASES}, '|') AS phrases FROM strings"))
 def boost_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixtures.query_strings(spark).select("n", F.array_join(T.boost_phrases(F.col("q"), SAMPLE), "|").alias("phrases"))
 
 
-_SYNONYMS = ", ".join(f"('{k}', {i}, '{s}')" for k, v in sorted(SAMPLE.synonyms.items()) for i, s in enumerate(v))
+SYNONYMS = ", ".join(f"('{k}', {i}, '{s}')" for k, v in sorted(SAMPLE.synonyms.items()) for i, s in enumerate(v))
 
 
 @query(
@@ -98,8 +101,8 @@ _SYNONYMS = ", ".join(f"('{k}', {i}, '{s}')" for k, v in sorted(SAMPLE.synonyms.
         """SELECT s.n, CASE WHEN x.extra IS NULL THEN s.q ELSE concat(s.q, ' ', x.extra) END AS expanded FROM strings s LEFT JOIN (
 SELECT n, string_agg(syn, ' ' ORDER BY pos, i) AS extra FROM (SELECT w.n, y.syn, min(w.pos) AS pos, min(y.i) AS i FROM wordsof w JOIN syns y ON y.k = upper(w.t)
 WHERE NOT EXISTS (SELECT 1 FROM wordsof o WHERE o.n = w.n AND upper(o.t) = upper(y.syn)) GROUP BY w.n, y.syn) GROUP BY n) x USING (n)""",
-        wordsof=f"SELECT n, unnest({_WORDS.format(q='q')}) AS t, generate_subscripts({_WORDS.format(q='q')}, 1) AS pos FROM strings",
-        syns=f"SELECT * FROM (VALUES {_SYNONYMS}) v(k, i, syn)",
+        wordsof=f"SELECT n, unnest({WORDS.format(q='q')}) AS t, generate_subscripts({WORDS.format(q='q')}, 1) AS pos FROM strings",
+        syns=f"SELECT * FROM (VALUES {SYNONYMS}) v(k, i, syn)",
     )
 )
 def synonym_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,7 +111,7 @@ def synonym_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     _strings(
-        f"SELECT n, t AS token, upper(t) IN ('AAR', 'HIGHCOURT', 'ITAT') AS is_court, upper(t) IN ('CTR', 'ITR', 'SCC') AS is_journal, upper(t) IN ({', '.join(repr(w) for w in sorted(SAMPLE.stopwords))}) AS is_stopword, CASE upper(t) WHEN '115I' THEN '115-I' WHEN '12A' THEN '12-A' ELSE t END AS normal FROM (SELECT n, unnest({_WORDS.format(q='q')}) AS t FROM strings)"
+        f"SELECT n, t AS token, upper(t) IN ('AAR', 'HIGHCOURT', 'ITAT') AS is_court, upper(t) IN ('CTR', 'ITR', 'SCC') AS is_journal, upper(t) IN ({', '.join(repr(w) for w in sorted(SAMPLE.stopwords))}) AS is_stopword, CASE upper(t) WHEN '115I' THEN '115-I' WHEN '12A' THEN '12-A' ELSE t END AS normal FROM (SELECT n, unnest({WORDS.format(q='q')}) AS t FROM strings)"
     )
 )
 def lexicon_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:

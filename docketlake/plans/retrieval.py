@@ -2,40 +2,67 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.values import value_factors
-from ..operators import fuse, rank, score
+from ..operators import filters, fuse, rank, score
 from ..sources import fixtures
 from ..sources.lexicon import SAMPLE, Lexicon
 
 LIMIT, TEXT_LIMIT = 50, 20
 
 
-def dense_hits(chunks: DataFrame, vectors: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """query_id, collection, collection_ord, pos, chunk_id, doc_id, text, score: the top chunks of each collection."""
+@dataclass(frozen=True)
+class Corpus:
+    """What is searched: the full-text index, the chunks, and the chunks that have a vector (``embedding``)."""
+
+    index: DataFrame
+    chunks: DataFrame
+    vectors: DataFrame
+
+
+@dataclass(frozen=True)
+class Allowed:
+    """Allowlists of a batch (query_id, doc_id) and how they count (query_id, mode)."""
+
+    documents: DataFrame
+    modes: DataFrame
+
+    def within(self, hits: DataFrame) -> DataFrame:
+        return filters.within(hits, self.documents, self.modes)
+
+
+def dense_hits(chunks: DataFrame, vectors: DataFrame, limit: int = LIMIT, allowed: Allowed | None = None) -> DataFrame:
+    """query_id, collection, collection_ord, pos, chunk_id, doc_id, text, score: the top chunks of each collection, within the allowlists."""
     scored = score.dense(chunks, vectors)
+    scored = scored if allowed is None else allowed.within(scored)
     hits = rank.top(scored, ["query_id", "collection"], [F.col("score").desc(), F.col("chunk_id")], limit, "pos")
     return hits.select("query_id", "collection", "collection_ord", "pos", "chunk_id", "doc_id", "text", "score")
 
 
-def sparse_hits(chunks: DataFrame, queries: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """As dense_hits, by BM25 of the text; ``ruling`` has no sparse field."""
+def sparse_hits(chunks: DataFrame, queries: DataFrame, limit: int = LIMIT, allowed: Allowed | None = None) -> DataFrame:
+    """As dense_hits, by BM25 of the text; ``ruling`` has no sparse field. An allowlist does not change the statistics."""
     texts = chunks.where(F.col("collection") != "ruling")
-    scored = score.bm25(texts, score.query_terms(queries), "collection", "chunk_id").withColumn("score", F.round("score", 6))
+    scored = score.bm25(texts, score.query_terms(queries), "collection", "chunk_id", groups=fixtures.SPARSE).withColumn("score", F.round("score", 6))
+    if allowed is not None:
+        scored = allowed.within(scored.join(texts.select("chunk_id", "collection", "doc_id"), ["chunk_id", "collection"])).drop("doc_id")
     best = rank.top(scored, ["query_id", "collection"], [F.col("score").desc(), F.col("chunk_id")], limit, "pos")
     # only the best chunks' texts are needed: their side is the small one
     best = score.few(best, queries, limit * len(fixtures.SPARSE))
     return texts.select("chunk_id", "collection", "doc_id", "text", "collection_ord").join(best, ["chunk_id", "collection"]).select("query_id", "collection", "collection_ord", "pos", "chunk_id", "doc_id", "text", "score")
 
 
-def lists(spark: SparkSession, sf_dir: str, whole: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Dense and sparse hits of the first five queries, or of all, over the chunks that have a vector."""
-    chunks = fixtures.hybrid_chunks(spark, sf_dir)
-    queries = fixtures.some(fixtures.queries(spark, sf_dir), "item_id < 5", whole)
-    return dense_hits(chunks, fixtures.query_vectors(spark, sf_dir, None if whole else 5)), sparse_hits(chunks, queries)
+def corpus(spark: SparkSession, sf_dir: str) -> Corpus:
+    return Corpus(fixtures.index(spark, sf_dir), fixtures.chunks(spark, sf_dir), fixtures.hybrid_chunks(spark, sf_dir))
+
+
+def lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Dense hits over the chunks that have a vector, and sparse hits over all chunks, of all queries."""
+    return dense_hits(fixtures.hybrid_chunks(spark, sf_dir), fixtures.query_vectors(spark, sf_dir)), sparse_hits(fixtures.chunks(spark, sf_dir), fixtures.queries(spark, sf_dir))
 
 
 def as_sources(dense: DataFrame, sparse: DataFrame) -> DataFrame:
@@ -56,14 +83,15 @@ def fused_chunks(dense: DataFrame, sparse: DataFrame, intents: DataFrame | None
     return fuse.fused_rank(fuse.reciprocal(hits, "chunk_id", weight))
 
 
-def full_text(index: DataFrame, queries: DataFrame, lexicon: Lexicon = SAMPLE, limit: int = TEXT_LIMIT) -> DataFrame:
+def full_text(index: DataFrame, queries: DataFrame, lexicon: Lexicon = SAMPLE, limit: int = TEXT_LIMIT, loose: bool = False) -> DataFrame:
     """query_id, pos, doc_id, score, heading, subheading: boosted fields and phrases, times value factors, without blacklisted documents.
 
-    Shape and phrases come from the query as it was; its synonyms only widen the terms.
+    Shape and phrases come from the query as it was; its synonyms only widen the terms. ``loose``: terms allow edits, which reads
+    the index's vocabulary first.
     """
     q = F.col("query")
     prepared = queries.select("query_id", T.expand_synonyms(q, lexicon).alias("query"), T.query_shape(q).alias("shape"), T.boost_phrases(q, lexicon).alias("phrases"))
-    fields = score.multi_field(index, prepared)
+    fields = score.multi_field(index, prepared, loose)
     phrases = prepared.select("query_id", F.explode("phrases").alias("phrase"))
     both = fields.join(score.phrase_scores(index, phrases), ["query_id", "doc_id"], "full").select("query_id", "doc_id", (F.coalesce("score", F.lit(0.0)) + F.coalesce("phrase_score", F.lit(0.0))).alias("score"))
     values = index.where(score.allowed(F.col("landmarkruling"))).select(F.col("id").alias("doc_id"), "heading", "subheading", value_factors(F.col("documenttypeboost"), F.col("court_boost"), F.col("landmarkruling")).alias("_factor"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,17 +64,31 @@ def long_ranks(runs: DataFrame) -> DataFrame:
     return results.select("run", F.col("r.id").alias("query_id"), F.explode("r.ranks").alias("stage", "rank"), F.col("r.pass_at").alias("pass_at"))
 
 
-def write_run(results: DataFrame, folder: str, run_name: str, parameters: dict, latest: bool = True) -> str:
-    """Write a run's results as JSON under folder/run=<name>; with ``latest`` they are also written as the latest run. Returns a digest of the results.
+def run_name(name: str, created_at: datetime) -> str:
+    """A run's folder: the time in UTC, to the microsecond, and the name with all but letters, digits, _ and - made -."""
+    slug = re.sub(r"[^a-zA-Z0-9_-]+", "-", name).strip("-") or "run"
+    return f"{created_at.astimezone(timezone.utc):%Y%m%dT%H%M%S%f}Z-{slug}"
 
-    The digest is a sum of row hashes, so it does not depend on the order of rows and needs no collect.
+
+def _digest(df: DataFrame) -> str:
+    """A digest of a table's rows: a sum of row hashes, so it does not depend on their order and needs no collect."""
+    total = df.agg(F.sum(F.conv(F.substring(F.sha2(F.to_json(F.struct("*")), 256), 1, 15), 16, 10).cast("decimal(38,0)")).alias("d")).first().d
+    return hashlib.sha256(str(total).encode()).hexdigest()
+
+
+def write_run(results: DataFrame, folder: str, run_name: str, parameters: dict, latest: bool = True, cases: DataFrame | None = None) -> str:
+    """Write a run's results as JSON under folder/run=<name>, and its cases under folder/dataset=<name>; with ``latest`` also as the latest run.
+
+    Returns a digest of the results. The digest of the cases stands in each result.
     """
     stamped = results.withColumn("parameters", F.lit(json.dumps(parameters, sort_keys=True)))
-    digest = stamped.agg(F.sum(F.conv(F.substring(F.sha2(F.to_json(F.struct("*")), 256), 1, 15), 16, 10).cast("decimal(38,0)")).alias("d")).first().d
-    stamped.write.mode("overwrite").json(f"{folder}/run={run_name}")
-    if latest:
-        stamped.write.mode("overwrite").json(f"{folder}/run=latest")
-    return hashlib.sha256(str(digest).encode()).hexdigest()
+    if cases is not None:
+        stamped = stamped.withColumn("dataset_sha256", F.lit(_digest(cases)))
+    for name in (run_name, "latest") if latest else (run_name,):
+        stamped.write.mode("overwrite").json(f"{folder}/run={name}")
+        if cases is not None:
+            cases.write.mode("overwrite").json(f"{folder}/dataset={name}")
+    return _digest(stamped)
 
 
 def cache_key(case_id: str, models: dict[str, str | None], parameters: dict) -> str:

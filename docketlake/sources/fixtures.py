@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..tables import table
 
 #: Collections in the order in which lists are merged; the sparse ones are all but ``ruling``.
 COLLECTIONS = ("case_summary", "digest", "headnotes", "facts", "held", "ruling", "metadata")
+#: Documents, by number, that are numbered together.
+RANGE = 4096
 SPARSE = tuple(c for c in COLLECTIONS if c != "ruling")
 
 _INDEX = """
@@ -31,7 +33,10 @@ SELECT CAST(doc_id AS STRING) AS id, doc_id AS doc_number,
             WHEN doc_id % 50 = 0 THEN CAST(doc_id % 21 AS DOUBLE) END AS landmarkruling,
        {date} AS formatteddocumentdate,
        concat('Judge', CAST(doc_id % 23 AS STRING)) AS judge,
-       CAST(2000 + doc_id % 24 AS STRING) AS year
+       CAST(2000 + doc_id % 24 AS STRING) AS year,
+       CASE doc_id % 3 WHEN 0 THEN 'SC' WHEN 1 THEN 'Delhi' ELSE 'Trib.' END AS court,
+       concat('Bench ', CAST(doc_id % 5 AS STRING)) AS bench,
+       CASE WHEN doc_id % 6 <> 0 THEN concat('Party ', CAST(doc_id % 97 AS STRING)) END AS partyname
 FROM documents
 """
 _CHUNK_COLLECTION = "CASE (doc_id + pos) % 6 WHEN 0 THEN 'case_summary' WHEN 1 THEN 'digest' WHEN 2 THEN 'headnotes' WHEN 3 THEN 'facts' WHEN 4 THEN 'held' ELSE 'ruling' END"
@@ -53,9 +58,14 @@ _STRINGS = (
 
 
 def index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The full-text index: one row per document."""
+    """The full-text index: one row per document, with its citation metadata nested as in an index."""
     table(spark, sf_dir, "documents").createOrReplaceTempView("documents")
-    return spark.sql(_INDEX.format(date="date_add(DATE '1990-01-01', CAST((doc_id * 11) % 12000 AS INT))")).withColumn("judges", F.array("judge"))
+    return spark.sql(_INDEX.format(date="date_add(DATE '1990-01-01', CAST((doc_id * 11) % 12000 AS INT))")).withColumn("judges", F.array("judge")).withColumns(
+        {
+            "masterinfo": F.struct(F.array("heading").alias("citations"), F.struct("court", "bench").alias("info")),
+            "otherinfo": F.struct("judge", "partyname"),
+        }
+    )
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,19 +85,21 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hybrid_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first chunks, in order of document and part, with the vectors of the same number.
+    """The chunks that have a vector: those whose number, in order of document and part, is a vector's.
 
-    Only documents whose chunks can be among the first are numbered: as many as there are vectors.
+    A document's chunks are numbered within it, and documents by the sizes of those before them: sums over ranges of
+    documents of a bounded number come first, so that no window holds more than a range's documents, or one row for each range.
     """
-    vectors = table(spark, sf_dir, "embeddings")
-    from pyspark.sql import Window
-
-    n = vectors.count()
-    all_chunks = chunks(spark, sf_dir)
-    first_docs = all_chunks.select(F.col("doc_id").cast("long").alias("d")).distinct().orderBy("d").limit(n)
-    early = all_chunks.withColumn("d", F.col("doc_id").cast("long")).join(F.broadcast(first_docs), "d", "left_semi")
-    numbered = early.withColumn("ord", F.row_number().over(Window.orderBy("d", F.coalesce("chunk_part", F.lit(-1)))) - 1)
-    return numbered.join(F.broadcast(vectors.select("vec_id", "embedding")), F.col("ord") == F.col("vec_id")).drop("ord", "d")
+    every = chunks(spark, sf_dir).withColumn("d", F.col("doc_id").cast("long"))
+    sizes = every.groupBy("d").agg(F.count("*").alias("n")).withColumn("span", F.floor(F.col("d") / RANGE))
+    spans = sizes.groupBy("span").agg(F.sum("n").alias("n"))
+    earlier = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.select("span", F.coalesce(F.sum("n").over(earlier().orderBy("span")), F.lit(0)).alias("base"))
+    starts = sizes.join(spans, "span").select("d", (F.col("base") + F.coalesce(F.sum("n").over(earlier("span").orderBy("d")), F.lit(0))).alias("start"))
+    own = F.row_number().over(Window.partitionBy("d").orderBy(F.coalesce("chunk_part", F.lit(-1))))
+    numbered = every.withColumn("own", own).join(starts, "d").withColumn("vec_id", F.col("start") + F.col("own") - 1)
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return numbered.join(vectors, "vec_id").drop("vec_id", "own", "start", "d")
 
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,18 +122,9 @@ def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.select(F.concat(F.lit("B"), F.col("item_id").cast("string")).alias("query_id"), F.col("doc_id").cast("string").alias("doc_id"))
 
 
-def some(rows: DataFrame, condition: str, whole: bool) -> DataFrame:
-    """The rows that meet the condition, or all."""
-    return rows if whole else rows.where(condition)
-
-
-def query_vectors(spark: SparkSession, sf_dir: str, n: int | None = 5) -> DataFrame:
-    """query_id, vector: the vectors of the first ``n`` numbers, paired with the queries of the same number; without ``n``, of all queries."""
-    vectors = table(spark, sf_dir, "embeddings")
-    if n is None:
-        vectors = vectors.join(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("vec_id")).distinct(), "vec_id", "left_semi")
-    else:
-        vectors = vectors.where(F.col("vec_id") < n)
+def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, vector: the vectors with the queries' numbers."""
+    vectors = table(spark, sf_dir, "embeddings").join(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("vec_id")).distinct(), "vec_id", "left_semi")
     return vectors.select(F.concat(F.lit("B"), F.col("vec_id").cast("string")).alias("query_id"), F.col("embedding").alias("vector"))
 
 
@@ -156,30 +159,13 @@ SELECT concat('B', item_id) AS query_id, array_to_string(list_slice(regexp_extra
        CASE item_id % 3 WHEN 0 THEN 5 WHEN 1 THEN 10 ELSE 20 END AS pass_at, item_id
 FROM benchmark""",
     "gold": "SELECT concat('B', b.item_id) AS query_id, CAST(d.doc_id AS STRING) AS doc_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)",
-    "vectors": "SELECT concat('B', vec_id) AS query_id, embedding AS vector FROM embeddings WHERE vec_id < 5",
+    "vectors": "SELECT concat('B', vec_id) AS query_id, embedding AS vector FROM embeddings WHERE vec_id IN (SELECT item_id FROM benchmark)",
     "strings": f"SELECT row_number() OVER () - 1 AS n, q FROM (VALUES {_Q}) t(q)",
     "answers": "SELECT CAST(doc_id AS STRING) AS answer_id, concat('Held in [', doc_id, '] and [', doc_id + 1, ', x', doc_id, '] but [sic] [1] [emphasis added].') AS answer FROM documents",
 }
 _NEEDS = {"chunks": ["ft_index"], "hybrid": ["chunks"]}
 
 
-#: Restrictions of the registered SQL to a few rows, and what stands in their place for all rows.
-RESTRICTIONS = {
-    "FROM queries WHERE item_id < 5": "FROM queries",
-    "FROM queries WHERE item_id < 8": "FROM queries",
-    "FROM embeddings WHERE vec_id < 5": "FROM embeddings WHERE vec_id IN (SELECT item_id FROM benchmark)",
-    "ft_index i WHERE i.doc_number < 200": "ft_index i",
-    "FROM events WHERE event_id % 50 = 1": "FROM events",
-}
-
-
-def unrestricted(sql: str) -> str:
-    """The SQL over all rows."""
-    for few, every in RESTRICTIONS.items():
-        sql = sql.replace(few, every)
-    return sql
-
-
 def with_tables(names: str, select: str, **more: str) -> str:
     """SELECT over the named tables and further ones given as SQL, in one statement."""
     order: list[str] = []
