@@ -29,8 +29,10 @@ from ._common import free_name, map_batches, named, slices
 
 #: Symbols of a pre-token from which it is encoded as a tree, symbols of a leaf, tokens in the first window.
 LONG, LEAF, WINDOW = 2048, 512, 8
-#: Distinct chunks, and as many distinct pre-tokens, that a worker remembers, and bytes of them and of their ids.
-CACHE, CACHE_BYTES = 60_000, 32 << 20
+#: Distinct chunks, and as many distinct pre-tokens, that a worker remembers, and bytes of each kind with its ids.
+CACHE, CACHE_BYTES = 150_000, 32 << 20
+#: Bytes that the interpreter needs for an entry beside its text and ids.
+ENTRY = 160
 #: The pipeline that the short cut covers, as the tokenizer file states it.
 PLAIN = {
     "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
@@ -93,7 +95,7 @@ class Codec:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.long, self.leaf, self.window, self.limit, self.most_bytes = long, leaf, window, cache, cache_bytes
-        self.held = 0  # bytes of what is remembered
+        self.held = self.word_bytes = 0  # bytes of the chunks and of the pre-tokens that are remembered
         self.cache: dict[bytes, bytes] = {}
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
@@ -134,13 +136,11 @@ class Codec:
         return out
 
     def learn(self, chunks: set[bytes]) -> None:
-        """Encode the chunks that are not remembered yet."""
+        """Encode the chunks that are not remembered yet; beyond the bounds, only those of this call stay."""
         new = [c for c in chunks if c not in self.cache]
         if len(self.cache) + len(new) > self.limit or self.held > self.most_bytes:
-            self.cache.clear()
-            self.words.clear()
-            self.held = 0
-            new = list(chunks)
+            self.cache = {c: self.cache[c] for c in chunks if c in self.cache}
+            self.held = sum(ENTRY + len(c) + len(ids) for c, ids in self.cache.items())
         short = []
         for c in new:
             if len(c) <= self.long:
@@ -156,7 +156,7 @@ class Codec:
         for c in new:
             if len(c) > self.long:
                 self.cache[c] = np.array(self._long_chunk(c.decode(errors="replace")), dtype="<u4").tobytes()
-        self.held += sum(len(c) + len(self.cache[c]) for c in new)
+        self.held += sum(ENTRY + len(c) + len(self.cache[c]) for c in new)
 
     def _plain(self, text: str) -> bytes:
         words = PLAIN_TOKEN.findall(text.lower())
@@ -164,10 +164,11 @@ class Codec:
         for word in words:
             ids = self.words.get(word)
             if ids is None:
-                if len(self.words) >= self.limit:
+                if len(self.words) >= self.limit or self.word_bytes > self.most_bytes:
                     self.words.clear()
+                    self.word_bytes = 0
                 ids = self.words[word] = np.array([t.id for t in self.model.tokenize(word.translate(self.symbols))], dtype="<u4").tobytes()
-                self.held += len(word) + len(ids)
+                self.word_bytes += ENTRY + len(word) + len(ids)
             out.append(ids)
         return b"".join(out)
 
