@@ -139,10 +139,12 @@ def buckets(reps: DataFrame, trees: int, depth: int, shortest: int, threshold: f
     miss = F.sum(F.log1p(-F.pow(F.lit(threshold), F.col("depth")))) + (trees - F.count("*")) * float(np.log1p(-(threshold**shortest)))
     for d in range(depth - 1, shortest - 1, -1):
         lacking = crowd.groupBy("rep").agg(miss.alias("miss")).where(F.col("miss") > float(np.log1p(-recall))).select("rep")
-        short = crowd.where(F.col("depth") > d).join(lacking, "rep", "left_semi").select("tree", _node(d).alias("node")).distinct().withColumn("hit", F.lit(True))
-        # all classes below a node that is shortened come to stand at it
+        short = checkpoint(crowd.where(F.col("depth") > d).join(lacking, "rep", "left_semi").select("tree", _node(d).alias("node")).distinct().withColumn("hit", F.lit(True)))
+        if short.isEmpty():
+            continue
+        # all classes below a node that is shortened come to stand at it; few nodes are told to the paths, which then are not dealt out by node
         moved = F.when(F.col("hit") & (F.col("depth") > d), F.lit(d)).otherwise(F.col("depth"))
-        crowd = checkpoint(crowd.withColumn("node", _node(d)).join(short, ["tree", "node"], "left").select("tree", "rep", "path", moved.alias("depth")))
+        crowd = checkpoint(crowd.withColumn("node", _node(d)).join(few_rows(short), ["tree", "node"], "left").select("tree", "rep", "path", moved.alias("depth")))
     crowd = crowd.select("tree", "rep", "depth", name)
     members = crowd.groupBy("tree", "bucket").agg(F.count("*").alias("members")).where("members > 1")
     return calm.unionByName(crowd.join(members, ["tree", "bucket"]).select("tree", "rep", "depth", "bucket", "members"))
