@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import op7, op11
+from . import op7, op11, op12
 from .op1 import op1_token_counts
 from .op2 import op2_mix
 from .op3 import op3_bpe_roundtrip
@@ -16,6 +16,7 @@ from .op8 import op8_quality
 from .op9 import op9_pii
 from .op10 import op10_spans
 from .op11 import op11_near_vectors
+from .op12 import op12_impact_search
 
 QUERIES: dict = {
     "pipeline": corpus_pipeline.run,
@@ -30,8 +31,10 @@ QUERIES: dict = {
     "op9_pii": op9_pii,
     "op10_spans": op10_spans,
     "op11_near_vectors": op11_near_vectors,
+    "op12_impact_search": op12_impact_search,
 }
 ORACLES: dict[str, str] = {
     "op7_lines": op7.ORACLE,
     "op11_near_vectors": op11.ORACLE,
+    "op12_impact_search": op12.ORACLE,
 }
