@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import op7, op11, op12
+from . import op7, op11, op12, op13
 from .op1 import op1_token_counts
 from .op2 import op2_mix
 from .op3 import op3_bpe_roundtrip
@@ -17,6 +17,7 @@ from .op9 import op9_pii
 from .op10 import op10_spans
 from .op11 import op11_near_vectors
 from .op12 import op12_impact_search
+from .op13 import op13_spelling
 
 QUERIES: dict = {
     "pipeline": corpus_pipeline.run,
@@ -32,9 +33,11 @@ QUERIES: dict = {
     "op10_spans": op10_spans,
     "op11_near_vectors": op11_near_vectors,
     "op12_impact_search": op12_impact_search,
+    "op13_spelling": op13_spelling,
 }
 ORACLES: dict[str, str] = {
     "op7_lines": op7.ORACLE,
     "op11_near_vectors": op11.ORACLE,
     "op12_impact_search": op12.ORACLE,
+    "op13_spelling": op13.ORACLE,
 }
