@@ -1,16 +1,5 @@
 """Tables that are used several times and must not be made again, such as what models have returned."""
 
-from __future__ import annotations
+from ..storage import kept
 
-from pyspark.sql import DataFrame
-
-
-def kept(df: DataFrame) -> DataFrame:
-    """df written once in the shared folder of spark.checkpoint.dir; where none is set, kept on the disks of the executors, which are asked again if one is lost."""
-    context = df.sparkSession.sparkContext
-    folder = context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        return df.persist()
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
+__all__ = ["kept"]
