@@ -6,7 +6,7 @@ are broadcast; a larger batch is joined by shuffle. Document lengths and counts
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -23,6 +23,8 @@ MOST_BROADCAST = 50_000
 MOST_GROUPS = 1000
 #: Terms up to which a batch is a filter of the index's scan.
 MOST_PUSHED = 1000
+#: First letters of a word that deletions are made of, and the most edits of a term.
+PREFIX, MOST_EDITS = 7, 2
 
 
 def small(df: DataFrame) -> DataFrame:
@@ -74,7 +76,7 @@ def bm25(texts: DataFrame, terms: DataFrame, group: str, doc: str, text: str = "
 
     texts: group, doc, text; terms: query_id, term. Documents without a term of the query have no row.
     ``groups`` names the groups there are, which saves a job that counts them.
-    For many batches over one corpus, ``write_index`` and ``bm25_of_index`` read only the postings of the terms.
+    For many batches over one corpus, ``postings.write`` and ``postings.search`` read only the blocks that can hold a best one.
     """
     tokenised = _tokenised(texts, group, doc, text)
     stats = _stats(tokenised, group, groups)
@@ -84,24 +86,6 @@ def bm25(texts: DataFrame, terms: DataFrame, group: str, doc: str, text: str = "
     return _scored(postings, stats, terms, group, doc)
 
 
-def write_index(texts: DataFrame, path: str, group: str, doc: str, text: str = "text", files: int = 64) -> None:
-    """Write the postings of all terms, in ranges of terms and sorted by term, so that a reader of a few terms skips most row groups; and the groups' sizes."""
-    tokenised = _tokenised(texts, group, doc, text)
-    postings = tokenised.select(group, doc, "_len", F.explode("_tokens").alias("term")).groupBy(group, doc, "_len", "term").agg(F.count("*").alias("_tf"))
-    # a frequent term is spread over ranges by the document
-    postings.repartitionByRange(files, "term", doc).sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
-    tokenised.groupBy(group).agg(F.count("*").alias("_n"), F.avg("_len").alias("_avg")).write.mode("overwrite").parquet(f"{path}/stats")
-
-
-def bm25_of_index(spark: SparkSession, path: str, terms: DataFrame, group: str, doc: str) -> DataFrame:
-    """As ``bm25``, from an index that was written. A batch of few terms is pushed down to the scan; a larger one is joined."""
-    asked = terms.select("term").distinct()
-    postings = spark.read.parquet(f"{path}/postings")
-    few = [r.term for r in asked.limit(MOST_PUSHED + 1).collect()]
-    postings = postings.where(F.col("term").isin(few)) if len(few) <= MOST_PUSHED else postings.join(small(asked), "term", "left_semi")
-    return _scored(postings, spark.read.parquet(f"{path}/stats"), terms, group, doc)
-
-
 def fields_long(index: DataFrame) -> DataFrame:
     """field, doc_id, text: one row for each field that a document has."""
     pairs = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in FIELDS))
@@ -138,11 +122,17 @@ def padded(text: Column) -> Column:
 
 
 def phrase_scores(index: DataFrame, phrases: DataFrame, factor: float = PHRASE_BOOST) -> DataFrame:
-    """query_id, doc_id, phrase_score: ``factor`` for each phrase of the query that some field holds; phrases: query_id, phrase."""
-    wanted = phrases.select("query_id", padded(F.col("phrase")).alias("_phrase")).distinct()
-    fields = index.select(F.col("id").alias("doc_id"), F.array(*(padded(F.col(f)) for f in FIELDS)).alias("_fields"))
-    held = F.exists("_fields", lambda t: t.contains(F.col("_phrase")))
-    return fields.join(small(wanted), held).groupBy("query_id", "doc_id").agg((F.count("*") * factor).alias("phrase_score"))
+    """query_id, doc_id, phrase_score: ``factor`` for each phrase of the query that some field holds; phrases: query_id, phrase.
+
+    Places of the phrases' terms alone are joined, each as the place where a phrase would start: one that all its terms name is a phrase. A phrase
+    without tokens is nowhere. ``postings.phrase_scores`` reads the places from a written index.
+    """
+    wanted = phrases.select("query_id", T.tokens(F.col("phrase")).alias("_t")).where(F.size("_t") > 0).select("query_id", F.array_join("_t", " ").alias("phrase"), "_t").distinct()
+    parts = wanted.select("phrase", "_t").distinct().select("phrase", F.size("_t").alias("_m"), F.posexplode("_t").alias("_offset", "term"))
+    words = fields_long(index).select("field", "doc_id", F.posexplode(T.tokens(F.col("text"))).alias("_pos", "term"))
+    starts = words.join(small(parts), "term").groupBy("phrase", "_m", "field", "doc_id", (F.col("_pos") - F.col("_offset")).alias("_start")).agg(F.count("*").alias("_terms"))
+    held = starts.where("_terms = _m").select("phrase", "doc_id").distinct()
+    return held.join(small(wanted.select("query_id", "phrase")), "phrase").groupBy("query_id", "doc_id").agg((F.count("*") * factor).alias("phrase_score"))
 
 
 def edits(term: Column) -> Column:
@@ -150,16 +140,38 @@ def edits(term: Column) -> Column:
     return F.when(F.length(term) <= 2, 0).when(F.length(term) <= 5, 1).otherwise(2)
 
 
-def fuzzy(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """term, match, distance: words of the vocabulary within the edits of each term.
+def left_overs(term: Column, most: Column) -> Column:
+    """Hashes of the first letters of a term without ``most`` of them or fewer (two at most).
 
-    An equi-join on the length, which differs by the edits at most, keeps the comparison off most pairs.
+    Two terms within that many edits share one: what their alignment keeps of both prefixes.
     """
+    start = F.substring(term, 1, PREFIX)
+    without = lambda s, i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.lit(PREFIX)))
+    places = lambda s, first: F.filter(F.sequence(F.least(first, F.length(s) + 1), F.length(s) + 1), lambda i: i <= F.length(s))
+    none = F.array().cast("array<string>")
+    one = F.when(most >= 1, F.transform(places(start, F.lit(1)), lambda i: without(start, i))).otherwise(none)
+    # the second place at or behind the first: each pair of places once
+    two = F.when(most >= 2, F.flatten(F.transform(places(start, F.lit(1)), lambda i: F.transform(places(without(start, i), i), lambda j: without(without(start, i), j))))).otherwise(none)
+    return F.transform(F.array_distinct(F.concat(F.array(start), one, two)), lambda s: F.xxhash64(s))
+
+
+def deletions(words: DataFrame) -> DataFrame:
+    """key, term: what is left of each word (term), under which ``near_words`` finds it."""
+    return words.select("term").distinct().select(F.explode(left_overs(F.col("term"), F.lit(MOST_EDITS))).alias("key"), "term")
+
+
+def near_words(terms: DataFrame, known: DataFrame) -> DataFrame:
+    """term, match, distance: words within the edits that each term allows; known: key, term of ``deletions``. An equi-join on what is left of both."""
     asked = terms.select("term").distinct().withColumn("_edits", edits(F.col("term")))
-    spread = asked.withColumn("_len", F.explode(F.sequence(F.length("term") - F.col("_edits"), F.length("term") + F.col("_edits"))))
-    words = vocabulary.select(F.col("term").alias("match")).distinct().withColumn("_len", F.length("match"))
-    pairs = words.join(small(spread), "_len").withColumn("distance", F.levenshtein("term", "match", 2))
-    return pairs.where((F.col("distance") >= 0) & (F.col("distance") <= F.col("_edits"))).select("term", "match", F.col("distance").cast("int").alias("distance"))
+    keys = asked.select(F.col("term").alias("asked"), "_edits", F.explode(left_overs(F.col("term"), F.col("_edits"))).alias("key"))
+    pairs = known.join(small(keys), "key").select("asked", "_edits", "term").distinct()
+    near = pairs.withColumn("distance", F.levenshtein("asked", "term", MOST_EDITS)).where((F.col("distance") >= 0) & (F.col("distance") <= F.col("_edits")))
+    return near.select(F.col("asked").alias("term"), F.col("term").alias("match"), F.col("distance").cast("int").alias("distance"))
+
+
+def fuzzy(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """term, match, distance: words of the vocabulary (term) within the edits of each term."""
+    return near_words(terms, deletions(vocabulary))
 
 
 def allowed(landmark: Column) -> Column:

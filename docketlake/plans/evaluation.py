@@ -28,9 +28,9 @@ def stages(corpus: Corpus, queries: DataFrame, vectors: DataFrame, models: Model
     dense, sparse, fused = modes.retrieved(corpus, read, models, modes.allowed(corpus.index, read), limit)
     reranked = modes.context(fused, queries, models, keep=None, cut=False)
     return {
-        "es": retrieval.full_text(corpus.index, queries, limit=limit),
+        "es": retrieval.full_text(corpus.index, queries, limit=limit, written=corpus.fields),
         "raw_dense": flat(retrieval.dense_hits(corpus.vectors, vectors, limit)),
-        "raw_sparse": flat(retrieval.sparse_hits(corpus.chunks, queries, limit)),
+        "raw_sparse": flat(retrieval.sparse_hits(corpus.chunks, queries, limit, written=corpus.words)),
         "rewritten_dense": flat(dense),
         "rewritten_sparse": flat(sparse),
         "rrf": fused.drop("pos").withColumnRenamed("fused_pos", "pos"),

@@ -60,9 +60,9 @@ def instant(corpus: Corpus, queries: DataFrame, vectors: DataFrame, loose: bool
     ties = [F.col("chunk_id")]
     renumber = lambda df: df.drop("pos").withColumnRenamed("rank", "pos")
     found = {
-        "es": renumber(rank.elbow(retrieval.full_text(corpus.index, queries, loose=loose), ["query_id"], ties=[F.col("doc_id")])),
+        "es": renumber(rank.elbow(retrieval.full_text(corpus.index, queries, loose=loose, written=corpus.fields), ["query_id"], ties=[F.col("doc_id")])),
         "dense": renumber(rank.elbow(retrieval.dense_hits(corpus.vectors, vectors), by, ties=ties)),
-        "sparse": renumber(rank.elbow(retrieval.sparse_hits(corpus.chunks, queries), by, ties=ties)),
+        "sparse": renumber(rank.elbow(retrieval.sparse_hits(corpus.chunks, queries, written=corpus.words), by, ties=ties)),
     }
     emit(on_step, "es_search", lambda: trace.ranked(found["es"]))
     for name in ("dense", "sparse"):
@@ -127,7 +127,7 @@ def retrieved(corpus: Corpus, read: DataFrame, models: Models, lists: Allowed |
     """(dense, sparse, fused) of the rewritten queries within the allowlists; a query whose text cannot be embedded has no dense hits."""
     vectors = embedded(read.select("query_id", "rewritten_query"), "rewritten_query", models).where("vector IS NOT NULL").select("query_id", "vector")
     dense = retrieval.dense_hits(corpus.vectors, vectors, limit, lists)
-    sparse = retrieval.sparse_hits(corpus.chunks, read.select("query_id", F.col("rewritten_query").alias("query")), limit, lists)
+    sparse = retrieval.sparse_hits(corpus.chunks, read.select("query_id", F.col("rewritten_query").alias("query")), limit, lists, corpus.words)
     fused = retrieval.fused_chunks(dense, sparse, read.select("query_id", "intent"), weighting)
     emit(on_step, "milvus_dense", lambda: trace.per_collection(dense))
     emit(on_step, "milvus_sparse", lambda: trace.per_collection(sparse))
@@ -315,12 +315,12 @@ def tools_of(corpus: Corpus, models: Models, limit: int = 20) -> dict[str, Tool]
         return flat(retrieval.dense_hits(corpus.vectors, vectors))
 
     def by_text(asked: DataFrame) -> DataFrame:
-        return retrieval.full_text(corpus.index, asked).select("query_id", "pos", "doc_id", F.col("subheading").alias("text"))
+        return retrieval.full_text(corpus.index, asked, written=corpus.fields).select("query_id", "pos", "doc_id", F.col("subheading").alias("text"))
 
     return {
         "search_es": search_tool(by_text),
         "search_milvus_dense": search_tool(by_vector),
-        "search_milvus_sparse": search_tool(lambda asked: flat(retrieval.sparse_hits(corpus.chunks, asked))),
+        "search_milvus_sparse": search_tool(lambda asked: flat(retrieval.sparse_hits(corpus.chunks, asked, written=corpus.words))),
         "lookup_doc": lookup_tool(corpus.index),
     }
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.values import value_factors
-from ..operators import fuse, rank, score
+from ..operators import fuse, postings, rank, score
 from ..sources import fixtures
 from ..sources.fixtures import with_tables
 from . import retrieval
@@ -62,7 +62,7 @@ def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_sql("SELECT query_id, collection, CAST(pos AS BIGINT) AS pos, chunk_id, doc_id, score FROM sparse", BOTH))
 def sparse_bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = retrieval.sparse_hits(fixtures.chunks(spark, sf_dir), fixtures.queries(spark, sf_dir))
+    hits = retrieval.sparse_hits(fixtures.chunks(spark, sf_dir), fixtures.queries(spark, sf_dir), written=retrieval.words_index(spark, sf_dir))
     return hits.select("query_id", "collection", F.col("pos").cast("long").alias("pos"), "chunk_id", "doc_id", "score")
 
 
@@ -285,7 +285,7 @@ def _plain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(with_tables("ft_index queries", "SELECT query_id, doc_id, round(score, 6) AS score FROM multi QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, doc_id) <= 50", **FIELD_PARTS))
 def multi_field_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = score.multi_field(fixtures.index(spark, sf_dir), _plain(spark, sf_dir).withColumn("shape", F.lit("plain"))).withColumn("score", F.round("score", 6))
+    scored = retrieval.fields_search(retrieval.fields_index(spark, sf_dir), _plain(spark, sf_dir).withColumn("shape", F.lit("plain")), 50)
     return rank.top(scored, ["query_id"], [F.col("score").desc(), F.col("doc_id")], 50).select("query_id", "doc_id", "score")
 
 
@@ -306,7 +306,7 @@ def raw_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     quoted = index.join(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_number")).distinct(), "doc_number", "left_semi")
     asked = _plain(spark, sf_dir).unionByName(fixtures.query_strings(spark).select(F.concat(F.lit("S"), F.col("n").cast("string")).alias("query_id"), F.col("q").alias("query")))
     asked = asked.unionByName(quoted.select(F.concat(F.lit("P"), F.col("doc_number").cast("string")).alias("query_id"), F.concat(F.lit('"'), "subheading", F.lit('" of '), "heading").alias("query")))
-    hits = retrieval.full_text(index, asked, SAMPLE)
+    hits = retrieval.full_text(index, asked, SAMPLE, written=retrieval.fields_index(spark, sf_dir))
     return hits.select("query_id", F.col("pos").cast("long").alias("pos"), "doc_id", "score", "heading", "subheading")
 
 
@@ -319,10 +319,34 @@ WHERE EXISTS (SELECT 1 FROM (SELECT unnest([heading, subheading, fullcontent, fa
 )
 def phrase_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
     phrases = spark.createDataFrame([(p, p) for p in ("Party 5 Ltd", "12 ITR", "Rule - 40", "SC")], "query_id string, phrase string")
-    return score.phrase_scores(fixtures.index(spark, sf_dir), phrases).select(F.col("query_id").alias("phrase"), "doc_id", "phrase_score")
+    return postings.phrase_scores(retrieval.fields_index(spark, sf_dir), phrases).select(F.col("query_id").alias("phrase"), "doc_id", F.col("bonus").alias("phrase_score"))
 
 
-@query()
+# lower-case Latin letters beyond ASCII as single bytes, in which DuckDB counts distances; terms hold none of the characters that stand for them
+_BYTES = "translate({x}, '" + "".join(map(chr, range(0xDF, 0x100))) + "', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ!#$%&()')"
+_EDITS = "CASE WHEN length({x}) <= 2 THEN 0 WHEN length({x}) <= 5 THEN 1 ELSE 2 END"
+_DISTANCE = f"levenshtein({_BYTES.format(x='a.term')}, {_BYTES.format(x='v.term')})"
+_NEAR = f"SELECT a.term AS word, v.term, {_DISTANCE} AS distance FROM {{asked}} a JOIN {{known}} v ON abs(length(a.term) - length(v.term)) <= {_EDITS.format(x='a.term')} WHERE {_DISTANCE} <= {_EDITS.format(x='a.term')}"
+
+
+#: As FULL_TEXT, for terms that allow edits: in each field the word near a term that scores best counts.
+LOOSE_TEXT = FULL_TEXT | {
+    "emulti": """SELECT n, doc_id, sum(score) AS score FROM (
+SELECT t.n, p.doc_id, p.field, t.term, max(b.boost * ln(1 + (s.n - d.df + 0.5) / (d.df + 0.5)) * p.tf * 2.2 / (p.tf + 1.2 * (0.25 + 0.75 * p.len / s.avglen))) AS score
+FROM eterms t JOIN shapes h USING (n) JOIN ({near}) r ON r.word = t.term JOIN fpost p ON p.term = r.term JOIN fdf d ON d.term = p.term AND d.field = p.field JOIN fstats s ON s.field = p.field JOIN eboosts b ON b.field = p.field AND b.shape = h.shape
+GROUP BY t.n, p.doc_id, p.field, t.term) GROUP BY n, doc_id""".format(near=_NEAR.format(asked="(SELECT DISTINCT term FROM eterms)", known="(SELECT DISTINCT term FROM fpost)")),
+}
+
+
+@query(
+    with_tables(
+        "queries",
+        "SELECT word AS term, term AS match, distance FROM near",
+        asked_terms=TERMS.replace("DISTINCT query_id, unnest", "DISTINCT unnest"),
+        known_words=f"SELECT DISTINCT unnest({_TOKENS.format(x='text')}) AS term FROM benchmark",
+        near=_NEAR.format(asked="asked_terms", known="known_words"),
+    )
+)
 def fuzzy_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..functions.text import tokens
     from ..tables import table
@@ -332,6 +356,20 @@ def fuzzy_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score.fuzzy(terms, words).select("term", "match", F.col("distance").cast("long").alias("distance"))
 
 
+@query(
+    with_tables(
+        "ft_index queries",
+        "SELECT query_id, CAST(pos AS BIGINT) AS pos, doc_id, score, heading, subheading FROM es",
+        asked="SELECT query_id AS n, query AS q FROM queries",
+        **LOOSE_TEXT,
+    )
+)
+def raw_search_loose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark texts whose terms allow edits: of the words near a term the one that scores best in a field counts."""
+    hits = retrieval.full_text(fixtures.index(spark, sf_dir), _plain(spark, sf_dir), loose=True, written=retrieval.fields_index(spark, sf_dir))
+    return hits.select("query_id", F.col("pos").cast("long").alias("pos"), "doc_id", "score", "heading", "subheading")
+
+
 @query(
     with_tables(
         "ft_index queries",

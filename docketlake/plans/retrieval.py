@@ -9,20 +9,25 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.values import value_factors
-from ..operators import filters, fuse, rank, score
+from ..operators import filters, fuse, postings, rank, score
+from ..operators.postings import Index
 from ..sources import fixtures
 from ..sources.lexicon import SAMPLE, Lexicon
+from ..storage import new_folder
+from ..tables import table
 
 LIMIT, TEXT_LIMIT = 50, 20
 
 
 @dataclass(frozen=True)
 class Corpus:
-    """What is searched: the full-text index, the chunks, and the chunks that have a vector (``embedding``)."""
+    """What is searched: the full-text index, the chunks, and the chunks that have a vector (``embedding``); and the written indexes of fields and chunks, if there are."""
 
     index: DataFrame
     chunks: DataFrame
     vectors: DataFrame
+    fields: Index | None = None
+    words: Index | None = None
 
 
 @dataclass(frozen=True)
@@ -44,25 +49,58 @@ def dense_hits(chunks: DataFrame, vectors: DataFrame, limit: int = LIMIT, allowe
     return hits.select("query_id", "collection", "collection_ord", "pos", "chunk_id", "doc_id", "text", "score")
 
 
-def sparse_hits(chunks: DataFrame, queries: DataFrame, limit: int = LIMIT, allowed: Allowed | None = None) -> DataFrame:
-    """As dense_hits, by BM25 of the text; ``ruling`` has no sparse field. An allowlist does not change the statistics."""
-    texts = chunks.where(F.col("collection") != "ruling")
-    scored = score.bm25(texts, score.query_terms(queries), "collection", "chunk_id", groups=fixtures.SPARSE).withColumn("score", F.round("score", 6))
-    if allowed is not None:
-        scored = allowed.within(scored.join(texts.select("chunk_id", "collection", "doc_id"), ["chunk_id", "collection"])).drop("doc_id")
-    best = rank.top(scored, ["query_id", "collection"], [F.col("score").desc(), F.col("chunk_id")], limit, "pos")
+def write_fields(index: DataFrame) -> Index:
+    """The written index of the full-text fields; documents are ordered by their value factors, and blacklisted ones have none."""
+    factor = value_factors(F.col("documenttypeboost"), F.col("court_boost"), F.col("landmarkruling"))
+    static = index.where(score.allowed(F.col("landmarkruling"))).select(F.col("id").alias("doc_id"), factor.alias("static"))
+    return postings.write(score.fields_long(index), new_folder(index.sparkSession, "fields"), "field", "doc_id", static=static)
+
+
+def write_words(chunks: DataFrame) -> Index:
+    """The written index of the chunks' texts by collection; ``ruling`` has no sparse field."""
+    return postings.write(chunks.where(F.col("collection") != "ruling"), new_folder(chunks.sparkSession, "words"), "collection", "chunk_id", carry="doc_id")
+
+
+def sparse_hits(chunks: DataFrame, queries: DataFrame, limit: int = LIMIT, allowed: Allowed | None = None, written: Index | None = None) -> DataFrame:
+    """As dense_hits, by BM25 of the text; ``ruling`` has no sparse field. An allowlist does not change the statistics.
+
+    ``written`` is the chunks' index; without it one is written.
+    """
+    written = written or write_words(chunks)
+    scored = postings.search(written, score.query_terms(queries), limit, apart=True, keep=allowed.within if allowed else None)
+    best = rank.top(scored, ["query_id", "collection"], [F.col("score").desc(), F.col("chunk_id")], limit, "pos").drop("doc_id")
     # only the best chunks' texts are needed: their side is the small one
     best = score.few(best, queries, limit * len(fixtures.SPARSE))
+    texts = chunks.where(F.col("collection") != "ruling")
     return texts.select("chunk_id", "collection", "doc_id", "text", "collection_ord").join(best, ["chunk_id", "collection"]).select("query_id", "collection", "collection_ord", "pos", "chunk_id", "doc_id", "text", "score")
 
 
+def _written(spark: SparkSession, sf_dir: str, name: str, write) -> Index:
+    """The index of the tables' documents, written once in a session and for each set of files."""
+    context = spark.sparkContext
+    if not hasattr(context, "_docketlake_indexes"):
+        context._docketlake_indexes = {}
+    key = (name, sf_dir, tuple(sorted(table(spark, sf_dir, "documents").inputFiles())))
+    if key not in context._docketlake_indexes:
+        context._docketlake_indexes[key] = write()
+    return context._docketlake_indexes[key]
+
+
+def fields_index(spark: SparkSession, sf_dir: str) -> Index:
+    return _written(spark, sf_dir, "fields", lambda: write_fields(fixtures.index(spark, sf_dir)))
+
+
+def words_index(spark: SparkSession, sf_dir: str) -> Index:
+    return _written(spark, sf_dir, "words", lambda: write_words(fixtures.chunks(spark, sf_dir)))
+
+
 def corpus(spark: SparkSession, sf_dir: str) -> Corpus:
-    return Corpus(fixtures.index(spark, sf_dir), fixtures.chunks(spark, sf_dir), fixtures.hybrid_chunks(spark, sf_dir))
+    return Corpus(fixtures.index(spark, sf_dir), fixtures.chunks(spark, sf_dir), fixtures.hybrid_chunks(spark, sf_dir), fields_index(spark, sf_dir), words_index(spark, sf_dir))
 
 
 def lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Dense hits over the chunks that have a vector, and sparse hits over all chunks, of all queries."""
-    return dense_hits(fixtures.hybrid_chunks(spark, sf_dir), fixtures.query_vectors(spark, sf_dir)), sparse_hits(fixtures.chunks(spark, sf_dir), fixtures.queries(spark, sf_dir))
+    return dense_hits(fixtures.hybrid_chunks(spark, sf_dir), fixtures.query_vectors(spark, sf_dir)), sparse_hits(fixtures.chunks(spark, sf_dir), fixtures.queries(spark, sf_dir), written=words_index(spark, sf_dir))
 
 
 def as_sources(dense: DataFrame, sparse: DataFrame) -> DataFrame:
@@ -83,18 +121,28 @@ def fused_chunks(dense: DataFrame, sparse: DataFrame, intents: DataFrame | None
     return fuse.fused_rank(fuse.reciprocal(hits, "chunk_id", weight))
 
 
-def full_text(index: DataFrame, queries: DataFrame, lexicon: Lexicon = SAMPLE, limit: int = TEXT_LIMIT, loose: bool = False) -> DataFrame:
+def full_text(index: DataFrame, queries: DataFrame, lexicon: Lexicon = SAMPLE, limit: int = TEXT_LIMIT, loose: bool = False, written: Index | None = None) -> DataFrame:
     """query_id, pos, doc_id, score, heading, subheading: boosted fields and phrases, times value factors, without blacklisted documents.
 
-    Shape and phrases come from the query as it was; its synonyms only widen the terms. ``loose``: terms allow edits, which reads
-    the index's vocabulary first.
+    Shape and phrases come from the query as it was; its synonyms only widen the terms. ``loose``: terms allow edits. ``written`` is
+    the fields' index; without it one is written.
     """
     q = F.col("query")
+    written = written or write_fields(index)
     prepared = queries.select("query_id", T.expand_synonyms(q, lexicon).alias("query"), T.query_shape(q).alias("shape"), T.boost_phrases(q, lexicon).alias("phrases"))
-    fields = score.multi_field(index, prepared, loose)
-    phrases = prepared.select("query_id", F.explode("phrases").alias("phrase"))
-    both = fields.join(score.phrase_scores(index, phrases), ["query_id", "doc_id"], "full").select("query_id", "doc_id", (F.coalesce("score", F.lit(0.0)) + F.coalesce("phrase_score", F.lit(0.0))).alias("score"))
-    values = index.where(score.allowed(F.col("landmarkruling"))).select(F.col("id").alias("doc_id"), "heading", "subheading", value_factors(F.col("documenttypeboost"), F.col("court_boost"), F.col("landmarkruling")).alias("_factor"))
-    scored = both.join(values, "doc_id").withColumn("score", F.round(F.col("score") * F.col("_factor"), 6))
-    best = rank.top(scored, ["query_id"], [F.col("score").desc(), F.col("doc_id")], limit, "pos")
-    return best.select("query_id", "pos", "doc_id", "score", F.coalesce("heading", F.lit("")).alias("heading"), F.coalesce("subheading", F.lit("")).alias("subheading"))
+    bonus = postings.phrase_scores(written, prepared.select("query_id", F.explode("phrases").alias("phrase")))
+    scored = postings.search(written, shaped_terms(written, prepared, loose), limit, boost=score.boost(F.col("shape"), F.col("field")), bonus=bonus, factors=True)
+    best = score.few(rank.top(scored, ["query_id"], [F.col("score").desc(), F.col("doc_id")], limit, "pos"), queries, limit)
+    shown = index.select(F.col("id").alias("doc_id"), F.coalesce("heading", F.lit("")).alias("heading"), F.coalesce("subheading", F.lit("")).alias("subheading"))
+    return shown.join(best, "doc_id").select("query_id", "pos", "doc_id", "score", "heading", "subheading")
+
+
+def shaped_terms(written: Index, queries: DataFrame, loose: bool = False) -> DataFrame:
+    """query_id, term, shape (and word, with ``loose``) of queries (query_id, query, shape)."""
+    terms = score.query_terms(queries).join(score.small(queries.select("query_id", "shape")), "query_id")
+    return postings.widened(written, terms) if loose else terms
+
+
+def fields_search(written: Index, queries: DataFrame, limit: int, loose: bool = False) -> DataFrame:
+    """query_id, doc_id, score: among them the best by boosted fields alone; queries: query_id, query, shape."""
+    return postings.search(written, shaped_terms(written, queries, loose), limit, boost=score.boost(F.col("shape"), F.col("field")))

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docketlake.functions import values as V
-from docketlake.operators import evaluate, filters, fuse, rank, score
+from docketlake.operators import evaluate, filters, fuse, postings, rank, score
 from docketlake.plans import modes
 from docketlake.plans.models import Offline, embedded, resolved
 from docketlake.sources import cases
@@ -120,14 +120,14 @@ def test_bm25_against_a_plain_loop(spark):
         assert got.get(k, 0.0) == pytest.approx(want)
 
 
-def test_bm25_of_a_written_index(spark, tmp_path):
+def test_few_terms_are_pushed_to_the_scan_of_a_written_index(spark, tmp_path):
     df = spark.createDataFrame([(g, f"{g}{i}", " ".join(f"w{(i * k) % 7}" for k in range(1, 2 + i % 5))) for g in "ab" for i in range(30)] + [("a", "n", None)], "collection string, chunk_id string, text string")
     terms = spark.createDataFrame([("q", "w1"), ("q", "w2"), ("r", "w6")], "query_id string, term string")
-    score.write_index(df, str(tmp_path), "collection", "chunk_id", files=4)
-    read = score.bm25_of_index(spark, str(tmp_path), terms, "collection", "chunk_id")
-    key = lambda r: (r.query_id, r.collection, r.chunk_id, round(r.score, 9))
+    index = postings.write(df, str(tmp_path), "collection", "chunk_id")
+    read = postings.search(index, terms, 5, apart=True, prune=False)
+    key = lambda r: (r.query_id, r.collection, r.chunk_id, round(r.score, 6))
     assert sorted(map(key, read.collect())) == sorted(map(key, score.bm25(df, terms, "collection", "chunk_id").collect()))
-    assert "PushedFilters: [In(term" in read._jdf.queryExecution().toString()
+    assert "PushedFilters: [In(term" in index.postings(terms)._jdf.queryExecution().toString()
 
 
 def test_fuzzy_against_all_pairs(spark):
