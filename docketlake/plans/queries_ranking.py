@@ -56,7 +56,7 @@ def query(oracle: str | None = None):
 
 @query(_sql("SELECT query_id, collection, CAST(pos AS BIGINT) AS pos, chunk_id, doc_id, score FROM dense", {}, dense=DENSE))
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = retrieval.dense_hits(fixtures.hybrid_chunks(spark, sf_dir), fixtures.query_vectors(spark, sf_dir))
+    hits = retrieval.dense_hits(retrieval.coded_chunks(spark, sf_dir), fixtures.query_vectors(spark, sf_dir))
     return hits.select("query_id", "collection", F.col("pos").cast("long").alias("pos"), "chunk_id", "doc_id", "score")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.values import value_factors
-from ..operators import filters, fuse, postings, rank, score
+from ..operators import codes, filters, fuse, postings, rank, score
 from ..operators.postings import Index
 from ..sources import fixtures
 from ..sources.lexicon import SAMPLE, Lexicon
@@ -42,9 +42,19 @@ class Allowed:
 
 
 def dense_hits(chunks: DataFrame, vectors: DataFrame, limit: int = LIMIT, allowed: Allowed | None = None) -> DataFrame:
-    """query_id, collection, collection_ord, pos, chunk_id, doc_id, text, score: the top chunks of each collection, within the allowlists."""
-    scored = score.dense(chunks, vectors)
-    scored = scored if allowed is None else allowed.within(scored)
+    """query_id, collection, collection_ord, pos, chunk_id, doc_id, text, score: the top chunks of each collection, within the allowlists.
+
+    All chunks are compared by their codes (``codes.coded``). Where an allowlist counts, its documents' chunks alone are, and exactly.
+    """
+    if allowed is None:
+        scored = codes.best(chunks, vectors, limit)
+    else:
+        applied = score.small(allowed.modes.where("mode = 'applied'").select("query_id"))
+        listed = allowed.documents.join(applied, "query_id", "left_semi").join(score.small(vectors.select("query_id", "vector")), "query_id")
+        inside = chunks.drop(*codes.COLUMNS).join(listed, "doc_id").where(codes.usable(F.col("embedding")) & (F.size("embedding") == F.size("vector")))
+        inside = inside.withColumn("score", F.round(score.dot(F.col("embedding"), F.col("vector")), 6)).drop("vector")
+        scored = codes.best(chunks, vectors.join(applied, "query_id", "left_anti"), limit)
+        scored = inside.select(*scored.columns).unionByName(scored)
     hits = rank.top(scored, ["query_id", "collection"], [F.col("score").desc(), F.col("chunk_id")], limit, "pos")
     return hits.select("query_id", "collection", "collection_ord", "pos", "chunk_id", "doc_id", "text", "score")
 
@@ -75,8 +85,8 @@ def sparse_hits(chunks: DataFrame, queries: DataFrame, limit: int = LIMIT, allow
     return texts.select("chunk_id", "collection", "doc_id", "text", "collection_ord").join(best, ["chunk_id", "collection"]).select("query_id", "collection", "collection_ord", "pos", "chunk_id", "doc_id", "text", "score")
 
 
-def _written(spark: SparkSession, sf_dir: str, name: str, write) -> Index:
-    """The index of the tables' documents, written once in a session and for each set of files."""
+def _written(spark: SparkSession, sf_dir: str, name: str, write):
+    """An index of the tables' documents, written once in a session and for each set of files."""
     context = spark.sparkContext
     if not hasattr(context, "_docketlake_indexes"):
         context._docketlake_indexes = {}
@@ -90,17 +100,22 @@ def fields_index(spark: SparkSession, sf_dir: str) -> Index:
     return _written(spark, sf_dir, "fields", lambda: write_fields(fixtures.index(spark, sf_dir)))
 
 
+def coded_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks that have a vector, with their codes."""
+    return _written(spark, sf_dir, "codes", lambda: codes.write(fixtures.hybrid_chunks(spark, sf_dir), new_folder(spark, "codes")))
+
+
 def words_index(spark: SparkSession, sf_dir: str) -> Index:
     return _written(spark, sf_dir, "words", lambda: write_words(fixtures.chunks(spark, sf_dir)))
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> Corpus:
-    return Corpus(fixtures.index(spark, sf_dir), fixtures.chunks(spark, sf_dir), fixtures.hybrid_chunks(spark, sf_dir), fields_index(spark, sf_dir), words_index(spark, sf_dir))
+    return Corpus(fixtures.index(spark, sf_dir), fixtures.chunks(spark, sf_dir), coded_chunks(spark, sf_dir), fields_index(spark, sf_dir), words_index(spark, sf_dir))
 
 
 def lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Dense hits over the chunks that have a vector, and sparse hits over all chunks, of all queries."""
-    return dense_hits(fixtures.hybrid_chunks(spark, sf_dir), fixtures.query_vectors(spark, sf_dir)), sparse_hits(fixtures.chunks(spark, sf_dir), fixtures.queries(spark, sf_dir), written=words_index(spark, sf_dir))
+    return dense_hits(coded_chunks(spark, sf_dir), fixtures.query_vectors(spark, sf_dir)), sparse_hits(fixtures.chunks(spark, sf_dir), fixtures.queries(spark, sf_dir), written=words_index(spark, sf_dir))
 
 
 def as_sources(dense: DataFrame, sparse: DataFrame) -> DataFrame:
