@@ -11,10 +11,10 @@ the chance 1 - prod(1 - threshold ** depth of its prefix in a tree) that it meet
 and of thin regions end at different depths, and all reach the recall. At ``prefix_depth`` the target holds even if all trees stop
 there; thin prefixes go one value further, which leaves room for the crowded ones to stay long.
 
-* Small buckets give pairs, each once, which are verified on the exact shingle sets.
+* Buckets of ``PAIRS`` classes or fewer give pairs, each once, which are verified on the exact shingle sets.
 * Larger buckets that overlap make a region. Where comparing all of a region once takes no more pairs than comparing each of its
   buckets, as with a group of near copies that meet in nearly all trees, the region takes the buckets' place.
-* A region or bucket of more than ``small_bucket`` classes is cut into blocks; tiles of two blocks are counted by a matrix
+* A region, or a bucket of more than ``PAIRS`` classes, is cut into blocks; tiles of two blocks are counted by a matrix
   product, and give one row for each member: its number of links and an edge that keeps the tile's
   links connected. So a large group of near copies makes no row for each pair, and still each of its
   pairs is compared. A bucket's tile reads the sets of those members only that have a pair which no earlier tree held.
@@ -37,8 +37,8 @@ from ._common import bitmap, checkpoint, few_rows, free_name, map_batches, marke
 WORDS, THRESHOLD = 5, 0.8
 #: Trees of the forest, hash values on a path and bytes of each, and the share of pairs at the threshold that must meet.
 TREES, DEPTH, BYTES, RECALL = 32, 7, 2, 0.9999
-#: Classes of a bucket up to which it gives pairs, and members of a block of a larger bucket.
-SMALL, BLOCK = 64, 256
+#: Classes of a node up to which it is not crowded, of a bucket up to which it gives pairs in each of its trees, and members of a block of a larger bucket.
+SMALL, PAIRS, BLOCK = 64, 16, 256
 
 
 def prefix_depth(threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> int:
@@ -337,7 +337,8 @@ def _grouped(docs: DataFrame, key: str = "doc_id", text: str = "text", words: in
     # numbers, not hashes, name the classes: they are fixed once they are written, and no two are equal
     reps = checkpoint(valid.groupBy("k1", "k2").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("signature").alias("signature")).withColumn("rep", F.monotonically_increasing_id()))
     members = checkpoint(buckets(reps, trees, depth, shortest, threshold, recall, small_bucket))
-    small, large = members.where(F.col("members") <= small_bucket), members.where(F.col("members") > small_bucket)
+    most = min(small_bucket, PAIRS)
+    small, large = members.where(F.col("members") <= most), members.where(F.col("members") > most)
     if large.isEmpty():
         regions = large.select("rep", F.lit(0).cast("long").alias("region"), "members")
     else:
