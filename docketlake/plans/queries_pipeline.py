@@ -337,9 +337,35 @@ def trace_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.unix_micros("start").alias("start_us"), "step", "frames")
 
 
-@query(f"SELECT query_id, md5(string_agg(step, ',' ORDER BY seq)) AS steps, arg_max(type, seq) NOT IN ('agent_done') AS loading FROM ({TRACE}) GROUP BY query_id")
+# events as frames: a signup is a new query, purchases and errors end a request
+_KINDS = {"signup": "query", "purchase": "agent_done", "error": "agent_error"}
+_STATE = f"""SELECT user_id AS query_id, md5(coalesce(string_agg(event_type, ',' ORDER BY event_id) FILTER (event_id > begun), '')) AS steps,
+  coalesce(arg_max(event_type, event_id) FILTER (event_id > begun) NOT IN ('purchase', 'error'), false) AS loading
+FROM (SELECT *, coalesce(max(CASE WHEN event_type = 'signup' THEN event_id END) OVER (PARTITION BY user_id), -1) AS begun FROM events) GROUP BY user_id {{having}}"""
+
+
+def _frames(events: DataFrame) -> DataFrame:
+    kind = F.create_map(*(F.lit(x) for kv in _KINDS.items() for x in kv))
+    return events.select(F.col("user_id").alias("query_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("step"), F.coalesce(F.element_at(kind, F.col("event_type")), F.lit("ai_mode_trace")).alias("type"), F.col("ts").cast("timestamp").alias("ts"))
+
+
+@query(_STATE.format(having="HAVING max(event_id) > any_value(begun)"))
 def trace_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trace.loading(_trace(spark, sf_dir)).select("query_id", F.md5(F.array_join("steps", ",")).alias("steps"), "loading")
+    return trace.loading(_frames(table(spark, sf_dir, "events"))).select("query_id", F.md5(F.array_join("steps", ",")).alias("steps"), "loading")
+
+
+@query(_STATE.format(having=""))
+def trace_state_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream through the state store, in one batch for each file; no request expires."""
+    from ..storage import new_folder
+    from ..streaming import state
+
+    events = table(spark, sf_dir, "events")
+    # a pattern, as a stream takes a path without one for a folder
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{sf_dir.rstrip('/')}/events.parque[t]")
+    out, check = new_folder(spark, "states"), new_folder(spark, "stream")
+    state.run_to(state.client_states(_frames(stream), patience="'36500' DAY", retention="'36500' DAY"), out, check).trigger(availableNow=True).start().awaitTermination()
+    return state.latest(spark.read.parquet(out)).select(F.col("query_id").cast("long").alias("query_id"), F.md5(F.array_join("steps", ",")).alias("steps"), "loading")
 
 
 @query("SELECT conv_id, role, arg_max(text, turn) AS latest FROM conversations GROUP BY conv_id, role")
