@@ -38,7 +38,7 @@ WORDS, THRESHOLD = 5, 0.8
 #: Trees of the forest, hash values on a path and bytes of each, and the share of pairs at the threshold that must meet.
 TREES, DEPTH, BYTES, RECALL = 32, 7, 2, 0.9999
 #: Classes of a node up to which it is not crowded, of a bucket up to which it gives pairs in each of its trees, and members of a block of a larger bucket.
-SMALL, PAIRS, BLOCK = 64, 16, 256
+SMALL, PAIRS, BLOCK = 64, 32, 256
 
 
 def prefix_depth(threshold: float = THRESHOLD, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> int:
@@ -369,7 +369,9 @@ def _grouped(docs: DataFrame, key: str = "doc_id", text: str = "text", words: in
     at = ["tree", "bucket", "i", "j"]
     own = F.coalesce("region", -1 - F.col("rep")).alias("region")  # a class without a region is one of its own
     some = tiles.where("tree >= 0").join(info.select("rep", "large", own), "rep").groupBy(*at).applyInArrow(_needed, "tree int, bucket long, rep long, i int, j int, side int")
-    tiles = tiles.where("tree < 0").unionByName(some).join(wanted.select("rep", "copies", "large", own), "rep").join(sets, "rep")
+    # what a tile needs of a member is put together once, not for each of its tiles
+    whole = sets.join(wanted.select("rep", "copies", "large", own), "rep")
+    tiles = tiles.where("tree < 0").unionByName(some).join(whole, "rep")
     counted = checkpoint(tiles.groupBy(*at).applyInArrow(_tile(threshold), "a long, b long, n long"))
 
     copies = reps.select("rep", "copies")
