@@ -70,6 +70,12 @@ def doc_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rank.gold_rank(_hits(spark, sf_dir), fixtures.gold(spark, sf_dir), ["query_id"]).select("query_id", F.col("rank").cast("long").alias("rank"))
 
 
+@query(with_tables("gold", "SELECT DISTINCT query_id, doc_id FROM gold"))
+def gold_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that hold each benchmark text."""
+    return fixtures.gold(spark, sf_dir)
+
+
 # the chunks that have a vector hold no benchmark text of the first queries: documents of every seventh number stand for gold
 SEVENS = "SELECT q.query_id, CAST(d.doc_id AS STRING) AS doc_id FROM queries q, documents d WHERE d.doc_id % 7 = 0"
 

@@ -10,7 +10,7 @@ from ..functions import markup
 from ..functions import text as T
 from ..functions import values as V
 from ..operators import filters as P
-from ..operators import rank
+from ..operators import rank, score
 from ..sources import fixtures, lexicon
 from ..sources.fixtures import with_tables
 from ..sources.lexicon import SAMPLE
@@ -186,11 +186,25 @@ def highlight_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terms.where(F.size("t") > 0).select("n", F.array_join("t", ",").alias("terms"))
 
 
-@query(with_tables("ft_index", "SELECT id AS doc_id, md5(regexp_replace(fullcontent, '(?i)\\b(thatnd|the|and)\\b', '<mark>\\1</mark>', 'g')) AS marked FROM ft_index WHERE NOT regexp_matches(fullcontent, '[^\\x00-\\x7f]')"))
+_MARKED = r"""WITH items AS (SELECT item_id, text, row_number() OVER (ORDER BY item_id) - 1 AS place, count(*) OVER () AS every FROM benchmark),
+words AS (SELECT place, w, min(pos) AS pos FROM (SELECT place, unnest(w) AS w, generate_subscripts(w, 1) AS pos FROM (SELECT place, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM items)) WHERE length(w) >= 3 AND w NOT IN (STOPS) GROUP BY place, w),
+patterns AS (SELECT place, concat('(?i)\b(', string_agg(w, '|' ORDER BY length(w) DESC, pos), ')\b') AS p FROM words GROUP BY place),
+marked AS (SELECT doc_id, regexp_replace(text, p, '<mark>\1</mark>', 'g') AS t FROM documents JOIN patterns ON place = doc_id % (SELECT any_value(every) FROM items))
+SELECT doc_id, CAST((length(t) - length(replace(t, '<mark>', ''))) / 6 AS BIGINT) AS n_marks, md5(t) AS marked FROM marked""".replace("STOPS", _STOPS)
+
+
+@query(_MARKED)
 def highlight(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Over English documents: patterns of the two engines part on words with other letters. The stop words of the real query are not terms, so the pattern is applied as given."""
-    docs = fixtures.index(spark, sf_dir).where(~F.col("fullcontent").rlike(r"[^\x00-\x7f]"))
-    return docs.select(F.col("id").alias("doc_id"), F.md5(F.regexp_replace("fullcontent", r"(?i)\b(thatnd|the|and)\b", "<mark>$1</mark>")).alias("marked"))
+    """Every document with the words of one benchmark text marked, in all languages; each text of the benchmark has its share of the documents."""
+    from pyspark.sql import Window
+
+    from ..functions import marks
+
+    items = table(spark, sf_dir, "benchmark").select("text", "item_id").withColumn("n", F.row_number().over(Window.orderBy("item_id")) - 1)
+    items = score.small(items.select(F.col("text").alias("query"), "n"))
+    docs = table(spark, sf_dir, "documents").withColumn("n", F.col("doc_id") % items.count())
+    shown = docs.join(items, "n").select("doc_id", marks.highlighted(F.col("text"), F.col("query")).alias("t"))
+    return shown.select("doc_id", F.expr("CAST((length(t) - length(replace(t, '<mark>', ''))) / 6 AS BIGINT)").alias("n_marks"), F.md5("t").alias("marked"))
 
 
 # ---- filters

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.contain import containing
 from ..tables import table
 
 #: Collections in the order in which lists are merged; the sparse ones are all but ``ruling``.
@@ -116,10 +117,9 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """query_id, doc_id: documents that hold a benchmark text."""
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    held = docs.join(F.broadcast(items), F.contains("text", "passage"))
-    return held.select(F.concat(F.lit("B"), F.col("item_id").cast("string")).alias("query_id"), F.col("doc_id").cast("string").alias("doc_id"))
+    items = table(spark, sf_dir, "benchmark").select(F.concat(F.lit("B"), F.col("item_id").cast("string")).alias("query_id"), F.col("text").alias("passage"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    return containing(docs, items, "doc_id", "text", "passage")
 
 
 def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
