@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 STAGES = ("es", "raw_dense", "raw_sparse", "rewritten_dense", "rewritten_sparse", "rrf", "reranker", "agentic")
@@ -54,6 +56,47 @@ def recall(ranks: DataFrame, at: tuple[int, ...] = (5, 10)) -> DataFrame:
     return ranks.groupBy("class", "stage").agg(*map(hit, at), F.avg(F.coalesce(1.0 / F.col("rank"), F.lit(0.0))).alias("mrr"), F.count("*").alias("n"))
 
 
+def _metrics(at: tuple[int, ...]) -> dict:
+    """What a row adds to each metric: a hit at each depth and the reciprocal rank."""
+    return {f"recall_{k}": F.when(F.col("rank") <= k, 1.0).otherwise(0.0) for k in at} | {"mrr": F.coalesce(1.0 / F.col("rank"), F.lit(0.0))}
+
+
+def recall_cube(ranks: DataFrame, by: tuple[str, ...] = ("class", "stage"), at: tuple[int, ...] = (5, 10)) -> DataFrame:
+    """by, level, the metrics of ``recall``, n: for every group of the columns in ``by``, of each subset of them, and overall.
+
+    ``level`` has a bit for each column that a row sums over, the last column's the lowest, so a null group is not taken for a total.
+    """
+    means = [F.avg(value).alias(name) for name, value in _metrics(at).items()]
+    return ranks.cube(*by).agg(F.grouping_id().alias("level"), *means, F.count("*").alias("n"))
+
+
+#: Poisson(1) as integer bounds of a uniform 32-bit number: the weight is the number of bounds that it has reached.
+_POISSON = tuple(int(2**32 * sum(math.exp(-1) / math.factorial(i) for i in range(k + 1))) for k in range(12))
+
+
+def poisson_weight(unit: Column, replicate: Column, seed: int = 0) -> Column:
+    """How often a replicate draws a unit (a query): Poisson(1) by a hash of both, the same in every run."""
+    drawn = F.conv(F.substring(F.md5(F.concat_ws("|", unit.cast("string"), replicate.cast("string"), F.lit(str(seed)))), 1, 8), 16, 10).cast("long")
+    return F.size(F.filter(F.array(*map(F.lit, _POISSON)), lambda b: b <= drawn))
+
+
+def intervals(ranks: DataFrame, by: tuple[str, ...] = ("class", "stage"), at: tuple[int, ...] = (5, 10), replicates: int = 200, level: float = 0.95, seed: int = 0, unit: str = "query_id") -> DataFrame:
+    """by, level, metric, low, high: bootstrap intervals of the metrics of ``recall_cube``, in one pass over ranks.
+
+    A replicate draws each query a Poisson number of times, in all its rows alike, so stages are compared on the same draws. A replicate that draws no
+    row of a group is left out of the group's interval. Rows are multiplied by the replicates and summed before they are shuffled.
+    """
+    names = list(_metrics(at))
+    drawn = ranks.withColumn("_replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("_weight", poisson_weight(F.col(unit), F.col("_replicate"), seed)).where("_weight > 0")
+    sums = [F.sum(F.col("_weight") * value).alias(name) for name, value in _metrics(at).items()]
+    # the replicate stays in all groups: its bit of the grouping number is the lowest
+    each = drawn.cube(*by, "_replicate").agg(F.grouping_id().alias("_level"), F.sum("_weight").alias("_n"), *sums).where("_level % 2 = 0")
+    means = F.array(*(F.struct(F.lit(name).alias("metric"), (F.col(name) / F.col("_n")).alias("value")) for name in names))
+    rows = each.select(*by, F.floor(F.col("_level") / 2).cast("long").alias("level"), F.explode(means).alias("m"))
+    bound = lambda q: F.percentile(F.col("m.value"), F.lit(q))
+    return rows.groupBy(*by, "level", F.col("m.metric").alias("metric")).agg(bound((1 - level) / 2).alias("low"), bound((1 + level) / 2).alias("high"))
+
+
 def first_collections(ranks: DataFrame) -> DataFrame:
     """query_id, collection: where a gold document stands highest; ranks: query_id, collection, rank."""
     return ranks.where("rank IS NOT NULL").groupBy("query_id").agg(F.min_by("collection", F.struct("rank", "collection")).alias("collection"))

@@ -134,6 +134,35 @@ def recall_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("class", "stage", *(F.round(c, 9).alias(c) for c in ("recall_5", "recall_10", "mrr")), "n")
 
 
+_CUBED = "round(avg(CASE WHEN rank <= 5 THEN 1.0 ELSE 0.0 END), 9)::DOUBLE AS recall_5, round(avg(CASE WHEN rank <= 10 THEN 1.0 ELSE 0.0 END), 9)::DOUBLE AS recall_10, round(avg(coalesce(1.0 / rank, 0)), 9)::DOUBLE AS mrr, CAST(count(*) AS BIGINT) AS n"
+
+
+@query(with_tables("queries gold", f"SELECT class, stage, CAST(grouping(class, stage) AS BIGINT) AS level, {_CUBED} FROM runs WHERE run = 'base' GROUP BY CUBE (class, stage)", **HITS))
+def recall_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall and reciprocal ranks by class and stage, by each alone, and overall."""
+    found = evaluate.recall_cube(_runs(spark, sf_dir).where("run = 'base'"))
+    return found.select("class", "stage", F.col("level").cast("long").alias("level"), *(F.round(c, 9).alias(c) for c in ("recall_5", "recall_10", "mrr")), "n")
+
+
+_BOUNDS = ", ".join(map(str, evaluate._POISSON))
+
+
+@query(
+    with_tables(
+        "queries gold",
+        "SELECT class, stage, level, metric, round(quantile_cont(value, 0.025), 9) AS low, round(quantile_cont(value, 0.975), 9) AS high FROM vals GROUP BY class, stage, level, metric",
+        **HITS,
+        drawn=f"SELECT * FROM (SELECT r.*, b, len(list_filter([{_BOUNDS}], lambda x: x <= ('0x' || left(md5(concat(r.query_id, '|', b, '|0')), 8))::BIGINT)) AS w FROM runs r, range(100) t(b) WHERE run = 'base') WHERE w > 0",
+        cubed="SELECT class, stage, CAST(grouping(class, stage) AS BIGINT) AS level, b, sum(w) AS n, sum(CASE WHEN rank <= 5 THEN w ELSE 0 END) AS r5, sum(CASE WHEN rank <= 10 THEN w ELSE 0 END) AS r10, sum(coalesce(w * 1.0::DOUBLE / rank, 0)) AS rr FROM drawn GROUP BY b, CUBE (class, stage)",
+        vals="SELECT class, stage, level, unnest(['recall_5', 'recall_10', 'mrr']) AS metric, unnest([r5::DOUBLE / n, r10::DOUBLE / n, rr / n]) AS value FROM cubed",
+    )
+)
+def recall_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bootstrap intervals of recall and reciprocal ranks over all groups of ``recall_cube``, from 100 draws of the queries."""
+    found = evaluate.intervals(_runs(spark, sf_dir).where("run = 'base'"), replicates=100)
+    return found.select("class", "stage", "level", "metric", F.round("low", 9).alias("low"), F.round("high", 9).alias("high"))
+
+
 @query(
     with_tables(
         HYBRID,

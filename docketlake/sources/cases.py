@@ -5,8 +5,10 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from collections.abc import Callable
 from datetime import datetime, timezone
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -98,6 +100,41 @@ def cache_key(case_id: str, models: dict[str, str | None], parameters: dict) ->
     return "".join(c if c.isalnum() or c in "_-" else "-" for c in name).strip("-")
 
 
+def cached_cases(path: str, stage: str, cases: DataFrame, make: Callable[[DataFrame], DataFrame], key: str = "cache_key") -> DataFrame:
+    """The rows of a stage for cases (``key`` among their columns), of which only those that the cache lacks are made.
+
+    The cache is one table partitioned by stage and key. ``make`` takes the missing cases and returns rows with the key; what it returns replaces the
+    partitions of these keys alone (dynamic overwrite), so a run that is broken off leaves the others. A case without rows is remembered by a
+    row of nulls with ``_there`` false. Reads name the stage, and the keys meet the partitions in a join that prunes them.
+    """
+    spark = cases.sparkSession
+    wanted = cases.select(F.col(key).alias("cache_key")).distinct()
+
+    def held() -> DataFrame | None:
+        try:
+            return spark.read.parquet(path).where(F.col("stage") == stage)
+        except AnalysisException as problem:
+            if problem.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):  # nothing has been written yet
+                return None
+            raise
+
+    there = held()
+    known = wanted.limit(0) if there is None else there.select("cache_key").distinct()
+    missing = cases.join(known.withColumnRenamed("cache_key", key), key, "left_anti")
+    if not missing.isEmpty():
+        made = make(missing)
+        rows = made.withColumnRenamed(key, "cache_key").withColumn("_there", F.lit(True)).withColumn("stage", F.lit(stage))
+        marks = missing.select(F.col(key).alias("cache_key")).distinct().withColumn("_there", F.lit(False)).withColumn("stage", F.lit(stage))
+        both = rows.unionByName(marks, allowMissingColumns=True)
+        both.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("stage", "cache_key").parquet(path)
+        there = held()
+    if there is None:  # no cases, and no cache
+        made = make(cases.limit(0))
+        return made.limit(0)
+    columns = [c for c in there.columns if c not in ("stage", "_there")]
+    return there.where("_there").join(F.broadcast(wanted) if wanted.limit(50_001).count() <= 50_000 else wanted, "cache_key", "left_semi").select(*columns).withColumnRenamed("cache_key", key)
+
+
 def cached(spark: SparkSession, folder: str, key: str, make) -> DataFrame:
     """The stage table under the key; made and written first if it is not there."""
     path = f"{folder}/{key}"
