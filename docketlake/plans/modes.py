@@ -51,23 +51,33 @@ def _data(**columns: Column) -> Column:
     return F.to_json(F.struct(*(c.alias(n) for n, c in columns.items()))).alias("data")
 
 
+def branches(corpus: Corpus, queries: DataFrame, vectors: DataFrame, loose: bool = False) -> dict[str, Callable[[], DataFrame]]:
+    """How to make the es, dense and sparse hits of each query after their cutoffs; each is a plan of its own."""
+    by = ["query_id", "collection"]
+    ties = [F.col("chunk_id")]
+    renumber = lambda df: df.drop("pos").withColumnRenamed("rank", "pos")
+    return {
+        "es": lambda: renumber(rank.elbow(retrieval.full_text(corpus.index, queries, loose=loose, written=corpus.fields), ["query_id"], ties=[F.col("doc_id")])),
+        "dense": lambda: renumber(rank.elbow(retrieval.dense_hits(corpus.vectors, vectors), by, ties=ties)),
+        "sparse": lambda: renumber(rank.elbow(retrieval.sparse_hits(corpus.chunks, queries, written=corpus.words), by, ties=ties)),
+    }
+
+
 def instant(corpus: Corpus, queries: DataFrame, vectors: DataFrame, loose: bool = False, on_step: OnStep | None = None) -> dict[str, DataFrame]:
     """es, dense and sparse hits of each query after their cutoffs: the branches are plans of their own, so one that fails leaves the others.
 
     ``loose``: terms of the full-text search allow edits.
     """
-    by = ["query_id", "collection"]
-    ties = [F.col("chunk_id")]
-    renumber = lambda df: df.drop("pos").withColumnRenamed("rank", "pos")
-    found = {
-        "es": renumber(rank.elbow(retrieval.full_text(corpus.index, queries, loose=loose, written=corpus.fields), ["query_id"], ties=[F.col("doc_id")])),
-        "dense": renumber(rank.elbow(retrieval.dense_hits(corpus.vectors, vectors), by, ties=ties)),
-        "sparse": renumber(rank.elbow(retrieval.sparse_hits(corpus.chunks, queries, written=corpus.words), by, ties=ties)),
-    }
+    found = {name: make() for name, make in branches(corpus, queries, vectors, loose).items()}
+    told_instant(found, on_step)
+    return found
+
+
+def told_instant(found: dict[str, DataFrame], on_step: OnStep | None) -> None:
+    """The frames of the branches."""
     emit(on_step, "es_search", lambda: trace.ranked(found["es"]))
     for name in ("dense", "sparse"):
         emit(on_step, f"milvus_{name}", lambda name=name: trace.per_collection(found[name]))
-    return found
 
 
 def instant_reranked(branches: dict[str, DataFrame], index: DataFrame, queries: DataFrame, models: Models, limit: int = 20, on_step: OnStep | None = None) -> DataFrame:
@@ -89,12 +99,27 @@ def instant_reranked(branches: dict[str, DataFrame], index: DataFrame, queries:
     return out
 
 
-def intents(queries: DataFrame, models: Models, system: str = "", on_step: OnStep | None = None) -> DataFrame:
+#: What the collections hold, as a model that reads queries is told.
+COLLECTIONS = {
+    "case_summary": "summaries of cases",
+    "digest": "digests of rulings",
+    "headnotes": "head notes",
+    "facts": "facts of cases",
+    "held": "what was held",
+    "ruling": "texts of rulings",
+    "metadata": "citations, courts and parties",
+}
+
+
+def intents(queries: DataFrame, models: Models, system: str | None = None, on_step: OnStep | None = None) -> DataFrame:
     """query_id, query, rewritten_query, intent, filters, dates: a model's reading of each query, kept to what the query itself holds.
 
+    ``system`` is what the model is told first, ``reading_prompt`` over the collections if it is not given.
+
     A reply that is not JSON of the asked shape, or an error, leaves the query as it is, with an unknown intent and no filters.
     """
-    message = F.to_json(F.array(F.struct(F.lit("system").alias("role"), F.lit(system).alias("content")), F.struct(F.lit("user").alias("role"), F.col("query").alias("content"))))
+    told = reading_prompt(getattr(models, "reader", ""), COLLECTIONS)[0] if system is None else system
+    message = F.to_json(F.array(F.struct(F.lit("system").alias("role"), F.lit(told).alias("content")), F.struct(F.lit("user").alias("role"), F.col("query").alias("content"))))
     replies = answered(queries.withColumn("_messages", message), "_messages", models).drop("_messages")
     parsed = replies.withColumn("_r", F.from_json(F.get_json_object("reply", "$.content"), REPLY)).drop("reply")
     out = parsed.select(*queries.columns, *read_reply(F.col("query"), F.col("_r")))

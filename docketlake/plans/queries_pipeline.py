@@ -12,7 +12,7 @@ from ..sources.fixtures import with_tables
 from ..streaming import trace
 from ..tables import table
 from . import modes, retrieval
-from .models import Offline
+from .models import Offline, Researcher
 from .kept import kept
 from .queries_ranking import BOTH, DENSE, FLAT, FULL_TEXT, HYBRID, SPARSE
 
@@ -293,6 +293,47 @@ def instant_reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", "rerank_score")
 
 
+@query(
+    with_tables(
+        HYBRID + " ft_index",
+        """SELECT query_id, 'answer' AS status, CASE WHEN len(ids) = 0 THEN 'Nothing was found.' ELSE concat('It is ', array_to_string(list_transform(ids, lambda x: concat('[', x, ']')), ' and '), '.') END AS answer,
+array_to_string(list_sort(list_filter(ids, lambda x: length(x) > 1)), ',') AS doc_ids, CASE WHEN len(ids) > 0 AND even THEN 2 ELSE 1 END AS attempts_used FROM ids_""",
+        **ES,
+        **{k: v for k, v in BOTH.items() if k != "dense"},
+        spone="SELECT query_id, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, collection_ord, pos) AS fp FROM sparse) WHERE fp = 1",
+        ids_=f"SELECT q.query_id, len(regexp_extract_all(q.query, {TOK})) % 2 = 0 AS even, list_filter(CASE WHEN e.doc_id = s.doc_id THEN [e.doc_id] ELSE [e.doc_id, s.doc_id] END, lambda x: x IS NOT NULL) AS ids FROM queries q LEFT JOIN (SELECT query_id, doc_id FROM es WHERE pos = 1) e USING (query_id) LEFT JOIN spone s USING (query_id)",
+    )
+)
+def agent_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The agent over all benchmark texts with its four tools and a scripted model; answers that cite an unseen id are sent back."""
+    models = Researcher()
+    out = modes.agent(_asked(spark, sf_dir), models, modes.tools_of(retrieval.corpus(spark, sf_dir), models), kept)
+    return out.select("query_id", "status", "answer", F.array_join("doc_ids", ",").alias("doc_ids"), "attempts_used")
+
+
+@query(
+    with_tables(
+        HYBRID + " gold",
+        """SELECT query_id, CAST(len(cited) AS INT) AS citation_count, '' AS invalid, len(firsts_) > 0 AS citation_valid, len(list_intersect(cited, gold_)) > 0 AS gold_cited FROM (
+SELECT q.query_id, coalesce(f.ids, []) AS firsts_, list_filter(coalesce(f.ids, []), lambda x: length(x) > 1) AS cited, coalesce(g.ids, []) AS gold_ FROM queries q
+LEFT JOIN (SELECT query_id, list(doc_id) AS ids FROM firsts WHERE n <= 2 GROUP BY query_id) f USING (query_id) LEFT JOIN (SELECT query_id, list(doc_id) AS ids FROM gold GROUP BY query_id) g USING (query_id))""",
+        **FLAT,
+        fused="""SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf_score DESC, first.s, first.p) AS fused_pos FROM (
+SELECT query_id, chunk_id, any_value(doc_id) AS doc_id, any_value(text) AS text, round(sum(1.0 / (60 + pos)), 9) AS rrf_score, min({'s': src_ord, 'p': pos}) AS first FROM flat GROUP BY query_id, chunk_id)""",
+        **CONTEXT,
+        firsts=PROMPTS["firsts"],
+    )
+)
+def citation_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the answers from the best chunks cite what was retrieved, and gold."""
+    from . import evaluation
+
+    asked = _asked(spark, sf_dir)
+    best = kept(modes.context(retrieval.fused_chunks(*retrieval.lists(spark, sf_dir)), asked, Offline()))
+    flags = evaluation.citation_flags(best, asked, fixtures.gold(spark, sf_dir), Offline())
+    return flags.select("query_id", "citation_count", F.array_join("invalid", ",").alias("invalid"), "citation_valid", F.coalesce("gold_cited", F.lit(False)).alias("gold_cited"))
+
+
 @query(
     with_tables(
         HYBRID,
@@ -311,7 +352,7 @@ def ai_mode_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     with_tables(
         HYBRID + " ft_index",
-        "SELECT p.query_id, a.answer <> '' OR true AS ok, a.answer, concat((SELECT count(DISTINCT doc_id) FROM best b WHERE b.query_id = p.query_id), ' documents') AS reasoning, coalesce(t.citations, '') AS citations, md5(p.prompt) AS prompt_md5 FROM prompts p JOIN answers_ a USING (query_id) LEFT JOIN told t USING (query_id)",
+        "SELECT p.query_id, true AS ok, a.answer, concat((SELECT count(DISTINCT doc_id) FROM best b WHERE b.query_id = p.query_id), ' documents') AS reasoning, coalesce(t.citations, '') AS citations, md5(p.prompt) AS prompt_md5 FROM prompts p JOIN answers_ a USING (query_id) LEFT JOIN told t USING (query_id)",
         **RETRIEVED,
         **CONTEXT,
         **PROMPTS,
@@ -470,16 +511,16 @@ _STAGE_LISTS = {
         scored=CONTEXT["scored"],
         lists=" UNION ALL ".join(f"SELECT '{name}' AS stage, query_id, doc_id, pos FROM ({sql})" for name, sql in _STAGE_LISTS.items()),
         docs_="SELECT stage, query_id, doc_id, row_number() OVER (PARTITION BY stage, query_id ORDER BY min(pos), doc_id) AS rank FROM lists GROUP BY stage, query_id, doc_id",
-        ranks="SELECT stage, query_id, min(rank) AS rank FROM docs_ JOIN gold USING (query_id, doc_id) GROUP BY stage, query_id UNION ALL SELECT DISTINCT 'agentic', query_id, 1 FROM lists JOIN gold USING (query_id, doc_id) WHERE stage = 'es' AND pos = 1",
+        ranks="SELECT stage, query_id, min(rank) AS rank FROM docs_ JOIN gold USING (query_id, doc_id) GROUP BY stage, query_id UNION ALL SELECT DISTINCT 'agentic', query_id, 1 FROM lists JOIN gold USING (query_id, doc_id) WHERE stage IN ('es', 'raw_sparse') AND pos = 1 AND length(doc_id) > 1",
     )
 )
 def evaluation_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every case through every stage; the agent's answers cite the first document of the full-text search."""
+    """Every case through every stage, the agent's among them."""
     from . import evaluation
 
     cases, corpus = fixtures.queries(spark, sf_dir), retrieval.corpus(spark, sf_dir)
     found = evaluation.stages(corpus, cases.select("query_id", "query"), fixtures.query_vectors(spark, sf_dir), Offline(), checkpoint=kept)
-    answers = found["es"].where("pos = 1").select("query_id", F.array("doc_id").alias("doc_ids"))
+    answers = modes.agent(cases.select("query_id", "query"), Researcher(), modes.tools_of(corpus, Researcher()), kept).where("status = 'answer'").select("query_id", "doc_ids")
     return evaluation.ranks(found, cases, fixtures.gold(spark, sf_dir), "offline", answers).select("run", "query_id", "stage", shown_rank(F.col("rank")).alias("rank"))
 
 
