@@ -76,26 +76,16 @@ def gold_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixtures.gold(spark, sf_dir)
 
 
-# the chunks that have a vector hold no benchmark text of the first queries: documents of every seventh number stand for gold
-SEVENS = "SELECT q.query_id, CAST(d.doc_id AS STRING) AS doc_id FROM queries q, documents d WHERE d.doc_id % 7 = 0"
-
-
-def _sevens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where("doc_id % 7 = 0").select(F.col("doc_id").cast("string").alias("doc_id"))
-    return docs.crossJoin(F.broadcast(_asked(spark, sf_dir).select("query_id")))
-
-
 @query(
     with_tables(
-        HYBRID,
-        "SELECT d.query_id, d.collection, CAST(min(d.doc_rank) AS BIGINT) AS rank FROM (SELECT query_id, collection, doc_id, row_number() OVER (PARTITION BY query_id, collection ORDER BY min(pos)) AS doc_rank FROM sparse GROUP BY query_id, collection, doc_id) d JOIN sevens USING (query_id, doc_id) GROUP BY d.query_id, d.collection",
+        HYBRID + " gold",
+        "SELECT d.query_id, d.collection, CAST(min(d.doc_rank) AS BIGINT) AS rank FROM (SELECT query_id, collection, doc_id, row_number() OVER (PARTITION BY query_id, collection ORDER BY min(pos)) AS doc_rank FROM sparse GROUP BY query_id, collection, doc_id) d JOIN gold USING (query_id, doc_id) GROUP BY d.query_id, d.collection",
         **BOTH,
-        sevens=SEVENS,
     )
 )
 def collection_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, sparse = retrieval.lists(spark, sf_dir)
-    found = rank.gold_rank(sparse, _sevens(spark, sf_dir), ["query_id", "collection"])
+    found = rank.gold_rank(sparse, fixtures.gold(spark, sf_dir), ["query_id", "collection"])
     return found.select("query_id", "collection", F.col("rank").cast("long").alias("rank"))
 
 
@@ -165,15 +155,14 @@ def recall_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     with_tables(
-        HYBRID,
-        "SELECT query_id, arg_min(collection, {'r': rank, 'c': collection}) AS collection FROM (SELECT d.query_id, d.collection, min(d.doc_rank) AS rank FROM (SELECT query_id, collection, doc_id, row_number() OVER (PARTITION BY query_id, collection ORDER BY min(pos)) AS doc_rank FROM sparse GROUP BY query_id, collection, doc_id) d JOIN sevens USING (query_id, doc_id) GROUP BY d.query_id, d.collection) GROUP BY query_id",
+        HYBRID + " gold",
+        "SELECT query_id, arg_min(collection, {'r': rank, 'c': collection}) AS collection FROM (SELECT d.query_id, d.collection, min(d.doc_rank) AS rank FROM (SELECT query_id, collection, doc_id, row_number() OVER (PARTITION BY query_id, collection ORDER BY min(pos)) AS doc_rank FROM sparse GROUP BY query_id, collection, doc_id) d JOIN gold USING (query_id, doc_id) GROUP BY d.query_id, d.collection) GROUP BY query_id",
         **BOTH,
-        sevens=SEVENS,
     )
 )
 def first_collection(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, sparse = retrieval.lists(spark, sf_dir)
-    return evaluate.first_collections(rank.gold_rank(sparse, _sevens(spark, sf_dir), ["query_id", "collection"]))
+    return evaluate.first_collections(rank.gold_rank(sparse, fixtures.gold(spark, sf_dir), ["query_id", "collection"]))
 
 
 @query(with_tables("queries", "SELECT query_id, s.stage, coalesce(CAST(CASE WHEN s.stage = 'es' AND item_id % 2 = 0 THEN item_id END AS STRING), '>50') AS rank FROM queries, (SELECT unnest(['es','raw_dense','raw_sparse','rewritten_dense','rewritten_sparse','rrf','reranker','agentic']) AS stage) s"))
@@ -183,14 +172,6 @@ def case_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.with_stages(cases.select("query_id"), ranks).select("query_id", "stage", shown_rank(F.col("rank")).alias("rank"))
 
 
-@query("SELECT CAST(count(*) FILTER (n % 3 = 0 AND n % 5 <> 0) AS BIGINT) AS passed, CAST(count(*) AS BIGINT) AS total FROM range(60) r(n)")
-def intent_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    expected = F.create_map(F.lit("court"), F.lit("SC"), F.lit("section"), F.lit("17D"))
-    actual = F.when(F.col("id") % 3 == 0, F.create_map(F.lit("section"), F.lit("17D"), F.lit("court"), F.lit("SC"))).otherwise(F.create_map(F.lit("court"), F.lit("SC")))
-    rows = spark.range(60).select(expected.alias("expected"), actual.alias("actual"), F.when(F.col("id") % 5 == 0, "timeout").alias("error"))
-    return evaluate.intent_passes(rows)
-
-
 # ---- modes with stand-in models
 
 
@@ -293,6 +274,24 @@ def instant_reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("query_id", F.col("rank").cast("long").alias("rank"), "doc_id", "rerank_score")
 
 
+@query(with_tables("queries ft_index", "SELECT r.query_id, CASE WHEN a.n IS NULL THEN 'empty_ignored' ELSE 'applied' END AS mode, coalesce(a.n, 0) AS hits FROM reads r LEFT JOIN (SELECT query_id, count(*) AS n FROM allow GROUP BY query_id) a USING (query_id)", **{k: READ[k] for k in ("reads", "fullwords", "allow")}))
+def allowlist_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What becomes of each benchmark text's filters, and how many documents they allow."""
+    found = modes.allowed(fixtures.index(spark, sf_dir), kept(modes.intents(_asked(spark, sf_dir), Offline())))
+    hits = found.documents.groupBy("query_id").agg(F.count("*").alias("hits"))
+    return found.modes.join(hits, "query_id", "left").select("query_id", "mode", F.coalesce("hits", F.lit(0)).alias("hits"))
+
+
+@query(with_tables("queries", f"SELECT CAST(count(*) FILTER (item_id % 3 <> 1 AND item_id % 5 <> 0) AS BIGINT) AS passed, CAST(count(*) AS BIGINT) AS total FROM queries WHERE len(regexp_extract_all(query, {TOK})) > 0"))
+def intent_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filters that the stand-in reads in each benchmark text against expected ones, of which a third are others; a fifth of the cases end in error."""
+    cases = fixtures.queries(spark, sf_dir)
+    first = F.lower(F.regexp_extract("query", r"[\p{L}\p{N}]+", 0))
+    expected = F.when(F.col("item_id") % 3 == 1, F.create_map(F.lit("act"), F.concat(first, F.lit("x")))).otherwise(F.create_map(F.lit("act"), first))
+    read = modes.intents(cases.select("query_id", "query", "item_id"), Offline())
+    return evaluate.intent_passes(read.where(first != "").select(expected.alias("expected"), F.col("filters").alias("actual"), F.when(F.col("item_id") % 5 == 0, "timeout").alias("error")))
+
+
 @query(
     with_tables(
         HYBRID + " ft_index",
@@ -547,19 +546,29 @@ def step_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maps.select(F.col("user_id").alias("query_id"), F.explode("times").alias("step", "ms"))
 
 
-@query("SELECT n, m AS path FROM range(9) r(n), (SELECT unnest(['instant', 'ai_mode']) AS m) WHERE (CASE n % 3 WHEN 0 THEN 'instant' WHEN 1 THEN 'ai_mode' ELSE 'both' END) IN (m, 'both')")
+@query("SELECT event_id, unnest(CASE event_type WHEN 'view' THEN ['instant'] WHEN 'click' THEN ['ai_mode'] WHEN 'error' THEN [] ELSE ['instant', 'ai_mode'] END) AS path FROM events")
 def mode_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mode = F.when(F.col("id") % 3 == 0, "instant").when(F.col("id") % 3 == 1, "ai_mode").otherwise("both")
-    paths = F.filter(F.array(F.lit("instant"), F.lit("ai_mode")), lambda m: mode.isin("both") | (mode == m))
-    return spark.range(9).select(F.col("id").alias("n"), F.explode(paths).alias("path"))
+    """The ways that each event's mode takes: one, both, and none for a mode that does not exist."""
+    from .serving import paths
 
+    t = F.col("event_type")
+    mode = F.when(t == "view", "instant").when(t == "click", "ai_mode").when(t == "purchase", "both").when(t == "error", "other")
+    return table(spark, sf_dir, "events").select("event_id", F.explode(paths(mode)).alias("path"))
 
-@query("SELECT role, coalesce(CASE WHEN role <> 'embedder' THEN override END, model) AS model FROM (VALUES ('slm', 'm1', 'Qwen3-30B-A3B'), ('embedder', 'm2', 'voyage'), ('reranker', NULL, 'Qwen3-Reranker'), ('nobody', NULL, NULL)) r(role, override, model)")
+
+_ROLE = "CASE event_type WHEN 'view' THEN 'slm' WHEN 'click' THEN 'embedder' WHEN 'error' THEN 'nobody' WHEN 'signup' THEN 'agent' ELSE 'reranker' END"
+
+
+@query(
+    f"""SELECT event_id, role, coalesce(CASE WHEN role IN ('slm', 'agent', 'reranker') THEN override END, CASE role WHEN 'slm' THEN 'Qwen3-30B-A3B' WHEN 'agent' THEN 'DeepSeek-V4-Flash' WHEN 'reranker' THEN 'Qwen3-Reranker' WHEN 'embedder' THEN 'voyage' END) AS model
+FROM (SELECT event_id, {_ROLE} AS role, CASE WHEN user_id % 2 = 0 THEN concat('m', user_id) END AS override FROM events)"""
+)
 def role_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The model of each event's role, with the override that half of the users ask for."""
     from .models import resolved
 
-    rows = spark.createDataFrame([("slm", "m1"), ("embedder", "m2"), ("reranker", None), ("nobody", None)], "role string, override string")
-    return rows.select("role", resolved(F.col("role"), F.col("override")).alias("model"))
+    rows = table(spark, sf_dir, "events").select("event_id", F.expr(_ROLE).alias("role"), F.when(F.col("user_id") % 2 == 0, F.concat(F.lit("m"), F.col("user_id").cast("string"))).alias("override"))
+    return rows.select("event_id", "role", resolved(F.col("role"), F.col("override")).alias("model"))
 
 
 @query("SELECT CAST(doc_id AS STRING) AS doc_id, coalesce(CASE WHEN doc_id % 3 = 0 THEN '' WHEN doc_id % 3 = 1 THEN lang END, CASE WHEN doc_id % 2 = 0 THEN source END, '') AS snippet FROM documents")
@@ -578,13 +587,13 @@ def reranked_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fuse.reranked_cards(hits).select("doc_id", "snippet")
 
 
-@query("SELECT n, CAST((n * 7) % 1000 AS STRING) AS linked, CAST((n * 7) % 1000 IN (SELECT doc_id FROM documents) AS BOOLEAN) AS known FROM range(200) r(n)")
+@query("SELECT doc_id AS n, CAST(doc_id * 7 AS STRING) AS linked, CAST(doc_id * 7 IN (SELECT doc_id FROM documents) AS BOOLEAN) AS known FROM documents")
 def link_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links in documents, joined with the documents that they open."""
     from ..functions import markup
 
-    target = ((F.col("id") * 7) % 1000).cast("string")
-    pages = spark.range(200).select("id", F.concat(F.lit('<d><para>See <link href="'), target, F.lit('">it</link>.</para></d>')).alias("xml"))
+    target = (F.col("id") * 7).cast("string")
+    pages = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id")).select("id", F.concat(F.lit('<d><para>See <link href="'), target, F.lit('">it</link>.</para></d>')).alias("xml"))
     spans = pages.select("id", F.explode(F.flatten(markup.blocks(F.col("xml"))["spans"])).alias("s")).where("s.type = 'link'")
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.lit(True).alias("known"))
     joined = spans.select("id", F.col("s.doc_id").alias("linked")).join(docs, F.col("linked") == F.col("doc_id"), "left")

@@ -304,7 +304,7 @@ def raw_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     index = fixtures.index(spark, sf_dir)
     quoted = index.join(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_number")).distinct(), "doc_number", "left_semi")
-    asked = _plain(spark, sf_dir).unionByName(fixtures.query_strings(spark).select(F.concat(F.lit("S"), F.col("n").cast("string")).alias("query_id"), F.col("q").alias("query")))
+    asked = _plain(spark, sf_dir).unionByName(fixtures.query_strings(spark, sf_dir).select(F.concat(F.lit("S"), F.col("n").cast("string")).alias("query_id"), F.col("q").alias("query")))
     asked = asked.unionByName(quoted.select(F.concat(F.lit("P"), F.col("doc_number").cast("string")).alias("query_id"), F.concat(F.lit('"'), "subheading", F.lit('" of '), "heading").alias("query")))
     hits = retrieval.full_text(index, asked, SAMPLE, written=retrieval.fields_index(spark, sf_dir))
     return hits.select("query_id", F.col("pos").cast("long").alias("pos"), "doc_id", "score", "heading", "subheading")

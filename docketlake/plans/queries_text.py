@@ -44,7 +44,7 @@ _SPACED = "regexp_replace(q, '([0-9]{4})([a-zA-Z])', '\\1 \\2', 'g')"
 
 @query(_strings(f"SELECT n, {_SPACED} AS spaced FROM strings"))
 def citation_spacing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixtures.query_strings(spark).select("n", T.citation_spacing(F.col("q")).alias("spaced"))
+    return fixtures.query_strings(spark, sf_dir).select("n", T.citation_spacing(F.col("q")).alias("spaced"))
 
 
 SHAPE = f"""CASE WHEN regexp_matches({_SPACED}, '(?i)\\(?\\d{{4}}\\)?\\s*\\(?\\d*\\)?\\s*[A-Z]{{2,10}}\\s*\\d+') OR regexp_matches({_SPACED}, '(?i)\\bv(?:s\\.?|ersus)?\\.?\\s+\\w') THEN 'citation'
@@ -53,7 +53,7 @@ WHEN regexp_matches({_SPACED}, '(?i)\\b(?:section|sec\\.?|u/s|rule|article)\\s*\
 
 @query(_strings(f"SELECT n, {SHAPE} AS shape FROM strings"))
 def query_shape(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixtures.query_strings(spark).select("n", T.query_shape(F.col("q")).alias("shape"))
+    return fixtures.query_strings(spark, sf_dir).select("n", T.query_shape(F.col("q")).alias("shape"))
 
 
 _PARTS = f"array_to_string({WORDS.format(q='q')}, {_SEP})"
@@ -61,12 +61,12 @@ _PARTS = f"array_to_string({WORDS.format(q='q')}, {_SEP})"
 
 @query(_strings(f"SELECT n, replace({_KEYWORD.format(s=_PARTS)}, {_SEP}, '|') AS merged FROM strings"))
 def merge_keyword_number(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixtures.query_strings(spark).select("n", F.array_join(T.merge_keyword_number(T.words(F.col("q"))), "|").alias("merged"))
+    return fixtures.query_strings(spark, sf_dir).select("n", F.array_join(T.merge_keyword_number(T.words(F.col("q"))), "|").alias("merged"))
 
 
 @query(_strings(f"SELECT n, replace({_COURT.format(s=_PARTS)}, {_SEP}, '|') AS merged FROM strings"))
 def merge_court_city(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixtures.query_strings(spark).select("n", F.array_join(T.merge_court_city(T.words(F.col("q"))), "|").alias("merged"))
+    return fixtures.query_strings(spark, sf_dir).select("n", F.array_join(T.merge_court_city(T.words(F.col("q"))), "|").alias("merged"))
 
 
 _STOP = ", ".join(f"'{w}'" for w in sorted(SAMPLE.stopwords - SAMPLE.journals))
@@ -74,7 +74,7 @@ _STOP = ", ".join(f"'{w}'" for w in sorted(SAMPLE.stopwords - SAMPLE.journals))
 
 @query(_strings(f"SELECT n, array_to_string(list_filter({WORDS.format(q='q')}, lambda t: upper(t) NOT IN ({_STOP})), '|') AS kept FROM strings"))
 def strip_stopwords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixtures.query_strings(spark).select("n", F.array_join(T.strip_stopwords(T.words(F.col("q")), SAMPLE), "|").alias("kept"))
+    return fixtures.query_strings(spark, sf_dir).select("n", F.array_join(T.strip_stopwords(T.words(F.col("q")), SAMPLE), "|").alias("kept"))
 
 
 _QUOTED = f"""array_to_string(list_concat(regexp_extract_all(q, '"([^"]+)"', 1), {WORDS.format(q="regexp_replace(q, '\"([^\"]+)\"', ' ', 'g')")}), {_SEP})"""
@@ -82,7 +82,7 @@ _QUOTED = f"""array_to_string(list_concat(regexp_extract_all(q, '"([^"]+)"', 1),
 
 @query(_strings(f"SELECT n, replace({_QUOTED}, {_SEP}, '|') AS parts FROM strings"))
 def quoted_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixtures.query_strings(spark).select("n", F.array_join(T.quoted_phrases(F.col("q")), "|").alias("parts"))
+    return fixtures.query_strings(spark, sf_dir).select("n", F.array_join(T.quoted_phrases(F.col("q")), "|").alias("parts"))
 
 
 PHRASES = f"list_filter(string_split({_COURT.format(s=_KEYWORD.format(s=_QUOTED))}, {_SEP}), lambda t: upper(t) NOT IN ({_STOP}) AND contains(t, ' '))"
@@ -90,7 +90,7 @@ PHRASES = f"list_filter(string_split({_COURT.format(s=_KEYWORD.format(s=_QUOTED)
 
 @query(_strings(f"SELECT n, array_to_string({PHRASES}, '|') AS phrases FROM strings"))
 def boost_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixtures.query_strings(spark).select("n", F.array_join(T.boost_phrases(F.col("q"), SAMPLE), "|").alias("phrases"))
+    return fixtures.query_strings(spark, sf_dir).select("n", F.array_join(T.boost_phrases(F.col("q"), SAMPLE), "|").alias("phrases"))
 
 
 SYNONYMS = ", ".join(f"('{k}', {i}, '{s}')" for k, v in sorted(SAMPLE.synonyms.items()) for i, s in enumerate(v))
@@ -106,7 +106,7 @@ WHERE NOT EXISTS (SELECT 1 FROM wordsof o WHERE o.n = w.n AND upper(o.t) = upper
     )
 )
 def synonym_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixtures.query_strings(spark).select("n", T.expand_synonyms(F.col("q"), SAMPLE).alias("expanded"))
+    return fixtures.query_strings(spark, sf_dir).select("n", T.expand_synonyms(F.col("q"), SAMPLE).alias("expanded"))
 
 
 @query(
@@ -115,21 +115,23 @@ def synonym_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 )
 def lexicon_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = fixtures.query_strings(spark).select("n", F.explode(T.words(F.col("q"))).alias("token"))
+    words = fixtures.query_strings(spark, sf_dir).select("n", F.explode(T.words(F.col("q"))).alias("token"))
     t = F.col("token")
     return words.select("n", "token", T.is_court(t, SAMPLE).alias("is_court"), T.is_journal(t, SAMPLE).alias("is_journal"), T.is_stopword(t, SAMPLE).alias("is_stopword"), T.normalised(t, SAMPLE).alias("normal"))
 
 
-_ROWS = [("DELHI", "COURT|CITY", ""), ("BENCHA", "BENCH", "x"), ("ITR", "JOURNAL", "ITR"), ("OF", "STOPWORD", ""), ("INDIA", "COUNTRY", "IND|BHARAT"), ("CIT", "WORD", "COMMISSIONER | CIT OF INCOME | "), ("115I", "WORD", "115-I"), ("Tax", "WORD", " tax "), ("ACT", "WORD", "")]
-_ROWS_SQL = ", ".join("('{}', '{}', '{}')".format(*r) for r in _ROWS)
+#: Rows of a lexicon made of each document's first words; the zones, synonyms and normal forms take turns.
+_ROWS = """SELECT w AS key, CASE doc_id % 8 WHEN 0 THEN 'COURT|CITY' WHEN 1 THEN 'BENCH' WHEN 2 THEN 'JOURNAL' WHEN 3 THEN 'STOPWORD' WHEN 4 THEN 'COUNTRY' ELSE 'WORD' END AS z,
+CASE doc_id % 8 WHEN 2 THEN w WHEN 4 THEN concat(w, '|', source) WHEN 5 THEN concat(w, ' | ', source, ' OF ', lang, ' | ') WHEN 6 THEN concat(' ', w, '-', source) WHEN 7 THEN concat(' ', lower(w), ' ') ELSE '' END AS st
+FROM (SELECT doc_id, coalesce(source, '-') AS source, coalesce(lang, '-') AS lang, concat(upper(regexp_extract(text, '[A-Za-z]+', 0)), CAST(doc_id AS STRING)) AS w FROM documents)"""
 
 
 @query(
     f"""SELECT kind, key, CASE kind WHEN 'synonym' THEN array_to_string(list_filter(list_transform(string_split(s, '|'), lambda p: trim(p)), lambda p: p <> ''), ',') WHEN 'normal' THEN s ELSE '' END AS vals FROM (
-SELECT key, trim(st) AS s, CASE WHEN contains(z, 'COURT') OR contains(z, 'BENCH') THEN 'court' WHEN z = 'JOURNAL' THEN 'journal' WHEN z = 'STOPWORD' THEN 'stopword' WHEN contains(z, 'COUNTRY') THEN NULL WHEN contains(trim(st), '|') THEN 'synonym' WHEN trim(st) <> '' AND upper(trim(st)) <> upper(key) THEN 'normal' END AS kind FROM (VALUES {_ROWS_SQL}) r(key, z, st)) WHERE kind IS NOT NULL"""
+SELECT key, trim(st) AS s, CASE WHEN contains(z, 'COURT') OR contains(z, 'BENCH') THEN 'court' WHEN z = 'JOURNAL' THEN 'journal' WHEN z = 'STOPWORD' THEN 'stopword' WHEN contains(z, 'COUNTRY') THEN NULL WHEN contains(trim(st), '|') THEN 'synonym' WHEN trim(st) <> '' AND upper(trim(st)) <> upper(key) THEN 'normal' END AS kind FROM ({_ROWS})) WHERE kind IS NOT NULL"""
 )
 def lexicon_build(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(_ROWS, "key string, zone_type string, search_text string")
+    rows = spark.sql(_ROWS.replace("FROM documents", "FROM {docs}"), docs=table(spark, sf_dir, "documents")).toDF("key", "zone_type", "search_text")
     return lexicon.build(rows).select("kind", "key", F.array_join("values", ",").alias("vals"))
 
 
@@ -138,7 +140,7 @@ _PROTECTED = "list_sort(list_distinct(list_transform(list_filter(regexp_extract_
 
 @query(_strings(f"SELECT n, array_to_string({_PROTECTED.format(x='q')}, ',') AS ids FROM strings"))
 def protected_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fixtures.query_strings(spark).select("n", F.array_join(F.array_sort(T.protected_identifiers(F.col("q"))), ",").alias("ids"))
+    return fixtures.query_strings(spark, sf_dir).select("n", F.array_join(F.array_sort(T.protected_identifiers(F.col("q"))), ",").alias("ids"))
 
 
 _REWRITES = "CASE n % 4 WHEN 0 THEN concat(q, ' please') WHEN 1 THEN concat(q, ' under the CGST Act') WHEN 2 THEN replace(q, '2', '3') ELSE lower(q) END"
@@ -155,26 +157,26 @@ OR (len({_PLAIN.format(x='q')}) > 0 AND len(list_intersect({_PLAIN.format(x='q')
     )
 )
 def safe_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rewritten = fixtures.query_strings(spark).withColumn("r", F.expr(_REWRITES))
+    rewritten = fixtures.query_strings(spark, sf_dir).withColumn("r", F.expr(_REWRITES))
     return rewritten.select("n", T.safe_rewrite(F.col("q"), F.col("r")).alias("kept"))
 
 
 _FILTERS = "concat_ws('', CASE WHEN n % 2 = 0 THEN 'court=Supreme court;' ELSE 'court=Oslo High Court;' END, 'section=12A;', 'judge=Nobody;', 'colour=red;')"
 
 
-@query(_strings("SELECT n, array_to_string(list_filter([CASE WHEN n % 2 = 0 THEN 'court=Supreme court' ELSE 'court=Oslo High Court' END, 'section=12A', 'judge=Nobody'], lambda p: contains(lower(q), lower(split_part(p, '=', 2)))), ';') AS kept FROM strings"))
+@query(_strings("SELECT n, array_to_string(list_filter([CASE WHEN n % 2 = 0 THEN 'court=Supreme court' ELSE 'court=High Court' END, 'section=12A', 'judge=Nobody'], lambda p: contains(lower(q), lower(split_part(p, '=', 2)))), ';') AS kept FROM strings"))
 def sanitize_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    court = F.when(F.col("n") % 2 == 0, "Supreme court").otherwise("Oslo High Court")
+    court = F.when(F.col("n") % 2 == 0, "Supreme court").otherwise("High Court")
     given = F.create_map(F.lit("court"), court, F.lit("section"), F.lit("12A"), F.lit("judge"), F.lit("Nobody"), F.lit("colour"), F.lit("red"))
     kept = F.map_entries(P.sanitised(F.col("q"), given))
-    return fixtures.query_strings(spark).select("n", F.array_join(F.transform(kept, lambda e: F.concat_ws("=", e["key"], e["value"])), ";").alias("kept"))
+    return fixtures.query_strings(spark, sf_dir).select("n", F.array_join(F.transform(kept, lambda e: F.concat_ws("=", e["key"], e["value"])), ";").alias("kept"))
 
 
-@query(_strings("SELECT n, contains(q, '2020') AS gte_kept, contains(q, '2022') AS lte_kept FROM strings"))
+@query(_strings("SELECT n, contains(q, '2005') AS gte_kept, contains(q, '1975') AS lte_kept FROM strings"))
 def sanitize_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    given = F.create_map(F.lit("gte"), F.lit("2020-01-01"), F.lit("lte"), F.lit("2022-12-31"), F.lit("until"), F.lit("2020-01-01"))
+    given = F.create_map(F.lit("gte"), F.lit("2005-01-01"), F.lit("lte"), F.lit("1975-12-31"), F.lit("until"), F.lit("2005-01-01"))
     kept = P.sanitised_dates(F.col("q"), given)
-    return fixtures.query_strings(spark).select("n", F.map_contains_key(kept, "gte").alias("gte_kept"), F.map_contains_key(kept, "lte").alias("lte_kept"))
+    return fixtures.query_strings(spark, sf_dir).select("n", F.map_contains_key(kept, "gte").alias("gte_kept"), F.map_contains_key(kept, "lte").alias("lte_kept"))
 
 
 _STOPS = ", ".join(f"'{w}'" for w in T.HIGHLIGHT_STOPWORDS)
@@ -182,7 +184,7 @@ _STOPS = ", ".join(f"'{w}'" for w in T.HIGHLIGHT_STOPWORDS)
 
 @query(_strings(f"SELECT n, string_agg(w, ',' ORDER BY length(w) DESC, pos) AS terms FROM (SELECT n, w, min(pos) AS pos FROM (SELECT n, unnest(regexp_extract_all(lower(q), '[\\p{{L}}\\p{{N}}]+')) AS w, generate_subscripts(regexp_extract_all(lower(q), '[\\p{{L}}\\p{{N}}]+'), 1) AS pos FROM strings) WHERE length(w) >= 3 AND w NOT IN ({_STOPS}) GROUP BY n, w) GROUP BY n"))
 def highlight_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    terms = fixtures.query_strings(spark).select("n", T.query_terms(F.col("q")).alias("t"))
+    terms = fixtures.query_strings(spark, sf_dir).select("n", T.query_terms(F.col("q")).alias("t"))
     return terms.where(F.size("t") > 0).select("n", F.array_join("t", ",").alias("terms"))
 
 
@@ -264,12 +266,6 @@ def allowlist_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inside.groupBy("collection").agg(F.count("*").alias("n"))
 
 
-@query("SELECT n, CASE WHEN n % 3 = 0 THEN 'none' WHEN n % 3 = 1 THEN 'empty_ignored' ELSE 'applied' END AS mode FROM range(9) t(n)")
-def allowlist_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    given = F.when(F.col("id") % 3 == 0, F.create_map().cast("map<string,string>")).otherwise(F.create_map(F.lit("court"), F.lit("x")))
-    return spark.range(9).select(F.col("id").alias("n"), P.allowlist_mode(given, F.col("id") % 3 - 1).alias("mode"))
-
-
 # ---- citations
 
 _CITED = "list_distinct(list_filter(flatten(list_transform(regexp_extract_all(answer, '\\[([A-Za-z0-9_-]+(?:\\s*,\\s*[A-Za-z0-9_-]+)*)\\]', 1), lambda g: list_transform(string_split(g, ','), lambda t: trim(t)))), lambda t: length(t) >= 2 AND regexp_matches(t, '[0-9]')))"
@@ -322,10 +318,10 @@ def citation_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cited.join(heads, "doc_id", "left").select("answer_id", "doc_id", F.coalesce(F.nullif("heading", F.lit("")), "doc_id").alias("label"))
 
 
-@query(with_tables("answers ft_index", f"SELECT DISTINCT c.id AS doc_id, i.heading, i.year FROM (SELECT unnest({_CITED}) AS id FROM answers WHERE CAST(answer_id AS BIGINT) % 5 = 0) c JOIN ft_index i ON i.id = c.id WHERE TRY_CAST(c.id AS BIGINT) % 2 = 1"))
+@query(with_tables("answers ft_index", f"SELECT DISTINCT c.id AS doc_id, i.heading, i.year FROM (SELECT unnest({_CITED}) AS id FROM answers) c JOIN ft_index i ON i.id = c.id WHERE TRY_CAST(c.id AS BIGINT) % 2 = 1"))
 def backfill_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metadata of cited documents that were not fetched before (the even ones were)."""
-    cited = fixtures.answers(spark, sf_dir).where(F.col("answer_id").cast("long") % 5 == 0).select(F.explode(C.cited_ids(F.col("answer"))).alias("doc_id")).distinct()
+    cited = fixtures.answers(spark, sf_dir).select(F.explode(C.cited_ids(F.col("answer"))).alias("doc_id")).distinct()
     index = fixtures.index(spark, sf_dir).select(F.col("id").alias("doc_id"), "doc_number", "heading", "year")
     fetched = index.where("doc_number % 2 = 0").select("doc_id")
     return cited.join(fetched, "doc_id", "left_anti").join(index, "doc_id").select("doc_id", "heading", "year")
@@ -334,17 +330,18 @@ def backfill_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- lookups, documents, small functions
 
 
-@query(with_tables("ft_index", "SELECT id AS doc_id, heading, subheading, year, judge FROM ft_index WHERE doc_number % 10 = 3"))
+@query(with_tables("ft_index", "SELECT id AS doc_id, heading, subheading, year, judge FROM ft_index"))
 def document_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = table(spark, sf_dir, "documents").where("doc_id % 10 = 3").select(F.col("doc_id").cast("string").alias("id"))
+    ids = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"))
     index = fixtures.index(spark, sf_dir).select("id", "heading", "subheading", F.struct(F.col("year").alias("name")).alias("year"), F.array(F.struct(F.col("judge").alias("name"))).alias("judges"))
     return ids.join(index, "id", "left").select(F.col("id").alias("doc_id"), "heading", "subheading", F.col("year.name").alias("year"), F.col("judges")[0]["name"].alias("judge"))
 
 
-@query(with_tables("ft_index", "SELECT r.id AS doc_id, md5(coalesce(i.fullcontent, '')) AS content FROM (SELECT CAST(n * 3 AS STRING) AS id FROM range(500) t(n)) r JOIN ft_index i ON i.id = r.id"))
+@query(with_tables("answers ft_index", f"SELECT DISTINCT c.id AS doc_id, md5(coalesce(i.fullcontent, '')) AS content FROM (SELECT unnest({_CITED}) AS id FROM answers) c JOIN ft_index i ON i.id = c.id"))
 def fulltext_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = spark.range(500).select((F.col("id") * 3).cast("string").alias("id"))
-    return fixtures.index(spark, sf_dir).join(F.broadcast(ids), "id").select(F.col("id").alias("doc_id"), F.md5(F.coalesce("fullcontent", F.lit(""))).alias("content"))
+    """The texts of all documents that answers cite."""
+    ids = fixtures.answers(spark, sf_dir).select(F.explode(C.cited_ids(F.col("answer"))).alias("id")).distinct()
+    return fixtures.index(spark, sf_dir).join(ids, "id").select(F.col("id").alias("doc_id"), F.md5(F.coalesce("fullcontent", F.lit(""))).alias("content"))
 
 
 @query("SELECT page_id, regexp_matches(lower(substr(ltrim(html), 1, 200)), '^(<!doctype html|<html)') AS legacy FROM pages")
@@ -376,24 +373,31 @@ def slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", T.slug(F.col("url")).alias("slug"), F.sha2("html", 256).alias("digest"), T.socket_url(F.replace("url", F.lit("http"), F.lit("ws"))).alias("address"))
 
 
-@query("SELECT n, concat('**', n, '** of **x**') AS t, array_to_string(regexp_extract_all(concat('**', n, '** of **x**'), '\\*\\*.+?\\*\\*'), '|') AS bold FROM range(20) r(n)")
+@query("SELECT doc_id, array_to_string(regexp_extract_all(concat('**', source, '** of **', lang, '** or *', lang, '*'), '\\*\\*.+?\\*\\*'), '|') AS bold FROM documents")
 def bold_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.concat(F.lit("**"), F.col("id").cast("string"), F.lit("** of **x**"))
-    return spark.range(20).select(F.col("id").alias("n"), text.alias("t"), F.array_join(T.bold_spans(text), "|").alias("bold"))
+    docs = table(spark, sf_dir, "documents").na.fill("", ["source", "lang"])
+    text = F.concat(F.lit("**"), "source", F.lit("** of **"), "lang", F.lit("** or *"), "lang", F.lit("*"))
+    return docs.select("doc_id", F.array_join(T.bold_spans(text), "|").alias("bold"))
 
 
-@query("SELECT n, round_even(n / 20.0, 1)::DOUBLE AS ms, CASE WHEN n % 3 = 0 THEN '>50' ELSE CAST(n AS STRING) END AS shown, CASE WHEN n % 2 = 0 THEN printf('%+d', n - 10) ELSE 'N/A' END AS delta FROM range(21) r(n)")
+@query("SELECT event_id, round_even(value::DECIMAL(10,4) / 20, 1)::DOUBLE AS ms, CASE WHEN user_id > 50 THEN '>50' ELSE CAST(user_id AS STRING) END AS shown, CASE WHEN event_type = 'view' THEN 'N/A' ELSE printf('%+d', user_id - 10) END AS delta FROM events")
 def formats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.col("id")
-    rank_ = F.when(n % 3 != 0, n)
-    return spark.range(21).select(n.alias("n"), V.rounded_ms((n / 20.0).cast("decimal(10,4)")).cast("double").alias("ms"), V.shown_rank(rank_).alias("shown"), V.shown_delta(n - 10, n % 2 == 0).alias("delta"))
+    """Times, ranks and differences as readers see them, of every event."""
+    u = F.col("user_id")
+    ms = (F.col("value").cast("decimal(10,4)") / 20).cast("decimal(14,6)")
+    return table(spark, sf_dir, "events").select("event_id", V.rounded_ms(ms).cast("double").alias("ms"), V.shown_rank(F.when(u <= 50, u)).alias("shown"), V.shown_delta(u - 10, F.col("event_type") != "view").alias("delta"))
 
 
-@query("SELECT n, n % 3 <> 0 AS has_input, n % 2 = 0 AS equal, CAST(CASE WHEN n % 2 = 0 THEN 7 ELSE 1 END AS BIGINT) AS merged FROM range(12) r(n)")
+@query(
+    """SELECT event_id, CASE WHEN event_type IN ('view', 'click') THEN user_id END AS input, CASE WHEN event_type = 'click' THEN event_id END AS output, event_type = 'error' AND user_id % 2 = 0 OR event_type = 'purchase' AS equal,
+CAST(CASE WHEN event_type = 'signup' THEN user_id ELSE event_id END AS BIGINT) AS merged FROM events"""
+)
 def map_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.col("id")
-    tokens = F.when(n % 3 == 0, F.create_map(F.lit("other"), n)).otherwise(F.create_map(F.lit("prompt_tokens"), n))
-    a, b = F.create_map(F.lit("x"), F.lit(1), F.lit("y"), n % 2), F.create_map(F.lit("y"), F.lit(0).cast("long"), F.lit("x"), F.lit(1).cast("long"))
-    extra = F.when(n % 2 == 0, F.create_map(F.lit("k"), F.lit(7))).otherwise(F.create_map(F.lit("z"), F.lit(9)))
-    merged = V.merged_maps(F.create_map(F.lit("k"), F.lit(1)), extra)
-    return spark.range(12).select(n.alias("n"), F.map_contains_key(V.usage(tokens), "input").alias("has_input"), V.maps_equal(a.cast("map<string,bigint>"), b).alias("equal"), F.element_at(merged, "k").cast("long").alias("merged"))
+    """Usage, equality and merging of maps made of every event's columns."""
+    kind, u, e = F.col("event_type"), F.col("user_id"), F.col("event_id")
+    tokens = F.when(kind == "view", F.create_map(F.lit("prompt_tokens"), u)).when(kind == "click", F.create_map(F.lit("prompt_tokens"), u, F.lit("completion_tokens"), e)).otherwise(F.create_map(F.lit("other"), u))
+    a = F.create_map(F.lit("x"), u, F.lit("y"), e)
+    b = F.when(kind == "purchase", F.create_map(F.lit("y"), e, F.lit("x"), u)).when(kind == "error", F.create_map(F.lit("y"), e, F.lit("x"), u + u % 2)).otherwise(F.create_map(F.lit("x"), u))
+    merged = V.merged_maps(F.create_map(F.lit("k"), e), F.when(kind == "signup", F.create_map(F.lit("k"), u)).otherwise(F.create_map(F.lit("z"), u)))
+    used = V.usage(tokens)
+    return table(spark, sf_dir, "events").select("event_id", F.try_element_at(used, F.lit("input")).alias("input"), F.try_element_at(used, F.lit("output")).alias("output"), V.maps_equal(a, b).alias("equal"), F.element_at(merged, "k").alias("merged"))

@@ -41,21 +41,24 @@ SELECT CAST(doc_id AS STRING) AS id, doc_id AS doc_number,
 FROM documents
 """
 _CHUNK_COLLECTION = "CASE (doc_id + pos) % 6 WHEN 0 THEN 'case_summary' WHEN 1 THEN 'digest' WHEN 2 THEN 'headnotes' WHEN 3 THEN 'facts' WHEN 4 THEN 'held' ELSE 'ruling' END"
-_STRINGS = (
-    "1998 KLM 77 lease renewal",
-    "1998klmnotes 77",
-    "Rule 19 late filing of a claim",
-    "Harbour Board v. Marlowe Shipping",
-    "from 1975 to 1981",
-    "is a ferry ticket a contract of carriage",
-    'Clause 14 with "night ferry" in case of Supreme court',
-    "Oslo High Court order on salvage",
-    "u/s 12A",
-    "the number 12A alone",
-    "ACIT letter on salvage",
-    "Rule 3 4 of High Court Tribunal",
-    "ACIT v. CIT under Article 8 of the CGST Act 2017",
-)
+#: A query string of one of thirteen shapes for each benchmark text, with words of the text.
+_STRINGS = """
+SELECT item_id AS n, CASE item_id % 13
+         WHEN 0 THEN concat(CAST(1990 + item_id % 35 AS STRING), ' KLM ', CAST(item_id AS STRING), ' ', a, ' renewal')
+         WHEN 1 THEN concat(CAST(1990 + item_id % 35 AS STRING), 'klmnotes ', CAST(item_id AS STRING))
+         WHEN 2 THEN concat('Rule ', CAST(item_id % 300 AS STRING), ' late ', a, ' of a ', b)
+         WHEN 3 THEN concat(a, ' Board v. ', b, ' Shipping')
+         WHEN 4 THEN concat('from ', CAST(1970 + item_id % 50 AS STRING), ' to ', CAST(1975 + item_id % 50 AS STRING))
+         WHEN 5 THEN concat('is a ', a, ' ticket a contract of ', b)
+         WHEN 6 THEN concat('Clause ', CAST(item_id AS STRING), ' with "', a, ' ', b, '" in case of Supreme court')
+         WHEN 7 THEN concat(a, ' High Court order on ', b)
+         WHEN 8 THEN concat('u/s 12A ', a)
+         WHEN 9 THEN concat('the number 12A of ', a, ' alone')
+         WHEN 10 THEN concat('ACIT letter on ', b)
+         WHEN 11 THEN concat('Rule ', CAST(item_id % 30 AS STRING), ' ', CAST(item_id % 7 AS STRING), ' of High Court Tribunal ', a)
+         ELSE concat('ACIT v. CIT under Article ', CAST(item_id AS STRING), ' of the CGST Act ', CAST(2000 + item_id % 20 AS STRING)) END AS q
+FROM (SELECT item_id, regexp_extract(text, '[A-Za-z]+', 0) AS a, regexp_extract(text, '[A-Za-z]+[^A-Za-z]+([A-Za-z]+)', 1) AS b FROM benchmark)
+"""
 
 
 def index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,8 +131,9 @@ def query_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.select(F.concat(F.lit("B"), F.col("vec_id").cast("string")).alias("query_id"), F.col("embedding").alias("vector"))
 
 
-def query_strings(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(i, q) for i, q in enumerate(_STRINGS)], "n long, q string")
+def query_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """n, q: a query string for each benchmark text."""
+    return spark.sql(_STRINGS.replace("FROM benchmark", "FROM {items}"), items=table(spark, sf_dir, "benchmark"))
 
 
 def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,7 +145,6 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- the same tables as DuckDB SQL
 
-_Q = "('" + "'), ('".join(q.replace("'", "''") for q in _STRINGS) + "')"
 SQL = {
     "ft_index": _INDEX.format(date="DATE '1990-01-01' + CAST((doc_id * 11) % 12000 AS INT)"),
     "chunks": f"""
@@ -160,7 +163,7 @@ SELECT concat('B', item_id) AS query_id, array_to_string(list_slice(regexp_extra
 FROM benchmark""",
     "gold": "SELECT concat('B', b.item_id) AS query_id, CAST(d.doc_id AS STRING) AS doc_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)",
     "vectors": "SELECT concat('B', vec_id) AS query_id, embedding AS vector FROM embeddings WHERE vec_id IN (SELECT item_id FROM benchmark)",
-    "strings": f"SELECT row_number() OVER () - 1 AS n, q FROM (VALUES {_Q}) t(q)",
+    "strings": _STRINGS,
     "answers": "SELECT CAST(doc_id AS STRING) AS answer_id, concat('Held in [', doc_id, '] and [', doc_id + 1, ', x', doc_id, '] but [sic] [1] [emphasis added].') AS answer FROM documents",
 }
 _NEEDS = {"chunks": ["ft_index"], "hybrid": ["chunks"]}
