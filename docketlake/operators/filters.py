@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..storage import kept
+from .postings import Index
 from .rank import top
 from .score import padded, small
 
@@ -119,47 +121,104 @@ def requests_of(read: DataFrame) -> DataFrame:
     return read.select("query_id", *named, *bounds)
 
 
-def allowlists(index: DataFrame, requests: DataFrame, most: int = MOST) -> DataFrame:
+def _asked(requests: DataFrame, loose: bool) -> DataFrame:
+    """query_id, pred, alt, field, need, phrase, term: the terms that requests look for; a predicate is met by any of its alternatives.
+
+    An alternative is met by a document that holds ``need`` of its terms in the field, and its phrase, if it has one.
+    """
+    section = lambda name: T.tokens(F.concat(F.lit(f"{name} - "), F.trim("section")))
+    rows = []
+
+    def add(pred: str, alt: int, field: str, terms: Column, how: str) -> None:
+        need = F.lit(1) if how == "any" else F.size(F.array_distinct(terms))
+        phrase = F.concat(F.lit(" "), F.array_join(terms, " "), F.lit(" ")) if how == "phrase" else F.lit(None).cast("string")
+        rows.append(F.when(F.col(pred).isNotNull(), F.struct(F.lit(pred).alias("pred"), F.lit(alt).alias("alt"), F.lit(field).alias("field"), need.alias("need"), phrase.alias("phrase"), F.array_distinct(terms).alias("terms"))))
+
+    heading = "any" if loose else "phrase"
+    add("court", 0, "heading", T.tokens(heading_term(F.col("court"))), heading)
+    add("bench", 0, "heading", T.tokens(heading_term(F.col("bench"))), heading)
+    add("section", 0, "heading", section("Section"), heading)
+    add("section", 1, "heading", section("Rule"), heading)
+    add("act", 0, "fullcontent", T.tokens(F.col("act")), "any")
+    add("party", 0, "subheading", T.tokens(F.col("party")), "all")
+    add("judge", 0, *(("judge", T.tokens(F.col("judge"))) if loose else ("judge is", F.array("judge"))), "any")
+    each = requests.select("query_id", F.explode(F.array(*rows)).alias("r")).where("r IS NOT NULL").select("query_id", "r.*")
+    return each.select("query_id", "pred", "alt", "field", "need", "phrase", F.explode("terms").alias("term"))
+
+
+def _held(index: DataFrame, asked: DataFrame, written: Index | None) -> DataFrame:
+    """field, term, doc_id: the asked terms in the fields of documents, from the written index where there is one; and in the judges' names."""
+    terms = asked.select("field", "term").distinct()
+    judges = index.select(F.col("id").alias("doc_id"), F.explode("judges").alias("j")).where("j IS NOT NULL")
+    own = judges.select(F.lit("judge is").alias("field"), F.col("j").alias("term"), "doc_id").unionByName(judges.select(F.lit("judge").alias("field"), F.explode(T.tokens(F.col("j"))).alias("term"), "doc_id"))
+    if written is None:
+        fields = F.array(*(F.struct(F.lit(f).alias("field"), F.array_distinct(T.tokens(F.col(f))).alias("terms")) for f in ("heading", "subheading", "fullcontent")))
+        text = index.select(F.col("id").alias("doc_id"), F.explode(fields).alias("f")).select("f.field", F.explode("f.terms").alias("term"), "doc_id")
+    else:
+        text = written.postings(terms).select(F.col(written.group).alias("field"), "term", F.explode("docs").alias("doc_id"))
+    return text.unionByName(own).join(small(terms), ["field", "term"], "left_semi").distinct()
+
+
+def _matched(index: DataFrame, requests: DataFrame, loose: bool, written: Index | None) -> DataFrame:
+    """query_id, doc_id: the documents that meet all predicates of each request but its dates; requests without any have no row."""
+    asked = _asked(requests, loose)
+    hits = _held(index, asked, written).join(small(asked), ["field", "term"]).groupBy("query_id", "pred", "alt", "need", "phrase", "doc_id").agg(F.count("*").alias("_n")).where("_n >= need")
+    lines = index.select(F.col("id").alias("doc_id"), padded(F.col("heading")).alias("_line"))
+    there = hits.where("phrase IS NULL").unionByName(hits.where("phrase IS NOT NULL").join(lines, "doc_id").where(F.col("_line").contains(F.col("phrase"))).select(*hits.columns))
+    met = there.select("query_id", "pred", "doc_id").distinct().groupBy("query_id", "doc_id").agg(F.count("*").alias("_met"))
+    return met.join(small(requests.select("query_id", _predicates().alias("_asks"))), "query_id").where("_met = _asks").select("query_id", "doc_id")
+
+
+def _predicates() -> Column:
+    """How many predicates a request has, dates aside; a party without words is met by all documents and is none."""
+    named = [F.col(c).isNotNull().cast("int") for c in ("court", "bench", "section", "act", "judge")]
+    party = F.coalesce(F.size(T.tokens(F.col("party"))) > 0, F.lit(False)).cast("int")
+    total = party
+    for n in named:
+        total = total + n
+    return total
+
+
+def _by_dates(index: DataFrame, requests: DataFrame, most: int) -> DataFrame:
+    """query_id, doc_id of requests that only their dates restrict: documents meet them by month. Without a bound all documents do, of which the first ``most`` are enough."""
+    dated = index.select(F.col("id").alias("doc_id"), F.col("formatteddocumentdate").alias("_date"))
+    ends = dated.agg(F.min("_date").alias("_from"), F.max("_date").alias("_to"))
+    month = lambda d: F.trunc(d, "month")
+    bounded = requests.where("date_from IS NOT NULL OR date_to IS NOT NULL").join(F.broadcast(ends), F.lit(True))
+    first, last = F.greatest("date_from", "_from"), F.least("date_to", "_to")
+    months = bounded.where(first <= last).select("query_id", "date_from", "date_to", F.explode(F.sequence(month(first), month(last), F.expr("INTERVAL 1 MONTH"))).alias("_month"))
+    inside = dated.withColumn("_month", month(F.col("_date"))).join(small(months), "_month").where(between_dates(F.col("_date"), F.col("date_from"), F.col("date_to"))).select("query_id", "doc_id")
+    least = dated.orderBy("doc_id").limit(most).agg(F.sort_array(F.collect_list("doc_id")).alias("_ids"))
+    free = requests.where("date_from IS NULL AND date_to IS NULL").join(F.broadcast(least), F.lit(True)).select("query_id", F.explode("_ids").alias("doc_id"))
+    return inside.unionByName(free)
+
+
+def allowlists(index: DataFrame, requests: DataFrame, most: int = MOST, written: Index | None = None) -> DataFrame:
     """query_id, doc_id for a batch of requests (query_id and any columns of REQUEST); a request without a filter has no row.
 
-    Strict matches, and for the queries that have none but ask for a filter with a looser form, loose ones. The index's texts
-    are cut into tokens once, before they meet the requests.
+    Strict matches, and for the queries that have none but ask for a filter with a looser form, loose ones. Requests meet documents by the terms that
+    they look for, which ``written``, the index of the fields, has at hand; a document must be met by each predicate. A value without words
+    is in no heading and no text; a party without words restricts nothing.
     """
     for name in REQUEST:
         if name not in requests.columns:
             requests = requests.withColumn(name, F.lit(None).cast("date" if name.startswith("date") else "string"))
-    requests = requests.where(F.coalesce(*(F.col(c).cast("string") for c in REQUEST)).isNotNull())
-    blank = F.array().cast("array<string>")
-    asked = requests
-    for name, value in (("court", heading_term(F.col("court"))), ("bench", heading_term(F.col("bench"))), ("act", F.col("act")), ("judge", F.col("judge")), ("party", F.col("party"))):
-        asked = asked.withColumn(f"_{name}", T.tokens(value))
-    for name in ("Section", "Rule"):
-        asked = asked.withColumn(f"_{name}", T.tokens(F.concat(F.lit(f"{name} - "), F.trim("section"))))
-    slim = index.select(
-        F.col("id").alias("doc_id"),
-        "judges",
-        "formatteddocumentdate",
-        *(F.coalesce(T.tokens(F.col(c)), blank).alias(f"_{c}") for c in ("heading", "subheading", "fullcontent")),
-        F.transform("judges", lambda j: T.tokens(j)).alias("_judges"),
-    ).withColumn("_line", F.concat(F.lit(" "), F.array_join("_heading", " "), F.lit(" ")))
-
-    def condition(loose: bool) -> Column:
-        in_heading = lambda ts: F.arrays_overlap("_heading", ts) if loose else F.col("_line").contains(F.concat(F.lit(" "), F.array_join(ts, " "), F.lit(" ")))
-        unless = lambda name, met: F.col(name).isNull() | met
-        return (
-            unless("court", in_heading(F.col("_court")))
-            & unless("bench", in_heading(F.col("_bench")))
-            & unless("section", in_heading(F.col("_Section")) | in_heading(F.col("_Rule")))
-            & unless("act", F.arrays_overlap("_fullcontent", "_act"))
-            & unless("judge", F.exists("_judges", lambda j: F.arrays_overlap(j, F.col("_judge"))) if loose else F.array_contains("judges", F.col("judge")))
-            & unless("party", F.size(F.array_except("_party", "_subheading")) == 0)
-            & between_dates(F.col("formatteddocumentdate"), F.col("date_from"), F.col("date_to"))
-        )
-
-    strict = slim.join(small(asked), condition(False)).select("query_id", "doc_id")
-    again = asked.where(F.coalesce(*FALLBACK).isNotNull()).join(strict.select("query_id").distinct(), "query_id", "left_anti")
-    loose = slim.join(small(again), condition(True)).select("query_id", "doc_id")
-    return top(strict.unionByName(loose), ["query_id"], [F.col("doc_id")], most).select("query_id", "doc_id")
+    requests = kept(requests.where(F.coalesce(*(F.col(c).cast("string") for c in REQUEST)).isNotNull()).select("query_id", *REQUEST))
+    some = requests.where(_predicates() > 0)
+    dates = index.select(F.col("id").alias("doc_id"), F.col("formatteddocumentdate").alias("_date"))
+
+    def matched(asked: DataFrame, loose: bool) -> DataFrame:
+        found = _matched(index, asked, loose, written)
+        bounds = small(asked.select("query_id", "date_from", "date_to"))
+        return found.join(bounds, "query_id").join(dates, "doc_id").where(between_dates(F.col("_date"), F.col("date_from"), F.col("date_to"))).select("query_id", "doc_id")
+
+    strict = kept(matched(some, False))
+    again = some.where(F.coalesce(*FALLBACK).isNotNull()).join(strict.select("query_id").distinct(), "query_id", "left_anti")
+    every = strict if again.isEmpty() else strict.unionByName(matched(kept(again), True))
+    rest = requests.where(_predicates() == 0)
+    if not rest.isEmpty():
+        every = every.unionByName(_by_dates(index, rest, most))
+    return top(every, ["query_id"], [F.col("doc_id")], most).select("query_id", "doc_id")
 
 
 def modes_of(read: DataFrame, allowed: DataFrame) -> DataFrame:

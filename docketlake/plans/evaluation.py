@@ -25,7 +25,7 @@ def stages(corpus: Corpus, queries: DataFrame, vectors: DataFrame, models: Model
     """
     kept = checkpoint or (lambda df: df)
     read = kept(modes.intents(queries, models))
-    dense, sparse, fused = modes.retrieved(corpus, read, models, modes.allowed(corpus.index, read), limit)
+    dense, sparse, fused = modes.retrieved(corpus, read, models, modes.allowed(corpus.index, read, written=corpus.fields), limit)
     reranked = modes.context(fused, queries, models, keep=None, cut=False)
     return {
         "es": retrieval.full_text(corpus.index, queries, limit=limit, written=corpus.fields),

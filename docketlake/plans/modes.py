@@ -13,7 +13,9 @@ from ..functions import citations as C
 from ..functions import text as T
 from ..operators import filters as P
 from ..operators import fuse, rank
+from ..operators.postings import Index
 from ..operators.score import small
+from ..storage import kept
 from ..streaming import trace
 from . import retrieval
 from .models import Models, Tool, answered, embedded, reranked
@@ -139,9 +141,9 @@ def read_reply(query: Column, reply: Column) -> tuple[Column, Column, Column, Co
     )
 
 
-def allowed(index: DataFrame, read: DataFrame, on_step: OnStep | None = None) -> Allowed:
-    """The allowlists of queries that have been read."""
-    documents = P.allowlists(index, P.requests_of(read))
+def allowed(index: DataFrame, read: DataFrame, on_step: OnStep | None = None, written: Index | None = None) -> Allowed:
+    """The allowlists of queries that have been read; ``written`` is the index of the fields."""
+    documents = kept(P.allowlists(index, P.requests_of(read), written=written))
     out = Allowed(documents, P.modes_of(read, documents))
     counts = documents.groupBy("query_id").agg(F.count("*").alias("n"), F.slice(F.array_sort(F.collect_list("doc_id")), 1, 10).alias("s"))  # MOST ids at most
     emit(on_step, "filters_resolved", lambda: read.join(counts, "query_id", "left").select("query_id", _data(filters=F.col("filters"), doc_id_count=F.coalesce("n", F.lit(0)), doc_id_sample=F.coalesce("s", F.array().cast("array<string>")))))
@@ -223,12 +225,12 @@ def ai_mode(corpus: Corpus, queries: DataFrame, models: Models, checkpoint=None,
     first documents is fetched, and what the excerpts lack after that; a model answers from the excerpts. An error of a
     model becomes the row's ``error`` and leaves the other rows. ``checkpoint`` writes what models have returned, so that they are asked once.
     """
-    kept = checkpoint or (lambda df: df)
-    read = kept(intents(queries, models, on_step=on_step))
-    lists = allowed(corpus.index, read, on_step)
+    held = checkpoint or (lambda df: df)
+    read = held(intents(queries, models, on_step=on_step))
+    lists = allowed(corpus.index, read, on_step, corpus.fields)
     _, _, fused = retrieved(corpus, read, models, lists, weighting=weighting, on_step=on_step)
-    fused = kept(fused)
-    best = kept(context(fused, queries, models, on_step=on_step))
+    fused = held(fused)
+    best = held(context(fused, queries, models, on_step=on_step))
     found = with_missing(prefetched(fused, corpus.index), best, corpus.index)
     told = found.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("doc_id", *CITATION_PATHS))).alias("citations"))  # twenty and five documents at most
     answers = synthesised(best, queries, models, on_step=on_step)

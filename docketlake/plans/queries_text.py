@@ -15,6 +15,7 @@ from ..sources import fixtures, lexicon
 from ..sources.fixtures import with_tables
 from ..sources.lexicon import SAMPLE
 from ..tables import table
+from . import retrieval
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -251,7 +252,7 @@ UNION ALL SELECT 'R4', id FROM ft_index WHERE list_has_all(regexp_extract_all(lo
 )
 def filter_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     requests = spark.createDataFrame([(*r, None, None, None) for r in _REQUESTS], "query_id string, court string, section string, party string, judge string, date_from date, date_to date")
-    return P.allowlists(fixtures.index(spark, sf_dir), requests)
+    return P.allowlists(fixtures.index(spark, sf_dir), requests, written=retrieval.fields_index(spark, sf_dir))
 
 
 @query(
