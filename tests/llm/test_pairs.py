@@ -110,25 +110,26 @@ def test_lines_equal_brute_force(spark):
 
 
 def plain_units(text):
-    """(units, their words in lower case), word by word."""
+    """(units, their words in lower case, whether each begins a sentence), word by word."""
     cut, words, starts = [], [], []
     for m in re.finditer(r"[^ \t\n\x0b\x0c\r]+", text):
         starts.append(m.start())
         words.append(m[0].lower())
     ends = [bool(re.search(r"[.!?][\"')\]]*$", w)) or "\n" in text[s + len(w) : t] for w, s, t in zip(words, starts, [*starts[1:], len(text)])]
     pair = spans.mix64(word_hashes(pa.array([" ".join(words)]))[0][:-1] * np.uint64(0x9E3779B97F4A7C15) + word_hashes(pa.array([" ".join(words)]))[0][1:]) if len(words) > 1 else []
-    at = 0
+    at, heads = 0, set()
     while at < len(words):
         stop = next((k + 1 for k in range(at, len(words)) if ends[k]), len(words))
         cut.append(at)
+        heads.add(at)
         for s in range(at, stop - 12):
             cut.append(max(range(s, s + 12), key=lambda k: (-int(pair[k]), k)) + 1)
         at = stop
     cut = sorted(set(cut))
     if not cut:
-        return ([text] if text else []), ([()] if text else [])
+        return ([text], [()], [True]) if text else ([], [], [])
     marks = [0, *(starts[c] for c in cut[1:]), len(text)]
-    return [text[a:b] for a, b in zip(marks, marks[1:])], [tuple(words[a:b]) for a, b in zip(cut, [*cut[1:], len(words)])]
+    return [text[a:b] for a, b in zip(marks, marks[1:])], [tuple(words[a:b]) for a, b in zip(cut, [*cut[1:], len(words)])], [c in heads for c in cut]
 
 
 @pytest.mark.parametrize("stretch", [0, spans.STRETCH])
@@ -148,32 +149,40 @@ def test_spans_equal_brute_force(spark, stretch):
     df = spark.createDataFrame([(i, t, "m") for i, t in rows], "doc_id long, text string, mark string")
     key = lambda i: spans.NO_KEY if i is None else i
     first, found = {}, []
-    for i, t in rows:
-        parts, keys = plain_units(t or "")
-        assert "".join(parts) == (t or "")
-        counts = [len(k) for k in keys]
+
+    def shortest(counts):
         own = set()
-        for a in range(len(parts)):
-            own |= {next(((a, b) for b in range(a + 2, len(parts) + 1) if sum(counts[a:b]) >= spans.WORDS), None)}
+        for a in range(len(counts)):
+            own |= {next(((a, b) for b in range(a + 2, len(counts) + 1) if sum(counts[a:b]) >= spans.WORDS), None)}
             own |= {next(((b, a + 1) for b in range(a - 1, -1, -1) if sum(counts[b : a + 1]) >= spans.WORDS), None)}
-        own = sorted(own - {None})
+        return own - {None}
+
+    for i, t in rows:
+        parts, keys, heads = plain_units(t or "")
+        assert "".join(parts) == (t or "")
+        begins = [*(n for n, h in enumerate(heads) if h), len(parts)]
+        sentences = [sum(keys[x:y], ()) for x, y in zip(begins, begins[1:])]
+        own = [(begins[a], begins[b], True, tuple(sentences[a:b])) for a, b in shortest([len(x) for x in sentences])]
+        long = [not (heads[n] and (n + 1 == len(heads) or heads[n + 1])) for n in range(len(heads))]
+        own += [(a, b, False, tuple(keys[a:b])) for a, b in shortest([len(k) for k in keys]) if any(long[a:b])]
+        own.sort(key=lambda x: (x[0], x[1], not x[2]))
         found.append((i, t, parts, keys, own))
-        for a, b in own:
-            k = tuple(keys[a:b])
-            first[k] = min(first.get(k, spans.NO_KEY), key(i))
+        for _, _, sure, k in own:
+            first[sure, k] = min(first.get((sure, k), spans.NO_KEY), key(i))
     want = []
     for i, t, parts, keys, own in found:
-        bad, seen = set(), set()
-        for a, b in own:
-            k = tuple(keys[a:b])
-            if first[k] != key(i) or k in seen:
+        bad, sure_bad, seen = set(), set(), set()
+        for a, b, sure, k in own:
+            if first[sure, k] != key(i) or (sure, k) in seen:
                 bad |= set(range(a, b))
-            seen.add(k)
-        for n in sorted(bad):  # stretches that are too short stay
+                sure_bad |= set(range(a, b)) if sure else set()
+            seen.add((sure, k))
+        for n in sorted(bad):  # stretches that are too short stay, but for sentences
             if n - 1 not in bad:
                 end = next(m for m in range(n, len(parts) + 1) if m not in bad)
                 if sum(len(keys[m]) for m in range(n, end)) < stretch:
                     bad -= set(range(n, end))
+        bad |= sure_bad
         want.append((i, None if t is None else "".join(p for n, p in enumerate(parts) if n not in bad), len(bad)))
     out = spans.without_repeats(df, stretch=stretch)
     assert sorted(((r.doc_id, r.text, r.removed_units) for r in out.collect()), key=repr) == sorted(want, key=repr)
