@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -214,9 +215,25 @@ def _common_counts(left: list[np.ndarray], right: list[np.ndarray], columns: int
     return out
 
 
+def _packed(members: DataFrame, *columns: str) -> DataFrame:
+    """tree, bucket, own, blocks, members: one row for each block of a region or bucket, with its members' rep and further columns."""
+    return members.groupBy("tree", "bucket", "own", "blocks").agg(F.collect_list(F.struct("rep", *columns)).alias("members"))
+
+
+def _unpacked(table: pa.Table) -> pa.Table:
+    """A tile's members, one row each, from one row for each of its blocks."""
+    table = table.combine_chunks()
+    batch = table.to_batches()[0]
+    lists = batch.column("members")
+    at = pa.array(np.repeat(np.arange(batch.num_rows), pc.list_value_length(lists).to_numpy(zero_copy_only=False)))
+    members = pa.RecordBatch.from_struct_array(lists.flatten())
+    names = [c for c in table.column_names if c != "members"]
+    return pa.table([*(batch.column(c).take(at) for c in names), *members.columns], names=[*names, *members.schema.names])
+
+
 def _sides(table: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarray, bool]:
     """(members by side and rep, places of the left ones, of the right ones, which pairs no earlier tree's bucket holds, whether the block is paired with itself)."""
-    table = table.sort_by([("side", "ascending"), ("rep", "ascending")]).combine_chunks()
+    table = _unpacked(table).sort_by([("side", "ascending"), ("rep", "ascending")]).combine_chunks()
     side, tree = table.column("side").to_numpy(), table.column("tree")[0].as_py()
     diagonal = table.column("i")[0].as_py() == table.column("j")[0].as_py()
     left = np.flatnonzero(side == 0)
@@ -234,12 +251,14 @@ def _sides(table: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray, np.ndarra
 
 
 def _needed(table: pa.Table) -> pa.Table:
-    """The members of a tile that have a pair which counts here."""
+    """tree, bucket, i, j, side, own, reps: the members of a tile that have a pair which counts here, a row for each side; no row if there are none."""
+    first = table.slice(0, 1)
     table, left, right, new, diagonal = _sides(table)
-    keep = np.zeros(table.num_rows, dtype=bool)
-    keep[left[new.any(1)]] = True
-    keep[right[new.any(0)]] = True
-    return table.filter(pa.array(keep)).select(["tree", "bucket", "rep", "i", "j", "side"])
+    reps = table.column("rep").to_numpy()
+    found = [(0, "i", reps[left[new.any(1)]]), *(() if diagonal else ((1, "j", reps[right[new.any(0)]]),))] if new.any() else []
+    columns = {c: pa.array([first.column(c)[0].as_py()] * len(found), first.schema.field(c).type) for c in ("tree", "bucket", "i", "j")}
+    columns |= {"side": pa.array([s for s, _, _ in found], pa.int32()), "own": pa.array([first.column(c)[0].as_py() for _, c, _ in found], pa.int32())}
+    return pa.table(columns | {"reps": pa.array([r.tolist() for _, _, r in found], pa.list_(pa.int64()))})
 
 
 def _tile(threshold: float):
@@ -364,14 +383,18 @@ def _grouped(docs: DataFrame, key: str = "doc_id", text: str = "text", words: in
 
     cut = large.select("tree", "bucket", "rep", "members").unionByName(regions.select(F.lit(-1).alias("tree"), F.col("region").alias("bucket"), "rep", "members"))
     cut = cut.withColumn("blocks", F.ceil(F.col("members") / block).cast("int")).withColumn("own", F.pmod(F.xxhash64("rep", F.lit("block")), F.col("blocks")).cast("int"))
-    tiles = cut.select("tree", "bucket", "rep", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    tiles = tiles.select("tree", "bucket", "rep", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"))
     at = ["tree", "bucket", "i", "j"]
+    # a tile is made of two rows, its blocks: as many rows as blocks go with each of a region or bucket, not with each of its members
+    sides = [F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "own", "members"]
+    every = lambda packs: packs.select("tree", "bucket", "own", "members", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select("tree", "bucket", *sides)
     own = F.coalesce("region", -1 - F.col("rep")).alias("region")  # a class without a region is one of its own
-    some = tiles.where("tree >= 0").join(info.select("rep", "large", own), "rep").groupBy(*at).applyInArrow(_needed, "tree int, bucket long, rep long, i int, j int, side int")
+    light = _packed(cut.where("tree >= 0").join(info.select("rep", "large", own), "rep"), "large", "region")
+    some = checkpoint(every(light).groupBy(*at).applyInArrow(_needed, "tree int, bucket long, i int, j int, side int, own int, reps array<long>"))
+    needed = some.groupBy("tree", "bucket", "own").agg(F.array_distinct(F.flatten(F.collect_list("reps"))).alias("reps")).select("tree", "bucket", "own", F.lit(0).alias("blocks"), F.explode("reps").alias("rep"))
     # what a tile needs of a member is put together once, not for each of its tiles
     whole = sets.join(wanted.select("rep", "copies", "large", own), "rep")
-    tiles = tiles.where("tree < 0").unionByName(some).join(whole, "rep")
+    packs = _packed(cut.where("tree < 0").select("tree", "bucket", "own", "blocks", "rep").unionByName(needed).join(whole, "rep"), "copies", "large", "region", "grams")
+    tiles = every(packs.where("tree < 0")).drop("own").unionByName(packs.where("tree >= 0").select("tree", "bucket", "own", "members").join(some.select(*at, "side", "own"), ["tree", "bucket", "own"]).drop("own"))
     counted = checkpoint(tiles.groupBy(*at).applyInArrow(_tile(threshold), "a long, b long, n long"))
 
     copies = reps.select("rep", "copies")
