@@ -69,3 +69,13 @@ def test_ranks_are_those_of_lists(spark):
     want = retrieval.sparse_lists(spark, SF).select(*columns)
     found = retrieval.sparse_ranks(fixtures.chunks(spark, SF), fixtures.queries(spark, SF)).select(*columns)
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, want.collect()))
+
+
+@pytest.mark.parametrize("name", ["sparse_bm25_topk", "first_unique_docs", "hits_per_collection", "collection_ranks", "first_collection"])
+def test_lists_without_texts_write_no_index(spark, monkeypatch, name):
+    def never(*_, **__):
+        raise AssertionError("an index is written")
+
+    monkeypatch.setattr(retrieval, "words_index", never)
+    monkeypatch.setattr(postings, "write", never)
+    assert registry.QUERIES[name](spark, SF).columns
