@@ -58,3 +58,12 @@ def test_most_and_parties_without_words(spark):
     traders = [r.id for r in index.where("lower(subheading) = 'traders'").orderBy("id").limit(7).collect()]
     assert got == [*(("p", f"{i:03}") for i in range(7)), *(("t", i) for i in traders)]
     assert list(itertools.islice(got, 1)) == [("p", "000")]
+
+
+def test_all_matches_without_a_bound(spark, monkeypatch):
+    monkeypatch.setattr(filters, "MOST_PUSHED", 1)  # the terms are joined
+    index = made(spark)
+    asked = spark.createDataFrame([("p", "--"), ("t", "traders ltd"), ("t2", "traders")], "query_id string, party string")
+    got = sorted((r.query_id, r.doc_id) for r in filters.allowlists(index, asked, most=None).collect())
+    traders = [r.id for r in index.where("lower(subheading) = 'traders'").orderBy("id").collect()]
+    assert got == [*(("p", f"{i:03}") for i in range(150)), *(("t2", i) for i in traders)]
